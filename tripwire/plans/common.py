@@ -12,6 +12,23 @@ from ..sources.readers import flow_frame
 DIGITS = 6   # float noise between engines is ~1e-16; compare at 6 decimals
 
 
+def sig_round(col: str, digits: int = 10):
+    """Round to ``digits`` significant digits with exact powers of ten, so
+    large-magnitude statistics agree across engines despite 1e-16 noise."""
+    x = F.col(col)
+    e = F.floor(F.log10(F.abs(x))) - (digits - 1)
+    return (F.when(x.isNull() | (x == 0), x)
+            .when(e < 0, F.round(x * F.pow(F.lit(10.0), -e)) / F.pow(F.lit(10.0), -e))
+            .otherwise(F.round(x / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)))
+
+
+def sig_round_sql(x: str, digits: int = 10) -> str:
+    e = f"(floor(log10(abs({x}))) - {digits - 1})"
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} WHEN {e} < 0 THEN "
+            f"round({x} * pow(10.0, -{e})) / pow(10.0, -{e}) "
+            f"ELSE round({x} / pow(10.0, {e})) * pow(10.0, {e}) END")
+
+
 def flows(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFrame:
     return flow_frame(spark, sf_dir, spec)
 
