@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["detectors", "prep_queries", "profile_queries"]
+_MODULES = ["detectors", "prep_queries", "profile_queries", "compare_queries"]
 
 
 def _collect(attr: str) -> dict:
