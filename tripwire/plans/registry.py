@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["detectors", "prep_queries", "profile_queries", "compare_queries"]
+_MODULES = ["detectors", "prep_queries", "profile_queries", "compare_queries", "pool_queries",
+            "model_queries"]
 
 
 def _collect(attr: str) -> dict:
@@ -24,6 +25,7 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir: str):
-    from .detectors import confusion_metrics
+    """prepare → forest on benign train → SGD cascade → evaluation record."""
+    from .model_queries import QUERIES as MQ
 
-    return confusion_metrics(spark, sf_dir)
+    return MQ["sgd_cascade"](spark, sf_dir)
