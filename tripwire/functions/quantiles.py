@@ -4,10 +4,12 @@ Spark's exact ``percentile`` aggregate keeps every distinct value of a group
 in one buffer, which does not hold for billions of distinct doubles.  Here
 each quantile is found by narrowing an interval around its target rank:
 
-1. one aggregate gives n, min and max per (group, column);
-2. each pass histograms the rows inside the open intervals into ``bins``
-   equal-width buckets (partial aggregation, a few thousand rows out) and
-   keeps the bucket holding the target rank;
+1. one aggregate histograms every (group, column) into order-preserving
+   exponent/mantissa buckets (no range needed), giving n and the bucket
+   holding each target rank;
+2. each further pass histograms the rows inside the open intervals into
+   ``bins`` equal-width buckets (partial aggregation, a few thousand rows
+   out) and keeps the bucket holding the target rank;
 3. once an interval holds at most ``collect_limit`` rows (or one distinct
    value) its values are fetched and the rank is read off directly.
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-COLLECT_LIMIT = 20_000
+COLLECT_LIMIT = 50_000
 
 
 def _long_form(df: DataFrame, cols: Sequence[str], group_col: str | None) -> DataFrame:
@@ -38,38 +40,61 @@ def _long_form(df: DataFrame, cols: Sequence[str], group_col: str | None) -> Dat
         F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+MANTISSA_BUCKETS = 1024     # buckets per power of two in the first pass
+
+
+def _order_bucket(v):
+    """Order-preserving bucket id of a double without knowing its range:
+    binary exponent and the top mantissa bits (±1-ulp errors of log2 near a
+    power of two land in the same bucket, so the id never decreases)."""
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    m = a / F.pow(F.lit(2.0), e)
+    k = (e + 1100) * MANTISSA_BUCKETS + F.floor((m - 1.0) * MANTISSA_BUCKETS) + 1
+    big = F.lit(10 ** 9)
+    return (F.when(v == 0, F.lit(0)).when(v == float("inf"), big)
+            .when(v == float("-inf"), -big).when(v > 0, k).otherwise(-k)).cast("long")
+
+
 def exact_percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
                       group_col: str | None = None, bins: int = BINS,
                       collect_limit: int = COLLECT_LIMIT) -> dict:
     """Return ``{(group, col, q): value}`` (group is ``''`` when ungrouped).
 
-    Nulls and NaN are ignored; a (group, column) without values maps to
-    ``None``.  ``df`` should be cached or checkpointed by the caller when it
-    is expensive, since every pass rescans it.
+    Nulls and NaN are ignored; a (group, column) without values is absent.
+    Pass 1 is an order-preserving histogram that also yields n per column;
+    later passes fetch or re-histogram only the buckets holding the target
+    ranks (usually one more pass).
     """
     spark = df.sparkSession
     long = _long_form(df, cols, group_col)
-    stats = long.groupBy("g", "c").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    result: dict = {}
-    # target ranks: (g, c, r) -> value; intervals: id -> dict
+    first = (long.groupBy("g", "c", _order_bucket(F.col("v")).alias("b"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+             .collect())
+    per_col: dict = {}
+    for r in first:
+        per_col.setdefault((r.g, r.c), []).append(r)
     wanted: dict = {}
-    for row in stats:
+    values: dict = {}
+    intervals = []
+    for (g, c), rows in per_col.items():
+        rows.sort(key=lambda r: r.b)
+        n = sum(r.n for r in rows)
+        ranks = set()
         for q in qs:
-            pos = q * (row.n - 1)
+            pos = q * (n - 1)
             k = math.floor(pos)
-            wanted[(row.g, row.c, q)] = (k, min(k + 1, row.n - 1), pos - k)
-    stat_by = {(r.g, r.c): r for r in stats}
-    # open intervals keyed by (g, c, lo, hi, below); each carries its ranks
-    ranks_needed: dict = {}
-    for (g, c, _q), (k0, k1, _f) in wanted.items():
-        ranks_needed.setdefault((g, c), set()).update({k0, k1})
-    values: dict = {}   # (g, c, rank) -> value
-    intervals = []
-    for (g, c), ranks in ranks_needed.items():
-        r = stat_by[(g, c)]
-        intervals.append({"g": g, "c": c, "lo": r.lo, "hi": r.hi, "below": 0,
-                          "count": r.n, "ranks": sorted(ranks)})
+            k1 = min(k + 1, n - 1)
+            wanted[(g, c, q)] = (k, k1, pos - k)
+            ranks.update({k, k1})
+        below = 0
+        pending_ranks = sorted(ranks)
+        for r in rows:
+            hit = [rk for rk in pending_ranks if below <= rk < below + r.n]
+            if hit:
+                intervals.append({"g": g, "c": c, "lo": r.mn, "hi": r.mx, "below": below,
+                                  "count": r.n, "ranks": hit})
+            below += r.n
     while intervals:
         pending = []
         for iv in intervals:
@@ -84,6 +109,7 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
             [(i, iv["g"], iv["c"], float(iv["lo"]), float(iv["hi"]),
               iv["count"] <= collect_limit) for i, iv in enumerate(pending)],
             "iid int, g string, c string, lo double, hi double, small boolean")
+        # (g, c) may hold several open intervals; they are disjoint value ranges
         inside = long.join(F.broadcast(spec), on=["g", "c"]).filter(
             (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         small_ids = [i for i, iv in enumerate(pending) if iv["count"] <= collect_limit]
@@ -122,17 +148,11 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
                     below += row.n
                 nxt.extend(children.values())
         intervals = nxt
+    result: dict = {}
     for (g, c, q), (k0, k1, frac) in wanted.items():
-        if stat_by[(g, c)].n == 0:
-            result[(g, c, q)] = None
-            continue
         lo_v = values[(g, c, k0)]
         hi_v = values[(g, c, k1)]
         result[(g, c, q)] = lo_v if frac == 0 or lo_v == hi_v else lo_v + (hi_v - lo_v) * frac
-    for (g, c), r in stat_by.items():
-        if r.n == 0:
-            for q in qs:
-                result[(g, c, q)] = None
     return result
 
 

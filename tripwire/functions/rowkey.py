@@ -39,19 +39,18 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence
 
     ``order_cols`` must make rows unique inside a group (add a tie-breaker
     otherwise) so the numbering is deterministic.  The sorted, numbered rows
-    are checkpointed to the shared checkpoint folder: retries after a lost
+    are written to the shared checkpoint folder: retries after a lost
     executor see the same numbering, and the offset table is computed once.
     """
+    from ..session import materialize
+
     spark = df.sparkSession
     gcols = list(group_cols)
     keys = gcols + list(order_cols)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (
-        df.repartitionByRange(n_parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
+    sorted_df = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+                 .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = materialize(sorted_df, "ordered")
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
         "_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
     if not gcols:
@@ -63,12 +62,23 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence
     # a contiguous run of groups and the table has <= partitions + groups rows
     stats = tagged.groupBy("_pid", *gcols_eff).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*gcols_eff).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    stats = stats.select("_pid", *gcols_eff, (F.col("_before") - F.col("_first")).alias("_shift"))
-    n_stats = stats.count()
-    right = F.broadcast(stats) if n_stats <= broadcast_limit else stats
+    if not gcols:
+        # ≤ one row per partition: prefix sums on the driver
+        rows = sorted((r["_pid"], r["_cnt"], r["_first"]) for r in stats.collect())
+        shifts, before = [], 0
+        for pid, cnt, first in rows:
+            shifts.append((pid, 0, before - first))
+            before += cnt
+        right = F.broadcast(spark.createDataFrame(shifts or [(0, 0, 0)],
+                                                  "_pid long, _g0 int, _shift long"))
+    else:
+        w = Window.partitionBy(*gcols_eff).orderBy("_pid").rowsBetween(
+            Window.unboundedPreceding, -1)
+        stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+        stats = stats.select("_pid", *gcols_eff,
+                             (F.col("_before") - F.col("_first")).alias("_shift"))
+        n_stats = stats.count()
+        right = F.broadcast(stats) if n_stats <= broadcast_limit else stats
     out = tagged.join(right, on=["_pid", *gcols_eff], how="inner")
     out = out.withColumn(name, F.col("_loc") + F.col("_shift"))
     return out.drop("_mid", "_pid", "_loc", "_shift", *(["_g0"] if not gcols else []))

@@ -11,7 +11,8 @@ Spark shape:
 * sampling: for every tree, each row draws u = hash(row_key, tree, seed);
   a row is a candidate of tree t when u < p (p sized so that ~ψ + 8√ψ rows
   qualify), and the ψ smallest u per tree are kept.  One narrow scan, no
-  sort of the table; trees short of ψ candidates are redrawn with a larger p.
+  sort of the table; if a tree's root holds fewer than ψ rows the draw is
+  repeated with a larger p (the hashes are fixed, so the result is exact).
 * growth: ``groupBy('tree_id').applyInPandas`` on ≤ n_trees·ψ rows — each
   group is one tree's ψ rows, bounded by construction.
 * scoring: a vectorised pandas UDF walking all trees at once; the forest
@@ -119,7 +120,8 @@ def _grower(features: Sequence[str], psi: int, seed: int):
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree_id"].iloc[0])
-        pdf = pdf.sort_values("u", kind="mergesort")
+        # the ψ smallest draws of this tree (candidates number ~ψ + 8√ψ)
+        pdf = pdf.sort_values(["u", "row_key"], kind="mergesort").head(psi)
         x = pdf[feats].to_numpy(dtype=np.float64)
         rng = np.random.default_rng([seed, tree])
         rows = _grow_tree(x, rng, max_depth)
@@ -133,67 +135,99 @@ def _grower(features: Sequence[str], psi: int, seed: int):
     return grow
 
 
-def draw_tree_samples(df: DataFrame, n: int, n_trees: int, psi: int, seed: int,
-                      key: str = "row_key") -> DataFrame:
-    """(tree_id, u, row...) for the ψ smallest hash draws of every tree."""
-    trees = list(range(n_trees))
-    p = 1.0 if n <= psi else min(1.0, (psi + 8 * math.sqrt(psi) + 16) / n)
-    while True:
-        u = lambda t: F.shiftrightunsigned(F.xxhash64(F.col(key), t, F.lit(seed)), 11) / float(2 ** 53)
-        cand = F.filter(
-            F.transform(F.array(*[F.lit(t) for t in trees]),
-                        lambda t: F.struct(t.alias("tree_id"), u(t).alias("u"))),
-            lambda s: s["u"] < F.lit(p))
-        picked = df.select("*", F.explode(cand).alias("_c")).select(
-            F.col("_c.tree_id").alias("tree_id"), F.col("_c.u").alias("u"), *df.columns)
-        w = Window.partitionBy("tree_id").orderBy("u", key)
-        kept = picked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r")
-        kept = kept.checkpoint(eager=True)
-        short = [r.tree_id for r in kept.groupBy("tree_id").count().collect() if r["count"] < min(psi, n)]
-        have = {r.tree_id for r in kept.select("tree_id").distinct().collect()}
-        short += [t for t in trees if t not in have]
-        if not short or p >= 1.0:
-            return kept
-        p = min(1.0, p * 2)       # rare: redraw with a larger p (same hashes, exact result)
+def _binomial_cdf(n: int, p: float) -> list[float]:
+    """Cumulative Binomial(n, p) probabilities up to 1 - 1e-15."""
+    out, acc = [], 0.0
+    for k in range(n + 1):
+        acc += math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+        out.append(acc)
+        if acc >= 1.0 - 1e-15:
+            break
+    return out
+
+
+def _candidates(df: DataFrame, n_trees: int, p: float, seed: int, key: str) -> DataFrame:
+    """(tree_id, u, row...) where every (row, tree) pair is drawn
+    independently with probability p.
+
+    Per row, one hash decides how many trees K ~ Binomial(n_trees, p) take
+    it (inverse CDF); only rows with K > 0 (≈ n_trees·p of them) rank the
+    trees by a second hash and keep the K first — a uniform K-subset, which
+    is the same joint law as independent per-tree draws.  ``u`` orders the
+    candidates inside a tree."""
+    unit = lambda h: F.shiftrightunsigned(h, 11) / float(2 ** 53)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    cdf = _binomial_cdf(n_trees, p)
+    u0 = unit(F.xxhash64(h, F.lit(-1)))
+    k = F.lit(len(cdf))
+    for i in range(len(cdf) - 1, -1, -1):
+        k = F.when(u0 < F.lit(cdf[i]), F.lit(i)).otherwise(k)
+    rows = df.withColumn("_h", h).withColumn("_k", k).filter(F.col("_k") > 0)
+    ranked = F.array_sort(F.transform(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        lambda t: F.struct(F.xxhash64(F.col("_h"), t).alias("r"), t.alias("tree_id"))))
+    picked = rows.select("*", F.explode(F.slice(ranked, 1, F.col("_k"))).alias("_c"))
+    return picked.select(
+        F.col("_c.tree_id").cast("int").alias("tree_id"),
+        unit(F.xxhash64(F.col("_h"), F.col("_c.tree_id"), F.lit(7))).alias("u"), *df.columns)
+
+
+def _grow_all(df: DataFrame, feats, n_trees: int, psi: int, p: float, seed: int,
+              key: str) -> pd.DataFrame:
+    cand = _candidates(df, n_trees, p, seed, key).withColumnRenamed(key, "row_key")
+    # explicit partition count: trees spread over the cores, not coalesced by AQE;
+    # each group is one tree's ~ψ + 8√ψ candidates (bounded)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    kept = cand.repartition(max(1, min(n_trees, par)), "tree_id")
+    nodes = kept.groupBy("tree_id").applyInPandas(_grower(feats, psi, seed), NODE_SCHEMA)
+    return nodes.toPandas()            # ≤ n_trees·(2ψ-1) rows, by construction
 
 
 def fit_forest(benign: DataFrame, features: Sequence[str], n_trees: int = 100,
-               max_samples: int = 256, seed: int = 42, key: str = "row_key") -> Forest:
-    """T1 on the benign training rows."""
+               max_samples: int = 256, seed: int = 42, key: str = "row_key",
+               n: int | None = None) -> Forest:
+    """T1 on the benign training rows (``n`` = their count, if known)."""
     feats = list(features)
     base = benign.select(key, *[F.col(c).cast("double") for c in feats])
-    n = base.count()
+    n = base.count() if n is None else n
     if n == 0:
         raise ValueError("isolation forest needs at least one benign row")
     psi = min(max_samples, n)
-    sample = draw_tree_samples(base, n, n_trees, psi, seed, key)
-    schema = "tree_id int, node_id int, feature int, split double, left_child int, " \
-             "right_child int, size long, depth int"
-    nodes = sample.groupBy("tree_id").applyInPandas(_grower(feats, psi, seed), schema)
-    pdf = nodes.toPandas()            # ≤ n_trees·(2ψ-1) rows, by construction
+    p = 1.0 if n <= psi else min(1.0, (psi + 8 * math.sqrt(psi) + 16) / n)
+    while True:
+        pdf = _grow_all(base, feats, n_trees, psi, p, seed, key)
+        roots = pdf[pdf["node_id"] == 0].set_index("tree_id")["size"]
+        short = [t for t in range(n_trees) if roots.get(t, 0) < psi]
+        if not short or p >= 1.0:
+            break
+        p = min(1.0, p * 2)       # rare: redraw with a larger p (same hashes, exact result)
     return Forest(feats, psi, pdf.sort_values(["tree_id", "node_id"]).reset_index(drop=True))
 
 
 def score_udf(forest: Forest):
-    """T2 as a vectorised pandas UDF over the feature columns."""
+    """T2 as a vectorised pandas UDF over the feature columns: each tree
+    walks every row of the Arrow batch one level per step."""
     feat, split, left, right, leafval, depth = forest.arrays()
     c_psi = float(avg_path_length([forest.psi])[0]) or 1.0
     n_trees = feat.shape[0]
-    tix = np.arange(n_trees)[None, :]
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
-        m = len(x)
-        node = np.zeros((m, n_trees), dtype=np.int64)
-        rows = np.arange(m)[:, None]
-        for _ in range(depth + 1):
-            f = feat[tix, node]
-            go_left = x[rows, f] <= split[tix, node]
-            nxt = np.where(go_left, left[tix, node], right[tix, node])
-            node = np.where(nxt < 0, node, nxt)
-        mean_path = leafval[tix, node].mean(axis=1)
-        return pd.Series(np.power(2.0, -mean_path / c_psi))
+        xt = np.vstack([c.to_numpy(dtype=np.float64) for c in cols])   # features × rows
+        m = xt.shape[1]
+        cols_idx = np.arange(m)
+        total = np.zeros(m)
+        for t in range(n_trees):
+            fe, sp, le, ri = feat[t], split[t], left[t], right[t]
+            node = np.zeros(m, dtype=np.int64)
+            for _ in range(depth):
+                nxt = np.where(xt[fe[node], cols_idx] <= sp[node], le[node], ri[node])
+                inner = nxt >= 0
+                if not inner.any():
+                    break
+                node = np.where(inner, nxt, node)
+            total += leafval[t][node]
+        return pd.Series(np.power(2.0, -(total / n_trees) / c_psi))
 
     return score
 

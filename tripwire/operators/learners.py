@@ -446,7 +446,7 @@ class SEAPool(Learner):
         self._update(batch, flag_col, res.n_flagged, n_pos, correct)
         return res
 
-    def warmup(self, flagged_train: DataFrame, order_col: str = "ord") -> int:
+    def warmup(self, flagged_train: DataFrame, order_col: str = "row_key") -> int:
         """Five consecutive chunks of max(1, n // 5) rows in arrival order;
         the remainder is unused; each chunk goes through the same update."""
         from ..functions.rowkey import ordered_index

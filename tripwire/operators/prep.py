@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_percentiles
 from ..functions.rowkey import ordered_index, row_key
+from ..functions.selection import below_cutoff, kth_keys
 from ..sources.catalog import LABEL
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -77,16 +78,17 @@ def with_row_key(df: DataFrame, key_exprs: Sequence[str], seed: int = 42,
     return df.withColumn(name, row_key(key_exprs, seed))
 
 
-def exact_sample(df: DataFrame, frac: float, key: str = "row_key",
-                 order_col: str = "sample_idx") -> DataFrame:
-    """Exactly ``round(frac * n)`` rows, the first ones in md5 order.
+def exact_sample(df: DataFrame, frac: float, key: str = "row_key") -> DataFrame:
+    """Exactly ``round(frac * n)`` rows: the first ones in md5 order.
 
-    ``order_col`` is the sample's (shuffled) order, as a dense index.
+    The cut-off key is selected without sorting; the sample is a narrow
+    filter.  Its order (the reference's shuffled order) is md5 order: call
+    :func:`ordered_index` on the sample when dense positions are needed.
     """
     n = df.count()
     k = round(frac * n)             # same rounding as the reference library
-    indexed = ordered_index(df, [key], name=order_col)
-    return indexed.filter(F.col(order_col) < k)
+    cut = kth_keys(df, key, {0: k}, sizes={0: n})
+    return df.filter(below_cutoff(key, cut))
 
 
 def capped_sample(df: DataFrame, cap: int, key: str = "row_key") -> DataFrame:
@@ -94,11 +96,16 @@ def capped_sample(df: DataFrame, cap: int, key: str = "row_key") -> DataFrame:
     return df.orderBy(key).limit(cap)
 
 
+def class_counts(df: DataFrame, label: str = LABEL) -> dict:
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
 def per_class_cap(df: DataFrame, cap: int, label: str = LABEL,
                   key: str = "row_key") -> DataFrame:
-    """At most ``cap`` rows per class, first in md5 order."""
-    indexed = ordered_index(df, [key], group_cols=[label], name="_cls_idx")
-    return indexed.filter(F.col("_cls_idx") < cap).drop("_cls_idx")
+    """At most ``cap`` rows per class, first in md5 order (no sort)."""
+    counts = class_counts(df, label)
+    cut = kth_keys(df, key, {c: cap for c in counts}, group=label, sizes=counts)
+    return df.filter(below_cutoff(key, cut, label))
 
 
 def _largest_remainder(counts: dict, n_draws: int) -> dict:
@@ -115,27 +122,31 @@ def _largest_remainder(counts: dict, n_draws: int) -> dict:
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, label: str = LABEL,
                      key: str = "row_key") -> DataFrame:
+    return stratified_split_quota(df, test_size, label, key)[0]
+
+
+def stratified_split_quota(df: DataFrame, test_size: float = 0.2, label: str = LABEL,
+                           key: str = "row_key") -> tuple[DataFrame, dict]:
     """Add ``split`` in {'train','test'}; per-class shares follow the
     class mix, total test rows = ceil(test_size * n).
 
-    Inside each class rows are ranked by md5 (distributed rank, no per-class
-    window); the first quota rows go to train.
+    Inside each class the first ``quota`` rows in md5 order go to train.
+    The per-class cut-off key is selected by prefix counting, so the split
+    itself is a narrow projection (no shuffle of the table).
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    counts = class_counts(df, label)
     n = sum(counts.values())
     n_test = math.ceil(test_size * n)
     train_quota = _largest_remainder(counts, n - n_test)
-    quota = F.create_map(*[x for c, q in train_quota.items() for x in (F.lit(c), F.lit(q))])
-    indexed = ordered_index(df, [key], group_cols=[label], name="_cls_idx")
-    return indexed.withColumn(
-        "split", F.when(F.col("_cls_idx") < quota[F.col(label)], "train").otherwise("test")
-    ).drop("_cls_idx")
+    cut = kth_keys(df, key, train_quota, group=label, sizes=counts)
+    out = df.withColumn("split", F.when(below_cutoff(key, cut, label), "train").otherwise("test"))
+    return out, train_quota
 
 
-def replay_order(df: DataFrame, key: str = "row_key", group: str = "split",
-                 name: str = "ord") -> DataFrame:
-    """Dense md5 order inside each split: the arrival order of the stream."""
-    return ordered_index(df, [key], group_cols=[group], name=name)
+def replay_order(df: DataFrame, key: str = "row_key", name: str = "ord") -> DataFrame:
+    """Dense md5 order of the rows given (the test split): the arrival order
+    of the stream.  Only the streamed split is sorted."""
+    return ordered_index(df, [key], name=name)
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_col: str = "ord",

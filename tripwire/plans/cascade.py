@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import METRIC_SQL, with_metrics
 from ..operators.iforest import Forest, fit_forest, thresholds, with_scores
 from ..operators.learners import Learner, StepResult, make_learner
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.catalog import CONTAMINATION_VALUES, DEFAULT_CONTAMINATION, LABEL, RANDOM_STATE
 from .pipeline import Prepared
 
@@ -46,8 +46,9 @@ class StageOne:
 def run_stage1(prep: Prepared, contaminations=CONTAMINATION_VALUES, n_trees: int = N_TREES,
                seed: int = RANDOM_STATE) -> StageOne:
     t0 = time.time()
-    forest = fit_forest(prep.benign_train(), prep.features, n_trees, MAX_SAMPLES, seed)
-    scored = with_scores(prep.table, forest).checkpoint(eager=True)
+    forest = fit_forest(prep.benign_train(), prep.features, n_trees, MAX_SAMPLES, seed,
+                        n=prep.n_benign_train)
+    scored = materialize(with_scores(prep.table, forest), "scored")
     benign = scored.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     cut = thresholds(benign, list(contaminations))
     return StageOne(forest, scored, cut, time.time() - t0)

@@ -29,6 +29,20 @@ def sig_round_sql(x: str, digits: int = 10) -> str:
             f"ELSE round({x} / pow(10.0, {e})) * pow(10.0, {e}) END")
 
 
+def stable_round(col: str, digits: int = DIGITS):
+    """Round a float aggregate so both engines agree: 12 significant digits
+    first (absorbs summation-order noise), then half-up at ``digits``
+    decimals with plain IEEE arithmetic (no engine-specific tie rule)."""
+    scale = float(10 ** digits)
+    x = sig_round(col, 12)
+    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
+def stable_round_sql(x: str, digits: int = DIGITS) -> str:
+    scale = f"{float(10 ** digits)!r}"
+    return f"(floor(({sig_round_sql(x, 12)}) * {scale} + 0.5) / {scale})"
+
+
 def flows(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFrame:
     return flow_frame(spark, sf_dir, spec)
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators import prep
 from ..sources.catalog import LABEL, RANDOM_STATE, FlowSpec
-from ..sources.readers import flow_frame
+from ..functions.selection import key_prefix
+from ..session import materialize as write_back
+from ..sources.readers import ensure_parallel, flow_frame
 
 TEST_SIZE = 0.2
 
@@ -26,6 +28,7 @@ class Prepared:
     table: DataFrame                 # row_key, split, ord, ANOMALY, features...
     encoding: prep.OrdinalEncoding
     scaling: prep.RobustScaling
+    n_benign_train: int | None = None
 
     @property
     def features(self) -> list[str]:
@@ -39,25 +42,49 @@ class Prepared:
 
 
 def keyed_flows(spark: SparkSession, sf_dir: str, spec: FlowSpec,
-                seed: int = RANDOM_STATE) -> DataFrame:
-    """Flow rows with their md5 key, label and declared features only."""
+                seed: int = RANDOM_STATE, materialize: bool = True) -> DataFrame:
+    """Flow rows with their md5 key, label and declared features only.
+
+    The key costs a string hash per row and every later step (class counts,
+    cut-off selection, encoder and scaler fits, scoring) rescans these rows,
+    so they are written once to the shared checkpoint folder; this also
+    cuts the lineage for executor-loss recovery.
+    """
     df = flow_frame(spark, sf_dir, spec)
+    raw_cols = sorted({c for c in df.columns if any(c in k for k in spec.key_cols)}
+                      | set(spec.features) | {LABEL})
+    df = df.select(*raw_cols)
+    if materialize:
+        df = ensure_parallel(df)      # no-op for a large table; spreads one row group
     df = prep.with_row_key(df, spec.key_cols, seed)
-    df = df.select("row_key", LABEL, *spec.features)
-    return prep.drop_null_label(df)
+    df = prep.drop_null_label(df.select("row_key", LABEL, *spec.features))
+    if materialize:
+        df = write_back(df.withColumn("row_pfx", key_prefix("row_key")), f"keyed-{spec.name}")
+    return df
 
 
 def split_flows(spark: SparkSession, sf_dir: str, spec: FlowSpec,
                 test_size: float = TEST_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
-    """P2 + arrival order: ``split`` and ``ord`` (md5 order inside the split)."""
+    """P2 + arrival order: ``split``, and ``ord`` (md5 order) on test rows.
+
+    Train rows are never streamed, so they keep a null ``ord``; only the
+    test split goes through the distributed sort.
+    """
+    return split_flows_quota(spark, sf_dir, spec, test_size, seed)[0]
+
+
+def split_flows_quota(spark: SparkSession, sf_dir: str, spec: FlowSpec,
+                      test_size: float = TEST_SIZE, seed: int = RANDOM_STATE):
     base = keyed_flows(spark, sf_dir, spec, seed)
-    split = prep.stratified_split(base, test_size)
-    return prep.replay_order(split)
+    split, quota = prep.stratified_split_quota(base, test_size)
+    train = split.filter(F.col("split") == "train").withColumn("ord", F.lit(None).cast("long"))
+    test = prep.replay_order(split.filter(F.col("split") == "test"))
+    return train.unionByName(test), quota
 
 
 def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE,
             seed: int = RANDOM_STATE, unseen: str = "zero") -> Prepared:
-    ordered = split_flows(spark, sf_dir, spec, test_size, seed)
+    ordered, quota = split_flows_quota(spark, sf_dir, spec, test_size, seed)
     benign_train = ordered.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     encoding = prep.fit_ordinal(benign_train, spec.categorical, unseen)
     encoded = encoding.transform(ordered)
@@ -65,4 +92,4 @@ def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float =
     scaling = prep.fit_robust(
         encoded.filter((F.col("split") == "train") & (F.col(LABEL) == 0)), features)
     table = scaling.transform(encoded).select("row_key", "split", "ord", LABEL, *features)
-    return Prepared(spec, table, encoding, scaling)
+    return Prepared(spec, table, encoding, scaling, quota.get(0, 0))

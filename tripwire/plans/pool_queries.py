@@ -91,7 +91,7 @@ def warmup_chunks(spark, sf_dir):
     bt = o.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     cut = exact_percentiles(bt, [score], [1 - CONTAMINATION])[("", score, 1 - CONTAMINATION)]
     flagged = o.filter((F.col("split") == "train") & (F.col(score) > F.lit(cut)))
-    idx = ordered_index(flagged.select("ord", LABEL), ["ord"], name="rk")
+    idx = ordered_index(flagged.select("row_key", LABEL), ["row_key"], name="rk")
     n = idx.count()
     size = max(1, n // POOL_SIZE)
     chunks = idx.withColumn("chunk_id", F.floor(F.col("rk") / F.lit(size)).cast("int")).filter(
@@ -104,7 +104,7 @@ WARMUP_CHUNKS_SQL = (
     f"WITH {split_ctes(LINEITEM)},\n"
     f"c AS (SELECT quantile_cont({LINEITEM.score_col}, {1 - CONTAMINATION!r}) AS cut FROM o "
     f"WHERE split = 'train' AND {LABEL} = 0),\n"
-    f"fl AS (SELECT ord, {LABEL}, row_number() OVER (ORDER BY ord) - 1 AS rk FROM o, c "
+    f"fl AS (SELECT {LABEL}, row_number() OVER (ORDER BY row_key) - 1 AS rk FROM o, c "
     f"WHERE split = 'train' AND {LINEITEM.score_col} > cut),\n"
     f"sz AS (SELECT greatest(1, count(*) // {POOL_SIZE}) AS size FROM fl)\n"
     f"SELECT CAST(floor(rk / size) AS INTEGER) AS chunk_id, count(*) AS n, "

@@ -34,7 +34,7 @@ q AS (SELECT {LABEL}, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, {LABE
         <= (SELECT ntr FROM t) - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS quota FROM f),
 s AS (SELECT base.*, CASE WHEN row_number() OVER (PARTITION BY base.{LABEL} ORDER BY row_key) - 1
         < q.quota THEN 'train' ELSE 'test' END AS split FROM base JOIN q ON base.{LABEL} = q.{LABEL}),
-o AS (SELECT s.*, row_number() OVER (PARTITION BY split ORDER BY row_key) - 1 AS ord FROM s)"""
+o AS (SELECT s.*, CASE WHEN split = 'test' THEN row_number() OVER (PARTITION BY split ORDER BY row_key) - 1 END AS ord FROM s)"""
 
 
 def encoder_ctes(cols, benign_from: str, prefix: str = "enc_") -> str:
@@ -119,14 +119,14 @@ UNSEEN_TO_ZERO_SQL = (
 
 # ---------------------------------------------------------------- exact_sample
 def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = keyed_flows(spark, sf_dir, LINEITEM).select("row_key")
-    return prep.exact_sample(base, SAMPLE_FRAC).select("row_key", "sample_idx")
+    base = keyed_flows(spark, sf_dir, LINEITEM).select("row_key", "row_pfx")
+    return prep.exact_sample(base, SAMPLE_FRAC).select("row_key")
 
 
 EXACT_SAMPLE_SQL = (
     f"WITH base AS ({base_sql(LINEITEM)}),\n"
     "r AS (SELECT row_key, row_number() OVER (ORDER BY row_key) - 1 AS sample_idx FROM base)\n"
-    f"SELECT row_key, sample_idx FROM r WHERE sample_idx < (SELECT round({SAMPLE_FRAC} * count(*)) FROM base)")
+    f"SELECT row_key FROM r WHERE sample_idx < (SELECT round({SAMPLE_FRAC} * count(*)) FROM base)")
 
 
 # ---------------------------------------------------------------- capped samples
@@ -141,8 +141,8 @@ CAPPED_SAMPLE_SQL = (
 
 
 def per_class_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = keyed_flows(spark, sf_dir, LINEITEM).select("row_key", LABEL)
-    return prep.per_class_cap(base, CAP)
+    base = keyed_flows(spark, sf_dir, LINEITEM).select("row_key", "row_pfx", LABEL)
+    return prep.per_class_cap(base, CAP).select("row_key", LABEL)
 
 
 PER_CLASS_CAP_SQL = (

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..operators import profile
 from ..sources.catalog import LABEL, LINEITEM, PLACEHOLDERS
 from ..sources.readers import flow_frame, table
-from .common import DIGITS, sig_round, sig_round_sql
+from .common import DIGITS, sig_round, sig_round_sql, stable_round, stable_round_sql
 
 NUM = list(LINEITEM.numeric)
 DUP_FEATURES = ["l_linenumber", "l_quantity", "l_discount", "l_linestatus"]
@@ -156,16 +156,18 @@ DISTINCT_COUNTS_SQL = _union([f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS
 
 # ---------------------------------------------------------------- A15/A16 describe
 def describe(spark, sf_dir):
-    return rounded(profile.describe(li(spark, sf_dir), NUM))
+    out = profile.describe(li(spark, sf_dir), NUM)
+    out = out.withColumns({c: stable_round(c) for c in ("mean", "std", "cv")})
+    return rounded(out)
 
 
 DESCRIBE_SQL = _union([
-    f"SELECT '{c}' AS feature, count({c}) AS count, {r6(f'avg({c})')} AS mean, "
-    f"{r6(f'stddev_samp({c})')} AS std, {r6(f'CAST(min({c}) AS DOUBLE)')} AS min, "
+    f"SELECT '{c}' AS feature, count({c}) AS count, {r6(stable_round_sql(f'avg({c})'))} AS mean, "
+    f"{r6(stable_round_sql(f'stddev_samp({c})'))} AS std, {r6(f'CAST(min({c}) AS DOUBLE)')} AS min, "
     f"{r6(f'quantile_cont({c}, 0.25)')} AS q25, {r6(f'quantile_cont({c}, 0.5)')} AS q50, "
     f"{r6(f'quantile_cont({c}, 0.75)')} AS q75, {r6(f'CAST(max({c}) AS DOUBLE)')} AS max, "
     f"{r6(f'CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE)')} AS range, "
-    f"{r6(f'CASE WHEN avg({c}) = 0 THEN NULL ELSE stddev_samp({c}) / avg({c}) END')} AS cv "
+    f"{r6(stable_round_sql(f'CASE WHEN avg({c}) = 0 THEN NULL ELSE stddev_samp({c}) / avg({c}) END'))} AS cv "
     f"FROM lineitem" for c in NUM])
 
 
@@ -183,24 +185,26 @@ LOW_VARIANCE_SQL = _union([
 
 # ---------------------------------------------------------------- A18/A19 correlation pairs
 def high_corr(spark, sf_dir):
-    return rounded(profile.correlation_pairs(li(spark, sf_dir), NUM, 0.9))
+    out = profile.correlation_pairs(li(spark, sf_dir), NUM, 0.9)
+    return rounded(out.withColumns({"r": stable_round("r"), "abs_r": stable_round("abs_r")}))
 
 
 _pairs = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1:]]
 HIGH_CORR_SQL = _union([
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr({a}, {b})')} AS r, "
-    f"{r6(f'abs(corr({a}, {b}))')} AS abs_r, abs(corr({a}, {b})) > 0.9 AS high FROM lineitem"
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(stable_round_sql(f'corr({a}, {b})'))} AS r, "
+    f"{r6(stable_round_sql(f'abs(corr({a}, {b}))'))} AS abs_r, abs(corr({a}, {b})) > 0.9 AS high FROM lineitem"
     for a, b in _pairs])
 
 
 # ---------------------------------------------------------------- A20 target correlation
 def target_corr(spark, sf_dir):
-    return rounded(profile.target_correlation(li(spark, sf_dir), NUM))
+    out = profile.target_correlation(li(spark, sf_dir), NUM)
+    return rounded(out.withColumns({"r": stable_round("r"), "abs_r": stable_round("abs_r")}))
 
 
 TARGET_CORR_SQL = _union([
-    f"SELECT '{c}' AS feature, {r6(f'corr(CAST({c} AS DOUBLE), CAST({LABEL} AS DOUBLE))')} AS r, "
-    f"{r6(f'abs(corr(CAST({c} AS DOUBLE), CAST({LABEL} AS DOUBLE)))')} AS abs_r FROM {LI} x"
+    f"SELECT '{c}' AS feature, {r6(stable_round_sql(f'corr(CAST({c} AS DOUBLE), CAST({LABEL} AS DOUBLE))'))} AS r, "
+    f"{r6(stable_round_sql(f'abs(corr(CAST({c} AS DOUBLE), CAST({LABEL} AS DOUBLE)))'))} AS abs_r FROM {LI} x"
     for c in NUM])
 
 

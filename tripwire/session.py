@@ -24,6 +24,9 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
+        # small test tables: split files finely enough to use every core
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("TRIPWIRE_MAX_PART_BYTES", "8m"))
+        .config("spark.tripwire.rowGroupBytes", str(4 * 1024 * 1024))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -59,3 +62,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised state tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tripwire-state/{name}"
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing hashes, sorts and UDFs) and later passes get columnar,
+    pruned scans."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    block = spark.conf.get("spark.tripwire.rowGroupBytes", str(64 * 1024 * 1024))
+    # row groups are the unit of read parallelism: keep them bounded
+    df.write.mode("overwrite").option("parquet.block.size", block).parquet(path)
+    return spark.read.parquet(path)

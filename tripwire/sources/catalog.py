@@ -100,7 +100,7 @@ class FlowSpec:
 LINEITEM = FlowSpec(
     name="lineitem", table="lineitem",
     key_cols=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-              "CAST(round(l_extendedprice * 100) AS BIGINT)"),
+              "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"),
     label_sql="CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
     numeric=("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
     categorical=("l_linestatus",),

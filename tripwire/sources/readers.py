@@ -13,9 +13,25 @@ from .catalog import LABEL, FlowSpec, RawFormat
 log = logging.getLogger(__name__)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A large table already arrives in thousands of splits and is returned
+    untouched (no extra shuffle); a small file with a single row group
+    would otherwise run every per-row expression upstream of the first
+    shuffle in one task.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One driver table (parquet); Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallel(df) if spread else df
 
 
 def read_raw_csv(spark: SparkSession, path: str, fmt: RawFormat, schema=None) -> DataFrame:
