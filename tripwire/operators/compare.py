@@ -126,3 +126,51 @@ def to_markdown(df: DataFrame, metrics: Sequence[str], limit: int = 1000) -> str
     lines = ["| " + " | ".join(head) + " |", "|" + "|".join("---" for _ in head) + "|"]
     lines += ["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows]
     return "\n".join(lines)
+
+
+# --- report helpers (F14-F17, R7, R11-R14) ------------------------------------------
+STAGE1_MODEL = "isolation_forest"
+
+
+def exclude_stage1(df: DataFrame) -> DataFrame:
+    """stage-2 runs only."""
+    return df.filter(F.col("model") != STAGE1_MODEL)
+
+
+def time_fallback(df: DataFrame) -> DataFrame:
+    """``total_time_sec``, else ``elapsed_sec``, else 0."""
+    cols = [F.col(c) for c in ("total_time_sec", "elapsed_sec") if c in df.columns]
+    return df.withColumn("time_sec", F.coalesce(*cols, F.lit(0.0)))
+
+
+def config_lookup(df: DataFrame, column: str, value) -> DataFrame:
+    """F16: the first record (by model, dataset) with ``column == value``."""
+    return df.filter(F.col(column) == F.lit(value)).orderBy("model", "dataset").limit(1)
+
+
+def display_names(df: DataFrame, mapping: dict, col: str = "model",
+                  out: str = "model_display") -> DataFrame:
+    """short name → display title (unmapped names kept)."""
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    return df.withColumn(out, F.coalesce(m[F.col(col)], F.col(col)))
+
+
+def model_table(df: DataFrame, columns: Sequence[str], missing: str = "-") -> DataFrame:
+    """One row per model with the chosen columns as text, ``-`` where the
+    model's records lack the column."""
+    return df.select("model", "dataset", *[
+        F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) if c in df.columns
+        else F.lit(missing).alias(c) for c in columns])
+
+
+def by_parameter(df: DataFrame, param: str, metrics: Sequence[str]) -> DataFrame:
+    """Metric (or time) series ordered by a run parameter."""
+    return (df.filter(F.col(param).isNotNull())
+            .select("model", "dataset", param, *[m for m in metrics if m in df.columns])
+            .orderBy("model", "dataset", param))
+
+
+def best_model_by_name(df: DataFrame, metric: str = "f1_macro") -> DataFrame:
+    """Per dataset, the model name with the largest metric (ties by name)."""
+    best = best_per_group(df.filter(F.col(metric).isNotNull()), "dataset", metric)
+    return best.select("dataset", F.col("model").alias("best_model"), metric)

@@ -70,7 +70,9 @@ def forest_records(stage1: StageOne, contaminations=CONTAMINATION_VALUES,
                      f"tn_{i}, fp_{i}, fn_{i}, tp_{i}" for i, c in enumerate(contaminations))
     long = wide.selectExpr(f"stack({len(contaminations)}, {args}) AS "
                            "(contamination, threshold, tn, fp, fn, tp)")
-    rec = with_metrics(long, 4).withColumns({
+    # stage-1 records carry no balanced accuracy (as the reference's)
+    names = [m for m in METRIC_SQL if m not in ("balanced_accuracy", "specificity")]
+    rec = with_metrics(long, 4, names).withColumns({
         "n_estimators": F.lit(stage1.forest.n_trees), "random_state": F.lit(seed),
         "elapsed_sec": F.lit(round(stage1.seconds, 2))})
     return rec.withColumnsRenamed({"tn": "confusion_tn", "fp": "confusion_fp",

@@ -118,7 +118,32 @@ CONFUSION_BY_MODEL_SQL = C + (
     "(VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(actual, predicted)")
 
 
+def best_model_by_name(spark, sf_dir):
+    """The best model per dataset by macro F1."""
+    return compare.best_model_by_name(corpus(spark, sf_dir), "f1_macro")
+
+
+BEST_MODEL_BY_NAME_SQL = C + (
+    "SELECT dataset, model AS best_model, f1_macro FROM (SELECT *, row_number() OVER (PARTITION BY "
+    "dataset ORDER BY f1_macro DESC NULLS LAST, model, dataset) AS rn FROM corpus "
+    "WHERE f1_macro IS NOT NULL) z WHERE rn = 1")
+
+TABLE_COLS = ["contamination", "whisker", "z", "confusion_tp"]
+
+
+def model_table(spark, sf_dir):
+    """Fixed columns per run as text, '-' where a model lacks them."""
+    c = corpus(spark, sf_dir).withColumnRenamed("tp", "confusion_tp")
+    return compare.model_table(c, TABLE_COLS)
+
+
+MODEL_TABLE_SQL = C + "SELECT model, dataset, " + ", ".join(
+    f"COALESCE(CAST({'tp' if c == 'confusion_tp' else c} AS VARCHAR), '-') AS {c}"
+    for c in TABLE_COLS) + " FROM corpus"
+
+
 QUERIES = {
+    "best_model_by_name": best_model_by_name, "model_table": model_table,
     "result_corpus": result_corpus, "best_per_group": best_per_group,
     "lowest_call_rate": lowest_call_rate, "winner_count": winner_count,
     "pivot_metric": pivot_metric, "tradeoff_pct": tradeoff_pct,
@@ -126,6 +151,7 @@ QUERIES = {
     "distinct_lists": distinct_lists, "confusion_by_model": confusion_by_model,
 }
 SQL = {
+    "best_model_by_name": BEST_MODEL_BY_NAME_SQL, "model_table": MODEL_TABLE_SQL,
     "result_corpus": RESULT_CORPUS_SQL, "best_per_group": BEST_PER_GROUP_SQL,
     "lowest_call_rate": LOWEST_CALL_RATE_SQL, "winner_count": WINNER_COUNT_SQL,
     "pivot_metric": PIVOT_METRIC_SQL, "tradeoff_pct": TRADEOFF_PCT_SQL,

@@ -75,8 +75,15 @@ def dataset_records(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFra
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records of all datasets."""
-    return union_records([dataset_records(spark, sf_dir, s) for s in RECORD_SPECS])
+    """All records of all datasets.
+
+    The datasets are independent, so their (small) jobs are submitted from
+    driver threads concurrently and share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(RECORD_SPECS)) as pool:
+        frames = list(pool.map(lambda s: dataset_records(spark, sf_dir, s), RECORD_SPECS))
+    return union_records(frames)
 
 
 def _dataset_sql(spec: FlowSpec) -> str:
