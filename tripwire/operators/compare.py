@@ -116,7 +116,8 @@ def distinct_lists(df: DataFrame) -> DataFrame:
 def markdown_rows(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """S11 helper: metrics as 4-decimal text, null as ``N/A``."""
     return df.select("model", "dataset", *[
-        F.coalesce(F.format_string("%.4f", F.col(m)), F.lit("N/A")).alias(m) for m in metrics])
+        F.when(F.col(m).isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", F.col(m))).alias(m)
+        for m in metrics])
 
 
 def to_markdown(df: DataFrame, metrics: Sequence[str], limit: int = 1000) -> str:
