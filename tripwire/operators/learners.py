@@ -221,12 +221,14 @@ class Learner:
         if getattr(self, "params", None) is None:
             self.params = self._kernel_init()
 
-    def state(self) -> list[float]:
+    def state(self) -> dict:
+        """Parameters plus the update counter (it seeds each update's shuffle)."""
         self._ensure()
-        return [float(v) for v in self.params]
+        return {"params": [float(v) for v in self.params], "updates": self.updates}
 
-    def load(self, state: Sequence[float]) -> None:
-        self.params = np.asarray(state, dtype=np.float64)
+    def load(self, state: dict) -> None:
+        self.params = np.asarray(state["params"], dtype=np.float64)
+        self.updates = int(state["updates"])
 
     def _run(self, df: DataFrame, flag_col: str | None, train: bool) -> StepResult:
         self._ensure()
@@ -355,10 +357,11 @@ class SEAPool(Learner):
         self.updates = 0
 
     def state(self):
-        return [m.tolist() for m in self.members]
+        return {"members": [m.tolist() for m in self.members], "updates": self.updates}
 
     def load(self, state):
-        self.members = [np.asarray(m, dtype=np.float64) for m in state]
+        self.members = [np.asarray(m, dtype=np.float64) for m in state["members"]]
+        self.updates = int(state["updates"])
 
     def hyperparams(self):
         return {"pool_size": self.size, "base_hidden_layers": f"({self.hidden},)",

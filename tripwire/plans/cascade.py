@@ -79,19 +79,45 @@ def forest_records(stage1: StageOne, contaminations=CONTAMINATION_VALUES,
                                    "fn": "confusion_fn", "tp": "confusion_tp"})
 
 
+SEGMENT_ROWS = 2_000_000      # rows per directory of the batch table
+
+
 def batch_table(spark: SparkSession, stage1: StageOne, contamination: float, batch_size: int,
                 run_id: str) -> tuple[DataFrame, int, str]:
-    """Test rows with ``flag`` and ``batch_id``, written once partitioned by
-    batch (each step then reads one directory)."""
+    """Test rows with ``flag`` and ``batch_id``, written once.
+
+    Directories hold a segment of consecutive batches (~2M rows each, so the
+    directory count stays small at any scale) and files inside are sorted by
+    ``batch_id``: reading one batch prunes to one directory, and parquet
+    row-group statistics skip the other batches in it."""
     cut = stage1.cutoffs[contamination]
+    seg = max(1, SEGMENT_ROWS // batch_size)
     test = (stage1.scored.filter(F.col("split") == "test")
             .withColumn("flag", (F.col("score") > F.lit(cut)).cast("int"))
-            .withColumn("batch_id", F.floor(F.col("ord") / F.lit(batch_size)).cast("int")))
+            .withColumn("batch_id", F.floor(F.col("ord") / F.lit(batch_size)).cast("int"))
+            .withColumn("segment", F.floor(F.col("batch_id") / F.lit(seg)).cast("int")))
     path = scratch_path(spark, f"batches-{run_id}")
-    test.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(path)
     n = test.count()
+    n_parts = max(1, -(-n // (SEGMENT_ROWS // 4)))
+    (test.repartitionByRange(n_parts, "ord").sortWithinPartitions("ord")
+     .write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024)
+     .partitionBy("segment").parquet(path))
     n_batches = -(-n // batch_size)
-    return spark.read.parquet(path), n_batches, path
+    return _BatchTable(spark.read.parquet(path), seg), n_batches, path
+
+
+class _BatchTable:
+    """The written batch table; ``batch(b)`` prunes to b's segment."""
+
+    def __init__(self, df: DataFrame, seg: int):
+        self.df, self.seg = df, seg
+        self.schema = df.schema
+
+    def batch(self, b: int) -> DataFrame:
+        return self.df.filter((F.col("segment") == b // self.seg) & (F.col("batch_id") == b))
+
+    def filter(self, cond):          # DataFrame-like access used by callers
+        return self.df.filter(cond)
 
 
 def record(learner: Learner, batch_size: int, total: StepResult, warm_s: float,
@@ -142,7 +168,7 @@ def run_cascade(spark: SparkSession, prep: Prepared, stage1: StageOne, kind: str
     t1 = time.time()
     total, per_batch = StepResult(), []
     for b in range(n_batches):
-        res = learner.step(batches.filter(F.col("batch_id") == b))
+        res = learner.step(batches.batch(b))
         total.add(res)
         per_batch.append((b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp))
     test_s = time.time() - t1

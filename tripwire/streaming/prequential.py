@@ -24,11 +24,11 @@ from ..operators.learners import Learner, StepResult
 from ..session import scratch_path
 
 
-def write_arrivals(batches: DataFrame, n_batches: int, path: str) -> None:
+def write_arrivals(batches, n_batches: int, path: str) -> None:
     """Land the batches one file each, in arrival order (sequential appends,
     so file modification times follow batch order)."""
     for b in range(n_batches):
-        batches.filter(F.col("batch_id") == b).coalesce(1).write.mode("append").parquet(path)
+        batches.batch(b).drop("segment").coalesce(1).write.mode("append").parquet(path)
 
 
 class PrequentialSink:
@@ -51,14 +51,15 @@ class PrequentialSink:
             st = self.spark.read.parquet(self.state_path)
         except Exception:  # noqa: BLE001 - no state yet
             return
-        rows = st.orderBy("batch_id").collect()     # one row per applied batch
-        if not rows:
+        # totals as one aggregate row; only the newest state version is loaded
+        tot = st.agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp", "n", "n_flagged")],
+                     F.max("batch_id").alias("last")).first()
+        if tot is None or tot.last is None:
             return
-        for r in rows:
-            self.total.add(StepResult(r.tn, r.fp, r.fn, r.tp, r.n, r.n_flagged))
-            self.rows.append((r.batch_id, r.n, r.n_flagged, r.tn, r.fp, r.fn, r.tp))
-        self.last_batch = rows[-1].batch_id
-        self.learner.load(json.loads(rows[-1].state))
+        self.total.add(StepResult(tot.tn, tot.fp, tot.fn, tot.tp, tot.n, tot.n_flagged))
+        self.last_batch = tot.last
+        latest = st.filter(F.col("batch_id") == tot.last).select("state").first()
+        self.learner.load(json.loads(latest.state))
 
     def __call__(self, df: DataFrame, epoch_id: int) -> None:
         ids = sorted(r.batch_id for r in df.select("batch_id").distinct().collect())
@@ -88,7 +89,8 @@ def run_stream(spark: SparkSession, batches: DataFrame, n_batches: int, learner:
     write_arrivals(batches, n_batches, src)
     sink = PrequentialSink(spark, learner, state)
     t0 = time.time()
-    q = (spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    schema = batches.df.drop("segment").schema
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
          .writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
