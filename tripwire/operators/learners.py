@@ -458,12 +458,18 @@ class SEAPool(Learner):
         n = indexed.count()
         chunk = max(1, n // self.size)
         indexed = indexed.withColumn("_chunk", F.floor(F.col("_w") / F.lit(chunk)).cast("int"))
+        # the pool holds at most `size` members during warm-up, so no member is
+        # ever replaced and no accuracy is needed: one job gives each chunk's
+        # class mix (single-class chunks are skipped)
+        mix = {r["_chunk"]: (r["n"], r["n_pos"]) for r in indexed.filter(
+            F.col("_chunk") < self.size).groupBy("_chunk").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("n_pos")).collect()}
         for i in range(self.size):
             if i * chunk >= n:
                 break
+            rows, pos = mix.get(i, (0, 0))
             part = indexed.filter(F.col("_chunk") == i)
-            res, correct, n_pos = self._screen(part, None)
-            self._update(part, None, res.n_flagged, n_pos, correct)
+            self._update(part, None, rows, float(pos or 0), np.zeros(len(self.members)))
         return n
 
     def evaluate(self, df, flag_col="flag"):
