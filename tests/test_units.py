@@ -194,3 +194,16 @@ def test_raw_csv_formats(spark, tmp_path):
     assert sorted(r.ANOMALY for r in lab.collect()) == [0, 1]
     with pytest.raises(ValueError):
         get_raw_format("nope")
+
+
+def test_step_combine_matches_direct_mix(spark):
+    """Tree-combined parameter mixing equals the direct weighted average."""
+    from tripwire.operators.learners import FANIN, STEP_SCHEMA, _mix, collect_steps
+
+    rows = [(1, 0, 0, 1, 2, 2, k, [float(k), 2.0 * k], [1.0]) for k in range(1, 81)]
+    df = spark.createDataFrame(rows, STEP_SCHEMA).repartition(FANIN * 2)
+    got = collect_steps(df)
+    assert len(got) <= FANIN and sum(r.n for r in got) == 160
+    mixed = _mix(got, np.zeros(2))
+    direct = _mix(spark.createDataFrame(rows, STEP_SCHEMA).collect(), np.zeros(2))
+    assert np.allclose(mixed, direct)

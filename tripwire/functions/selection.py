@@ -29,7 +29,8 @@ def kth_keys(df: DataFrame, key: str, ks: dict, group: str | None = None,
              collect_limit: int = COLLECT_LIMIT) -> dict:
     """``{group_value: cutoff}`` with exactly ``ks[g]`` rows of group g having
     ``key < cutoff``; ``None`` when ``ks[g]`` is at least the group size.
-    Keys must be unique inside a group (md5 row keys are)."""
+    Keys must be unique inside a group and, beyond ``collect_limit`` rows,
+    hex strings (md5 row keys are both)."""
     spark = df.sparkSession
     g = F.col(group) if group else F.lit(0)
     pfx = F.col("row_pfx") if "row_pfx" in df.columns else key_prefix(key)
@@ -48,9 +49,11 @@ def kth_keys(df: DataFrame, key: str, ks: dict, group: str | None = None,
         spec = spark.createDataFrame(
             [(gv, st["lo"], st["width"], st.get("count", -1)) for gv, st in state.items()],
             f"g {base.schema['g'].dataType.simpleString()}, lo long, width int, cnt long")
+        # the first round covers the whole key space: no prefix test needed
         inside = base.join(F.broadcast(spec), on="g").filter(
-            (F.col("p") >= F.col("lo")) &
-            (F.col("p") < F.col("lo") + F.expr("shiftleft(CAST(1 AS BIGINT), width)")))
+            (F.col("width") == PREFIX_BITS) | (
+                (F.col("p") >= F.col("lo")) &
+                (F.col("p") < F.col("lo") + F.expr("shiftleft(CAST(1 AS BIGINT), width)"))))
         small = [gv for gv, st in state.items() if 0 <= st.get("count", -1) <= collect_limit]
         nxt: dict = {}
         if small:

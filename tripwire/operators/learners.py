@@ -198,6 +198,35 @@ def _mix(rows, base: np.ndarray) -> np.ndarray:
     return sum(p * (k / tot) for p, k in got)
 
 
+FANIN = 32          # at most this many parameter vectors reach the driver
+
+
+def _combine_groups(it):
+    """Sum the per-partition rows of one combine group: counts add, and the
+    parameter vectors are merged into their row-count weighted average."""
+    frames = [f for f in it if len(f)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    out = {c: [int(pdf[c].sum())] for c in ("tn", "fp", "fn", "tp", "n", "n_flagged", "n_train")}
+    have = [(np.asarray(p, dtype=np.float64), k) for p, k in zip(pdf["params"], pdf["n_train"])
+            if p is not None and k > 0]
+    tot = sum(k for _, k in have)
+    out["params"] = [(sum(p * (k / tot) for p, k in have)).tolist() if have else None]
+    ex = [np.asarray(e, dtype=np.float64) for e in pdf["extra"] if e is not None]
+    out["extra"] = [sum(ex).tolist() if ex else None]
+    yield pd.DataFrame(out)
+
+
+def collect_steps(step_df: DataFrame):
+    """Collect per-partition step rows; with many partitions they are first
+    merged in ≤ FANIN groups on the executors (a one-level tree aggregate),
+    so the driver's intake does not grow with the input."""
+    if step_df.rdd.getNumPartitions() > FANIN:
+        step_df = step_df.repartition(FANIN).mapInPandas(_combine_groups, STEP_SCHEMA)
+    return step_df.collect()
+
+
 class Learner:
     """L1: ``warmup(df)``, ``step(batch_df) -> StepResult`` (predict with
     the parameters before the batch, then update on its flagged rows),
@@ -257,8 +286,8 @@ class Learner:
                                 "n": [tot[4]], "n_flagged": [tot[5]], "n_train": [k],
                                 "params": [cur.tolist() if k else None], "extra": [None]})
 
-        rows = df.select(*feats, LABEL, *([flag_col] if flag_col else [])).mapInPandas(
-            part, STEP_SCHEMA).collect()
+        rows = collect_steps(df.select(*feats, LABEL, *([flag_col] if flag_col else []))
+                             .mapInPandas(part, STEP_SCHEMA))
         res = StepResult()
         for r in rows:
             res.add(StepResult(r.tn, r.fp, r.fn, r.tp, r.n, r.n_flagged))
@@ -393,7 +422,7 @@ class SEAPool(Learner):
                                     "n_train": [0], "params": [None], "extra": [correct + [n1]]})
 
         cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
-        rows = df.select(*cols).mapInPandas(part, STEP_SCHEMA).collect()
+        rows = collect_steps(df.select(*cols).mapInPandas(part, STEP_SCHEMA))
         res = StepResult()
         correct = np.zeros(len(members))
         n_pos = 0.0
@@ -423,7 +452,7 @@ class SEAPool(Learner):
                                     "params": [newp.tolist()], "extra": [None]})
 
         cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
-        rows = df.select(*cols).mapInPandas(part, STEP_SCHEMA).collect()
+        rows = collect_steps(df.select(*cols).mapInPandas(part, STEP_SCHEMA))
         if not rows:
             return None
         return _mix(rows, init)

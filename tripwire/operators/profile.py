@@ -129,10 +129,14 @@ def categorical_summary(df: DataFrame, cols: Sequence[str], top: int = 5) -> Dat
     return ranked.join(F.broadcast(distinct), on="feature", how="left")
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Exact distinct values per column (nulls excluded)."""
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
+                    approx_rsd: float | None = None) -> DataFrame:
+    """Distinct values per column (nulls excluded); exact by default,
+    HyperLogLog++ with relative error ``approx_rsd`` when given."""
     cols = list(cols or df.columns)
-    wide = df.agg(*[F.countDistinct(c).alias(f"d_{c}") for c in cols])
+    agg = ((lambda c: F.approx_count_distinct(c, approx_rsd)) if approx_rsd
+           else (lambda c: F.countDistinct(c)))
+    wide = df.agg(*[agg(c).alias(f"d_{c}") for c in cols])
     return _unpivot(wide, cols, ["d_"], ["n_distinct"])
 
 
