@@ -40,7 +40,7 @@ def _long_form(df: DataFrame, cols: Sequence[str], group_col: str | None) -> Dat
         F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-MANTISSA_BUCKETS = 1024     # buckets per power of two in the first pass
+MANTISSA_BUCKETS = 256      # buckets per power of two in the first pass
 
 
 def _order_bucket(v):

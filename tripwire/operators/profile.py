@@ -270,8 +270,10 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABE
     feats = list(features)
     vec = VectorAssembler(inputCols=feats, outputCol="_x", handleInvalid="keep").transform(
         df.select(*[F.col(c).cast("double") for c in feats], F.col(label).cast("double")))
+    # more nodes per pass over the data and cached node ids for deep trees
     model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees,
-                                   maxDepth=depth, seed=seed).fit(vec)
+                                   maxDepth=depth, seed=seed, maxMemoryInMB=1024,
+                                   cacheNodeIds=True).fit(vec)
     imp = model.featureImportances.toArray().tolist()
     rows = sorted(zip(feats, imp), key=lambda t: (-t[1], t[0]))
     return df.sparkSession.createDataFrame(
