@@ -12,7 +12,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,11 +158,15 @@ def assign_batches(df: DataFrame, batch_size: int, order_col: str = "ord",
 
 @dataclass
 class OrdinalEncoding:
-    """Sorted distinct values → 0..k-1 per column, fitted on one table."""
+    """Sorted distinct values → 0..k-1 per column, fitted on one table.
+
+    ``counts`` keeps how often each category occurred in the fitting rows
+    (used to derive quartiles of the codes without another pass)."""
 
     columns: list[str]
     categories: dict[str, list[str]]
     unseen: str = "zero"          # 'zero' (E2), 'error' (E3) or 'keep'
+    counts: dict | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -182,18 +185,44 @@ class OrdinalEncoding:
             out = out.withColumn(c, code.cast("int"))
         return out
 
+    def code_percentiles(self, c: str, qs) -> dict:
+        """Exact linear-interpolation percentiles of the codes over the
+        fitting rows, from the category counts (no pass over the data)."""
+        sizes = [self.counts[c][v] for v in self.categories[c]]
+        n = sum(sizes)
+        starts = [sum(sizes[:i]) for i in range(len(sizes))]
+
+        def at(rank):
+            for code in range(len(sizes) - 1, -1, -1):
+                if starts[code] <= rank:
+                    return float(code)
+            return 0.0
+
+        out = {}
+        for q in qs:
+            pos = q * (n - 1)
+            k = math.floor(pos)
+            lo, hi = at(k), at(min(k + 1, n - 1))
+            out[q] = lo if pos == k or lo == hi else lo + (hi - lo) * (pos - k)
+        return out
+
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str], unseen: str = "zero") -> OrdinalEncoding:
-    """E1 via ``StringIndexer(stringOrderType='alphabetAsc')``: the category
-    lists are the only state and are small by nature."""
+    """One aggregation counts every (column, value) pair — the same
+    sorted-distinct encoding as ``StringIndexer(stringOrderType='alphabetAsc')``;
+    category lists are small by nature, nulls become the category 'nan'."""
     cols = list(columns)
     if not cols:
-        return OrdinalEncoding([], {}, unseen)
-    src = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
-    model = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols],
-                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(src)
-    cats = {c: list(labels) for c, labels in zip(cols, model.labelsArray)}
-    return OrdinalEncoding(cols, cats, unseen)
+        return OrdinalEncoding([], {}, unseen, {})
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(
+        F.col(c).cast("string"), F.lit("nan")).alias("v")) for c in cols]))
+    rows = (df.select(pairs.alias("p")).groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v"))
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+    counts: dict = {c: {} for c in cols}
+    for r in rows:
+        counts[r.c][r.v] = r.n
+    cats = {c: sorted(counts[c], key=lambda v: v.encode("utf-8")) for c in cols}
+    return OrdinalEncoding(cols, cats, unseen, counts)
 
 
 def encode_independent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -219,9 +248,18 @@ class RobustScaling:
         return [(c, self.medians[c], self.scales[c]) for c in self.medians]
 
 
-def fit_robust(df: DataFrame, columns: Sequence[str]) -> RobustScaling:
-    """One exact-percentile job for every column at once (q25, q50, q75)."""
-    qs = exact_percentiles(df, list(columns), [0.25, 0.5, 0.75])
+def fit_robust(df: DataFrame, columns: Sequence[str],
+               encoding: OrdinalEncoding | None = None) -> RobustScaling:
+    """One exact-percentile job for every column at once (q25, q50, q75).
+
+    Columns encoded by ``encoding`` (fitted on the same rows) take their
+    quartiles from the category counts instead of another scan."""
+    coded = set(encoding.columns) if encoding is not None and encoding.counts else set()
+    plain = [c for c in columns if c not in coded]
+    qs = exact_percentiles(df, plain, [0.25, 0.5, 0.75]) if plain else {}
+    for c in coded & set(columns):
+        for q, v in encoding.code_percentiles(c, [0.25, 0.5, 0.75]).items():
+            qs[("", c, q)] = v
     med, scale = {}, {}
     for c in columns:
         q1, q2, q3 = (qs.get(("", c, q)) for q in (0.25, 0.5, 0.75))

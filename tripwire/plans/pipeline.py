@@ -86,10 +86,18 @@ def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float =
             seed: int = RANDOM_STATE, unseen: str = "zero") -> Prepared:
     ordered, quota = split_flows_quota(spark, sf_dir, spec, test_size, seed)
     benign_train = ordered.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
-    encoding = prep.fit_ordinal(benign_train, spec.categorical, unseen)
-    encoded = encoding.transform(ordered)
     features = spec.features
-    scaling = prep.fit_robust(
-        encoded.filter((F.col("split") == "train") & (F.col(LABEL) == 0)), features)
+    # the encoder (one count job) and the numeric quartiles (exact-percentile
+    # passes) read the same benign rows and are independent: run them together
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        enc_f = pool.submit(prep.fit_ordinal, benign_train, spec.categorical, unseen)
+        num_f = pool.submit(prep.fit_robust, benign_train, list(spec.numeric))
+        encoding, num_scaling = enc_f.result(), num_f.result()
+    cat_scaling = prep.fit_robust(benign_train, list(spec.categorical), encoding)
+    scaling = prep.RobustScaling({**num_scaling.medians, **cat_scaling.medians},
+                                 {**num_scaling.scales, **cat_scaling.scales})
+    encoded = encoding.transform(ordered)
     table = scaling.transform(encoded).select("row_key", "split", "ord", LABEL, *features)
     return Prepared(spec, table, encoding, scaling, quota.get(0, 0))
