@@ -204,30 +204,42 @@ def fit_forest(benign: DataFrame, features: Sequence[str], n_trees: int = 100,
     return Forest(feats, psi, pdf.sort_values(["tree_id", "node_id"]).reset_index(drop=True))
 
 
+def _kernel(forest: Forest):
+    """Arrays for the scoring walk: per tree a child table where a leaf
+    points to itself, so every row can take the same number of steps."""
+    feat, split, left, right, leafval, depth = forest.arrays()
+    width = feat.shape[1]
+    leaf = left < 0
+    child = np.stack([left, right], axis=2)
+    child = np.where(leaf[..., None], np.arange(width)[None, :, None], child).astype(np.int32)
+    c_psi = float(avg_path_length([forest.psi])[0]) or 1.0
+    return feat.astype(np.int32), split, child.reshape(feat.shape[0], -1), leafval, depth, c_psi
+
+
+def score_array(kernel, xt: np.ndarray) -> np.ndarray:
+    """Scores of the columns of ``xt`` (features × rows)."""
+    feat, split, child, leafval, depth, c_psi = kernel
+    m = xt.shape[1]
+    cols = np.arange(m)
+    total = np.zeros(m)
+    for t in range(feat.shape[0]):
+        fe, sp, ch = feat[t], split[t], child[t]
+        node = np.zeros(m, dtype=np.int32)
+        for _ in range(depth):
+            node = ch[node * 2 + (xt[fe[node], cols] > sp[node])]
+        total += leafval[t][node]
+    return np.power(2.0, -(total / feat.shape[0]) / c_psi)
+
+
 def score_udf(forest: Forest):
     """T2 as a vectorised pandas UDF over the feature columns: each tree
     walks every row of the Arrow batch one level per step."""
-    feat, split, left, right, leafval, depth = forest.arrays()
-    c_psi = float(avg_path_length([forest.psi])[0]) or 1.0
-    n_trees = feat.shape[0]
+    kernel = _kernel(forest)
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
         xt = np.vstack([c.to_numpy(dtype=np.float64) for c in cols])   # features × rows
-        m = xt.shape[1]
-        cols_idx = np.arange(m)
-        total = np.zeros(m)
-        for t in range(n_trees):
-            fe, sp, le, ri = feat[t], split[t], left[t], right[t]
-            node = np.zeros(m, dtype=np.int64)
-            for _ in range(depth):
-                nxt = np.where(xt[fe[node], cols_idx] <= sp[node], le[node], ri[node])
-                inner = nxt >= 0
-                if not inner.any():
-                    break
-                node = np.where(inner, nxt, node)
-            total += leafval[t][node]
-        return pd.Series(np.power(2.0, -(total / n_trees) / c_psi))
+        return pd.Series(score_array(kernel, xt))
 
     return score
 
