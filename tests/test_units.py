@@ -88,7 +88,7 @@ def test_pool_prune_first_on_tie():
 def test_single_class_batch_is_noop(spark):
     pool = SEAPool(features=["a", "b"])
     df = spark.createDataFrame([(float(i), 1.0, 0) for i in range(20)], "a double, b double, ANOMALY int")
-    pool.step(df.withColumn("flag", F.lit(1)))
+    pool.step(df.withColumn("s1_flag", F.lit(1)))
     assert pool.members == []
 
 

@@ -300,11 +300,11 @@ class Learner:
         """One pass over the flagged training rows."""
         return self._run(flagged_train, None, train=True).n
 
-    def step(self, batch: DataFrame, flag_col: str = "flag") -> StepResult:
+    def step(self, batch: DataFrame, flag_col: str = "s1_flag") -> StepResult:
         """Screen → predict flagged → combine (0 elsewhere) → update."""
         return self._run(batch, flag_col, train=True)
 
-    def evaluate(self, df: DataFrame, flag_col: str | None = "flag") -> StepResult:
+    def evaluate(self, df: DataFrame, flag_col: str | None = "s1_flag") -> StepResult:
         return self._run(df, flag_col, train=False)
 
 
@@ -473,7 +473,7 @@ class SEAPool(Learner):
             self.members[replace_index(correct / n_flagged)] = new
         self.updates += 1
 
-    def step(self, batch: DataFrame, flag_col: str = "flag") -> StepResult:
+    def step(self, batch: DataFrame, flag_col: str = "s1_flag") -> StepResult:
         res, correct, n_pos = self._screen(batch, flag_col)
         self._update(batch, flag_col, res.n_flagged, n_pos, correct)
         return res
@@ -501,7 +501,7 @@ class SEAPool(Learner):
             self._update(part, None, rows, float(pos or 0), np.zeros(len(self.members)))
         return n
 
-    def evaluate(self, df, flag_col="flag"):
+    def evaluate(self, df, flag_col="s1_flag"):
         return self._screen(df, flag_col)[0]
 
 

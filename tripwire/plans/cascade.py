@@ -93,7 +93,7 @@ def batch_table(spark: SparkSession, stage1: StageOne, contamination: float, bat
     cut = stage1.cutoffs[contamination]
     seg = max(1, SEGMENT_ROWS // batch_size)
     test = (stage1.scored.filter(F.col("split") == "test")
-            .withColumn("flag", (F.col("score") > F.lit(cut)).cast("int"))
+            .withColumn("s1_flag", (F.col("score") > F.lit(cut)).cast("int"))
             .withColumn("batch_id", F.floor(F.col("ord") / F.lit(batch_size)).cast("int"))
             .withColumn("segment", F.floor(F.col("batch_id") / F.lit(seg)).cast("int")))
     path = scratch_path(spark, f"batches-{run_id}")

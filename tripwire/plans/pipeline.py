@@ -85,6 +85,14 @@ def split_flows_quota(spark: SparkSession, sf_dir: str, spec: FlowSpec,
 def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE,
             seed: int = RANDOM_STATE, unseen: str = "zero") -> Prepared:
     ordered, quota = split_flows_quota(spark, sf_dir, spec, test_size, seed)
+    return finish(ordered, spec, unseen, quota.get(0, 0))
+
+
+def finish(ordered: DataFrame, spec: FlowSpec, unseen: str = "zero",
+           n_benign_train: int | None = None) -> Prepared:
+    """Fit encoder and scaler on benign train rows, transform every row.
+
+    ``ordered`` holds ``row_key, split, ord, ANOMALY`` and the features."""
     benign_train = ordered.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     features = spec.features
     # the encoder (one count job) and the numeric quartiles (exact-percentile
@@ -100,4 +108,6 @@ def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float =
                                  {**num_scaling.scales, **cat_scaling.scales})
     encoded = encoding.transform(ordered)
     table = scaling.transform(encoded).select("row_key", "split", "ord", LABEL, *features)
-    return Prepared(spec, table, encoding, scaling, quota.get(0, 0))
+    if n_benign_train is None:
+        n_benign_train = benign_train.count()
+    return Prepared(spec, table, encoding, scaling, n_benign_train)

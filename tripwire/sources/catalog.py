@@ -146,14 +146,18 @@ class RawFormat:
     categorical: tuple[str, ...]
     label_col: str
     split_mode: str          # 'files' (own train/test files) or 'stratified'
+    unseen: str = "zero"     # encoder policy for categories unseen in benign train
+    sample_frac: float | None = None   # exact sample of each file before labelling
 
 
 RAW_FORMATS = {
-    "netflow": RawFormat("netflow", True, None, tuple(NETFLOW_DROP), (), LABEL, "files"),
+    # NetFlow: string columns found by type; a bare transform fails on unseen values
+    "netflow": RawFormat("netflow", True, None, tuple(NETFLOW_DROP), (), LABEL, "files",
+                         "error", 0.8),
     "kdd": RawFormat("kdd", False, KDD_SCHEMA, tuple(KDD_DROP), tuple(KDD_CATEGORICAL),
-                     "label", "files"),
+                     "label", "files", "zero", 0.8),
     "cores_iot": RawFormat("cores_iot", False, CORES_SCHEMA, tuple(CORES_DROP), (),
-                           LABEL, "stratified"),
+                           LABEL, "stratified", "zero", None),
 }
 
 

@@ -35,7 +35,7 @@ class PrequentialSink:
     """``foreachBatch`` body: screen, predict, combine, update, record."""
 
     def __init__(self, spark: SparkSession, learner: Learner, state_path: str,
-                 flag_col: str = "flag", progress_every: int = 10):
+                 flag_col: str = "s1_flag", progress_every: int = 10):
         self.spark = spark
         self.learner = learner
         self.state_path = state_path
