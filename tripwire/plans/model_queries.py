@@ -63,7 +63,16 @@ def streaming_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_frame(spark, record(learner, BATCH["sgd"], total, warm_s, test_s))
 
 
+def embedding_forest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T4 on 64 embedding dimensions (label 0 as the anomaly class)."""
+    from ..sources.catalog import EMBEDDINGS
+
+    p = prepare(spark, sf_dir, EMBEDDINGS)
+    return forest_records(run_stage1(p))
+
+
 QUERIES = {
+    "embedding_forest_sweep": embedding_forest_sweep,
     "iforest_scores": iforest_scores,
     "iforest_sweep": iforest_sweep,
     "sgd_cascade": _cascade("sgd"),

@@ -196,6 +196,32 @@ HIGH_CORR_SQL = _union([
     for a, b in _pairs])
 
 
+# ---------------------------------------------------------------- A18/A19 on 64 dimensions
+def embedding_corr(spark, sf_dir):
+    """All 2016 Pearson pairs of the 64 embedding dimensions in one aggregation."""
+    from ..sources.catalog import EMBEDDINGS
+
+    df = flow_frame(spark, sf_dir, EMBEDDINGS)
+    out = profile.correlation_pairs(df, list(EMBEDDINGS.numeric), 0.9)
+    return rounded(out.withColumns({"r": stable_round("r"), "abs_r": stable_round("abs_r")}))
+
+
+def _embedding_corr_sql():
+    from ..sources.catalog import EMBED_DIM
+
+    e = lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"  # noqa: E731 - DuckDB lists are 1-based
+    parts = []
+    for i in range(EMBED_DIM):
+        for j in range(i + 1, EMBED_DIM):
+            c = f"corr({e(i)}, {e(j)})"
+            parts.append(f"SELECT 'e{i}' AS feature_a, 'e{j}' AS feature_b, {r6(stable_round_sql(c))} AS r, "
+                         f"{r6(stable_round_sql(f'abs({c})'))} AS abs_r, abs({c}) > 0.9 AS high FROM embeddings")
+    return _union(parts)
+
+
+EMBEDDING_CORR_SQL = _embedding_corr_sql()
+
+
 # ---------------------------------------------------------------- A20 target correlation
 def target_corr(spark, sf_dir):
     out = profile.target_correlation(li(spark, sf_dir), NUM)
@@ -287,7 +313,7 @@ QUERIES = {
     "describe": describe, "low_variance": low_variance, "high_corr": high_corr,
     "target_corr": target_corr, "iqr_outliers": iqr_outliers, "box_summary": box_summary,
     "histogram": histogram, "histogram_by_class": histogram_by_class,
-    "feature_importance": feature_importance,
+    "feature_importance": feature_importance, "embedding_corr": embedding_corr,
 }
 SQL = {
     "missing": MISSING_SQL, "placeholders": PLACEHOLDERS_SQL, "infinities": INFINITIES_SQL,
@@ -296,5 +322,5 @@ SQL = {
     "distinct_counts": DISTINCT_COUNTS_SQL, "describe": DESCRIBE_SQL,
     "low_variance": LOW_VARIANCE_SQL, "high_corr": HIGH_CORR_SQL, "target_corr": TARGET_CORR_SQL,
     "iqr_outliers": IQR_OUTLIERS_SQL, "box_summary": BOX_SUMMARY_SQL, "histogram": HISTOGRAM_SQL,
-    "histogram_by_class": HISTOGRAM_BY_CLASS_SQL,
+    "histogram_by_class": HISTOGRAM_BY_CLASS_SQL, "embedding_corr": EMBEDDING_CORR_SQL,
 }

@@ -88,6 +88,7 @@ class FlowSpec:
     categorical: tuple[str, ...] = ()
     drop: tuple[str, ...] = ()
     score_col: str | None = None      # a single column used by rule detectors
+    derived: tuple[tuple[str, str], ...] = ()   # (name, Spark SQL) feature columns
     defaults: dict = field(default_factory=lambda: {
         "contamination": DEFAULT_CONTAMINATION, "batch_size": 20000})
 
@@ -132,7 +133,15 @@ PART = FlowSpec(
     drop=("p_name", "p_size"), score_col="p_retailprice",
 )
 
-DRIVER_SPECS = {s.name: s for s in (LINEITEM, EVENTS, ORDERS, CUSTOMER, PART)}
+EMBED_DIM = 64
+EMBEDDINGS = FlowSpec(
+    name="embeddings", table="embeddings", key_cols=("vec_id",),
+    label_sql="CASE WHEN label = 0 THEN 1 ELSE 0 END",
+    numeric=tuple(f"e{i}" for i in range(EMBED_DIM)),
+    derived=tuple((f"e{i}", f"CAST(embedding[{i}] AS DOUBLE)") for i in range(EMBED_DIM)),
+)
+
+DRIVER_SPECS = {s.name: s for s in (LINEITEM, EVENTS, ORDERS, CUSTOMER, PART, EMBEDDINGS)}
 
 
 @dataclass(frozen=True)

@@ -53,6 +53,8 @@ def flow_frame(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFrame:
     """A driver table in flow form: key columns kept for the row key,
     ``ANOMALY`` derived from the spec's label rule, features as declared."""
     df = table(spark, sf_dir, spec.table)
+    if spec.derived:
+        df = df.withColumns({name: F.expr(sql) for name, sql in spec.derived})
     return df.withColumn(LABEL, F.expr(spec.label_sql).cast("int"))
 
 
