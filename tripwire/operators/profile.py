@@ -170,6 +170,9 @@ def low_variance(df: DataFrame, cols: Sequence[str], var_threshold: float = 0.01
         F.coalesce(F.col("variance"), F.lit(0.0)) < var_threshold))
 
 
+WIDE_CORR = 16       # from this many columns the matrix comes from ml.stat.Correlation
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """Pearson r for every pair (upper triangle) in one aggregation,
     flagged when |r| > threshold."""
@@ -178,10 +181,23 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "feature_a string, feature_b string, r double, abs_r double, high boolean")
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    args = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    long = wide.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)")
+    if len(cols) >= WIDE_CORR:
+        # many columns: the Pearson matrix in one pass (treeAggregate of the
+        # Gramian); rows with a null feature are skipped
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+
+        vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
+            df.select(*[F.col(c).cast("double") for c in cols]))
+        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+        idx = {c: i for i, c in enumerate(cols)}
+        rows = [(a, b, float(m[idx[a], idx[b]])) for a, b in pairs]
+        long = df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+    else:
+        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
+                        for i, (a, b) in enumerate(pairs)])
+        args = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
+        long = wide.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)")
     return long.withColumns({"abs_r": F.abs("r"), "high": F.abs("r") > threshold})
 
 
