@@ -207,16 +207,17 @@ def embedding_corr(spark, sf_dir):
 
 
 def _embedding_corr_sql():
+    """All pairs from one scan: every corr in one SELECT, then UNPIVOT."""
     from ..sources.catalog import EMBED_DIM
 
-    e = lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"  # noqa: E731 - DuckDB lists are 1-based
-    parts = []
-    for i in range(EMBED_DIM):
-        for j in range(i + 1, EMBED_DIM):
-            c = f"corr({e(i)}, {e(j)})"
-            parts.append(f"SELECT 'e{i}' AS feature_a, 'e{j}' AS feature_b, {r6(stable_round_sql(c))} AS r, "
-                         f"{r6(stable_round_sql(f'abs({c})'))} AS abs_r, abs({c}) > 0.9 AS high FROM embeddings")
-    return _union(parts)
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMBED_DIM))
+    aggs = ", ".join(f'corr(e{i}, e{j}) AS "e{i}__e{j}"'
+                     for i in range(EMBED_DIM) for j in range(i + 1, EMBED_DIM))
+    return (f"WITH w AS (SELECT {aggs} FROM (SELECT {cols} FROM embeddings) x),\n"
+            "l AS (UNPIVOT w ON COLUMNS(*) INTO NAME k VALUE r)\n"
+            "SELECT split_part(k, '__', 1) AS feature_a, split_part(k, '__', 2) AS feature_b, "
+            f"{r6(stable_round_sql('r'))} AS r, {r6(stable_round_sql('abs(r)'))} AS abs_r, "
+            "abs(r) > 0.9 AS high FROM l")
 
 
 EMBEDDING_CORR_SQL = _embedding_corr_sql()
