@@ -15,9 +15,11 @@ A byte goes if some ``LENGTH``-byte string that covers it also starts elsewhere.
   one more symbol in front of every string, updates the order of the collection
   by a stable sort and the common prefixes by minima over the order before.  A
   window repeats if a neighbour's common prefix reaches ``LENGTH``.
-* **Crowded anchors** (more than ``CROWD`` different segments) are counted
-  window by window instead, with partial sums before the shuffle; the result is
-  the same, and no anchor is ever one task's load.
+* **Crowded anchors** (more than ``CROWD`` different segments) are divided by
+  longer anchors (``FINE_GRAM`` bytes).  Equal parts collapse again; only
+  different parts of one fine anchor are counted window by window, with partial
+  sums before the shuffle.  The result is the same, and no anchor is ever one
+  task's load.
 
 The original construction keeps one transform of the whole collection and reads
 it once per round, with as many rounds as the longest document has bytes; the
@@ -48,6 +50,7 @@ from .minhash import powers
 LENGTH = 400
 GRAM = 200
 SPAN = LENGTH - GRAM + 1
+FINE_GRAM = 380
 PIECE = 2_000_000
 CROWD = 256
 BATCH = 20_000
@@ -77,25 +80,27 @@ class Hashes:
         return mix64((self.sums[stop] - self.sums[start]) * self.down[start])
 
 
-def segments(data: np.ndarray, until: np.ndarray):
-    """Segments of a piece of at most ``PIECE`` windows; ``until`` is, for each
-    byte, the end of its document.  Arrays: anchor hash, content hash, first
-    window, number of windows, offset of the first window to the anchor."""
+def segments(data: np.ndarray, until: np.ndarray, size: int = GRAM):
+    """Segments of a piece of at most ``PIECE`` windows, with anchors of ``size``
+    bytes; ``until`` is, for each byte, the end of its document.  Arrays: anchor
+    hash, content hash, first window, number of windows, offset of the first
+    window to the anchor."""
+    span = LENGTH - size + 1
     empty = np.empty(0, np.int64)
     n = len(data) - LENGTH + 1
     if n <= 0:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     hashes = Hashes(data)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = hashes.of(at, at + GRAM)
+    at = np.arange(len(data) - size + 1)
+    gram = hashes.of(at, at + size)
     key = (gram >> _POSITION << _POSITION) | at.astype(np.uint64)
-    rows = -(-len(key) // SPAN)
-    block = np.full(rows * SPAN, np.iinfo(np.uint64).max, np.uint64)
+    rows = -(-len(key) // span)
+    block = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
     block[:len(key)] = key
-    block = block.reshape(rows, SPAN)
+    block = block.reshape(rows, span)
     ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
     behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(behind[:n], ahead[SPAN - 1:SPAN - 1 + n])
+    least = np.minimum(behind[:n], ahead[span - 1:span - 1 + n])
     anchor = (least & ((U(1) << _POSITION) - U(1))).astype(np.int64)
     start = np.flatnonzero(np.arange(n) + LENGTH <= until[:n])
     if not len(start):
@@ -209,21 +214,46 @@ def _sorted_columns(batches):
 
 
 def _fetch(batches):
-    """The bytes of a document's segments; of crowded ones the window hashes."""
+    """The bytes of a document's segments; crowded ones in parts by fine anchor,
+    with the hash of each window."""
     for pdf in batches:
         out = []
         for text, parts in zip(_bytes(pdf["text"]), pdf["parts"]):
             for p in parts:
                 first, n = int(p["first"]), int(p["n"])
                 data = text[first:first + n + LENGTH - 1]
-                if p["crowded"]:
-                    hashes = Hashes(np.frombuffer(data, np.uint8))
-                    at = np.arange(n)
-                    seen = mix64(hashes.of(at, at + LENGTH) + (int(p["shift"]) + at).astype(np.uint64)).view(np.int64)
-                    out.append((p["m"], p["ch"], int(p["shift"]), int(p["copies"]), None, seen))
-                else:
-                    out.append((p["m"], p["ch"], int(p["shift"]), int(p["copies"]), data, None))
-        yield pd.DataFrame(out, columns=["m", "ch", "shift", "copies", "data", "seen"])
+                if not p["crowded"]:
+                    out.append((p["m"], p["ch"], int(p["copies"]), int(p["shift"]), data, 0, n, 0, 0, None))
+                    continue
+                raw = np.frombuffer(data, np.uint8)
+                fine, content, lo, count, _ = segments(raw, np.full(len(raw), len(raw)), FINE_GRAM)
+                at = np.arange(n)
+                seen = Hashes(raw).of(at, at + LENGTH).view(np.int64)
+                for f, c, x, k in zip(fine.view(np.int64).tolist(), content.view(np.int64).tolist(),
+                                      lo.tolist(), count.tolist()):
+                    out.append((p["m"], p["ch"], int(p["copies"]), int(p["shift"]), None, x, k, f, c, seen[x:x + k]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FETCHED.split(", ")])
+
+
+FETCHED = ("m long, ch long, copies long, shift int, data binary, lo int, k int, fine long, part long, "
+           "seen array<long>")
+
+
+def crowded_repeats(parts: DataFrame) -> DataFrame:
+    """(m, ch, lo, hi): repeated windows of the parts of crowded segments."""
+    kinds = materialize(parts.groupBy("fine", "part").agg(F.sum("copies").alias("c"), F.first("seen").alias("seen")),
+                        "fine-parts")
+    several = kinds.groupBy("fine").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fine")
+    windows = kinds.join(several, "fine").select("fine", "part", "c", F.posexplode("seen").alias("j", "w"))
+    twice = windows.groupBy("fine", "w").agg(F.sum("c").alias("n")).where("n > 1").select("fine", "w")
+    single = windows.where("c = 1").join(twice, ["fine", "w"], "left_semi") \
+        .groupBy("fine", "part").agg(F.collect_list("j").alias("at"))
+    whole = kinds.where("c > 1").select("fine", "part", F.lit(None).cast("array<int>").alias("at"))
+    got = parts.select("m", "ch", "lo", "k", "fine", "part").join(whole.unionByName(single), ["fine", "part"])
+    every = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("k")).alias("b")))
+    some = F.transform("at", lambda j: F.struct((F.col("lo") + j).alias("a"), (F.col("lo") + j + 1).alias("b")))
+    return got.select("m", "ch", F.explode(F.coalesce(some, every)).alias("x")) \
+        .select("m", "ch", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,7 +275,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     cut = rows.where(F.octet_length("text") >= LENGTH) \
         .mapInPandas(_cut, "m long, ch long, doc_id long, th long, first long, n short, shift short")
     cut = materialize(cut, "segments")
-    again = cut.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
+    again = materialize(cut.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "again")
     cut = materialize(cut.join(again, "m", "left_semi"), "repeated-anchors")
     content = cut.groupBy("m", "ch").agg(F.count(F.lit(1)).alias("copies"),
                                          F.first(F.struct("doc_id", "th", "first", "n", "shift")).alias("one"))
@@ -257,16 +287,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("pk"), F.col("th").alias("ph")).agg(F.collect_list("p").alias("parts"))
     texts = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("ph")))
     texts = texts.select("text", "parts", "pk", "ph")
-    fetched = materialize(texts.mapInPandas(
-        _fetch, "m long, ch long, shift int, copies long, data binary, seen array<long>").dropDuplicates(["m", "ch"]), "fetched")
+    fetched = materialize(texts.mapInPandas(_fetch, FETCHED).dropDuplicates(["m", "ch", "lo"]), "fetched")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     columns = fetched.where("data is not null").select("m", "ch", "shift", "data") \
         .repartition(width, "m").sortWithinPartitions("m", "ch").mapInPandas(
             _sorted_columns, "m long, ch long, lo int, hi int")
-    windows = fetched.where("seen is not null").select("m", "ch", "copies", F.posexplode("seen").alias("lo", "w"))
-    twice = windows.groupBy("m", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("m", "w")
-    crowded = windows.where("copies = 1").join(twice, ["m", "w"], "left_semi") \
-        .select("m", "ch", F.col("lo").cast("int").alias("lo"), (F.col("lo") + 1).cast("int").alias("hi"))
+    crowded = crowded_repeats(fetched.where("seen is not null"))
     partly = columns.unionByName(crowded).groupBy("m", "ch").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
     whole = content.where("copies > 1").select("m", "ch", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("at"))
     partly = partly.join(whole.select("m", "ch"), ["m", "ch"], "left_anti")
