@@ -11,11 +11,15 @@
 * **Banding.** ``SLOTS`` registers in bands of ``ROWS``; a pair at similarity
   0.8 shares no band with a probability of 3e-6.
 * **Verification in two rounds.** Documents with equal word sequences become one
-  node first.  In every bucket each node is held against the bucket's first
-  node, by the exact similarity; components of the links follow.  Then the
-  pairs of a bucket that are still in different components are verified, so
-  every pair that shares a band is either verified or already in one class, and
-  a large group of copies costs a star rather than all its pairs.
+  node first.  In every bucket each node is held against the bucket's leader,
+  the node that meets most others in all its buckets, by the exact similarity;
+  components of the links follow.  Then the pairs of a bucket that are still in
+  different components are verified, unless an upper bound already excludes
+  them: shingles that no other node has cannot be shared, so a node of s
+  shingles with u private ones has at most s - u in common with any other.  So
+  every pair that shares a band is verified, excluded by the bound, or in one
+  class already; a large group of copies costs a star, and copies that were
+  edited too far are excluded one by one rather than pair by pair.
 
 Defined results: null text is empty; texts without a word are of one class if
 they are equal; texts of under ``SHINGLE`` words have one shingle, all their
@@ -224,6 +228,19 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def shared_most(sets: DataFrame) -> DataFrame:
+    """For every node its number s and weight w of shingles, the number u and
+    weight uw of those that no other node has, and whether all weights are 1."""
+    each = sets.select("node", F.explode(F.arrays_zip("value", "weight")).alias("x")) \
+        .select("node", "x.value", F.col("x.weight").cast("long").alias("weight"))
+    own = each.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")) \
+        .where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"), F.sum("weight").alias("uw"))
+    total = F.aggregate("weight", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sets.select("node", F.size("value").cast("long").alias("s"), total.alias("w"),
+                       (F.array_max("weight") == 1).alias("flat")).join(own, "node", "left") \
+        .select("node", "s", "w", "flat", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("uw", F.lit(0)).alias("uw"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), class_id (smallest
@@ -234,8 +251,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ident = F.coalesce("doc_id", F.lit(LAST_ID))
     nodes = materialize(seen.groupBy("node").agg(F.min(ident).alias("first"), F.first("bands").alias("bands")), "nodes")
     member = nodes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
-    member = materialize(member.join(shared.select("bucket", "a"), "bucket"), "members")
+    shared = materialize(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    member = materialize(member.join(shared, "bucket"), "met")
+    weight = member.groupBy("node").agg(F.sum("n").alias("met"))
+    lead = member.join(weight, "node").groupBy("bucket") \
+        .agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    member = materialize(member.join(lead.select("bucket", "a"), "bucket").select("bucket", "node", "a"), "members")
     stars = member.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     wanted = member.select("node").distinct()
     ids = nodes.select("node", "first").join(wanted, "node", "left_semi").select(F.col("first").alias("k")).distinct()
@@ -248,11 +269,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = member.join(part, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
     at = materialize(at.join(open_, "bucket", "left_semi"), "open")
+    known = materialize(shared_most(sets.join(at.select("node").distinct(), "node", "left_semi")), "bounds") \
+        .where(F.when(F.col("flat"), F.col("s") - F.col("u") >= threshold * F.col("s"))
+               .otherwise(F.col("w") - F.col("uw") >= threshold * F.col("w")))
+    at = materialize(at.join(known, "node"), "still-open")
     x, y = at.alias("x"), at.alias("y")
+    most = F.least(F.col("x.s") - F.col("x.u"), F.col("y.s") - F.col("y.u"))
+    able = ~(F.col("x.flat") & F.col("y.flat")) | (most >= threshold * (F.col("x.s") + F.col("y.s") - most) - 1e-9)
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-                  & (F.col("x.part") != F.col("y.part"))) \
+                  & (F.col("x.part") != F.col("y.part")) & able) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct() \
-        .join(stars, ["a", "b"], "left_anti")
+        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     part = components(found.union(_links(rest, sets, threshold)), "parts")
     placed = nodes.select("node", "first").join(part, "node", "left") \
         .select("node", "first", F.coalesce("root", "node").alias("root"))
