@@ -17,8 +17,8 @@
   different components are verified, unless an upper bound already excludes
   them: shingles that no other node has cannot be shared, so a node of s
   shingles with u private ones has at most s - u in common with any other.  So
-  every pair that shares a band is verified, excluded by the bound, or in one
-  class already; a large group of copies costs a star, and copies that were
+  every pair that shares a band is verified (once, in the first bucket that it
+  shares), excluded by the bound, or in one class already; a large group of copies costs a star, and copies that were
   edited too far are excluded one by one rather than pair by pair.
 
 Defined results: null text is empty; texts without a word are of one class if
@@ -272,13 +272,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = materialize(shared_most(sets.join(at.select("node").distinct(), "node", "left_semi")), "bounds") \
         .where(F.when(F.col("flat"), F.col("s") - F.col("u") >= threshold * F.col("s"))
                .otherwise(F.col("w") - F.col("uw") >= threshold * F.col("w")))
-    at = materialize(at.join(known, "node"), "still-open")
+    own = at.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+    at = materialize(at.join(known.join(own, "node"), "node"), "still-open")
     x, y = at.alias("x"), at.alias("y")
     most = F.least(F.col("x.s") - F.col("x.u"), F.col("y.s") - F.col("y.u"))
     able = ~(F.col("x.flat") & F.col("y.flat")) | (most >= threshold * (F.col("x.s") + F.col("y.s") - most) - 1e-9)
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-                  & (F.col("x.part") != F.col("y.part")) & able) \
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct() \
+                  & (F.col("x.part") != F.col("y.part")) & able
+                  & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket"))) \
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")) \
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     part = components(found.union(_links(rest, sets, threshold)), "parts")
     placed = nodes.select("node", "first").join(part, "node", "left") \
