@@ -207,3 +207,49 @@ def test_step_combine_matches_direct_mix(spark):
     mixed = _mix(got, np.zeros(2))
     direct = _mix(spark.createDataFrame(rows, STEP_SCHEMA).collect(), np.zeros(2))
     assert np.allclose(mixed, direct)
+
+
+def test_class_distribution_keeps_null_and_unlisted_classes(spark):
+    from tripwire.operators.profile import class_distribution
+
+    df = spark.createDataFrame([(0,), (0,), (2,), (None,)], "label int")
+    got = {r.label: (r.n, r.share) for r in class_distribution(df, "label").collect()}
+    assert got == {0: (2, 0.5), 1: (0, 0.0), 2: (1, 0.25), None: (1, 0.25)}
+
+
+def test_markdown_keeps_every_row(spark):
+    from tripwire.operators.compare import to_markdown
+
+    df = spark.range(1500).selectExpr("'m' as model", "cast(id as string) as dataset", "0.5d as accuracy")
+    assert len(to_markdown(df, ["accuracy"]).split("\n")) == 1502
+
+
+def test_batches_in_any_order_are_applied_once(spark, tmp_path):
+    from tripwire.operators.learners import StepResult
+    from tripwire.streaming.prequential import PrequentialSink
+
+    class Counter:
+        def __init__(self):
+            self.seen = 0
+
+        def step(self, df, flag_col):
+            n = df.count()
+            self.seen += n
+            return StepResult(n, 0, 0, 0, n, 0)
+
+        def state(self):
+            return {"seen": self.seen}
+
+        def load(self, state):
+            self.seen = state["seen"]
+
+    def batch(b):
+        return spark.range(20).selectExpr("id", f"{b} as batch_id")
+
+    sink = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag", 0)
+    for b in (0, 2, 1, 2):
+        sink(batch(b), 0)
+    assert sink.total.n == 60
+    again = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag", 0)
+    again(batch(1), 0)
+    assert again.total.n == 60 and again.learner.seen == 60

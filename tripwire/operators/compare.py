@@ -23,7 +23,8 @@ HIGHER_IS_BETTER = ["accuracy", "balanced_accuracy", "f1_macro", "f1_anomaly",
 CANONICAL = {"elapsed_sec": "total_time_sec", "time_sec": "total_time_sec",
              "balanced_acc": "balanced_accuracy"}
 # Key metrics tried in order when the requested one is absent.
-KEY_METRICS = ["f1_macro", "accuracy", "balanced_accuracy"]
+KEY_METRICS = ["accuracy", "balanced_accuracy", "f1_macro", "f1_anomaly", "precision_anomaly",
+               "recall_anomaly", "stage2_call_rate", "total_time_sec"]
 # ---------------------------------------------------------------------------------
 
 
@@ -120,9 +121,9 @@ def markdown_rows(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
         for m in metrics])
 
 
-def to_markdown(df: DataFrame, metrics: Sequence[str], limit: int = 1000) -> str:
+def to_markdown(df: DataFrame, metrics: Sequence[str]) -> str:
     """A Markdown table of the best-results report (tens of rows)."""
-    rows = markdown_rows(df, metrics).limit(limit).collect()
+    rows = markdown_rows(df, metrics).collect()
     head = ["model", "dataset", *metrics]
     lines = ["| " + " | ".join(head) + " |", "|" + "|".join("---" for _ in head) + "|"]
     lines += ["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows]

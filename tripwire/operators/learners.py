@@ -463,7 +463,7 @@ class SEAPool(Learner):
             return                                  # single-class batch: no-op
         try:
             new = self._fit_new(df, flag_col)
-        except Exception:                           # noqa: BLE001 - fit failure is a no-op
+        except FloatingPointError:                  # a numeric fit failure is a no-op
             return
         if new is None:
             return

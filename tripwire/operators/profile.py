@@ -93,11 +93,14 @@ def duplicate_summary(df: DataFrame, features: Sequence[str], label: str = LABEL
 
 
 def class_distribution(df: DataFrame, label: str = LABEL, classes=(0, 1)) -> DataFrame:
-    """Count and share per class (absent class → 0) and max/min ratio."""
+    """Count and share per class and max/min ratio; a listed class that is
+    absent has 0, null and unlisted classes are kept."""
     spark = df.sparkSession
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    known = spark.createDataFrame([(c,) for c in classes], f"{label} int")
-    full = known.join(F.broadcast(counts), on=label, how="left").na.fill(0, ["n"])
+    kind = counts.schema[label].dataType
+    known = spark.createDataFrame([(c,) for c in classes], f"{label} int") \
+        .select(F.col(label).cast(kind).alias(label), F.lit(0).cast("long").alias("n"))
+    full = counts.unionByName(known).groupBy(label).agg(F.sum("n").alias("n"))
     w = Window.partitionBy()   # the frame holds one row per class
     full = full.withColumns({"_t": F.sum("n").over(w), "_mx": F.max("n").over(w),
                              "_mn": F.min("n").over(w)})

@@ -31,6 +31,11 @@ def write_arrivals(batches, n_batches: int, path: str) -> None:
         batches.batch(b).drop("segment").coalesce(1).write.mode("append").parquet(path)
 
 
+#: ``seq`` counts applied batches, so batches may arrive in any order
+STATE_SCHEMA = ("batch_id int, n long, n_flagged long, tn long, fp long, fn long, tp long, "
+                "state string, seq int")
+
+
 class PrequentialSink:
     """``foreachBatch`` body: screen, predict, combine, update, record."""
 
@@ -42,39 +47,41 @@ class PrequentialSink:
         self.flag_col = flag_col
         self.progress_every = progress_every
         self.total = StepResult()
-        self.last_batch = -1
+        self.applied: set[int] = set()
         self.rows: list[tuple] = []
         self._restore()
 
+    @property
+    def last_batch(self) -> int:
+        return max(self.applied, default=-1)
+
     def _restore(self) -> None:
-        try:
-            st = self.spark.read.parquet(self.state_path)
-        except Exception:  # noqa: BLE001 - no state yet
-            return
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.state_path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return                               # no state yet; any other failure is raised
+        st = self.spark.read.schema(STATE_SCHEMA).parquet(self.state_path)
         # totals as one aggregate row; only the newest state version is loaded
         tot = st.agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp", "n", "n_flagged")],
-                     F.max("batch_id").alias("last")).first()
+                     F.max("seq").alias("last")).first()
         if tot is None or tot.last is None:
             return
         self.total.add(StepResult(tot.tn, tot.fp, tot.fn, tot.tp, tot.n, tot.n_flagged))
-        self.last_batch = tot.last
-        latest = st.filter(F.col("batch_id") == tot.last).select("state").first()
+        self.applied = {r.batch_id for r in st.select("batch_id").collect()}
+        latest = st.filter(F.col("seq") == tot.last).select("state").first()
         self.learner.load(json.loads(latest.state))
 
     def __call__(self, df: DataFrame, epoch_id: int) -> None:
         ids = sorted(r.batch_id for r in df.select("batch_id").distinct().collect())
         for b in ids:
-            if b <= self.last_batch:
+            if b in self.applied:
                 continue                     # replayed micro-batch: already applied
             res = self.learner.step(df.filter(F.col("batch_id") == b), self.flag_col)
             self.total.add(res)
-            self.last_batch = b
+            self.applied.add(b)
             row = (b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp)
             self.rows.append(row)
             self.spark.createDataFrame(
-                [(*row, json.dumps(self.learner.state()))],
-                "batch_id int, n long, n_flagged long, tn long, fp long, fn long, tp long, "
-                "state string").write.mode("append").parquet(self.state_path)
+                [(*row, json.dumps(self.learner.state()), len(self.applied))], STATE_SCHEMA).write.mode("append").parquet(self.state_path)
             if self.progress_every and (b + 1) % self.progress_every == 0:
                 print(f"processed batch {b + 1}", flush=True)
 
