@@ -16,10 +16,14 @@
   components of the links follow.  Then the pairs of a bucket that are still in
   different components are verified, unless an upper bound already excludes
   them: shingles that no other node has cannot be shared, so a node of s
-  shingles with u private ones has at most s - u in common with any other.  So
-  every pair that shares a band is verified (once, in the first bucket that it
-  shares), excluded by the bound, or in one class already; a large group of copies costs a star, and copies that were
-  edited too far are excluded one by one rather than pair by pair.
+  shingles with u private ones has at most s - u in common with any other.  The
+  nodes still open also get a second, independent sketch of ``SIGN_BITS`` one-bit
+  registers; a pair that differs in more than ``most_different`` of them is not
+  at 0.8 (at 0.8 a tenth differs on average; the bound is over five standard
+  deviations higher, a chance below 1e-6).  So every pair that shares a band is
+  verified (once, in the first bucket that it shares), excluded by a bound, or
+  in one class already; a large group of copies costs a star, and copies that
+  were edited too far are excluded one by one rather than pair by pair.
 
 Defined results: null text is empty; texts without a word are of one class if
 they are equal; texts of under ``SHINGLE`` words have one shingle, all their
@@ -44,6 +48,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 96
 ROWS = 4
+SIGN_BITS = 1024
+MOST_DIFFERENT_SDS = 5.2
 HASH_BITS = 48
 LAST_ID = (1 << 63) - 1
 U = np.uint64
@@ -128,6 +134,19 @@ def bands(held: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix64(key + mix64(np.arange(slots // rows, dtype=np.uint64) + U(99))).view(np.int64)
 
 
+def signs(value: np.ndarray, weight: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
+    """``SIGN_BITS`` one-bit registers of an independent sketch, 64 to a long."""
+    held = sketch(mix64(value ^ U(0x5BD1E9955BD1E995)), weight, owner, n_docs, SIGN_BITS)
+    bit = (mix64(held + U(13)) >> U(63)).astype(np.uint8)
+    return np.packbits(bit, axis=1, bitorder="little").view("<i8")
+
+
+def most_different(threshold: float) -> int:
+    """The most one-bit registers in which a pair at the threshold may differ."""
+    p = (1.0 - threshold) / 2
+    return int(SIGN_BITS * p + MOST_DIFFERENT_SDS * (SIGN_BITS * p * (1 - p)) ** 0.5)
+
+
 def node_names(words: np.ndarray, doc: np.ndarray, texts: list[str]) -> list[str]:
     """A 128-bit name of each text's word sequence; of the text if it has no word."""
     count = np.bincount(doc, minlength=len(texts))
@@ -177,6 +196,19 @@ def _weighted(batches):
                                 "weight": [weight[a:b].astype(np.int32) for a, b in zip(cut, cut[1:])]})
 
 
+def _signed(batches):
+    """Signs of every node, a bounded number of shingles and nodes at once."""
+    for pdf in batches:
+        sizes = pdf["value"].map(len).to_numpy()
+        part = np.maximum.accumulate(np.maximum(np.cumsum(sizes) // 2_000_000, np.arange(len(pdf)) // 500)) \
+            if len(pdf) else sizes
+        for _, own in pdf.groupby(part):
+            n = own["value"].map(len).to_numpy()
+            got = signs(np.concatenate(own["value"].tolist()).astype(np.int64).view(np.uint64),
+                        np.concatenate(own["weight"].tolist()), np.repeat(np.arange(len(own)), n), len(own))
+            yield pd.DataFrame({"node": own["node"].to_numpy(), "sign": list(got)})
+
+
 def similarity(av, aw, bv, bw) -> float:
     """The probability Jaccard index of two weighted sets (sorted values)."""
     both, ia, ib = np.intersect1d(av, bv, assume_unique=True, return_indices=True)
@@ -273,12 +305,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.when(F.col("flat"), F.col("s") - F.col("u") >= threshold * F.col("s"))
                .otherwise(F.col("w") - F.col("uw") >= threshold * F.col("w")))
     own = at.groupBy("node").agg(F.collect_set("bucket").alias("own"))
-    at = materialize(at.join(known.join(own, "node"), "node"), "still-open")
+    sign = sets.join(known.select("node"), "node", "left_semi").mapInPandas(_signed, "node string, sign array<long>")
+    at = materialize(at.join(known.join(own, "node").join(sign, "node"), "node"), "still-open")
     x, y = at.alias("x"), at.alias("y")
     most = F.least(F.col("x.s") - F.col("x.u"), F.col("y.s") - F.col("y.u"))
     able = ~(F.col("x.flat") & F.col("y.flat")) | (most >= threshold * (F.col("x.s") + F.col("y.s") - most) - 1e-9)
+    differ = sum((F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(1, SIGN_BITS // 64)),
+                 F.bit_count(F.col("x.sign")[0].bitwiseXOR(F.col("y.sign")[0])))
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-                  & (F.col("x.part") != F.col("y.part")) & able
+                  & (F.col("x.part") != F.col("y.part")) & able & (differ <= most_different(threshold))
                   & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket"))) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")) \
         .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
