@@ -132,3 +132,59 @@ def test_learners_learn_separable_data(spark):
         res = learner.evaluate(test)
         acc = (res.tn + res.tp) / res.n
         assert acc > 0.9, (kind, acc)
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    """L2-L4: the same rows give the same model at 1, 8 and 64 partitions."""
+    from tripwire.operators.learners import make_learner
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(f"k{i}", float(a), float(b), int(t), 1) for i, ((a, b), t) in enumerate(zip(x, y))],
+                               "row_key string, a double, b double, ANOMALY int, s1_flag int")
+    for kind in ("sgd", "mlp", "ensemble"):
+        seen = []
+        for parts in (1, 8, 64):
+            learner = make_learner(kind, ["a", "b"], seed=1)
+            learner.step(df.repartition(parts))
+            seen.append(np.ravel(learner.members[0] if kind == "ensemble" else learner.params))
+            if kind == "ensemble" and parts == 64:
+                res = learner.evaluate(df)
+                assert (res.tn + res.tp) / res.n >= 0.95
+        assert all(np.array_equal(seen[0], s) for s in seen[1:]), kind
+
+
+def test_blocks_are_combined_in_any_layout(spark, monkeypatch):
+    """More blocks than FANIN: every row is counted once, the model does not move."""
+    from tripwire.operators import learners
+
+    monkeypatch.setattr(learners, "BLOCK_ROWS", 10)
+    df = spark.range(600).selectExpr("cast(id as string) AS row_key", "double(id % 7) AS a", "int(id % 7 > 3) AS ANOMALY",
+                                     "1 AS s1_flag")
+    got = []
+    for parts in (1, 16):
+        learner = learners.make_learner("sgd", ["a"])
+        res = learner.step(df.repartition(parts))
+        assert (res.n, res.n_flagged) == (600, 600)
+        got.append(learner.params)
+    assert np.allclose(got[0], got[1], rtol=0, atol=1e-9)
+
+
+def test_correlation_and_histogram_edge_values(spark):
+    """Constant columns, gaps and infinities; empty bins stay."""
+    from tripwire.operators import profile
+
+    wide = [f"c{i}" for i in range(14)]
+    rows = [(float(i), 2.0 * i if i % 2 else None, 5.0, float("nan") if i == 3 else float(-i), float("inf") if i == 0 else float(i % 2 * 9))
+            for i in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, k double, m double, w double")
+    for extra in ([], wide):               # few and many columns
+        one = df.selectExpr("*", *[f"a * a + {i} AS {c}" for i, c in enumerate(extra)])
+        got = {(r.feature_a, r.feature_b): r for r in profile.correlation_pairs(one, ["a", "b", "k", "m", *extra]).collect()}
+        assert abs(got["a", "b"].r - 1) < 1e-12 and got["a", "b"].high
+        assert abs(got["a", "m"].r + 1) < 1e-12 and got["a", "k"].r is None and not got["a", "k"].high
+    assert {r.feature: r.n_missing for r in profile.missing_counts(df).collect()} == {"a": 0, "b": 10, "k": 0, "m": 1, "w": 0}
+    bars = {r.bin: r for r in profile.histogram(df, ["w"], bins=9).collect()}
+    assert sorted(bars) == list(range(9)) and sum(b.n for b in bars.values()) == 19
+    assert bars[8].n == 10 and bars[0].n == 9 and bars[4].n == 0

@@ -1,13 +1,15 @@
 """Stage-2 online learners.
 
 A learner keeps its parameters on the driver (a few thousand doubles at
-most).  Rows never leave the executors: one ``mapInPandas`` pass per batch
-predicts with the current parameters and trains a local copy on the same
-partition's rows; the driver receives per-partition confusion counts and
-parameter vectors and mixes the parameters weighted by row count
-(parameter mixing, Zinkevich et al. 2010).
+most).  Rows never leave the executors: they are dealt into blocks of about
+``BLOCK_ROWS`` rows by a hash of the row key, each block predicts with the
+current parameters and trains a local copy on its rows in key order; the driver
+receives confusion counts and parameter vectors and mixes the parameters
+weighted by row count (parameter mixing, Zinkevich et al. 2010).  Blocks depend
+on the rows alone, so a model is the same for any number of partitions; a
+stream batch of up to ``BLOCK_ROWS`` rows is one block.
 
-Kernels (numpy, per partition):
+Kernels (numpy, per block):
 
 * ``SGDLogistic``: log-loss SGD with L2 (alpha 1e-4) and the "optimal"
   step 1 / (alpha (t0 + t)), one pass per update;
@@ -36,6 +38,11 @@ STEP_SCHEMA = ("tn long, fp long, fn long, tp long, n long, n_flagged long, "
                "n_train long, params array<double>, extra array<double>")
 
 
+#: rows that one local copy trains on (expected; blocks are cut by a hash)
+BLOCK_ROWS = 50_000
+BLOCK_SCHEMA = f"block long, {STEP_SCHEMA}"
+
+
 # ---------------------------------------------------------------- numpy kernels
 def _sigmoid(z):
     return 0.5 * (1.0 + np.tanh(0.5 * z))
@@ -154,7 +161,7 @@ class MLPKernel:
             loss = loss_sum / n
             if loss > best - tol:
                 stall += 1
-                if stall >= patience:
+                if stall > patience:
                     break
             else:
                 stall = 0
@@ -166,6 +173,8 @@ class MLPKernel:
 def _xy(pdf: pd.DataFrame, features: Sequence[str]):
     x = pdf[list(features)].to_numpy(dtype=np.float64)
     y = pdf[LABEL].to_numpy(dtype=np.int64)
+    if np.isnan(x).any():
+        raise ValueError("null or NaN features: impute or drop such rows before stage 2")
     return x, y
 
 
@@ -227,6 +236,32 @@ def collect_steps(step_df: DataFrame):
     return step_df.collect()
 
 
+def by_block(df: DataFrame, cols: Sequence[str], rows: int | None):
+    """(grouped rows, number of blocks): ``cols`` grouped by a block that only the
+    row's key decides, for ``rows`` rows (counted if not given).  The key is
+    ``row_key``; without that column it is the whole row, so equal rows share a
+    block then."""
+    n = df.count() if rows is None else rows
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    key = ["row_key"] if "row_key" in df.columns else list(cols)
+    dealt = df.select(*cols, F.xxhash64(*key).alias("_order"))
+    return dealt.groupBy(F.pmod("_order", F.lit(blocks)).cast("long").alias("block")), blocks
+
+
+def _combine_blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    out = next(_combine_groups([pdf.sort_values("block")]))
+    out.insert(0, "block", [key[0]])
+    return out
+
+
+def collect_blocks(step_df: DataFrame, blocks: int):
+    """The step rows in block order; many blocks are merged in FANIN groups first."""
+    if blocks > FANIN:
+        step_df = step_df.groupBy(F.pmod("block", F.lit(FANIN)).alias("g")) \
+            .applyInPandas(_combine_blocks, BLOCK_SCHEMA)
+    return sorted(step_df.collect(), key=lambda r: r.block)
+
+
 class Learner:
     """L1: ``warmup(df)``, ``step(batch_df) -> StepResult`` (predict with
     the parameters before the batch, then update on its flagged rows),
@@ -259,40 +294,45 @@ class Learner:
         self.params = np.asarray(state["params"], dtype=np.float64)
         self.updates = int(state["updates"])
 
-    def _run(self, df: DataFrame, flag_col: str | None, train: bool) -> StepResult:
+    def _run(self, df: DataFrame, flag_col: str | None, train: bool,
+             rows: int | None = None) -> StepResult:
         self._ensure()
         params, feats = self.params, self.features
         seed = self.seed + self.updates
         predict_fn, train_fn = self._predict, self._train
 
-        def part(it):
-            # Arrow batches of the partition stream through: predictions use
-            # the parameters from before the batch, the local copy trains on
-            # as the batches pass (one pass, bounded memory).
-            cur = params.copy()
-            tot = np.zeros(6, dtype=np.int64)     # tn fp fn tp n n_flagged
-            k = 0
+        def one(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
+            # predictions use the parameters from before the batch
+            x, y = _xy(pdf, feats)
+            flagged = (pdf[flag_col].to_numpy() == 1) if flag_col else np.ones(len(pdf), bool)
+            pred = np.zeros(len(pdf), dtype=np.int64)
+            if flagged.any():
+                pred[flagged] = predict_fn(params, x[flagged])
+            tn, fp, fn, tp = _counts(y, pred)
+            k = int(flagged.sum()) if train else 0
+            cur = train_fn(params.copy(), x[flagged], y[flagged], seed + block) if k else None
+            return pd.DataFrame({"block": [block], "tn": [tn], "fp": [fp], "fn": [fn], "tp": [tp],
+                                 "n": [len(pdf)], "n_flagged": [int(flagged.sum())], "n_train": [k],
+                                 "params": [cur.tolist() if k else None], "extra": [None]})
+
+        def group(key, pdf):
+            return one(int(key[0]), pdf.sort_values(["_order", *feats, LABEL], kind="stable"))
+
+        def stream(it):                  # counts only: any split of the rows will do
             for pdf in it:
-                x, y = _xy(pdf, feats)
-                flagged = (pdf[flag_col].to_numpy() == 1) if flag_col else np.ones(len(pdf), bool)
-                pred = np.zeros(len(pdf), dtype=np.int64)
-                if flagged.any():
-                    pred[flagged] = predict_fn(params, x[flagged])
-                tot += np.array([*_counts(y, pred), len(pdf), int(flagged.sum())])
-                if train and flagged.any():
-                    cur = train_fn(cur, x[flagged], y[flagged], seed + k)
-                    k += int(flagged.sum())
-            yield pd.DataFrame({"tn": [tot[0]], "fp": [tot[1]], "fn": [tot[2]], "tp": [tot[3]],
-                                "n": [tot[4]], "n_flagged": [tot[5]], "n_train": [k],
-                                "params": [cur.tolist() if k else None], "extra": [None]})
-
-        rows = collect_steps(df.select(*feats, LABEL, *([flag_col] if flag_col else []))
-                             .mapInPandas(part, STEP_SCHEMA))
+                yield one(0, pdf)
+
+        cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
+        if train:
+            dealt, blocks = by_block(df, cols, rows)
+            got = collect_blocks(dealt.applyInPandas(group, BLOCK_SCHEMA), blocks)
+        else:
+            got = collect_steps(df.select(*cols).mapInPandas(stream, BLOCK_SCHEMA).drop("block"))
         res = StepResult()
-        for r in rows:
+        for r in got:
             res.add(StepResult(r.tn, r.fp, r.fn, r.tp, r.n, r.n_flagged))
         if train:
-            self.params = _mix(rows, self.params)
+            self.params = _mix(got, self.params)
             self.updates += 1
         return res
 
@@ -300,9 +340,10 @@ class Learner:
         """One pass over the flagged training rows."""
         return self._run(flagged_train, None, train=True).n
 
-    def step(self, batch: DataFrame, flag_col: str = "s1_flag") -> StepResult:
-        """Screen → predict flagged → combine (0 elsewhere) → update."""
-        return self._run(batch, flag_col, train=True)
+    def step(self, batch: DataFrame, flag_col: str = "s1_flag", rows: int | None = None) -> StepResult:
+        """Screen → predict flagged → combine (0 elsewhere) → update.
+        ``rows``: the batch's size where the caller knows it."""
+        return self._run(batch, flag_col, train=True, rows=rows)
 
     def evaluate(self, df: DataFrame, flag_col: str | None = "s1_flag") -> StepResult:
         return self._run(df, flag_col, train=False)
@@ -432,37 +473,30 @@ class SEAPool(Learner):
             n_pos += r.extra[-1]
         return res, correct, n_pos
 
-    def _fit_new(self, df: DataFrame, flag_col: str | None) -> np.ndarray | None:
+    def _fit_new(self, df: DataFrame, flag_col: str | None, n_flagged: int) -> np.ndarray | None:
         """L4: a new member fitted from scratch on the batch's flagged rows."""
         kernel, feats, d = self.kernel, self.features, len(self.features)
         init = kernel.init(d, self.seed)
         seed, max_iter = self.seed + self.updates, self.max_iter
 
-        def part(it):
-            for pdf in _concat(it):
-                x, y = _xy(pdf, feats)
-                if flag_col:
-                    keep = pdf[flag_col].to_numpy() == 1
-                    x, y = x[keep], y[keep]
-                if len(x) == 0:
-                    continue
-                newp = kernel.train(init, x, y, seed, epochs=max_iter)
-                yield pd.DataFrame({"tn": [0], "fp": [0], "fn": [0], "tp": [0], "n": [len(x)],
-                                    "n_flagged": [len(x)], "n_train": [len(x)],
-                                    "params": [newp.tolist()], "extra": [None]})
+        def group(key, pdf):
+            x, y = _xy(pdf.sort_values(["_order", *feats, LABEL], kind="stable"), feats)
+            newp = kernel.train(init, x, y, seed + int(key[0]), epochs=max_iter)
+            return pd.DataFrame({"block": [int(key[0])], "tn": [0], "fp": [0], "fn": [0], "tp": [0],
+                                 "n": [len(x)], "n_flagged": [len(x)], "n_train": [len(x)],
+                                 "params": [newp.tolist()], "extra": [None]})
 
-        cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
-        rows = collect_steps(df.select(*cols).mapInPandas(part, STEP_SCHEMA))
-        if not rows:
-            return None
-        return _mix(rows, init)
+        own = df.filter(F.col(flag_col) == 1) if flag_col else df
+        dealt, blocks = by_block(own, [*feats, LABEL], n_flagged)
+        rows = collect_blocks(dealt.applyInPandas(group, BLOCK_SCHEMA), blocks)
+        return _mix(rows, init) if rows else None
 
     def _update(self, df: DataFrame, flag_col: str | None, n_flagged: int, n_pos: float,
                 correct: np.ndarray) -> None:
         if n_flagged == 0 or n_pos == 0 or n_pos == n_flagged:
             return                                  # single-class batch: no-op
         try:
-            new = self._fit_new(df, flag_col)
+            new = self._fit_new(df, flag_col, n_flagged)
         except FloatingPointError:                  # a numeric fit failure is a no-op
             return
         if new is None:
@@ -473,7 +507,7 @@ class SEAPool(Learner):
             self.members[replace_index(correct / n_flagged)] = new
         self.updates += 1
 
-    def step(self, batch: DataFrame, flag_col: str = "s1_flag") -> StepResult:
+    def step(self, batch: DataFrame, flag_col: str = "s1_flag", rows: int | None = None) -> StepResult:
         res, correct, n_pos = self._screen(batch, flag_col)
         self._update(batch, flag_col, res.n_flagged, n_pos, correct)
         return res

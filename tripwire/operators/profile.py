@@ -34,7 +34,9 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """A2: nulls (and NaN for floating columns) per column, with percentage."""
     cols = list(cols or df.columns)
     n = F.count(F.lit(1)).alias("_n")
-    aggs = [n] + [_is_true(F.col(c).isNull()).alias(f"m_{c}") for c in cols]
+    real = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    aggs = [n] + [_is_true(F.col(c).isNull() | (F.isnan(c) if c in real else F.lit(False))).alias(f"m_{c}")
+                  for c in cols]
     wide = df.agg(*aggs)
     long = _unpivot(wide, cols, ["m_"], ["n_missing"], carry=["_n"])
     return long.select(
@@ -173,41 +175,67 @@ def low_variance(df: DataFrame, cols: Sequence[str], var_threshold: float = 0.01
         F.coalesce(F.col("variance"), F.lit(0.0)) < var_threshold))
 
 
-WIDE_CORR = 16       # from this many columns the matrix comes from ml.stat.Correlation
+def _pearson(a: str, b: str):
+    """r over the rows where both values are there (NaN is missing); null if one
+    of the two is constant."""
+    x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+
+def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """For every pair of columns (i, j), over the rows where both values are
+    there: n, sums of x, y, x*x, y*y and x*y, taken around the column means.
+    One pass; each task sends one cell per pair."""
+    import numpy as np
+    import pandas as pd
+
+    num = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
+           for i, c in enumerate(cols)]
+    flat = df.select(*num)
+    mean = np.array([0.0 if m is None else m for m in flat.agg(*[F.avg(c) for c in flat.columns]).first()])
+    i, j = np.triu_indices(len(cols), 1)
+
+    def sums(batches):
+        total = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64)
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.where(there > 0, x - mean, 0.0)
+            first, second, cross = x.T @ there, (x * x).T @ there, x.T @ x
+            got = np.stack([(there.T @ there)[i, j], first[i, j], first[j, i], second[i, j], second[j, i], cross[i, j]])
+            total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"i": i, "j": j, **dict(zip(("n", "sx", "sy", "xx", "yy", "xy"), total))})
+
+    cells = flat.mapInPandas(sums, "i int, j int, n double, sx double, sy double, xx double, yy double, xy double")
+    return cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
-    """Pearson r for every pair (upper triangle) in one aggregation,
-    flagged when |r| > threshold."""
+    """Pearson r for every pair (upper triangle), flagged when
+    |r| > threshold.  Null and NaN are left out pair by pair; a column that is
+    constant over the pair's rows has a null r and is never flagged."""
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "feature_a string, feature_b string, r double, abs_r double, high boolean")
-    if len(cols) >= WIDE_CORR:
-        # many columns: the Pearson matrix in one pass (treeAggregate of the
-        # Gramian); rows with a null feature are skipped
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-            df.select(*[F.col(c).cast("double") for c in cols]))
-        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-        idx = {c: i for i, c in enumerate(cols)}
-        rows = [(a, b, float(m[idx[a], idx[b]])) for a, b in pairs]
-        long = df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
-    else:
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                        for i, (a, b) in enumerate(pairs)])
-        args = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-        long = wide.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)")
-    return long.withColumns({"abs_r": F.abs("r"), "high": F.abs("r") > threshold})
+    schema = "feature_a string, feature_b string, r double, abs_r double, high boolean"
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    near = 1e-12                             # what is left of a constant's spread by rounding
+    vx, vy = (F.col(q) - F.col(t) * F.col(t) / F.col("n") for q, t in (("xx", "sx"), ("yy", "sy")))
+    vx, vy = (F.when(v > near * F.col(q), v) for v, q in ((vx, "xx"), (vy, "yy")))
+    r = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)
+    names = F.array(*[F.lit(c) for c in cols])
+    long = _pair_sums(df, cols).select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
+                                       F.when((F.col("n") > 1) & vx.isNotNull() & vy.isNotNull(),
+                                              F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return long.withColumns({"abs_r": F.abs("r"),
+                             "high": F.coalesce(F.abs("r") > threshold, F.lit(False))})
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], label: str = LABEL) -> DataFrame:
-    """r(feature, label), ranked by |r| with the sign kept."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"t_{c}")
-                    for c in cols])
+    """r(feature, label) with the sign kept; null for a constant feature."""
+    wide = df.agg(*[_pearson(c, label).alias(f"t_{c}") for c in cols])
     return _unpivot(wide, cols, ["t_"], ["r"]).withColumn("abs_r", F.abs("r"))
 
 
@@ -262,22 +290,27 @@ def _bin_expr(v, lo, hi, bins: int):
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50,
               by: str | None = None) -> DataFrame:
-    """Equal-width bins between each feature's min and max (per
-    class when ``by`` is given); the top bin is closed on the right."""
+    """Equal-width bins between each feature's smallest and largest
+    finite value (per class when ``by`` is given); the top bin is closed on the
+    right and empty bins are kept.  Null, NaN and infinite values are in no bin."""
     keys = [by] if by else []
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
                                          F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(*keys, pairs.alias("p")).select(*keys, "p.feature", "p.v").filter(
-        F.col("v").isNotNull())
+        F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
     rng = long.groupBy("feature", *keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     # one row per (feature, class): bounded by the number of features × classes
     joined = long.join(F.broadcast(rng), on=["feature", *keys])
     b = _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins)
-    out = joined.groupBy("feature", *keys, b.alias("bin"), "lo", "hi").agg(
-        F.count(F.lit(1)).alias("n"))
+    full = joined.groupBy("feature", *keys, "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    held = full.groupBy("feature", *keys, "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))   # <= bins entries
+    out = held.select("feature", *keys, "lo", "hi", "held",
+                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    n = F.coalesce(F.element_at("held", F.col("bin")), F.lit(0).cast("long"))
     return out.select("feature", *keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                      (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
+                      (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), n.alias("n"))
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABEL,

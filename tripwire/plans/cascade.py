@@ -168,7 +168,8 @@ def run_cascade(spark: SparkSession, prep: Prepared, stage1: StageOne, kind: str
     t1 = time.time()
     total, per_batch = StepResult(), []
     for b in range(n_batches):
-        res = learner.step(batches.batch(b))
+        # every batch but the last is full
+        res = learner.step(batches.batch(b), rows=batch_size if b + 1 < n_batches else None)
         total.add(res)
         per_batch.append((b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp))
     test_s = time.time() - t1

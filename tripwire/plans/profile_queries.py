@@ -288,14 +288,18 @@ def _hist_sql(bins: int, by: str | None) -> str:
     kx = f"x.{by}, " if by else ""
     on = f" AND l.{by} = x.{by}" if by else ""
     longf = _union([f"SELECT {k}'{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM {LI} t" for c in NUM])
+    on_g = f" AND g.{by} = x.{by}" if by else ""
+    kg = f"g.{by}, " if by else ""
     return f"""WITH l AS ({longf}),
-g AS (SELECT feature, {k}min(v) AS lo, max(v) AS hi FROM l WHERE v IS NOT NULL GROUP BY ALL),
-x AS (SELECT l.feature, {''.join(f'l.{by}, ' if by else '')}g.lo, g.hi,
+g AS (SELECT feature, {k}min(v) AS lo, max(v) AS hi FROM l WHERE isfinite(v) GROUP BY ALL),
+x AS (SELECT l.feature, {''.join(f'l.{by}, ' if by else '')}
       CASE WHEN g.hi - g.lo = 0 THEN 0 ELSE least(CAST(floor((l.v - g.lo) / (g.hi - g.lo) * {bins}) AS INTEGER), {bins - 1}) END AS bin
-      FROM l JOIN g ON l.feature = g.feature{on.replace('x.', 'g.')} WHERE l.v IS NOT NULL)
-SELECT x.feature, {kx}CAST(x.bin AS INTEGER) AS bin, {r6(f'x.lo + x.bin * ((x.hi - x.lo) / {bins})')} AS bin_lo,
-  {r6(f'x.lo + (x.bin + 1) * ((x.hi - x.lo) / {bins})')} AS bin_hi, count(*) AS n
-FROM x GROUP BY x.feature, {kx}x.bin, x.lo, x.hi"""
+      FROM l JOIN g ON l.feature = g.feature{on.replace('x.', 'g.')} WHERE isfinite(l.v)),
+c AS (SELECT x.feature, {kx}x.bin, count(*) AS n FROM x GROUP BY ALL),
+b AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
+SELECT g.feature, {kg}b.bin, {r6(f'g.lo + b.bin * ((g.hi - g.lo) / {bins})')} AS bin_lo,
+  {r6(f'g.lo + (b.bin + 1) * ((g.hi - g.lo) / {bins})')} AS bin_hi, coalesce(x.n, 0) AS n
+FROM g CROSS JOIN b LEFT JOIN c x ON x.feature = g.feature AND x.bin = b.bin{on_g}"""
 
 
 HISTOGRAM_SQL = _hist_sql(50, None)
