@@ -266,3 +266,20 @@ def test_substrings(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CROWD", 1)  # every anchor is crowded
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame).collect()}
     assert [got[i] for i in range(len(docs))] == want
+
+
+def test_signs_keep_pairs_at_the_threshold():
+    """One-bit registers differ in about (1 - similarity) / 2; no pair at 0.8 is excluded."""
+    rng = np.random.default_rng(11)
+    most = minhash.most_different(0.8)
+    for shared, own, weight in ((400, 50, 1), (8, 1, 1), (80, 10, 3)):
+        for _ in range(20):
+            ids = rng.integers(0, 1 << 48, shared + 2 * own, dtype=np.uint64)
+            a, b = np.sort(ids[:shared + own]), np.sort(np.concatenate([ids[:shared], ids[shared + own:]]))
+            both = minhash.signs(np.concatenate([a, b]), np.full(len(a) + len(b), weight),
+                                 np.repeat([0, 1], [len(a), len(b)]), 2)
+            differ = int(np.bitwise_count((both[0] ^ both[1]).view(np.uint64)).sum())
+            assert differ <= most
+    a, b = (np.sort(rng.integers(0, 1 << 48, 500, dtype=np.uint64)) for _ in range(2))
+    both = minhash.signs(np.concatenate([a, b]), np.ones(1000, int), np.repeat([0, 1], 500), 2)
+    assert 420 < int(np.bitwise_count((both[0] ^ both[1]).view(np.uint64)).sum()) < 600

@@ -137,7 +137,8 @@ def bands(held: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def signs(value: np.ndarray, weight: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
     """``SIGN_BITS`` one-bit registers of an independent sketch, 64 to a long."""
     held = sketch(mix64(value ^ U(0x5BD1E9955BD1E995)), weight, owner, n_docs, SIGN_BITS)
-    bit = (mix64(held + U(13)) >> U(63)).astype(np.uint8)
+    salt = mix64(np.arange(SIGN_BITS, dtype=np.uint64) + U(13))   # else a shingle has one bit in all registers
+    bit = (mix64(held + salt) >> U(63)).astype(np.uint8)
     return np.packbits(bit, axis=1, bitorder="little").view("<i8")
 
 
