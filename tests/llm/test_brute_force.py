@@ -240,6 +240,23 @@ def test_lm_scores(spark, sf_dir, texts):
         assert r.score == pytest.approx(want, abs=1e-4)
 
 
+def test_lm_every_word_counts(spark):
+    """Words beyond the 2048 most frequent ones have counts of their own, in one chunk or many."""
+    body = [" ".join(f"w{j}" for j in range(3000)) for _ in range(2)]
+    docs = [(1, f"{body[0]} alpha beta alpha beta"), (2, f"{body[1]} gamma delta gamma delta"), (3, "alpha beta"),
+            (4, "gamma delta"), (5, None), (None, "alpha beta")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    one = {r.doc_id: r for r in lm_score.score_documents(docs, labels).collect()}
+    many = {r.doc_id: r for r in lm_score.score_documents(docs, labels, chunk_tokens=1).collect()}
+    assert one[3].score < one[4].score and one[None].score == pytest.approx(one[3].score) and one[5].score is None
+    assert {k: r.score for k, r in one.items()} == pytest.approx({k: r.score for k, r in many.items()})
+    # 5 texts have words, 2 begin with alpha; of 6,014 tokens 4 are alpha and 4 beta, each after an alpha
+    single = lambda n, whole: (n + 0.5) / (whole + 0.5 * (3004 + 2))
+    start, pair = 0.7 * 2 / 5 + 0.3 * single(4, 6014), 0.7 * 4 / 4 + 0.3 * single(4, 6014)
+    assert one[3].background_loss == pytest.approx(-(np.log(start) + np.log(pair)) / 2)
+
+
 def removed(texts, length=400):
     seen = collections.Counter(v[i:i + length] for v in texts for i in range(len(v) - length + 1))
     out = []
