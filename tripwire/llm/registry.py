@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, language_id, licenses, lm_score, minhash, mixing, packing, pii, substrings, warc
+from . import conversations, decontaminate, fingerprints, language_id, licenses, lm_score, minhash, mixing, packing, pii, spelling, substrings, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": substrings.op8_suffix_dedup,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_spelling": spelling.op12_spelling,
     "op13_packing": packing.op13_packing,
 }
 
