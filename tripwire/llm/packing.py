@@ -12,7 +12,7 @@ powers of two.  So no sequence is padded.
 
 Ids are found word by word: a text may be cut before a single space that stands
 between two characters that are no white space, for this pre-tokeniser never
-joins across such a place.  A task remembers the ids of up to ``CACHED`` words.
+joins across such a place.  A task remembers the ids of about ``CACHED`` words.
 A text is handled whole; a group holds its leftovers' ids only, two bytes each.
 Groups are dealt in a written table, so a lost executor repeats the same groups.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,9 +42,11 @@ from .common import materialize, mix64, table
 SEQUENCE = 1024
 END = 0
 GROUP_TOKENS = 1 << 22
-CACHED = 200_000
+CACHED = 500_000
 LONGEST_CACHED = 64
 SEED = 13
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 _DOUBLE = re.compile(r"\s\s").search
 _PARTS = re.compile(r"(?<=\S) (?=\S)").split
 
@@ -61,16 +64,22 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Encoder:
-    """Ids of texts by a byte-level tokenizer; the ids of words are remembered."""
+class Encoder(dict):
+    """Ids of texts by a byte-level tokenizer: a dictionary of words and their ids as
+    32-bit numbers, filled as words come."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        if self.tokenizer.normalizer is not None or "ByteLevel" not in repr(self.tokenizer.pre_tokenizer):
+            raise ValueError("words are cut for byte-level tokenizers without a normalizer")
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model.tokenize
+        self.shown = {c: self.cut(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}  # letters in the model's alphabet
+        self.shown[32] = "\u0120"
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -81,25 +90,27 @@ class Encoder:
             first, *rest = _PARTS(text)
         else:
             first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        return [first, *[" " + x for x in rest]]
+
+    def __missing__(self, part: str) -> bytes:
+        core = part.rstrip(_MARKS)  # marks after a letter are a pre-token of their own
+        if _WORD(core):
+            if len(core) < len(part):
+                ids = self[core] + self[part[len(core):]]
+            else:
+                ids = array("I", [t.id for t in self.model(core.translate(self.shown))]).tobytes()
+        else:
+            ids = array("I", [t.id for p, _ in self.cut(part) for t in self.model(p)]).tobytes()
+        if len(part) <= LONGEST_CACHED:
+            self[part] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of every text, without the closing one."""
-        parts = [self.words(text) for text in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        new = list({w for part in parts for w in part if w not in known})
-        own: dict[str, bytes] = {}  # words too long to remember
-        for a in range(0, len(new), 4096):
-            here = new[a:a + 4096]
-            for word, got in zip(here, self.tokenizer.encode_batch_fast(here, add_special_tokens=False)):
-                (known if len(word) <= LONGEST_CACHED else own)[word] = np.array(got.ids, "<u4").tobytes()
-        for part in parts:
-            if own:
-                yield np.frombuffer(b"".join([known[w] if w in known else own[w] for w in part]), "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(known.__getitem__, part)), "<u4")
+        for text in texts:
+            if len(self) > CACHED:
+                self.clear()
+            yield np.frombuffer(b"".join(map(self.__getitem__, self.words(text))), "<u4")
 
 
 class Tournament:

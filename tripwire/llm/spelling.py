@@ -9,7 +9,9 @@ neighbour.
 One edit lies in the first or in the second half of a word, so there are two
 tries, of the words and of the words read backwards, and in each a word starts at
 the node of its first half, where edits begin; the dense upper levels need no
-states.  Nodes are 64-bit hashes of prefixes; a node is kept where words start,
+states.  After its edit a state must find the rest of its word unchanged below its
+node, so a node keeps two bitmaps of (length of the rest, last three code points)
+of the words below it, and states that they exclude are dropped at once.  Nodes are 64-bit hashes of prefixes; a node is kept where words start,
 end or part, and an edge carries the text between two kept nodes, so the number
 of levels follows the branching of the vocabulary and not the length of its
 longest word.  Every neighbour is compared with its word once more, so a
@@ -45,6 +47,8 @@ FORM_RATIO = 10
 HELD_WORDS = 400_000
 SALT_WORDS = 20_000  # states of a node under one salt
 MOST_HOT = 2_000
+TAIL = 3  # code points of a word's end that a node's bitmaps tell apart
+TAIL_BASE = 331
 _RUNS = re.compile(r"[A-Za-zÀ-ÿ]{%d,}" % LEAST_LENGTH).findall
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -87,9 +91,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """(wid, back, depth, node, next, starts, n): the nodes a word passes from the first
-    half on, in both tries; ``next`` is the code point that follows, -1 at the word's
-    end, where ``n`` is its count; ``starts`` where the word's frontier begins."""
+    """(wid, back, depth, node, next, starts, n, rest, tail): the nodes a word passes from
+    the first half on, in both tries; ``next`` is the code point that follows, -1 at the
+    word's end, where ``n`` is its count; ``starts`` where the word's frontier begins;
+    ``tail`` stands for the last of the ``rest`` code points that follow."""
 
     def walk(batches):
         for pdf in batches:
@@ -101,12 +106,16 @@ def prefixes(words: DataFrame) -> DataFrame:
                 for back in (0, 1):
                     line = codes[:, ::-1] if back else codes
                     node = np.full(len(here), 0x51ED27 + back, np.uint64)
+                    tails = [np.zeros(len(here), np.int64)]
+                    for j in range(TAIL):
+                        tails.append(tails[-1] + line[:, -1 - j] * TAIL_BASE ** j)
                     for depth in range(size + 1):
                         ends = depth == size
                         if depth >= (size - 1) // 2:  # shorter neighbours start one level above
                             yield pd.DataFrame({
                                 "wid": wid, "back": back, "depth": depth, "node": node.view(np.int64),
-                                "next": -1 if ends else line[:, depth], "starts": depth == size // 2, "n": n if ends else 0})
+                                "next": -1 if ends else line[:, depth], "starts": depth == size // 2, "n": n if ends else 0,
+                                "rest": size - depth, "tail": tails[min(TAIL, size - depth)]})
                         if not ends:
                             node = mix64(node * np.uint64(0x9E3779B97F4A7C15) + line[:, depth].astype(np.uint64) + np.uint64(1))
 
@@ -122,30 +131,42 @@ def prefixes(words: DataFrame) -> DataFrame:
             yield pd.concat(held)
 
     return words.select("wid", "word", "n").mapInPandas(
-        joined, "wid long, back int, depth int, node long, next int, starts boolean, n long")
+        joined, "wid long, back int, depth int, node long, next int, starts boolean, n long, rest int, tail long")
+
+
+def _bits(rest, tail):
+    """The places of a (rest, tail) in a node's two bitmaps."""
+    h = F.xxhash64(rest, tail)
+    one = F.lit(1).cast("long")
+    return [F.call_function("shiftleft", one, F.pmod(x, F.lit(64)).cast("int")) for x in (h, F.shiftright(h, 20))]
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first frontier and the edges of both tries.
 
-    Frontier: (wid, word, pos, node, width, edits), the word read in the trie's
-    direction.  Edges: (node, salt, label, child, child_width, child_on, near, near_n):
-    ``child_on`` if edges leave the child, ``near`` the word that ends there."""
+    Frontier: (wid, left, node, width, edits), ``left`` what follows the state's position
+    in its word, read in the trie's direction.  Edges: (node, salt, first, label, child, child_width, child_on, near,
+    near_n, below0, below1): ``first`` begins the label, ``child_on`` if edges leave the
+    child, ``near`` the word that ends there, ``below`` its bitmaps."""
     passed = prefixes(words)
     nodes = materialize(
         passed.groupBy("node").agg(F.count("*").alias("words"), F.min("next").alias("least"), F.max("next").alias("most"),
-                                   F.max("starts").alias("starts"), F.max("n").alias("end_n"))
+                                   F.max("starts").alias("starts"), F.max("n").alias("end_n"),
+                                   *[F.bit_or(b).alias(f"below{k}") for k, b in enumerate(_bits(F.col("rest"), F.col("tail")))])
         .where("starts or least = -1 or least <> most")
         .select("node", "words", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("width"),
-                (F.col("most") >= 0).alias("on"), (F.col("least") == -1).alias("ends"), "end_n"), "nodes")
+                (F.col("most") >= 0).alias("on"), (F.col("least") == -1).alias("ends"), "end_n", "below0", "below1"), "nodes")
     total = nodes.agg(F.sum("words")).first()[0] or 0
     crowd = max(SALT_WORDS, total // MOST_HOT)  # fewer than MOST_HOT nodes hold that many
     hot, cold = nodes.where(F.col("words") > crowd), nodes.where(F.col("words") <= crowd)
     at = passed.select("wid", "back", "depth", "node", "starts")
-    steps = at.join(F.broadcast(hot), "node").unionByName(
-        at.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold, "node"))
+    if hot.isEmpty():
+        steps = at.join(nodes.hint("shuffle_hash"), "node")
+    else:
+        steps = at.join(F.broadcast(hot), "node").unionByName(
+            at.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold.hint("shuffle_hash"), "node"))
     paths = steps.groupBy("wid").agg(F.collect_list(F.struct(
-        "back", "depth", "node", "width", "on", "ends", "end_n", "starts")).alias("steps")) \
+        "back", "depth", "node", "width", "on", "ends", "end_n", "starts", "below0", "below1")).alias("steps")) \
         .join(words, "wid") \
         .select("wid", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"), "steps", "word") \
         .select("wid", "back", F.when(F.col("back") == 1, F.reverse("word")).otherwise(F.col("word")).alias("word"),
@@ -161,43 +182,59 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
             a["node"].alias("node"), a["width"].alias("width"),
             F.substring(F.col("word"), a["depth"] + 1, b["depth"] - a["depth"]).alias("label"),
             b["node"].alias("child"), b["width"].alias("child_width"), b["on"].alias("child_on"),
-            end(b).alias("near"), b["end_n"].alias("near_n"))
+            end(b).alias("near"), b["end_n"].alias("near_n"), b["below0"].alias("below0"), b["below1"].alias("below1"))
 
     count = F.size("steps")
     pairs = F.zip_with(F.slice("steps", F.lit(1), count - 1), F.slice("steps", F.lit(2), count - 1), edge)
     edges = paths.select(F.explode(pairs).alias("e")).select("e.*").distinct() \
+        .withColumn("first", F.substring("label", 1, 1)) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).drop("width")
     begin = F.filter("steps", lambda s: s["starts"])[0]
-    frontier = paths.select("wid", "word", begin["depth"].alias("pos"), begin["node"].alias("node"),
-                            begin["width"].alias("width"), F.lit(0).alias("edits"))
+    frontier = paths.select("wid", F.substring(F.col("word"), begin["depth"] + 1, F.length("word")).alias("left"),
+                            begin["node"].alias("node"), begin["width"].alias("width"), F.lit(0).alias("edits"))
     return frontier, materialize(edges, "edges")
 
 
 def advance(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """The frontier one level below; ``near`` and ``near_n`` where a state names a neighbour."""
-    word, label, pos = F.col("word"), F.col("label"), F.col("pos")
-    size, m = F.length("word"), F.length("label")
-
-    def move(taken, edits):
-        return F.struct((pos + taken).alias("pos"), edits.cast("int").alias("edits"))
-
-    def edited(taken):
-        read = F.substring(word, pos + 1, taken)
-        return F.when((F.col("edits") == 0) & (pos + taken <= size) & (F.levenshtein(read, label, 1) == 1), move(taken, F.lit(1)))
-
-    moves = F.filter(F.array(
-        F.when(F.substring(word, pos + 1, m) == label, move(m, F.col("edits"))),
-        edited(m), edited(m - 1), edited(m + 1)), lambda x: x.isNotNull())
-    moved = frontier.withColumn("salt", F.pmod(F.hash("wid"), F.col("width"))) \
-        .join(edges, ["node", "salt"]) \
-        .select("wid", "word", F.explode(moves).alias("to"), "child", "child_width", "child_on", "near", "near_n")
-    at, edits = F.col("to.pos"), F.col("to.edits")
-    names = F.col("near").isNotNull() & (((edits == 1) & (at == size)) | ((edits == 0) & (at == size - 1)))
-    on = F.col("child_on") & ((edits == 0) | (at < size))
+    """The frontier one level below; ``near`` and ``near_n`` where a state names a neighbour.
+    A state with its edit done takes the one edge that begins with its next code point."""
+    left, label, taken = F.col("left"), F.col("label"), F.col("taken")
+    size, m = F.length("left"), F.length("label")
+    sums = [F.lit(0).cast("long")]  # of the last code points, as in prefixes()
+    for j in range(TAIL):
+        sums.append(sums[-1] + F.ascii(F.substring(left, -1 - j, 1)).cast("long") * F.lit(TAIL_BASE ** j))
+    salted = frontier.withColumns({"salt": F.pmod(F.hash("wid"), F.col("width")), "tails": F.array(*sums),
+                                   "next": F.substring(left, 1, 1)})
+    bits = _bits(size - taken, F.get("tails", F.least(size - taken, F.lit(TAIL))))
+    fits = (taken <= size) & (F.col("below0").bitwiseAND(bits[0]) != 0) & (F.col("below1").bitwiseAND(bits[1]) != 0)
+    edges = edges.hint("shuffle_hash")
+
+    def joined(states, other):
+        keys = ["node", "salt"] + ([] if other else ["first"])
+        states = states if other else states.withColumn("first", F.col("next"))
+        return states.drop("edits").join(edges, keys)
+
+    begun, done = salted.where("edits = 0"), salted.where("edits = 1")
+    # the edge that begins with the next code point: it, or one edit within it
+    along = joined(begun, False).withColumn("taken", F.explode(F.array(F.lit(-1), m - 1, m, m + 1)))
+    along = along.where(((taken == -1) & F.startswith(left, label)) | (
+        (taken >= 0) & fits & (F.levenshtein(F.substring(left, F.lit(1), taken), label, 1) == 1)))
+    # any other edge: the edit is its first code point, the rest of the label follows
+    other = joined(begun, True).where(F.col("next") != F.col("first")).withColumn("taken", F.explode(F.array(m - 1, m, m + 1)))
+    other = other.where(fits & (F.substring(left, F.when(taken < m, 1).otherwise(2), F.when(taken > m, m).otherwise(m - 1))
+                                == F.when(taken > m, label).otherwise(F.substring(label, F.lit(2), m))))
+    # the edit is done: the edge that begins with the next code point, unchanged
+    exact = joined(done, False).withColumn("taken", m).where(F.startswith(left, label) & fits)
+    moved = along.select("*", F.when(taken == -1, 0).otherwise(1).alias("edits")).withColumn("taken", F.when(taken == -1, m).otherwise(taken)) \
+        .unionByName(other.withColumn("edits", F.lit(1)), allowMissingColumns=True) \
+        .unionByName(exact.withColumn("edits", F.lit(1)), allowMissingColumns=True)
+    rest = size - F.col("taken")
+    names = F.col("near").isNotNull() & (((F.col("edits") == 1) & (rest == 0)) | ((F.col("edits") == 0) & (rest == 1)))
+    on = F.col("child_on") & ((F.col("edits") == 0) | (rest > 0))
     return moved.select(
-        "wid", "word", at.alias("pos"), F.col("child").alias("node"), F.col("child_width").alias("width"), edits.alias("edits"),
-        on.alias("on"), F.when(names, F.col("near")).alias("near"), F.when(names, F.col("near_n")).alias("near_n")) \
-        .where("on or near is not null")
+        "wid", F.substring(left, F.col("taken") + 1, size).alias("left"), F.col("child").alias("node"),
+        F.col("child_width").alias("width"), "edits", on.alias("on"), F.when(names, F.col("near")).alias("near"),
+        F.when(names, F.col("near_n")).alias("near_n")).where("on or near is not null")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
