@@ -11,7 +11,7 @@ from tripwire.functions.metrics import with_metrics
 from tripwire.functions.quantiles import exact_percentiles
 from tripwire.functions.rowkey import ordered_index
 from tripwire.operators import compare, prep, profile
-from tripwire.operators.learners import SEAPool, pool_vote, replace_index
+from tripwire.operators.learners import SEAPool, member_accuracy, pool_vote, replaced_slot, warmup_chunks
 from tripwire.plans.cascade import _eval_metric
 
 # --- golden values: confusion counts and published metrics of the 12 stored runs
@@ -75,14 +75,18 @@ def test_confusion_zero_div(spark):
     assert r.precision_anomaly == 0.0 and r.f1_anomaly == 0.0 and r.recall_anomaly == 0.0
 
 
-def test_vote_tie():
-    votes = np.array([[1, 0], [1, 0], [0, 0], [0, 1]])
-    assert pool_vote(votes).tolist() == [1, 0]           # 2 of 4 → attack
-    assert pool_vote(np.zeros((0, 3))).tolist() == [0, 0, 0]
+def test_vote_tie(spark):
+    df = spark.createDataFrame([(1, 1, 0, 0), (0, 0, 0, 1)], "a int, b int, c int, d int")
+    assert [r[0] for r in df.select(pool_vote([F.col(c) for c in "abcd"])).collect()] == [1, 0]   # 2 of 4 → attack
+    assert [r[0] for r in df.select(pool_vote([])).collect()] == [0, 0]
 
 
-def test_pool_prune_first_on_tie():
-    assert replace_index([0.9, 0.5, 0.5, 0.7, 0.6]) == 1
+def test_pool_prune_first_on_tie(spark):
+    df = spark.createDataFrame([([0.9, 0.5, 0.5, 0.7, 0.6],)], "acc array<double>")
+    assert df.select(replaced_slot(F.col("acc"))).first()[0] == 1
+    votes = spark.createDataFrame([(1, 1, 0, 1), (0, 1, 0, 1), (1, 0, 0, 0)], "ANOMALY int, a int, b int, f int")
+    got = votes.agg(member_accuracy([F.col("a"), F.col("b")], F.col("f") == 1)).first()[0]
+    assert got == [0.5, 0.5]
 
 
 def test_single_class_batch_is_noop(spark):
@@ -99,11 +103,9 @@ def test_last_short_batch(spark):
 
 
 def test_warmup_chunks(spark):
-    n, size = 13, max(1, 13 // 5)
-    df = spark.createDataFrame([(i,) for i in range(n)], "ord long")
-    idx = ordered_index(df, ["ord"], name="rk").withColumn("chunk", F.floor(F.col("rk") / size))
-    used = idx.filter(F.col("chunk") < 5).count()
-    assert size == 2 and used == 10                      # rows 11-13 unused
+    df = spark.createDataFrame([(i,) for i in range(13)], "ord long")
+    used = warmup_chunks(ordered_index(df, ["ord"], name="rk"), 13, 5, index="rk", name="chunk")
+    assert sorted((r.ord, r.chunk) for r in used.collect()) == [(i, i // 2) for i in range(10)]   # rows 11-13 unused
 
 
 def test_ordered_index_dense_per_group(spark):
@@ -121,7 +123,7 @@ def test_exact_percentiles_match_numpy(spark, n):
     vals = np.round(rng.exponential(3.0, n), 1)           # many ties
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.55, 0.75, 0.99, 1.0]
-    got = exact_percentiles(df, ["v"], qs, bins=8, collect_limit=50)
+    got = exact_percentiles(df, ["v"], qs, collect_limit=50)
     for q in qs:
         assert math.isclose(got[("", "v", q)], float(np.percentile(vals, q * 100)), rel_tol=1e-12,
                             abs_tol=1e-12)
@@ -196,19 +198,6 @@ def test_raw_csv_formats(spark, tmp_path):
         get_raw_format("nope")
 
 
-def test_step_combine_matches_direct_mix(spark):
-    """Tree-combined parameter mixing equals the direct weighted average."""
-    from tripwire.operators.learners import FANIN, STEP_SCHEMA, _mix, collect_steps
-
-    rows = [(1, 0, 0, 1, 2, 2, k, [float(k), 2.0 * k], [1.0]) for k in range(1, 81)]
-    df = spark.createDataFrame(rows, STEP_SCHEMA).repartition(FANIN * 2)
-    got = collect_steps(df)
-    assert len(got) <= FANIN and sum(r.n for r in got) == 160
-    mixed = _mix(got, np.zeros(2))
-    direct = _mix(spark.createDataFrame(rows, STEP_SCHEMA).collect(), np.zeros(2))
-    assert np.allclose(mixed, direct)
-
-
 def test_class_distribution_keeps_null_and_unlisted_classes(spark):
     from tripwire.operators.profile import class_distribution
 
@@ -253,3 +242,47 @@ def test_batches_in_any_order_are_applied_once(spark, tmp_path):
     again = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag", 0)
     again(batch(1), 0)
     assert again.total.n == 60 and again.learner.seen == 60
+
+
+def test_encoder_joins_large_dictionaries(spark, monkeypatch):
+    """Shuffled dictionary with hot values, unseen values, quartiles of the codes."""
+    rows = [("hot", "x")] * 400 + [(f"v{i:03d}" if i % 50 else None, f"b{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "p string, q string").repartition(6)
+    codes = {v: i for i, v in enumerate(sorted({p or "nan" for p, _ in rows}))}
+    for limit, block in ((100_000, 10_000), (10, 7)):
+        monkeypatch.setattr(prep, "BROADCAST_CODES", limit)
+        monkeypatch.setattr(prep, "_CODE_BLOCK", block)
+        enc = prep.fit_ordinal(df, ["p", "q"])
+        assert enc.sizes == {"p": len(codes), "q": 4} and enc.rows == {"p": 700, "q": 700}
+        got = enc.transform(df.withColumn("raw", F.col("p")))
+        assert got.columns == ["p", "q", "raw"]
+        assert sorted((r.raw or "nan", r.p) for r in got.collect()) == sorted((p or "nan", codes[p or "nan"]) for p, _ in rows)
+        want = np.quantile([codes[p or "nan"] for p, _ in rows], [0.25, 0.5, 0.8])
+        assert np.allclose([enc.code_percentiles(["p"], [0.25, 0.5, 0.8])["p", q] for q in (0.25, 0.5, 0.8)], want)
+        new = spark.createDataFrame([("hot", "b0"), ("new", "b1")], "p string, q string")
+        enc.unseen = "keep"
+        assert {r.p for r in enc.transform(new).collect()} == {codes["hot"], len(codes)}
+        enc.unseen = "error"
+        with pytest.raises(Exception, match="unseen label in p: new"):
+            enc.transform(new).collect()
+    assert prep.encode_independent(df, ["q"]).agg(F.max("q")).first()[0] == 3
+
+
+def test_exact_percentiles_narrow_in_groups(spark):
+    """Many passes: few rows may be fetched, ties, infinities, gaps, groups of their own."""
+    rng = np.random.default_rng(4)
+    vals = np.concatenate([rng.normal(size=4000), np.repeat([0.5, -1.0], 1500), [np.inf, -np.inf, 1e308]])
+    rows = [("a" if i % 3 else "b", float(v), float(i % 5)) for i, v in enumerate(vals)] + [("c", None, float("nan")), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    qs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.9995, 1.0]
+    for limit in (3, 100_000):
+        got = exact_percentiles(df, ["v", "w"], qs, group_col="g", collect_limit=limit)
+        assert not any(k[0] == "c" for k in got)
+        for g in "ab":
+            for c, k in (("v", 1), ("w", 2)):
+                own = sorted(r[k] for r in rows if r[0] == g)
+                for q in qs:
+                    pos = q * (len(own) - 1)
+                    lo, hi = own[int(pos)], own[min(int(pos) + 1, len(own) - 1)]
+                    want = lo if pos == int(pos) or lo == hi else lo + (hi - lo) * (pos - int(pos))
+                    assert got[g, c, q] == want, (g, c, q, limit)

@@ -1,187 +1,41 @@
 """Stage-2 online learners.
 
-A learner keeps its parameters on the driver (a few thousand doubles at
-most).  Rows never leave the executors: they are dealt into blocks of about
-``BLOCK_ROWS`` rows by a hash of the row key, each block predicts with the
-current parameters and trains a local copy on its rows in key order; the driver
-receives confusion counts and parameter vectors and mixes the parameters
-weighted by row count (parameter mixing, Zinkevich et al. 2010).  Blocks depend
-on the rows alone, so a model is the same for any number of partitions; a
-stream batch of up to ``BLOCK_ROWS`` rows is one block.
-
-Kernels (numpy, per block):
-
-* ``SGDLogistic``: log-loss SGD with L2 (alpha 1e-4) and the "optimal"
-  step 1 / (alpha (t0 + t)), one pass per update;
-* ``OnlineMLP``: one hidden ReLU layer (100 units), sigmoid output, Adam
-  (lr 1e-3), mini-batches of 200, one epoch per update;
-* ``SEAPool``: up to 5 MLPs (50 units) each fitted from scratch on one
-  batch (≤ 50 epochs); majority vote with ties to attack; a full pool
+A learner keeps its parameters on the driver (a few thousand doubles at most).
+Rows never leave the executors: a step predicts a batch with the parameters from
+before it and then updates them from sums over all of the batch's flagged rows,
+so a batch may have any size and a model does not depend on how its rows are
+partitioned (up to the order of floating-point sums).
+
+* ``SGDLogistic``: logistic loss with L2 (alpha 1e-4).  One aggregation gives a
+  batch's confusion counts, gradient and squared feature sums; one synchronous
+  step follows, every coordinate divided by a bound of its curvature (the
+  Hessian is at most (d + 1) / 4 times the diagonal of squares, so the loss of
+  the batch cannot rise).  The first pass takes ``warm_steps`` such steps.
+* ``OnlineMLP``: a network with one hidden layer (100 units), warm-started from
+  the weights of the batch before; every iteration sums the gradient of all
+  partitions (``MultilayerPerceptronClassifier``).
+* ``SEAPool``: up to 5 networks (50 units) each fitted from scratch on one batch
+  (at most 50 iterations); majority vote with ties to attack; a full pool
   replaces its least accurate member on the new batch (first on ties);
-  single-class batches change nothing.
+  single-class batches and fits without finite weights change nothing.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import confusion_aggs
 from ..sources.catalog import LABEL
 
-STEP_SCHEMA = ("tn long, fp long, fn long, tp long, n long, n_flagged long, "
-               "n_train long, params array<double>, extra array<double>")
-
-
-#: rows that one local copy trains on (expected; blocks are cut by a hash)
-BLOCK_ROWS = 50_000
-BLOCK_SCHEMA = f"block long, {STEP_SCHEMA}"
-
-
-# ---------------------------------------------------------------- numpy kernels
-def _sigmoid(z):
-    return 0.5 * (1.0 + np.tanh(0.5 * z))
-
-
-class SGDKernel:
-    alpha = 1e-4
-
-    @staticmethod
-    def init(d: int, seed: int) -> np.ndarray:
-        # weights, intercept, step counter t
-        return np.zeros(d + 2)
-
-    @staticmethod
-    def predict(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-        d = x.shape[1]
-        return (x @ p[:d] + p[d] > 0).astype(np.int64)
-
-    @classmethod
-    def train(cls, p: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-        d = x.shape[1]
-        w, b, t = p[:d].copy(), float(p[d]), float(p[d + 1])
-        alpha = cls.alpha
-        typw = math.sqrt(1.0 / math.sqrt(alpha))
-        t0 = 1.0 / (alpha * typw)
-        ys = np.where(y > 0, 1.0, -1.0)
-        order = np.random.default_rng(seed).permutation(len(x))
-        for i in order:
-            eta = 1.0 / (alpha * (t0 + t))
-            z = ys[i] * (x[i] @ w + b)
-            g = -ys[i] / (1.0 + math.exp(z)) if z < 30 else -ys[i] * math.exp(-z)
-            w *= (1.0 - eta * alpha)
-            w -= eta * g * x[i]
-            b -= eta * g
-            t += 1.0
-        return np.concatenate([w, [b, t]])
-
-
-class MLPKernel:
-    """One hidden ReLU layer, logistic output, Adam; params flattened with
-    Adam moments and step count so that they mix and persist as one vector."""
-
-    lr, beta1, beta2, eps, alpha, batch = 1e-3, 0.9, 0.999, 1e-8, 1e-4, 200
-
-    def __init__(self, hidden: int):
-        self.h = hidden
-
-    def sizes(self, d):
-        return d * self.h, self.h, self.h, 1
-
-    def n_weights(self, d):
-        return sum(self.sizes(d))
-
-    def init(self, d: int, seed: int) -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        b1 = math.sqrt(6.0 / (d + self.h))
-        b2 = math.sqrt(6.0 / (self.h + 1))
-        w = np.concatenate([rng.uniform(-b1, b1, d * self.h), rng.uniform(-b1, b1, self.h),
-                            rng.uniform(-b2, b2, self.h), rng.uniform(-b2, b2, 1)])
-        nw = len(w)
-        return np.concatenate([w, np.zeros(2 * nw), [0.0]])
-
-    def unpack(self, p, d):
-        nw = self.n_weights(d)
-        w = p[:nw]
-        W1 = w[:d * self.h].reshape(d, self.h)
-        c1 = w[d * self.h:d * self.h + self.h]
-        W2 = w[d * self.h + self.h:d * self.h + 2 * self.h]
-        c2 = w[-1]
-        return W1, c1, W2, c2
-
-    def proba(self, p, x):
-        W1, c1, W2, c2 = self.unpack(p, x.shape[1])
-        hid = np.maximum(x @ W1 + c1, 0.0)
-        return _sigmoid(hid @ W2 + c2)
-
-    def predict(self, p, x):
-        return (self.proba(p, x) > 0.5).astype(np.int64)
-
-    def train(self, p, x, y, seed, epochs: int = 1, tol: float = 1e-4, patience: int = 10):
-        d = x.shape[1]
-        nw = self.n_weights(d)
-        w, m, v, step = p[:nw].copy(), p[nw:2 * nw].copy(), p[2 * nw:3 * nw].copy(), float(p[-1])
-        rng = np.random.default_rng(seed)
-        n = len(x)
-        bs = min(self.batch, n)
-        best, stall = np.inf, 0
-        for _ in range(epochs):
-            order = rng.permutation(n)
-            loss_sum = 0.0
-            for s in range(0, n, bs):
-                idx = order[s:s + bs]
-                xb, yb = x[idx], y[idx].astype(np.float64)
-                W1 = w[:d * self.h].reshape(d, self.h)
-                c1 = w[d * self.h:d * self.h + self.h]
-                W2 = w[d * self.h + self.h:d * self.h + 2 * self.h]
-                c2 = w[-1]
-                a1 = xb @ W1 + c1
-                hid = np.maximum(a1, 0.0)
-                out = _sigmoid(hid @ W2 + c2)
-                pr = np.clip(out, 1e-12, 1 - 1e-12)
-                loss_sum += -np.sum(yb * np.log(pr) + (1 - yb) * np.log(1 - pr))
-                k = len(idx)
-                delta2 = (out - yb) / k
-                gW2 = hid.T @ delta2 + self.alpha * W2 / k
-                gc2 = delta2.sum()
-                delta1 = np.outer(delta2, W2) * (a1 > 0)
-                gW1 = xb.T @ delta1 + self.alpha * W1 / k
-                gc1 = delta1.sum(axis=0)
-                g = np.concatenate([gW1.ravel(), gc1, gW2, [gc2]])
-                step += 1.0
-                m = self.beta1 * m + (1 - self.beta1) * g
-                v = self.beta2 * v + (1 - self.beta2) * g * g
-                lr_t = self.lr * math.sqrt(1 - self.beta2 ** step) / (1 - self.beta1 ** step)
-                w -= lr_t * m / (np.sqrt(v) + self.eps)
-            loss = loss_sum / n
-            if loss > best - tol:
-                stall += 1
-                if stall > patience:
-                    break
-            else:
-                stall = 0
-            best = min(best, loss)
-        return np.concatenate([w, m, v, [step]])
-
-
-# ---------------------------------------------------------------- Spark glue
-def _xy(pdf: pd.DataFrame, features: Sequence[str]):
-    x = pdf[list(features)].to_numpy(dtype=np.float64)
-    y = pdf[LABEL].to_numpy(dtype=np.int64)
-    if np.isnan(x).any():
-        raise ValueError("null or NaN features: impute or drop such rows before stage 2")
-    return x, y
-
-
-def _counts(y, p):
-    return (int(((y == 0) & (p == 0)).sum()), int(((y == 0) & (p == 1)).sum()),
-            int(((y == 1) & (p == 0)).sum()), int(((y == 1) & (p == 1)).sum()))
-
 
 @dataclass
 class StepResult:
@@ -197,222 +51,249 @@ class StepResult:
             setattr(self, k, getattr(self, k) + getattr(other, k))
 
 
-def _mix(rows, base: np.ndarray) -> np.ndarray:
-    """Row-count weighted average of partition parameter vectors."""
-    got = [(np.asarray(r.params, dtype=np.float64), r.n_train) for r in rows
-           if r.params is not None and r.n_train > 0]
-    if not got:
-        return base
-    tot = sum(k for _, k in got)
-    return sum(p * (k / tot) for p, k in got)
+def _total(cond: Column) -> Column:
+    return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
-FANIN = 32          # at most this many parameter vectors reach the driver
-
+class Learner:
+    """L1: ``warmup(df)``, ``step(batch_df) -> StepResult`` (predict with
+    the parameters before the batch, then update on its flagged rows),
+    ``hyperparams()``; ``state()`` / ``load(state)`` for persistence."""
 
-def _combine_groups(it):
-    """Sum the per-partition rows of one combine group: counts add, and the
-    parameter vectors are merged into their row-count weighted average."""
-    frames = [f for f in it if len(f)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    out = {c: [int(pdf[c].sum())] for c in ("tn", "fp", "fn", "tp", "n", "n_flagged", "n_train")}
-    have = [(np.asarray(p, dtype=np.float64), k) for p, k in zip(pdf["params"], pdf["n_train"])
-            if p is not None and k > 0]
-    tot = sum(k for _, k in have)
-    out["params"] = [(sum(p * (k / tot) for p, k in have)).tolist() if have else None]
-    ex = [np.asarray(e, dtype=np.float64) for e in pdf["extra"] if e is not None]
-    out["extra"] = [sum(ex).tolist() if ex else None]
-    yield pd.DataFrame(out)
+    name = "learner"
 
+    def __init__(self, features: Sequence[str], seed: int = 42):
+        self.features = list(features)
+        self.seed = seed
+        self.updates = 0
 
-def collect_steps(step_df: DataFrame):
-    """Collect per-partition step rows; with many partitions they are first
-    merged in ≤ FANIN groups on the executors (a one-level tree aggregate),
-    so the driver's intake does not grow with the input."""
-    if step_df.rdd.getNumPartitions() > FANIN:
-        step_df = step_df.repartition(FANIN).mapInPandas(_combine_groups, STEP_SCHEMA)
-    return step_df.collect()
+    def hyperparams(self) -> dict:
+        return {}
 
+    def _flag(self, flag_col: str | None) -> Column:
+        return F.col(flag_col) == 1 if flag_col else F.lit(True)
 
-def by_block(df: DataFrame, cols: Sequence[str], rows: int | None):
-    """(grouped rows, number of blocks): ``cols`` grouped by a block that only the
-    row's key decides, for ``rows`` rows (counted if not given).  The key is
-    ``row_key``; without that column it is the whole row, so equal rows share a
-    block then."""
-    n = df.count() if rows is None else rows
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    key = ["row_key"] if "row_key" in df.columns else list(cols)
-    dealt = df.select(*cols, F.xxhash64(*key).alias("_order"))
-    return dealt.groupBy(F.pmod("_order", F.lit(blocks)).cast("long").alias("block")), blocks
+    def _rows(self, df: DataFrame, flag_col: str | None) -> DataFrame:
+        return df.select(*self.features, LABEL, *([flag_col] if flag_col else []))
 
+    def _aggs(self, pred: Column, flag: Column) -> list[Column]:
+        """the cascade's prediction is the learner's on flagged rows, 0 elsewhere."""
+        missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in self.features]
+        anywhere = F.lit(False)
+        for m in missing:
+            anywhere = anywhere | m
+        return [*confusion_aggs(F.col(LABEL), F.when(flag, pred).otherwise(0)), F.count(F.lit(1)).alias("n"),
+                _total(flag).alias("n_flagged"), _total(flag & (F.col(LABEL) == 1)).alias("n_pos"),
+                _total(anywhere).alias("n_bad")]
 
-def _combine_blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = next(_combine_groups([pdf.sort_values("block")]))
-    out.insert(0, "block", [key[0]])
-    return out
+    @staticmethod
+    def _result(row) -> StepResult:
+        if row.n_bad:
+            raise ValueError("null or NaN features: impute or drop such rows before stage 2")
+        return StepResult(*(row[k] or 0 for k in ("tn", "fp", "fn", "tp", "n", "n_flagged")))
 
+    # -- override
+    def state(self) -> dict: ...
+    def load(self, state: dict) -> None: ...
+    def evaluate(self, df: DataFrame, flag_col: str | None = "s1_flag") -> StepResult: ...
+    def step(self, batch: DataFrame, flag_col: str | None = "s1_flag", rows: int | None = None) -> StepResult: ...
+    def warmup(self, flagged_train: DataFrame) -> int: ...
+
+    def _warned(self, n: int) -> int:
+        if not n:
+            warnings.warn("no flagged training rows: the learner starts without a warm-up", stacklevel=3)
+        return n
 
-def collect_blocks(step_df: DataFrame, blocks: int):
-    """The step rows in block order; many blocks are merged in FANIN groups first."""
-    if blocks > FANIN:
-        step_df = step_df.groupBy(F.pmod("block", F.lit(FANIN)).alias("g")) \
-            .applyInPandas(_combine_blocks, BLOCK_SCHEMA)
-    return sorted(step_df.collect(), key=lambda r: r.block)
 
+class SGDLogistic(Learner):
+    """L2: online logistic regression, one synchronous step per batch."""
 
-class Learner:
-    """L1: ``warmup(df)``, ``step(batch_df) -> StepResult`` (predict with
-    the parameters before the batch, then update on its flagged rows),
-    ``hyperparams()``; ``state()`` / ``load(state)`` for persistence."""
+    name = "sgd_classifier"
+    alpha = 1e-4
 
-    name = "learner"
+    def __init__(self, features, seed: int = 42, warm_steps: int = 10):
+        super().__init__(features, seed)
+        self.warm_steps = warm_steps
+        self.params = np.zeros(len(self.features) + 1)   # weights, intercept
 
-    def __init__(self, features: Sequence[str], seed: int = 42):
-        self.features = list(features)
-        self.seed = seed
-        self.updates = 0
+    def hyperparams(self):
+        return {"loss": "log_loss", "random_state": self.seed}
 
-    # -- override
-    def _kernel_init(self) -> np.ndarray: ...
-    def _predict(self, p, x): ...
-    def _train(self, p, x, y, seed): ...
-    def hyperparams(self) -> dict: return {}
-
-    # -- shared
-    def _ensure(self):
-        if getattr(self, "params", None) is None:
-            self.params = self._kernel_init()
-
-    def state(self) -> dict:
-        """Parameters plus the update counter (it seeds each update's shuffle)."""
-        self._ensure()
+    def state(self):
         return {"params": [float(v) for v in self.params], "updates": self.updates}
 
-    def load(self, state: dict) -> None:
+    def load(self, state):
         self.params = np.asarray(state["params"], dtype=np.float64)
         self.updates = int(state["updates"])
 
-    def _run(self, df: DataFrame, flag_col: str | None, train: bool,
-             rows: int | None = None) -> StepResult:
-        self._ensure()
-        params, feats = self.params, self.features
-        seed = self.seed + self.updates
-        predict_fn, train_fn = self._predict, self._train
-
-        def one(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
-            # predictions use the parameters from before the batch
-            x, y = _xy(pdf, feats)
-            flagged = (pdf[flag_col].to_numpy() == 1) if flag_col else np.ones(len(pdf), bool)
-            pred = np.zeros(len(pdf), dtype=np.int64)
-            if flagged.any():
-                pred[flagged] = predict_fn(params, x[flagged])
-            tn, fp, fn, tp = _counts(y, pred)
-            k = int(flagged.sum()) if train else 0
-            cur = train_fn(params.copy(), x[flagged], y[flagged], seed + block) if k else None
-            return pd.DataFrame({"block": [block], "tn": [tn], "fp": [fp], "fn": [fn], "tp": [tp],
-                                 "n": [len(pdf)], "n_flagged": [int(flagged.sum())], "n_train": [k],
-                                 "params": [cur.tolist() if k else None], "extra": [None]})
-
-        def group(key, pdf):
-            return one(int(key[0]), pdf.sort_values(["_order", *feats, LABEL], kind="stable"))
-
-        def stream(it):                  # counts only: any split of the rows will do
-            for pdf in it:
-                yield one(0, pdf)
-
-        cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
-        if train:
-            dealt, blocks = by_block(df, cols, rows)
-            got = collect_blocks(dealt.applyInPandas(group, BLOCK_SCHEMA), blocks)
-        else:
-            got = collect_steps(df.select(*cols).mapInPandas(stream, BLOCK_SCHEMA).drop("block"))
-        res = StepResult()
-        for r in got:
-            res.add(StepResult(r.tn, r.fp, r.fn, r.tp, r.n, r.n_flagged))
+    def margin(self) -> Column:
+        z = F.lit(float(self.params[-1]))
+        for c, w in zip(self.features, self.params):
+            z = z + F.lit(float(w)) * F.col(c)
+        return z
+
+    def _pass(self, df: DataFrame, flag_col: str | None, train: bool) -> StepResult:
+        flag = self._flag(flag_col)
+        rows = self._rows(df, flag_col).withColumn("_z", self.margin())
+        aggs = self._aggs((F.col("_z") > 0).cast("int"), flag)
         if train:
-            self.params = _mix(got, self.params)
+            r = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))) - F.col(LABEL)
+            xs = [F.col(c).cast("double") for c in self.features] + [F.lit(1.0)]
+            aggs += [F.sum(F.when(flag, r * x)).alias(f"_g{i}") for i, x in enumerate(xs)]
+            aggs += [F.sum(F.when(flag, x * x)).alias(f"_s{i}") for i, x in enumerate(xs)]
+        row = rows.agg(*aggs).first()
+        res = self._result(row)
+        if train and res.n_flagged:
+            k, d1 = res.n_flagged, len(self.params)
+            g = np.array([row[f"_g{i}"] for i in range(d1)]) / k
+            s = np.array([row[f"_s{i}"] for i in range(d1)]) / k
+            ridge = np.full(d1, self.alpha)
+            ridge[-1] = 0.0                              # the intercept is not shrunk
+            curvature = d1 / 4 * s + ridge
+            self.params = self.params - np.divide(g + ridge * self.params, curvature,
+                                                  out=np.zeros(d1), where=curvature > 0)
             self.updates += 1
         return res
 
     def warmup(self, flagged_train: DataFrame) -> int:
-        """One pass over the flagged training rows."""
-        return self._run(flagged_train, None, train=True).n
+        """``warm_steps`` steps over the flagged training rows."""
+        n = 0
+        for _ in range(self.warm_steps):
+            n = self._pass(flagged_train, None, train=True).n
+            if not n:
+                break
+        return self._warned(n)
 
-    def step(self, batch: DataFrame, flag_col: str = "s1_flag", rows: int | None = None) -> StepResult:
-        """Screen → predict flagged → combine (0 elsewhere) → update.
-        ``rows``: the batch's size where the caller knows it."""
-        return self._run(batch, flag_col, train=True, rows=rows)
+    def step(self, batch, flag_col="s1_flag", rows=None):
+        """Screen → predict flagged → combine (0 elsewhere) → update."""
+        return self._pass(batch, flag_col, train=True)
 
-    def evaluate(self, df: DataFrame, flag_col: str | None = "s1_flag") -> StepResult:
-        return self._run(df, flag_col, train=False)
+    def evaluate(self, df, flag_col="s1_flag"):
+        return self._pass(df, flag_col, train=False)
 
 
-def _concat(it):
-    """All Arrow batches of one partition as one pandas frame (the partition
-    is one stream batch's rows, bounded by the batch size)."""
-    frames = list(it)
-    if frames:
-        yield pd.concat(frames, ignore_index=True)
+class Network:
+    """One hidden layer and a two-way output over named feature columns."""
 
+    def __init__(self, features: Sequence[str], hidden: int, seed: int, iterations: int):
+        self.features, self.hidden, self.seed, self.iterations = list(features), hidden, seed, iterations
+        self.model = None
 
-class SGDLogistic(Learner):
-    """L2: online logistic regression."""
+    @property
+    def weights(self) -> np.ndarray:
+        return self.model.weights.toArray()
 
-    name = "sgd_classifier"
+    def assembled(self, df: DataFrame) -> DataFrame:
+        """``df`` with its features as the vector ``_x``."""
+        return VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
 
-    def _kernel_init(self):
-        return SGDKernel.init(len(self.features), self.seed)
+    def _trainer(self, iterations: int, start) -> MultilayerPerceptronClassifier:
+        out = MultilayerPerceptronClassifier(
+            featuresCol="_x", labelCol="_y", layers=[len(self.features), self.hidden, 2], seed=self.seed,
+            maxIter=iterations, tol=1e-4 if start is None else 0.0, rawPredictionCol="", probabilityCol="")
+        return out if start is None else out.setInitialWeights(Vectors.dense(start))
 
-    def _predict(self, p, x):
-        return SGDKernel.predict(p, x)
+    def fit(self, rows: DataFrame, iterations: int | None = None) -> bool:
+        """Fit, or go on from the present weights; False (and no change) without finite weights."""
+        start = None if self.model is None else self.weights
+        data = self.assembled(rows).select("_x", F.col(LABEL).cast("double").alias("_y"))
+        model = self._trainer(iterations or self.iterations, start).fit(data)
+        if not np.isfinite(model.weights.toArray()).all():
+            return False
+        self.model = model
+        return True
 
-    def _train(self, p, x, y, seed):
-        return SGDKernel.train(p, x, y, seed)
+    def restore(self, spark, weights: Sequence[float]) -> Network:
+        """The network with these weights (a fit of no iterations)."""
+        data = spark.createDataFrame([(Vectors.dense([0.0] * len(self.features)), 0.0)], ["_x", "_y"])
+        self.model = self._trainer(0, weights).fit(data)
+        return self
 
-    def hyperparams(self):
-        return {"loss": "log_loss", "random_state": self.seed}
+    def predict(self, assembled: DataFrame, name: str) -> DataFrame:
+        out = self.model.setPredictionCol(name).transform(assembled)
+        return out.withColumn(name, F.col(name).cast("int"))
 
 
 class OnlineMLP(Learner):
-    """L3: one hidden layer, one epoch of Adam per update."""
+    """L3: one hidden layer, a few iterations from the last weights per update."""
 
     name = "mlp_classifier"
 
-    def __init__(self, features, seed: int = 42, hidden: int = 100):
+    def __init__(self, features, seed: int = 42, hidden: int = 100, warm_iterations: int = 50, step_iterations: int = 5):
         super().__init__(features, seed)
-        self.kernel = MLPKernel(hidden)
+        self.warm_iterations, self.step_iterations = warm_iterations, step_iterations
+        self.net = Network(self.features, hidden, seed, step_iterations)
+        self.saved: list[float] | None = None
+
+    def hyperparams(self):
+        return {"hidden_layer_sizes": f"({self.net.hidden},)", "activation": "logistic",
+                "solver": "l-bfgs", "random_state": self.seed, "max_iter": self.step_iterations}
 
-    def _kernel_init(self):
-        return self.kernel.init(len(self.features), self.seed)
+    @property
+    def params(self) -> np.ndarray | None:
+        return self.net.weights if self.net.model is not None else self.saved
 
-    def _predict(self, p, x):
-        return self.kernel.predict(p, x)
+    def state(self):
+        return {"params": None if self.params is None else [float(v) for v in self.params], "updates": self.updates}
 
-    def _train(self, p, x, y, seed):
-        return self.kernel.train(p, x, y, seed, epochs=1)
+    def load(self, state):
+        self.saved, self.net.model, self.updates = state["params"], None, int(state["updates"])
 
-    def hyperparams(self):
-        return {"hidden_layer_sizes": f"({self.kernel.h},)", "activation": "relu",
-                "solver": "adam", "random_state": self.seed, "max_iter": 1}
+    def _ready(self, df: DataFrame) -> None:
+        if self.net.model is None and self.saved is not None:
+            self.net.restore(df.sparkSession, self.saved)
+
+    def evaluate(self, df, flag_col="s1_flag"):
+        self._ready(df)
+        rows = self._rows(df, flag_col)
+        rows = rows.withColumn("_p", F.lit(0)) if self.net.model is None else self.net.predict(self.net.assembled(rows), "_p")
+        return self._result(rows.agg(*self._aggs(F.col("_p"), self._flag(flag_col))).first())
+
+    def step(self, batch, flag_col="s1_flag", rows=None):
+        res = self.evaluate(batch, flag_col)
+        if res.n_flagged and self.net.fit(self._rows(batch, flag_col).where(self._flag(flag_col))):
+            self.updates += 1
+        return res
+
+    def warmup(self, flagged_train: DataFrame) -> int:
+        """The first pass over the flagged training rows."""
+        n = self.evaluate(flagged_train, None).n
+        if n and self.net.fit(self._rows(flagged_train, None), self.warm_iterations):
+            self.updates += 1
+        return self._warned(n)
+
+
+# ---------------------------------------------------------------- pool rules
+def pool_vote(members: Sequence[Column]) -> Column:
+    """Mean of hard votes >= 0.5 (ties → attack); an empty pool says 0."""
+    if not members:
+        return F.lit(0)
+    votes = members[0]
+    for m in members[1:]:
+        votes = votes + m
+    return (votes / F.lit(len(members)) >= 0.5).cast("int")
 
 
-def pool_vote(votes: np.ndarray) -> np.ndarray:
-    """Mean of hard votes >= 0.5 (ties → attack); empty pool → 0."""
-    if votes.shape[0] == 0:
-        return np.zeros(votes.shape[1], dtype=np.int64)
-    return (votes.mean(axis=0) >= 0.5).astype(np.int64)
+def member_accuracy(members: Sequence[Column], flag: Column | None = None) -> Column:
+    """Every member's share of right votes on the flagged rows, as an array in pool order."""
+    flag = F.lit(True) if flag is None else flag
+    return F.array(*[F.avg(F.when(flag, (m == F.col(LABEL)).cast("double"))) for m in members])
 
 
-def replace_index(accuracies: Sequence[float]) -> int:
+def replaced_slot(accuracy: Column) -> Column:
     """The member with the lowest accuracy, the first one on ties."""
-    return int(np.argmin(np.asarray(accuracies)))
+    return (F.array_position(accuracy, F.array_min(accuracy)) - 1).cast("int")
+
+
+def warmup_chunks(indexed: DataFrame, n: int, size: int, index: str = "_w", name: str = "_chunk") -> DataFrame:
+    """``size`` consecutive chunks of max(1, n // size) of the ``n`` rows; the rest is left out."""
+    chunk = F.floor(F.col(index) / F.lit(max(1, n // size))).cast("int")
+    return indexed.withColumn(name, chunk).where(F.col(name) < size)
 
 
 @dataclass
 class SEAPool(Learner):
-    """Streaming ensemble of small MLPs."""
+    """Streaming ensemble of small networks."""
 
     features: list = field(default_factory=list)
     seed: int = 42
@@ -422,118 +303,78 @@ class SEAPool(Learner):
     name: str = "dynamic_ensemble"
 
     def __post_init__(self):
-        self.kernel = MLPKernel(self.hidden)
-        self.members: list[np.ndarray] = []
+        self.members: list[Network] = []
+        self.saved: list[list[float]] = []
         self.updates = 0
 
+    def _member(self) -> Network:
+        return Network(self.features, self.hidden, self.seed + self.updates, self.max_iter)
+
     def state(self):
-        return {"members": [m.tolist() for m in self.members], "updates": self.updates}
+        kept = [m.weights.tolist() for m in self.members] if self.members else self.saved
+        return {"members": kept, "updates": self.updates}
 
     def load(self, state):
-        self.members = [np.asarray(m, dtype=np.float64) for m in state["members"]]
-        self.updates = int(state["updates"])
+        self.saved, self.members, self.updates = state["members"], [], int(state["updates"])
 
     def hyperparams(self):
         return {"pool_size": self.size, "base_hidden_layers": f"({self.hidden},)",
-                "base_activation": "relu", "base_solver": "adam", "base_max_iter": self.max_iter}
+                "base_activation": "logistic", "base_solver": "l-bfgs", "base_max_iter": self.max_iter}
 
     def _screen(self, df: DataFrame, flag_col: str | None):
-        """One pass: pool predictions (cascade counts), per-member correct
-        counts and class presence on the flagged rows."""
-        members, kernel, feats = self.members, self.kernel, self.features
-
-        def part(it):
-            for pdf in _concat(it):
-                x, y = _xy(pdf, feats)
-                flagged = (pdf[flag_col].to_numpy() == 1) if flag_col else np.ones(len(pdf), bool)
-                pred = np.zeros(len(pdf), dtype=np.int64)
-                correct = [0.0] * len(members)
-                if flagged.any():
-                    xf, yf = x[flagged], y[flagged]
-                    votes = np.array([kernel.predict(m, xf) for m in members]).reshape(
-                        len(members), len(xf))
-                    pred[flagged] = pool_vote(votes)
-                    correct = [float((v == yf).sum()) for v in votes]
-                    n1 = float((yf == 1).sum())
-                else:
-                    n1 = 0.0
-                tn, fp, fn, tp = _counts(y, pred)
-                yield pd.DataFrame({"tn": [tn], "fp": [fp], "fn": [fn], "tp": [tp],
-                                    "n": [len(pdf)], "n_flagged": [int(flagged.sum())],
-                                    "n_train": [0], "params": [None], "extra": [correct + [n1]]})
-
-        cols = [*feats, LABEL, *([flag_col] if flag_col else [])]
-        rows = collect_steps(df.select(*cols).mapInPandas(part, STEP_SCHEMA))
-        res = StepResult()
-        correct = np.zeros(len(members))
-        n_pos = 0.0
-        for r in rows:
-            res.add(StepResult(r.tn, r.fp, r.fn, r.tp, r.n, r.n_flagged))
-            correct += np.asarray(r.extra[:-1])
-            n_pos += r.extra[-1]
-        return res, correct, n_pos
-
-    def _fit_new(self, df: DataFrame, flag_col: str | None, n_flagged: int) -> np.ndarray | None:
-        """L4: a new member fitted from scratch on the batch's flagged rows."""
-        kernel, feats, d = self.kernel, self.features, len(self.features)
-        init = kernel.init(d, self.seed)
-        seed, max_iter = self.seed + self.updates, self.max_iter
-
-        def group(key, pdf):
-            x, y = _xy(pdf.sort_values(["_order", *feats, LABEL], kind="stable"), feats)
-            newp = kernel.train(init, x, y, seed + int(key[0]), epochs=max_iter)
-            return pd.DataFrame({"block": [int(key[0])], "tn": [0], "fp": [0], "fn": [0], "tp": [0],
-                                 "n": [len(x)], "n_flagged": [len(x)], "n_train": [len(x)],
-                                 "params": [newp.tolist()], "extra": [None]})
-
-        own = df.filter(F.col(flag_col) == 1) if flag_col else df
-        dealt, blocks = by_block(own, [*feats, LABEL], n_flagged)
-        rows = collect_blocks(dealt.applyInPandas(group, BLOCK_SCHEMA), blocks)
-        return _mix(rows, init) if rows else None
-
-    def _update(self, df: DataFrame, flag_col: str | None, n_flagged: int, n_pos: float,
-                correct: np.ndarray) -> None:
-        if n_flagged == 0 or n_pos == 0 or n_pos == n_flagged:
+        """One pass: pool predictions (cascade counts), the slot to replace and class presence."""
+        if self.saved and not self.members:
+            self.members = [self._member().restore(df.sparkSession, w) for w in self.saved]
+        rows, flag, votes = self._rows(df, flag_col), self._flag(flag_col), []
+        if self.members:
+            rows = self.members[0].assembled(rows)
+            for i, m in enumerate(self.members):
+                rows = m.predict(rows, f"_m{i}")
+                votes.append(F.col(f"_m{i}"))
+        aggs = self._aggs(pool_vote(votes), flag)
+        if votes:
+            aggs.append(replaced_slot(member_accuracy(votes, flag)).alias("slot"))
+        row = rows.agg(*aggs).first()
+        return self._result(row), row.n_pos, row.slot if votes else None
+
+    def _update(self, rows: DataFrame, n: int, n_pos: int, slot: int | None) -> None:
+        """A member fitted on ``rows`` joins the pool or takes a slot."""
+        if n == 0 or n_pos in (0, n):
             return                                  # single-class batch: no-op
-        try:
-            new = self._fit_new(df, flag_col, n_flagged)
-        except FloatingPointError:                  # a numeric fit failure is a no-op
-            return
-        if new is None:
-            return
+        new = self._member()
+        if not new.fit(rows):
+            return                                  # a fit without finite weights is a no-op
         if len(self.members) < self.size:
             self.members.append(new)
         else:
-            self.members[replace_index(correct / n_flagged)] = new
+            self.members[slot] = new
         self.updates += 1
 
-    def step(self, batch: DataFrame, flag_col: str = "s1_flag", rows: int | None = None) -> StepResult:
-        res, correct, n_pos = self._screen(batch, flag_col)
-        self._update(batch, flag_col, res.n_flagged, n_pos, correct)
+    def step(self, batch, flag_col="s1_flag", rows=None):
+        res, n_pos, slot = self._screen(batch, flag_col)
+        self._update(self._rows(batch, flag_col).where(self._flag(flag_col)), res.n_flagged, n_pos, slot)
         return res
 
     def warmup(self, flagged_train: DataFrame, order_col: str = "row_key") -> int:
-        """Five consecutive chunks of max(1, n // 5) rows in arrival order;
-        the remainder is unused; each chunk goes through the same update."""
+        """Five consecutive chunks in arrival order, each through the same update.  The
+        rows are written once by chunk, so a member's fit reads its chunk only."""
         from ..functions.rowkey import ordered_index
+        from ..session import scratch_path
 
-        indexed = ordered_index(flagged_train, [order_col], name="_w")
+        spark = flagged_train.sparkSession
+        indexed = ordered_index(flagged_train.select(order_col, *self.features, LABEL), [order_col], name="_w")
         n = indexed.count()
-        chunk = max(1, n // self.size)
-        indexed = indexed.withColumn("_chunk", F.floor(F.col("_w") / F.lit(chunk)).cast("int"))
-        # the pool holds at most `size` members during warm-up, so no member is
-        # ever replaced and no accuracy is needed: one job gives each chunk's
-        # class mix (single-class chunks are skipped)
-        mix = {r["_chunk"]: (r["n"], r["n_pos"]) for r in indexed.filter(
-            F.col("_chunk") < self.size).groupBy("_chunk").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("n_pos")).collect()}
-        for i in range(self.size):
-            if i * chunk >= n:
-                break
-            rows, pos = mix.get(i, (0, 0))
-            part = indexed.filter(F.col("_chunk") == i)
-            self._update(part, None, rows, float(pos or 0), np.zeros(len(self.members)))
-        return n
+        path = scratch_path(spark, f"warmup-{id(self):x}-{self.updates}")
+        warmup_chunks(indexed, n, self.size).drop("_w", order_col).write.mode("overwrite").partitionBy("_chunk").parquet(path)
+        if n:
+            chunks = spark.read.parquet(path)
+            # the pool is not full during the warm-up, so no accuracy is needed:
+            # one job gives each chunk's class mix
+            mix = {r["_chunk"]: r for r in chunks.groupBy("_chunk").agg(
+                F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("n_pos")).collect()}
+            for i in sorted(mix):
+                self._update(chunks.where(F.col("_chunk") == i), mix[i].n, mix[i].n_pos, None)
+        return self._warned(n)
 
     def evaluate(self, df, flag_col="s1_flag"):
         return self._screen(df, flag_col)[0]

@@ -1,9 +1,8 @@
 """Data preparation: label rules, drops, exact sampling, stratified split,
 batch slicing, ordinal encoding and robust scaling (P1-P5, F1-F6, F10, E1-E6).
 
-All fitted state is tiny (category lists, three percentiles per column) and
-is computed by aggregation; the transforms are plain projections that stay
-inside whole-stage codegen.
+The scaler's state is tiny (three percentiles per column) and its transform a
+plain projection; the encoder's state is a table that is joined.
 """
 
 from __future__ import annotations
@@ -156,73 +155,119 @@ def assign_batches(df: DataFrame, batch_size: int, order_col: str = "ord",
 
 # --- encoding -------------------------------------------------------------------------
 
+#: categories up to which a column's dictionary is broadcast (its size is known)
+BROADCAST_CODES = 100_000
+#: a value is hot when it holds more than this share of the fitting rows
+HOT_SHARE = 1 / 1000
+_CODE_BLOCK = 10_000
+
+
 @dataclass
 class OrdinalEncoding:
     """Sorted distinct values → 0..k-1 per column, fitted on one table.
 
-    ``counts`` keeps how often each category occurred in the fitting rows
-    (used to derive quartiles of the codes without another pass)."""
+    The dictionary is a table ``(c, v, n, code)`` in the shared folder; ``n`` tells how
+    often the value occurred in the fitting rows.  Only the number of categories and
+    of rows of every column is held here."""
 
     columns: list[str]
-    categories: dict[str, list[str]]
+    dictionary: DataFrame | None
+    sizes: dict[str, int]
+    rows: dict[str, int]
     unseen: str = "zero"          # 'zero' (E2), 'error' (E3) or 'keep'
-    counts: dict | None = None
+
+    def categories(self, c: str) -> DataFrame:
+        """(v, code) of one column, in code order when sorted by ``code``."""
+        return self.dictionary.where(F.col("c") == c).select("v", "code")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c in self.columns:
-            cats = self.categories[c]
-            codes = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))])
-            src = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-            code = codes[src]
-            if self.unseen == "zero":
-                code = F.coalesce(code, F.lit(0))
-            elif self.unseen == "keep":
-                code = F.coalesce(code, F.lit(len(cats)))
-            else:
-                code = F.coalesce(code, F.raise_error(
-                    F.concat(F.lit(f"unseen label in {c}: "), src)).cast("int"))
-            out = out.withColumn(c, code.cast("int"))
-        return out
-
-    def code_percentiles(self, c: str, qs) -> dict:
-        """Exact linear-interpolation percentiles of the codes over the
-        fitting rows, from the category counts (no pass over the data)."""
-        sizes = [self.counts[c][v] for v in self.categories[c]]
-        n = sum(sizes)
-        starts = [sum(sizes[:i]) for i in range(len(sizes))]
-
-        def at(rank):
-            for code in range(len(sizes) - 1, -1, -1):
-                if starts[code] <= rank:
-                    return float(code)
-            return 0.0
-
+            out = self._join(out, c)
+        return out.select(*df.columns) if self.columns else out
+
+    def _join(self, df: DataFrame, c: str) -> DataFrame:
+        """The column replaced by its code.  A small dictionary is broadcast.  Of a large
+        one only the hot values are (at most 1 / HOT_SHARE), which also keeps their rows
+        out of the shuffled join: they get a key of their own that matches nothing."""
+        own = self.dictionary.where(F.col("c") == c)
+        keyed = df.withColumn("_v", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        if self.sizes[c] <= BROADCAST_CODES:
+            coded = keyed.join(F.broadcast(own.select(F.col("v").alias("_v"), F.col("code").alias("_code"))), "_v", "left")
+        else:
+            hot = F.col("n") > self.rows[c] * HOT_SHARE
+            some = own.where(hot).select(F.col("v").alias("_v"), F.col("code").alias("_hot"))
+            rest = own.where(~hot).select(F.concat(F.lit("v"), "v").alias("_k"), F.col("code").alias("_cold"))
+            spread = F.concat(F.lit("h"), F.monotonically_increasing_id().cast("string"))
+            coded = keyed.join(F.broadcast(some), "_v", "left") \
+                .withColumn("_k", F.when(F.col("_hot").isNull(), F.concat(F.lit("v"), "_v")).otherwise(spread)) \
+                .join(rest, "_k", "left").withColumn("_code", F.coalesce("_hot", "_cold")).drop("_k", "_hot", "_cold")
+        if self.unseen == "zero":
+            code = F.coalesce("_code", F.lit(0))
+        elif self.unseen == "keep":
+            code = F.coalesce("_code", F.lit(self.sizes[c]))
+        else:
+            code = F.coalesce("_code", F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), "_v")).cast("int"))
+        return coded.withColumn(c, code.cast("int")).drop("_v", "_code")
+
+    def code_percentiles(self, columns: Sequence[str], qs: Sequence[float]) -> dict:
+        """``{(column, q): value}``: exact linear-interpolation percentiles of the codes over
+        the fitting rows, from the dictionary: first the sums of blocks of codes, then the
+        blocks that hold a wanted rank."""
+        blocks: dict[str, list] = {c: [] for c in columns}
+        block = F.floor(F.col("code") / _CODE_BLOCK)
+        for r in self.dictionary.groupBy("c", block.alias("b")).agg(F.sum("n").alias("n")).collect():
+            if r.c in blocks:
+                blocks[r.c].append((r.b, r.n))
+        wanted: dict[tuple, list] = {}
+        for c in columns:
+            for q in qs:
+                k = math.floor(q * (self.rows[c] - 1))
+                for rank in {k, min(k + 1, self.rows[c] - 1)}:
+                    below = 0
+                    for b, n in sorted(blocks[c]):
+                        if rank < below + n:
+                            wanted.setdefault((c, b), []).append((rank, below))
+                            break
+                        below += n
+        if not wanted:
+            return {}
+        held: dict[tuple, list] = {}
+        keys = [F.struct(F.lit(c).alias("c"), F.lit(int(b)).cast("long").alias("b")) for c, b in wanted]
+        for r in self.dictionary.where(F.struct("c", block.cast("long").alias("b")).isin(*keys)).select("c", block.alias("b"), "code", "n").collect():
+            held.setdefault((r.c, r.b), []).append((r.code, r.n))
+        at: dict[tuple, float] = {}
+        for key, ranks in wanted.items():
+            for rank, below in ranks:
+                for code, n in sorted(held[key]):
+                    below += n
+                    if rank < below:
+                        at[key[0], rank] = float(code)
+                        break
         out = {}
-        for q in qs:
-            pos = q * (n - 1)
-            k = math.floor(pos)
-            lo, hi = at(k), at(min(k + 1, n - 1))
-            out[q] = lo if pos == k or lo == hi else lo + (hi - lo) * (pos - k)
+        for c in columns:
+            for q in qs:
+                pos = q * (self.rows[c] - 1)
+                k = math.floor(pos)
+                lo, hi = at[c, k], at[c, min(k + 1, self.rows[c] - 1)]
+                out[c, q] = lo if pos == k or lo == hi else lo + (hi - lo) * (pos - k)
         return out
 
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str], unseen: str = "zero") -> OrdinalEncoding:
-    """One aggregation counts every (column, value) pair — the same
-    sorted-distinct encoding as ``StringIndexer(stringOrderType='alphabetAsc')``;
-    category lists are small by nature, nulls become the category 'nan'."""
+    """The values of every column are counted (map-side first, so hot values collapse)
+    and numbered in order by a range sort — the same sorted-distinct encoding as
+    ``StringIndexer(stringOrderType='alphabetAsc')``; nulls become the category 'nan'."""
     cols = list(columns)
     if not cols:
-        return OrdinalEncoding([], {}, unseen, {})
+        return OrdinalEncoding([], None, {}, {}, unseen)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(
         F.col(c).cast("string"), F.lit("nan")).alias("v")) for c in cols]))
-    rows = (df.select(pairs.alias("p")).groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v"))
-            .agg(F.count(F.lit(1)).alias("n")).collect())
-    counts: dict = {c: {} for c in cols}
-    for r in rows:
-        counts[r.c][r.v] = r.n
-    cats = {c: sorted(counts[c], key=lambda v: v.encode("utf-8")) for c in cols}
-    return OrdinalEncoding(cols, cats, unseen, counts)
+    counts = df.select(pairs.alias("p")).groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dictionary = ordered_index(counts, ["v"], group_cols=["c"], name="code").withColumn("code", F.col("code").cast("int"))
+    totals = {r.c: (r.k, r.n) for r in dictionary.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}
+    return OrdinalEncoding(cols, dictionary, {c: totals.get(c, (0, 0))[0] for c in cols},
+                           {c: totals.get(c, (0, 0))[1] for c in cols}, unseen)
 
 
 def encode_independent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -254,12 +299,12 @@ def fit_robust(df: DataFrame, columns: Sequence[str],
 
     Columns encoded by ``encoding`` (fitted on the same rows) take their
     quartiles from the category counts instead of another scan."""
-    coded = set(encoding.columns) if encoding is not None and encoding.counts else set()
+    coded = set(encoding.columns) & set(columns) if encoding is not None else set()
     plain = [c for c in columns if c not in coded]
     qs = exact_percentiles(df, plain, [0.25, 0.5, 0.75]) if plain else {}
-    for c in coded & set(columns):
-        for q, v in encoding.code_percentiles(c, [0.25, 0.5, 0.75]).items():
-            qs[("", c, q)] = v
+    if coded:
+        for (c, q), v in encoding.code_percentiles(sorted(c for c in coded if encoding.rows[c]), [0.25, 0.5, 0.75]).items():
+            qs["", c, q] = v
     med, scale = {}, {}
     for c in columns:
         q1, q2, q3 = (qs.get(("", c, q)) for q in (0.25, 0.5, 0.75))

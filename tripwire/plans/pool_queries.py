@@ -1,18 +1,18 @@
 """Pool mechanics with rule members, checkable in SQL.
 
 Members are fixed rules ``feature > benign median`` so that the vote, the
-per-member batch accuracy and the prune choice can be compared with an
-oracle; the learned pool (``ensemble_cascade``) uses the same functions.
+per-member batch accuracy, the prune choice and the warm-up chunks, which are
+those of the learned pool (``operators/learners.py``), can be compared with an
+oracle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
 from ..functions.rowkey import ordered_index
-from ..operators import prep
+from ..operators import learners, prep
 from ..sources.catalog import LABEL, LINEITEM
 from .common import DIGITS
 from .prep_queries import BATCH_SIZE, split_ctes
@@ -28,10 +28,9 @@ LI = f"(SELECT *, ({LINEITEM.label_sql}) AS {LABEL} FROM lineitem)"
 def vote_tie(spark, sf_dir):
     df = flow_frame(spark, sf_dir, LINEITEM)
     med = exact_percentiles(prep.benign(df), VOTERS, [0.5])
-    votes = sum((F.col(c) > F.lit(med[("", c, 0.5)])).cast("int") for c in VOTERS).cast("int")
-    out = df.groupBy(votes.alias("n_votes")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(LABEL).cast("long").alias("n_anomaly"))
-    return out.withColumn("pred", (F.col("n_votes") / F.lit(len(VOTERS)) >= 0.5).cast("int"))
+    votes = [(F.col(c) > F.lit(med[("", c, 0.5)])).cast("int") for c in VOTERS]
+    out = df.groupBy(sum(votes).cast("int").alias("n_votes"), learners.pool_vote(votes).alias("pred"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(LABEL).cast("long").alias("n_anomaly"))
 
 
 VOTE_TIE_SQL = (
@@ -49,16 +48,10 @@ def pool_prune(spark, sf_dir):
     bt = o.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     med = exact_percentiles(bt, MEMBERS, [0.5])
     test = prep.assign_batches(o.filter(F.col("split") == "test"), BATCH_SIZE)
-    y = F.col(LABEL)
-    acc = test.groupBy("batch_id").agg(*[
-        (F.sum(((F.col(c) > F.lit(med[("", c, 0.5)])).cast("int") == y).cast("int")).cast("double")
-         / F.count(F.lit(1))).alias(f"a{i}") for i, c in enumerate(MEMBERS)])
-    args = ", ".join(f"{i}, a{i}" for i in range(len(MEMBERS)))
-    long = acc.selectExpr("batch_id", f"stack({len(MEMBERS)}, {args}) AS (slot, accuracy)")
-    # the frame holds (#batches × #members) rows
-    w = Window.partitionBy("batch_id").orderBy("accuracy", "slot")
-    return long.withColumn("is_worst", F.row_number().over(w) == 1).withColumn(
-        "accuracy", F.round("accuracy", DIGITS))
+    votes = [(F.col(c) > F.lit(med[("", c, 0.5)])).cast("int") for c in MEMBERS]
+    acc = test.groupBy("batch_id").agg(learners.member_accuracy(votes).alias("acc"))
+    return acc.select("batch_id", learners.replaced_slot(F.col("acc")).alias("worst"), F.posexplode("acc").alias("slot", "accuracy")) \
+        .select("batch_id", "slot", F.round("accuracy", DIGITS).alias("accuracy"), (F.col("slot") == F.col("worst")).alias("is_worst"))
 
 
 def _prune_sql():
@@ -93,9 +86,7 @@ def warmup_chunks(spark, sf_dir):
     flagged = o.filter((F.col("split") == "train") & (F.col(score) > F.lit(cut)))
     idx = ordered_index(flagged.select("row_key", LABEL), ["row_key"], name="rk")
     n = idx.count()
-    size = max(1, n // POOL_SIZE)
-    chunks = idx.withColumn("chunk_id", F.floor(F.col("rk") / F.lit(size)).cast("int")).filter(
-        F.col("chunk_id") < POOL_SIZE)
+    chunks = learners.warmup_chunks(idx, n, POOL_SIZE, index="rk", name="chunk_id")
     return chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"),
                                          F.sum(LABEL).cast("long").alias("n_anomaly"))
 

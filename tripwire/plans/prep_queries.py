@@ -49,8 +49,8 @@ def encoded_expr(c: str, src: str, prefix: str = "enc_") -> str:
             f"'nan')), 0)")
 
 
-def prepared_ctes(spec: FlowSpec) -> str:
-    """... plus e (encoded), p (scaling params per feature), x (prepared)."""
+def prepared_ctes(spec: FlowSpec, digits: int | None = DIGITS) -> str:
+    """... plus e (encoded), p (scaling params per feature), x (prepared, rounded to ``digits``)."""
     cats = list(spec.categorical)
     enc = encoder_ctes(cats, "(SELECT * FROM o WHERE split = 'train' AND ANOMALY = 0) bt")
     enc_cols = ", ".join(
@@ -59,10 +59,11 @@ def prepared_ctes(spec: FlowSpec) -> str:
         f"SELECT '{c}' AS feature, quantile_cont({c}, 0.5) AS median, "
         f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr "
         f"FROM e WHERE split = 'train' AND {LABEL} = 0" for c in spec.features)
+    before, after = ("", "") if digits is None else ("round(", f", {digits})")
     scaled = ", ".join(
-        f"round((CAST(e.{c} AS DOUBLE) - (SELECT median FROM p WHERE feature = '{c}')) / "
-        f"(SELECT CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END FROM p WHERE feature = '{c}'), "
-        f"{DIGITS}) AS {c}" for c in spec.features)
+        f"{before}(CAST(e.{c} AS DOUBLE) - (SELECT median FROM p WHERE feature = '{c}')) / "
+        f"(SELECT CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END FROM p WHERE feature = '{c}')"
+        f"{after} AS {c}" for c in spec.features)
     parts = [split_ctes(spec)]
     if enc:
         parts.append(enc)
