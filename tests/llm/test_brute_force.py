@@ -56,15 +56,78 @@ def test_parsing_is_local():
     body = "".join(rng.choice(list("abcdefgh "), 4000))
     names = []
     for pad in ("", "xyz", "q" * 17):
-        code = np.frombuffer((pad + body).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        symbol, doc = code, np.zeros(len(code), np.int64)
+        symbol, bounds = np.frombuffer((pad + body).encode("utf-32-le"), np.uint32), np.array([0])
         for _ in range(2):
-            symbol, doc = fingerprints.parse(symbol, doc)
+            symbol, bounds = fingerprints.parse(symbol, bounds)
         names.append(collections.Counter(symbol.tolist()))
     assert sum((names[0] & names[1]).values()) > 0.97 * sum(names[0].values())
     assert sum((names[0] & names[2]).values()) > 0.97 * sum(names[0].values())
 
 
+def plain_marks(text):
+    """Root and names of one text, symbol by symbol with plain integers."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def labels(row):
+        out = []
+        for i, x in enumerate(row):
+            differ = x ^ row[i - 1] if i else 1
+            low = (differ & -differ).bit_length() - 1
+            out.append(2 * low + ((x >> low) & 1))
+        return out
+
+    row, level, names = [ord(c) for c in text], 0, set()
+    while len(row) > 1 or not level:
+        if not row:
+            return 0, names
+        runs = []
+        for x in row:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        short = 32 if not level else 64
+        symbols = [mix(x + 0x2545F4914F6CDD1D & full) >> 32 if not level else x for x, _ in runs]
+        symbols = [x if n == 1 else mix(x + n * 0x9E3779B97F4A7C15 & full) & ((1 << short) - 1) for x, (_, n) in zip(symbols, runs)]
+        label = labels(symbols)
+        for _ in range(3):
+            label = labels(label)
+        start = [0]
+        for i in range(1, len(symbols)):
+            top = label[i] > label[i - 1] and (i + 1 == len(symbols) or label[i] >= label[i + 1])
+            if top and not (i - 1 == 0 or (i - 1 in peaks)):
+                start.append(i)
+            peaks = ({0} if i == 1 else peaks) | ({i} if top else set())
+        row = [mix(sum(x * pow(fingerprints.BASE, j, 1 << 64) for j, x in enumerate(symbols[a:b])) + b - a & full)
+               for a, b in zip(start, [*start[1:], len(symbols)])]
+        level += 1
+        if level >= fingerprints.FROM_LEVEL or len(row) == 1:
+            names |= {mix(x ^ 0xABCDEF) >> 32 for x in row}
+    return row[0], names
+
+
+def test_fingerprints_by_plain_parsing(texts, monkeypatch):
+    some = [t for t in texts.values() if len(t) < 3000][:40] + ["", "a", "aaaa", "ab" * 700, "é中" * 50, "x" * 5000 + "y", "z" * 2]
+    want = [plain_marks(t) for t in some]
+    for most in (fingerprints.MOST_POWERS, 1):
+        monkeypatch.setattr(fingerprints, "MOST_POWERS", most)
+        roots, held = fingerprints.fingerprints(some)
+        assert [(r, set(h.tolist())) for r, h in zip(roots, held)] == want
+    for i in range(0, len(some) - 1):
+        (a, x), (b, y) = want[i], want[i + 1]
+        share = 1.0 if a == b else len(x & y) / max(len(x | y), 1)
+        assert fingerprints.likeness((roots[i], held[i]), (roots[i + 1], held[i + 1])) == share
+    body = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 3000))  # one percent shared
+    far = ["".join(np.random.default_rng(k).choice(list("ijklmnop "), 150_000)) for k in (2, 3)]
+    marks = list(zip(*fingerprints.fingerprints([far[0] + body, body + far[1]])))
+    assert 0.005 < fingerprints.likeness(*marks) < 0.015
+
+
 def shingles(text):
     w = re.findall(r"[^\W_]+", text.lower())
     return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
@@ -152,6 +215,87 @@ def test_changed_parameters(spark):
     assert got == {1: False}
 
 
+def plain_leaks(docs, items):
+    """Every (doc, item) by a plain search over all windows of all pairs."""
+    sign = r"+*/^=×÷-"
+    alone = rf"(?<!\S)[{re.escape(sign)}](?!\S)"
+    number = r"[0-9]+(?:[.,][0-9]+)*"
+    units = "|".join(sorted(decontaminate.UNITS, key=len, reverse=True))
+
+    def parts(text):
+        text = re.sub(number, lambda m: f" {m[0]} ", text or "")
+        out = []
+        for m in re.finditer(rf"{number}|[^\W\d_]+|{alone}", text):
+            word = m[0]
+            kind = "N" if word[0].isdigit() else "U" if out and out[-1][1] == "N" and re.fullmatch(units, word, re.I) \
+                and not text[out[-1][2]:m.start()].strip() else "P" if word[0].isupper() else word.lower()
+            out.append((word.lower(), kind, m.end()))
+        return out
+
+    def plain_words(text):
+        apart = rf"(?:[^\w{re.escape(sign)}]|_|(?<=\S)[{re.escape(sign)}]|[{re.escape(sign)}](?=\S))+"
+        return [x for x in re.split(apart, (text or "").lower()) if x]
+
+    def grams(words, k):
+        return [tuple(words[i:i + k]) for i in range(len(words) - k + 1)]
+
+    def framed(text):
+        return {i: g for i, g in enumerate(grams([k for _, k, _ in parts(text)], 5)) if sum(x not in "NUP" for x in g) >= 2}
+
+    found = set()
+    for item_id, item in items:
+        words = plain_words(item)
+        k = min(5, len(words))
+        mine, frame = set(grams(words, k)) if k else set(), framed(item)
+        for doc_id, text in docs:
+            theirs = set(grams(plain_words(text), k)) if k >= 3 else {tuple(plain_words(text))}
+            if mine and len(mine & theirs) >= 0.8 * len(mine):
+                found.add((doc_id, item_id, True))
+                continue
+            there = framed(text)
+            both = set(frame.values()) & set(there.values())
+            if not frame or len(both) < 0.8 * len(set(frame.values())):
+                continue
+            first = {g: min(i for i in frame if frame[i] == g) for g in both}
+            shifts = collections.Counter(j - first[g] for j, g in there.items() if g in both)
+            shift = min(shifts, key=lambda x: (-shifts[x], x))
+            a, b = parts(item), parts(text)
+            names = collections.defaultdict(collections.Counter)
+            for i, (word, kind, _) in enumerate(a):
+                if kind == "P" and 0 <= i + shift < len(b) and b[i + shift][1] == "P":
+                    names[word][b[i + shift][0]] += 1
+            many = [c for c in names.values() if sum(c.values()) > 1]
+            if sum(sum(c.values()) - max(c.values()) for c in many) <= 0.2 * sum(sum(c.values()) for c in many):
+                found.add((doc_id, item_id, False))
+    return found
+
+
+def test_leaks_by_plain_search(spark, sf_dir, texts):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = registry.QUERIES["op4_decontamination"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in got} == plain_leaks(texts.items(), items)
+
+
+def test_short_numeric_and_renamed_items(spark):
+    items = ["What is 25 * 48?", "Compute 12 + 34 * 56 - 78 / 3", "What is the boiling point of water?",
+             "A box holds 3 red balls, 5 blue balls and 7 green balls, how many balls of any colour are in the box?",
+             "Alice has 3 apples. Alice buys 4 more. How many apples does she have now?", "Yes", "The answer is",
+             "Mix 5 kg of sand with 20 liters of water and wait 3 hours before you pour it."]
+    docs = ["Homework: what is 25 * 48? We worked on it.", "Now compute 12 + 34 * 56 - 78 / 3 quickly",
+            "Please answer this: What is the boiling point of water? Thanks.", "WHAT IS THE BOILING POINT OF WATER",
+            "Exam. A box holds 4 red balls, 4 blue balls and 9 green balls, how many balls of any colour are in the box?",
+            "Well, Bob has 8 apples. Bob buys 2 more. How many apples does she have now? Ok.",
+            "Well, Bob has 8 apples. Carl buys 2 more. How many apples does she have now? Ok.",
+            "yes", "Yes we can", "so the answer is no", "Mix 7 kg of sand with 1,000 liters of water and wait 12 hours before you pour it!",
+            "What is 25 + 48?", "Compute 1 + 2 * 3 - 4 / 5", "", None, "We mix sand with water and pour it."]
+    b = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.find_leaks(d, b).collect()}
+    assert got == plain_leaks(enumerate(docs), enumerate(items))
+    assert {(0, 0, True), (1, 1, True), (2, 2, True), (3, 2, True), (4, 3, False), (5, 4, False), (7, 5, True), (9, 6, True), (10, 7, False)} <= got
+    assert not {d for d, _, _ in got} & {8, 11, 13, 14, 15} and (6, 4, False) not in got
+
+
 def test_license_places(spark, sf_dir, texts):
     phrases = [(p.split(), label) for p, label in licenses.BASE.items()]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -175,10 +319,38 @@ def test_automaton_statistics():
         assert not size or set(auto.ends[state]) == ends[size]
 
 
-def test_license_templates():
-    label, text = licenses.TEMPLATES[0]
-    got = licenses.scan("x y z. " + text.replace("any person", "every single person").upper() + " more words")
-    assert label in {s[0] for s in got["spans"]}
+def test_license_sections():
+    from tripwire.llm.license_texts import SECTIONS
+
+    def labels(text):
+        return {s[0] for s in licenses.scan(text)["spans"]}
+
+    for label, text in SECTIONS:  # every section alone, changed a little, within other words
+        assert labels("x y z. " + text.replace("any person", "every single person").upper() + " more words") == {label}, text
+    by = {label: [t for x, t in SECTIONS if x == label] for label, _ in SECTIONS}
+    assert labels("\n".join(by["mit"]) + " -- " + by["zlib"][0]) == {"mit", "zlib"}
+    agpl = by["agpl"][0]
+    assert labels(agpl) == {"agpl"} and licenses.scan(agpl)["places"] and labels(agpl.replace("Affero ", "")) == {"gpl"}
+    assert labels("this work is licensed and you may not use it, see the software and the license") == set()
+
+
+def test_license_chains():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        matches = sorted({(int(w), int(a), int(z)) for w, a, z in zip(rng.integers(0, 60, 25), rng.integers(0, 40, 25), rng.integers(4, 9, 25))})
+        best = {}
+        for m in sorted(matches):  # by all predecessors
+            word, at, size = m
+            best[m] = (size, word)
+            for p in matches:
+                if p >= m:
+                    break
+                covered, first = best[p]
+                skip = max(0, p[0] + p[2] - word, p[1] + p[2] - at)
+                if skip < size and word - p[0] - p[2] <= licenses.MOST_GAP and at - p[1] - p[2] <= licenses.MOST_GAP and first < word:
+                    best[m] = max(best[m], (covered + size - skip, first), key=lambda x: (x[0], -x[1]))
+        want = sorted((c, f, m[0] + m[2]) for m, (c, f) in best.items())
+        assert sorted(licenses.chain(matches)) == want
 
 
 def luhn(x):
@@ -215,6 +387,65 @@ def test_contextual_discovery(spark):
     assert got[99] == [("card", 6, 22)]
 
 
+def plain_spans(docs):
+    """Base spans and a plain bootstrapping of the pattern graph, by loops."""
+    token = r"(?:[0-9]+(?:(?:[ .-]| ?\(|\)[ -]?)[0-9]+)*(?![A-Za-z0-9@_])|(?=[A-Za-z._%@=/+-]*[0-9])[A-Za-z0-9][A-Za-z0-9._%@=/+-]*)"
+    token = token.replace("[0-9]+", "[0-9]++").replace(")*(?!", ")*+(?!")
+    places = []
+    for doc_id, text in docs:
+        base = base_spans(text)
+        for m in re.finditer(rf"(?<![^\W_])(?:([^\W\d_]++)((?:[^\w]|_)++))?+({token})", text):
+            word, gap, value = (m[1] or "").lower(), m[2] or "", m[3]
+            lead = re.search(r"\+?\(?\Z", gap)[0]
+            gap, value = re.sub(r"\s+", " ", gap[:len(gap) - len(lead)]), lead + value
+            a, b = m.end() - len(value), m.end()
+            over = [(k, x, y) for k, x, y in base if x < b and y > a]
+            kind = next((k for k, x, y in over if 2 * (min(y, b) - max(x, a)) >= b - a), None)
+            shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", value))
+            form = "@" if "@" in value else "a" if re.search("[A-Za-z]", value) else "9"
+            n = len(re.sub("[^0-9]", "", value))
+            can = {k for k, (x, y, f) in pii.PLAUSIBLE.items() if x <= n <= y and re.search(f, value)}
+            places.append((doc_id, a, b, value, [(word, gap, "s", shape), (word, gap, "c", form)], kind, bool(over), can))
+    links = collections.defaultdict(set)
+    seeds = {}
+    for _, _, _, value, own, kind, _, _ in places:
+        for pattern in own:
+            links[pattern].add(value)
+        if kind:
+            seeds[value, kind] = 1.0
+    links = {p: v for p, v in links.items() if len(v) >= pii.SUPPORT}
+    score = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        rated = {}
+        for p, values in links.items():
+            for k in pii.KINDS:
+                mean = sum(score.get((v, k), 0) for v in values) / len(values)
+                if mean >= pii.CONFIDENCE:
+                    rated[p, k] = mean
+        score = dict(seeds)
+        for (p, k), c in rated.items():
+            for v in links[p]:
+                score[v, k] = max(score.get((v, k), 0), c)
+    out = {doc_id: set(base_spans(text)) for doc_id, text in docs}
+    for doc_id, a, b, _, own, _, met, can in places:
+        kinds = [(rated[p, k], k) for p in own for k in can if (p, k) in rated]
+        if kinds and not met:
+            out[doc_id].add((max(kinds)[1], a, b))
+    return out
+
+
+def test_discovery_by_plain_bootstrapping(spark, texts):
+    docs = [(i, t) for i, t in texts.items() if len(t) < 20_000]
+    docs += [(20_000 + i, f"Desk phone: +1 (212) 555-0{100 + i} or mail bob{i}@mail.example.org.") for i in range(20)]
+    docs += [(21_000 + i, f"Server  at\t10.{i}.0.{i}, card: 4{i:03d} {i:04d} 0000 0001; v{i}") for i in range(30)]
+    docs += [(22_000, "phone: 212 555 0199 77 and phone: 3"), (22_001, "card:   4111 1111 1111 1112 x"), (22_002, "mail kim7@localhost now"),
+             (22_003, "212 555"), (22_004, "at 10.20.30"), (22_005, "phone: (212) 555-0177")]
+    got = {r.doc_id: {tuple(x) for x in r.spans} for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = plain_spans(docs)
+    assert got == want
+    assert got[22_000] == {("phone", 7, 22)} and got[22_002] == {("email", 5, 19)} and got[22_005] == {("phone", 7, 21)} and not got[22_003]
+
+
 def test_lm_scores(spark, sf_dir, texts):
     words = collections.Counter(w for t in texts.values() for w in lm_score.tokens(t))
     top = {w: k + 2 for k, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:lm_score.VOCABULARY])}

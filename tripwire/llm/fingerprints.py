@@ -8,9 +8,11 @@ is a hash of its symbols, and the names are the symbols of the next level, up to
 one symbol, the root.  A boundary depends on a few neighbours only, so equal
 substrings get equal phrases but for a margin, at whatever offset they stand.
 
-A fingerprint is the root and the ``KEPT`` smallest distinct names of the
-phrases from level ``FROM_LEVEL`` up, and the likeness of two fingerprints the
-share of common names among the ``KEPT`` smallest of both (1 for equal roots).
+A text's marks are its root and the distinct names of all phrases from level
+``FROM_LEVEL`` up, and the likeness of two texts is the share of common names among
+all names of both (1 for equal roots): a shared passage counts for its length, however
+long the texts.  The fingerprint that is written holds the root and the ``KEPT``
+smallest names.
 
 The query also needs each document's successor in descending doc_id.  Ids are
 cut into ranges (splits from an approximate quantile of the ids alone), every
@@ -26,6 +28,7 @@ tables give empty results; other columns pass.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,25 +43,23 @@ FROM_LEVEL = 2
 RANGE_ROWS = 500
 MOST_RANGES = 10_000
 FIRST_ID = -(1 << 63)
+BASE = 0x5851F42D4C957F2D
+MOST_POWERS = 1 << 22
 U = np.uint64
 _LOW_BIT = np.array([0] + [(x & -x).bit_length() - 1 for x in range(1, 256)], np.uint8)
 
 
-def starts_of(doc: np.ndarray) -> np.ndarray:
-    """Whether a position is the first of its document."""
-    out = np.ones(len(doc), bool)
-    np.not_equal(doc[1:], doc[:-1], out=out[1:])
-    return out
-
-
 def toss(symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Labels below six by deterministic coin tossing; neighbours differ in ``symbol``."""
+    one = symbol.dtype.type(1)
     differ = np.empty_like(symbol)
     differ[0] = 1
     np.bitwise_xor(symbol[1:], symbol[:-1], out=differ[1:])
     differ[first] = 1
-    low = np.bitwise_count((differ & (~differ + U(1))) - U(1)).astype(np.uint8)
-    label = (low << 1) | ((symbol >> low.astype(np.uint64)) & U(1)).astype(np.uint8)
+    if not differ.all():  # two names that collide
+        differ[differ == 0] = 1
+    low = np.bitwise_count((differ & (~differ + one)) - one)
+    label = (low << 1) | ((symbol >> low.astype(symbol.dtype)) & one).astype(np.uint8)
     for _ in range(3):
         differ8 = np.empty_like(label)
         differ8[0] = 1
@@ -69,14 +70,28 @@ def toss(symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def parse(symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The phrase names of a level, and their documents."""
-    first = starts_of(doc)
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and those of its inverse modulo 2**64."""
+    return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
+
+
+def parse(symbol: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The phrase names of a level, and where each document's begin; ``bounds`` are the
+    documents' first places in ``symbol`` (32-bit code points or 64-bit names)."""
+    first = np.zeros(len(symbol), bool)
+    first[bounds] = True
     head = first.copy()
-    np.not_equal(symbol[1:], symbol[:-1], out=head[1:], where=~first[1:])
+    head[1:] |= symbol[1:] != symbol[:-1]
     at = np.flatnonzero(head)
     size = np.diff(at, append=len(symbol))
-    symbol, doc, first = mix64(symbol[at] + size.astype(np.uint64) * U(0x9E3779B97F4A7C15)), doc[at], first[at]
+    code = symbol.dtype == np.uint32
+    run = np.flatnonzero(size > 1)
+    if len(at) < len(symbol):
+        bounds = np.searchsorted(at, bounds)
+        symbol, first = symbol[at], first[at]
+    symbol = _code_names()[symbol] if code else symbol.copy()
+    symbol[run] = mix64(symbol[run].astype(np.uint64) + size[run].astype(np.uint64) * U(0x9E3779B97F4A7C15)).astype(symbol.dtype)
     label = toss(symbol, first)
     left = np.empty(len(label), bool)
     left[0] = False
@@ -87,54 +102,72 @@ def parse(symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin[1:] &= ~(begin[:-1] & ~first[1:])  # a phrase has two symbols at least
     start = np.flatnonzero(begin)
     length = np.diff(start, append=len(symbol))
-    place = np.arange(len(symbol)) - np.repeat(start, length)
-    weight = powers(0x5851F42D4C957F2D, int(length.max()))[place]
-    return mix64(np.add.reduceat(symbol * weight, start) + length.astype(np.uint64)), doc[start]
+    # a phrase's name: the sum of its symbols times powers by their place in it
+    if len(symbol) <= MOST_POWERS:  # as a difference of sums over all before, with less memory traffic
+        up, down = _powers(1 << max(16, int(len(symbol) - 1).bit_length()))
+        sums = np.cumsum(symbol * up[:len(symbol)], dtype=np.uint64)
+        part = sums[start + length - 1]
+        part[1:] -= sums[start[1:] - 1]
+        part *= down[start]
+    else:
+        place = np.arange(len(symbol)) - np.repeat(start, length)
+        part = np.add.reduceat(symbol * powers(BASE, int(length.max()))[place], start)
+    return mix64(part + length.astype(np.uint64)), np.searchsorted(start, bounds)
+
+
+@lru_cache(maxsize=1)
+def _code_names() -> np.ndarray:
+    """A 32-bit name of every code point."""
+    return (mix64(np.arange(0x110000, dtype=np.uint64) + U(0x2545F4914F6CDD1D)) >> U(32)).astype(np.uint32)
 
 
 def fingerprints(texts: list[str]) -> tuple[list[int], list[np.ndarray]]:
-    """Root and sorted kept names of every text."""
+    """Root and all sorted names (from ``FROM_LEVEL`` up, 32 bits) of every text."""
     roots: list[int] = [0] * len(texts)
-    kept: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-    for group in chunks(texts, 2_000_000):
+    held: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    for group in chunks(texts, 1_000_000):
         size = np.array([len(texts[i]) for i in group])
-        if not size.any():
+        live = np.flatnonzero(size)
+        if not len(live):
             continue
-        doc = np.repeat(np.arange(len(group)), size)
-        symbol = mix64(codes_of("".join(texts[i] for i in group)).astype(np.uint64) + U(0x2545F4914F6CDD1D))
-        names = [np.empty(0, np.uint64)]
+        symbol = codes_of("".join(texts[i] for i in group))
+        bounds = (np.cumsum(size) - size)[live]
+        names = []
         level = 0
-        while len(symbol):
-            symbol, doc = parse(symbol, doc)
+        while len(live):
+            symbol, bounds = parse(symbol, bounds)
             level += 1
-            first = starts_of(doc)
-            alone = first & np.append(first[1:], True)
-            for d, s in zip(doc[alone], symbol[alone]):
-                roots[group[d]] = int(s)
+            count = np.diff(bounds, append=len(symbol))
+            alone = count == 1
+            for d, x in zip(live[alone], symbol[bounds[alone]]):
+                roots[group[d]] = int(x)
             if level >= FROM_LEVEL or alone.any():
-                use = slice(None) if level >= FROM_LEVEL else alone
+                doc = np.repeat(live, count)
+                use = slice(None) if level >= FROM_LEVEL else np.repeat(alone, count)
                 names.append((doc[use].astype(np.uint64) << U(32)) | (mix64(symbol[use] ^ U(0xABCDEF)) >> U(32)))
-            symbol, doc = symbol[~alone], doc[~alone]
+            if alone.any():
+                symbol = symbol[np.repeat(~alone, count)]
+                live, count = live[~alone], count[~alone]
+                bounds = np.cumsum(count) - count
         key = np.unique(np.concatenate(names))
-        owner = (key >> U(32)).astype(np.int64)
-        cut = np.searchsorted(owner, np.arange(len(group) + 1))
+        cut = np.searchsorted(key >> U(32), np.arange(len(group) + 1, dtype=np.uint64))
         value = key.astype(np.uint32)
         for j, i in enumerate(group):
-            kept[i] = value[cut[j]:min(cut[j] + KEPT, cut[j + 1])]
-    return roots, kept
+            held[i] = value[cut[j]:cut[j + 1]]
+    return roots, held
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+    """The share of common names among all names of two texts; 1 for equal roots."""
     if a[0] == b[0]:
         return 1.0
-    x = np.sort(np.concatenate([a[1], b[1]]))
-    twice = x[1:] == x[:-1]
-    both = x[1:][twice]
-    new = np.append(True, ~twice) if len(x) else np.empty(0, bool)
-    distinct = x[new][:KEPT]
-    if not len(distinct):
+    x, y = (a[1], b[1]) if len(a[1]) <= len(b[1]) else (b[1], a[1])
+    if not len(x):
         return 0.0
-    return float(np.count_nonzero(both <= distinct[-1]) / len(distinct))
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return both / (len(x) + len(y) - both)
 
 
 def edited(text: str, other: str) -> str:
@@ -148,7 +181,7 @@ RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _write(root: int, names: np.ndarray) -> str:
-    return f"{root:016x}:{names.astype('>u4').tobytes().hex()}"
+    return f"{root:016x}:{names[:KEPT].astype('>u4').tobytes().hex()}"
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -158,11 +191,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
               index.setdefault(n, len(index))) for _, t, n in rows]
     texts = list(index)
     marks = list(zip(*fingerprints(texts)))
-    out = [(i if i != FIRST_ID else None, len(t),
-            hashlib.sha256(texts[e].encode("utf-8", "surrogatepass")).hexdigest(),
+    out = [(len(t), hashlib.sha256(texts[e].encode("utf-8", "surrogatepass")).hexdigest(),
             _write(*marks[a]), _write(*marks[e]), likeness(marks[a], marks[e]), likeness(marks[a], marks[b]))
-           for (i, t, _), (a, e, b) in zip(rows, third)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+           for (_, t, _), (a, e, b) in zip(rows, third)]
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")][1:])
+    frame.insert(0, "doc_id", pd.array([i if i != FIRST_ID else None for i, _, _ in rows], "Int64"))
+    return frame
 
 
 def _compare(batches):

@@ -5,8 +5,12 @@ automaton.  A text's words are streamed through it and give matching statistics:
 at every word the length of the longest suffix that occurs in some template, and
 where.  Long matches of one template are chained, in the order of the template
 and with small gaps, into covered spans; a template whose covered share reaches
-``COVERED`` gives its label.  The base phrases are short templates of their own:
-a place counts wherever the match is as long as the phrase and is the phrase.
+``COVERED`` gives its label.  Templates are sections of the licences' texts
+(``license_texts.py``), so a section alone is found.  Of spans that overlap by half
+or more the one that covers most words stays, then the one with the larger share, so
+a notice that differs from another licence's in one word is not labelled as both.
+The base phrases are short templates of their own: a place counts wherever the match
+is as long as the phrase and is the phrase.
 
 Words outside the templates' vocabulary reset the automaton, so only runs of
 vocabulary words are walked.  The automaton has fixed size and travels with the
@@ -20,6 +24,7 @@ empty tables give empty results; other columns pass.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import SECTIONS
 
 LEAST_MATCH = 4
 MOST_GAP = 12
@@ -35,27 +41,6 @@ COVERED = 0.6
 
 # fixed values: base phrases and their labels
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# fixed values: opening or grant sentences of common licences, as words
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-            "general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
-            "that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-            "hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-]
 _WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
               for c in range(256))
 
@@ -130,22 +115,31 @@ class Automaton:
 
 @lru_cache(maxsize=1)
 def automaton() -> Automaton:
-    return Automaton([p.encode().split() for p in BASE] + [t.encode().split() for _, t in TEMPLATES])
+    return Automaton([p.encode().split() for p in BASE] + [words_of(t) for _, t in SECTIONS])
 
 
 def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Best chains of one template's matches (word, position in the template,
-    length): (covered words, first word, last word + 1) of each chain."""
-    best: list[tuple[int, int, int, int]] = []  # covered, first, end, template end
+    length; sorted): (covered words, first word, last word + 1) of each chain.  A
+    match follows any that ends at most ``MOST_GAP`` words before it."""
+    best: list[tuple[int, int, int, int]] = []  # end, covered, first, template end; by end
     for word, at, size in matches:
-        own = (size, word, word + size, at + size)
-        for covered, first, end, upto in best[-64:]:
+        own = (size, word)
+        for end, covered, first, upto in best[bisect_left(best, (word - MOST_GAP,)):]:
             skip = max(0, end - word, upto - at)
-            if skip < size and word - end <= MOST_GAP and at - upto <= MOST_GAP \
-                    and first < word and covered + size - skip > own[0]:
-                own = (covered + size - skip, first, word + size, at + size)
-        best.append(own)
-    return [(c, f, e) for c, f, e, _ in best]
+            if skip < size and at - upto <= MOST_GAP and first < word and (covered + size - skip, -first) > (own[0], -own[1]):
+                own = (covered + size - skip, first)
+        insort(best, (word + size, own[0], own[1], at + size))
+    return [(c, f, e) for e, c, f, _ in best]
+
+
+def apart(spans: list[tuple[int, float, int, int, str]]) -> list[tuple[str, int, int, float]]:
+    """Of (covered, share, first, end, label) those that no better one overlaps by half."""
+    kept: list[tuple[str, int, int, float]] = []
+    for covered, share, first, end, label in sorted(spans, key=lambda s: (-s[0], -s[1], s[2], s[4])):
+        if all(2 * (min(end, e) - max(first, f)) < min(end - first, e - f) for _, f, e, _ in kept):
+            kept.append((label, first, end, share))
+    return sorted(kept)
 
 
 def scan(text: str) -> dict:
@@ -179,14 +173,14 @@ def scan(text: str) -> dict:
                             long.setdefault(t, []).append((first + i - size + 1, at - size + 1, size))
     spans = []
     for t, matches in long.items():
-        label, size = TEMPLATES[t - len(BASE)][0], len(auto.sequences[t])
-        for covered, first, end in chain(sorted(matches)):
-            if covered >= COVERED * size:
-                spans.append((label, first, end, min(1.0, covered / size)))
-    return {"n_words": len(words), "places": sorted(places), "spans": sorted(spans)}
+        label, size = SECTIONS[t - len(BASE)][0], len(auto.sequences[t])
+        spans += [(min(covered, size), min(1.0, covered / size), first, end, label)
+                  for covered, first, end in chain(sorted(matches)) if covered >= COVERED * size]
+    spans = apart(spans)
+    return {"n_words": len(words), "places": sorted(places), "spans": spans}
 
 
-RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+RESULT = ("doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, "
           "labels string, score double")
 
 
@@ -205,10 +199,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                              ",".join(base), ",".join(every),
                              1.0 if at else max((s[3] for s in got["spans"]), default=0.0)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype(
-                {"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+                {"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInPandas(run, RESULT)
+    # ids as text, since pandas would turn a nullable long into a float
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .mapInPandas(run, RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

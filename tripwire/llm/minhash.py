@@ -280,7 +280,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id of its class), kept (whether the row's (doc_id, th) stands for the class)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = rows.withColumn("th", F.xxhash64("text"))
-    seen = materialize(keyed.mapInPandas(_sketched, "doc_id long, th long, node string, bands array<long>"), "sketched")
+    # ids as text, since pandas would turn a nullable long into a float
+    sketched = keyed.withColumn("doc_id", F.col("doc_id").cast("string")) \
+        .mapInPandas(_sketched, "doc_id string, th long, node string, bands array<long>")
+    seen = materialize(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketched")
     ident = F.coalesce("doc_id", F.lit(LAST_ID))
     nodes = materialize(seen.groupBy("node").agg(F.min(ident).alias("first"), F.first("bands").alias("bands")), "nodes")
     member = nodes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))

@@ -2,15 +2,18 @@
 
 * **Seeds.** Emails, IP addresses, payment cards and phone numbers that match
   the fixed expressions below; those are spans in any case.
-* **Patterns.** Every identifier (a token with a digit) has a lexical pattern:
-  the word on its left, the separator between them and its own shape.
-* **Graph.** Distinct (pattern, identifier) edges.  Identifiers that occur as
-  seeds have score 1 for their kind.  In each of ``ROUNDS`` rounds the
+* **Identifiers.** Runs of digit groups (joined by a space, dot, hyphen or bracket,
+  with a leading plus or bracket) and other tokens with a digit, whole.
+* **Patterns.** An identifier has two lexical patterns: the word on its left and what
+  stands between them, with its shape (runs of digits and of letters collapsed), and
+  the same with its class (digits, with an @, or mixed) in place of the shape.
+* **Graph.** Distinct (pattern, identifier) edges.  Identifiers that a seed covers by
+  half or more have score 1 for its kind.  In each of ``ROUNDS`` rounds the
   confidence of a pattern for a kind is the mean score of its identifiers, and
   an identifier takes the best confidence among its patterns with at least
   ``SUPPORT`` identifiers and ``CONFIDENCE``.
-* **Discovery.** An identifier outside every base span becomes a span if its own
-  pattern reaches ``CONFIDENCE`` for a kind.
+* **Discovery.** An identifier outside every base span becomes a span if one of its
+  patterns reaches ``CONFIDENCE`` for a kind and it can be of that kind (``PLAUSIBLE``).
 
 The text is scanned once, with JVM expressions; what follows works on the
 identifiers.  Sums over hot patterns are aggregated before they are shuffled.
@@ -44,8 +47,12 @@ BASE = {
     "card": (None, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_LEFT = r"(\p{L}{2,64}+)([^\p{L}\p{N}]{1,4}+)"
-_TOKEN = r"((?=[A-Za-z._%@=/-]{0,64}[0-9])[A-Za-z0-9][A-Za-z0-9._%@=/-]*+)"
+#: kind: least and most digits of a discovered identifier, and its form
+PLAUSIBLE = {"email": (0, 64, r"^[^@]+@[^@]+$"), "ip": (3, 32, rf"^{_BYTE}(?:\.{_BYTE}){{2,}}$"),
+             "card": (12, 19, r"^[0-9\x20.-]+$"), "phone": (7, 15, r"^[+0-9\x20().-]+$")}
+_LEFT = r"(?<![\p{L}\p{N}])(?:(\p{L}++)([^\p{L}\p{N}]++))?+"
+_GROUPS = r"[0-9]++(?:(?:[\x20.-]|\x20?\(|\)[\x20-]?)[0-9]++)*+(?![A-Za-z0-9@_])"
+_TOKEN = rf"({_GROUPS}|(?=[A-Za-z._%@=/+-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._%@=/+-]*+)"
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -113,20 +120,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(scanned: DataFrame) -> DataFrame:
-    """A row per identifier: its place, pattern, value and the kind of the base span it meets."""
+    """Two rows per identifier, one for each pattern: its place, pattern, value, the kind of
+    the base span that covers half of it or more, whether any meets it, and the kinds it can be."""
     full = _LEFT + _TOKEN
     x = F.col("x")
     got = scanned.where(F.size("near") > 0).select("doc_id", "th", "base", F.explode("near").alias("x"))
-    token = F.regexp_extract(x["value"], full, 3)
-    got = got.select("doc_id", "th", "base", token.alias("value"), x["stop"].alias("stop"),
-                     (x["stop"] - F.length(token)).alias("start"),
-                     F.lower(F.regexp_extract(x["value"], full, 1)).alias("word"),
-                     F.regexp_extract(x["value"], full, 2).alias("gap"))
-    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a")
+    gap = F.regexp_extract(x["value"], full, 2)
+    lead = F.regexp_extract(gap, r"\+?\(?\z", 0)  # of the gap's end, what begins the identifier
+    got = got.select("doc_id", "th", "base", x["stop"].alias("stop"), F.lower(F.regexp_extract(x["value"], full, 1)).alias("word"),
+                     F.regexp_replace(F.substring(gap, F.lit(1), F.length(gap) - F.length(lead)), r"\s+", " ").alias("gap"),
+                     F.concat(lead, F.regexp_extract(x["value"], full, 3)).alias("value")) \
+        .withColumn("start", F.col("stop") - F.length("value"))
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    can = F.array_compact(F.array(*[
+        F.when(digits.between(least, most) & F.col("value").rlike(form), F.lit(k)) for k, (least, most, form) in PLAUSIBLE.items()]))
+    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), "[A-Za-z]+", "a")
+    kind = F.when(F.contains(F.col("value"), F.lit("@")), "@").when(F.col("value").rlike("[A-Za-z]"), "a").otherwise("9")
     meets = F.filter("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
-    return got.select("doc_id", "th", "start", "stop", F.md5(F.col("value").cast("binary")).alias("item"),
-                      F.md5(F.concat_ws("\x1f", "word", "gap", shape).cast("binary")).alias("pattern"),
-                      F.get(meets, F.lit(0))["kind"].alias("kind"))
+    covers = F.filter(meets, lambda b: 2 * (F.least(b["stop"], F.col("stop")) - F.greatest(b["start"], F.col("start")))
+                      >= F.col("stop") - F.col("start"))
+    named = F.explode(F.array(F.concat(F.lit("shape\x1f"), shape), F.concat(F.lit("class\x1f"), kind)))
+    return got.select("doc_id", "th", "start", "stop", F.md5(F.col("value").cast("binary")).alias("item"), can.alias("can"),
+                      F.get(covers, F.lit(0))["kind"].alias("kind"), (F.size(meets) > 0).alias("met"), "word", "gap", named.alias("form")) \
+        .withColumn("pattern", F.md5(F.concat_ws("\x1f", "word", "gap", "form").cast("binary"))).drop("word", "gap", "form")
 
 
 def patterns(candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
@@ -153,8 +169,9 @@ def find(docs: DataFrame) -> DataFrame:
     spans (kind, start, stop), by kind and start."""
     scanned = scan(docs)
     found = materialize(_candidates(scanned), "pii-identifiers")
-    rated = patterns(found).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as"))
-    more = found.where("kind is null").join(rated, "pattern") \
+    rated = patterns(found).withColumnRenamed("kind", "as")
+    more = found.where("not met").join(rated, "pattern").where(F.array_contains("can", F.col("as"))) \
+        .groupBy("doc_id", "th", "start", "stop").agg(F.max_by("as", F.struct("confidence", "as")).alias("as")) \
         .groupBy(F.col("doc_id").alias("mk"), F.col("th").alias("mh")) \
         .agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "stop")).alias("more"))
     both = scanned.select("doc_id", "th", "base").join(

@@ -272,9 +272,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("th", F.xxhash64("text"))
-    cut = rows.where(F.octet_length("text") >= LENGTH) \
-        .mapInPandas(_cut, "m long, ch long, doc_id long, th long, first long, n short, shift short")
-    cut = materialize(cut, "segments")
+    # ids as text, since pandas would turn a nullable long into a float
+    cut = rows.where(F.octet_length("text") >= LENGTH).withColumn("doc_id", F.col("doc_id").cast("string")) \
+        .mapInPandas(_cut, "m long, ch long, doc_id string, th long, first long, n short, shift short")
+    cut = materialize(cut.withColumn("doc_id", F.col("doc_id").cast("long")), "segments")
     again = materialize(cut.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "again")
     cut = materialize(cut.join(again, "m", "left_semi"), "repeated-anchors")
     content = cut.groupBy("m", "ch").agg(F.count(F.lit(1)).alias("copies"),
@@ -301,10 +302,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         "doc_id", "th", F.coalesce(F.transform("at", lambda x: F.struct(
             (F.col("first") + x["lo"]).alias("a"), (F.col("first") + x["hi"] + (LENGTH - 1)).alias("b"))),
             F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") + (LENGTH - 1)).alias("b")))).alias("s"))
-    return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("s")).alias("spans"))  # repeated rows find the same
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -326,9 +327,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(text[at:])
                 rest = b"".join(kept)
                 out.append((doc_id, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return both.mapInPandas(apply, RESULT)
+    return both.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(apply, RESULT) \
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

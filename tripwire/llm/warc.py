@@ -78,10 +78,6 @@ def with_digest(pages: DataFrame) -> DataFrame:
         .select("page_id", "url", "payload", "digest", F.when(old, F.col("keeper")).alias("refers_to"))
 
 
-def _clean(x):
-    return None if x is None or x != x else int(x)
-
-
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Manifest (path, records) of one monolithic gzip archive per partition."""
 
@@ -97,14 +93,16 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     fs, inner = _fs(path)
                     fs.create_dir(posixpath.dirname(inner), recursive=True)
                     out, pack = fs.open_output_stream(inner, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(pack.compress(_record(_clean(pid), url, payload, digest, _clean(ref))))
+                out.write(pack.compress(_record(pid, url, payload, digest, ref)))
                 n += 1
         if out is not None:
             out.write(pack.flush())
             out.close()
             yield pd.DataFrame({"path": [path], "records": [n]})
 
-    return rows.withColumn("page_id", F.col("page_id")).mapInPandas(write, "path string, records long")
+    # ids as text, since pandas would turn a nullable long into a float
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")}) \
+        .mapInPandas(write, "path string, records long")
 
 
 class _Inflated:
@@ -241,8 +239,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = ["Int64" if x.endswith(" long") else "object" for x in READ.split(", ")]
+    return pd.DataFrame({x.split()[0]: pd.array(c, k) if k == "Int64" else list(c)
+                         for x, c, k in zip(READ.split(", "), columns, kinds)})
 
 
 class _Lines:
