@@ -42,7 +42,7 @@ from .common import materialize, mix64, table
 SEQUENCE = 1024
 END = 0
 GROUP_TOKENS = 1 << 22
-CACHED = 500_000
+CACHED = 1_500_000  # about 300 MB in a task
 LONGEST_CACHED = 64
 SEED = 13
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
