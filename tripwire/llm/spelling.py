@@ -47,6 +47,7 @@ FORM_RATIO = 10
 HELD_WORDS = 400_000
 SALT_WORDS = 20_000  # states of a node under one salt
 MOST_HOT = 2_000
+BROADCAST_BYTES = 16 << 20  # of a frontier that is counted
 TAIL = 3  # code points of a word's end that a node's bitmaps tell apart
 TAIL_BASE = 331
 _RUNS = re.compile(r"[A-Za-zÀ-ÿ]{%d,}" % LEAST_LENGTH).findall
@@ -195,58 +196,55 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frontier, materialize(edges, "edges")
 
 
-def advance(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+def advance(frontier: DataFrame, edges: DataFrame, small: bool = False) -> DataFrame:
     """The frontier one level below; ``near`` and ``near_n`` where a state names a neighbour.
-    A state with its edit done takes the one edge that begins with its next code point."""
-    left, label, taken = F.col("left"), F.col("label"), F.col("taken")
+    A state with its edit done goes on where the label is what it reads next; any other
+    does so too, or with one edit within the label.  ``small``: the frontier is
+    broadcast, else edges and states are shuffled by node and salt."""
+    left, label, taken, edits = F.col("left"), F.col("label"), F.col("taken"), F.col("edits")
     size, m = F.length("left"), F.length("label")
+    states = frontier.withColumn("salt", F.pmod(F.hash("wid"), F.col("width"))).drop("width")
+    pairs = edges.join(F.broadcast(states), ["node", "salt"]) if small else states.join(edges.hint("shuffle_hash"), ["node", "salt"])
+    # next: what the state reads next is how the label begins
+    pairs = pairs.withColumn("next", F.substring(left, 1, 1) == F.col("first")) \
+        .where((edits == 0) | (F.col("next") & F.startswith(left, label)))
     sums = [F.lit(0).cast("long")]  # of the last code points, as in prefixes()
     for j in range(TAIL):
         sums.append(sums[-1] + F.ascii(F.substring(left, -1 - j, 1)).cast("long") * F.lit(TAIL_BASE ** j))
-    salted = frontier.withColumns({"salt": F.pmod(F.hash("wid"), F.col("width")), "tails": F.array(*sums),
-                                   "next": F.substring(left, 1, 1)})
+    reads = F.when(edits == 1, F.array(m)).when(F.col("next"), F.array(F.lit(-1), m - 1, m, m + 1)) \
+        .otherwise(F.array(m - 1, m, m + 1))  # -1: the label as it is, no edit
+    pairs = pairs.withColumn("tails", F.array(*sums)).withColumn("taken", F.explode(reads))
     bits = _bits(size - taken, F.get("tails", F.least(size - taken, F.lit(TAIL))))
     fits = (taken <= size) & (F.col("below0").bitwiseAND(bits[0]) != 0) & (F.col("below1").bitwiseAND(bits[1]) != 0)
-    edges = edges.hint("shuffle_hash")
-
-    def joined(states, other):
-        keys = ["node", "salt"] + ([] if other else ["first"])
-        states = states if other else states.withColumn("first", F.col("next"))
-        return states.drop("edits").join(edges, keys)
-
-    begun, done = salted.where("edits = 0"), salted.where("edits = 1")
-    # the edge that begins with the next code point: it, or one edit within it
-    along = joined(begun, False).withColumn("taken", F.explode(F.array(F.lit(-1), m - 1, m, m + 1)))
-    along = along.where(((taken == -1) & F.startswith(left, label)) | (
-        (taken >= 0) & fits & (F.levenshtein(F.substring(left, F.lit(1), taken), label, 1) == 1)))
-    # any other edge: the edit is its first code point, the rest of the label follows
-    other = joined(begun, True).where(F.col("next") != F.col("first")).withColumn("taken", F.explode(F.array(m - 1, m, m + 1)))
-    other = other.where(fits & (F.substring(left, F.when(taken < m, 1).otherwise(2), F.when(taken > m, m).otherwise(m - 1))
-                                == F.when(taken > m, label).otherwise(F.substring(label, F.lit(2), m))))
-    # the edit is done: the edge that begins with the next code point, unchanged
-    exact = joined(done, False).withColumn("taken", m).where(F.startswith(left, label) & fits)
-    moved = along.select("*", F.when(taken == -1, 0).otherwise(1).alias("edits")).withColumn("taken", F.when(taken == -1, m).otherwise(taken)) \
-        .unionByName(other.withColumn("edits", F.lit(1)), allowMissingColumns=True) \
-        .unionByName(exact.withColumn("edits", F.lit(1)), allowMissingColumns=True)
-    rest = size - F.col("taken")
-    names = F.col("near").isNotNull() & (((F.col("edits") == 1) & (rest == 0)) | ((F.col("edits") == 0) & (rest == 1)))
-    on = F.col("child_on") & ((F.col("edits") == 0) | (rest > 0))
+    within = F.levenshtein(F.substring(left, F.lit(1), taken), label, 1) == 1
+    # the edit is the label's first code point, the rest of the label follows
+    at_first = F.substring(left, F.when(taken < m, 1).otherwise(2), F.when(taken > m, m).otherwise(m - 1)) \
+        == F.when(taken > m, label).otherwise(F.substring(label, F.lit(2), m))
+    moved = pairs.where(F.when(taken == -1, F.startswith(left, label)).otherwise(
+        fits & F.when(edits == 1, True).when(F.col("next"), within).otherwise(at_first))) \
+        .withColumn("edits", F.when(taken == -1, 0).otherwise(1)) \
+        .withColumn("left", F.substring(left, F.when(taken == -1, m).otherwise(taken) + 1, size))
+    rest = F.length("left")
+    names = F.col("near").isNotNull() & (rest + edits == 1)  # an edit done and nothing left, or one code point too many
+    on = F.col("child_on") & ((edits == 0) | (rest > 0))
     return moved.select(
-        "wid", F.substring(left, F.col("taken") + 1, size).alias("left"), F.col("child").alias("node"),
-        F.col("child_width").alias("width"), "edits", on.alias("on"), F.when(names, F.col("near")).alias("near"),
-        F.when(names, F.col("near_n")).alias("near_n")).where("on or near is not null")
+        "wid", "left", F.col("child").alias("node"), F.col("child_width").alias("width"), "edits", on.alias("on"),
+        F.when(names, F.col("near")).alias("near"), F.when(names, F.col("near_n")).alias("near_n")) \
+        .where("on or near is not null")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(wid, near, near_n) of every pair of near words of ``words`` (wid, word, n), both ways."""
     frontier, edges = trie(words)
-    found = []
+    found, small = [], False
     while True:
-        level = materialize(advance(frontier, edges), f"level{len(found)}")
+        level = materialize(advance(frontier, edges, small), f"level{len(found)}")
         found.append(level.where("near is not null").select("wid", "near", "near_n"))
         frontier = level.where("on").drop("on", "near", "near_n")
-        if frontier.isEmpty():
+        states, chars = frontier.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("left")), F.lit(0))).first()
+        if not states:
             break
+        small = states * 64 + 4 * chars <= BROADCAST_BYTES
     pairs = found[0]
     for level in found[1:]:
         pairs = pairs.unionByName(level)
