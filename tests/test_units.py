@@ -12,7 +12,8 @@ from tripwire.functions.quantiles import exact_percentiles
 from tripwire.functions.rowkey import ordered_index
 from tripwire.operators import compare, prep, profile
 from tripwire.operators.learners import SEAPool, member_accuracy, pool_vote, replaced_slot, warmup_chunks
-from tripwire.plans.cascade import _eval_metric
+from tripwire.operators.learners import StepResult
+from tripwire.plans.cascade import metric_values
 
 # --- golden values: confusion counts and published metrics of the 12 stored runs
 # (model, dataset, tn, fp, fn, tp, accuracy, f1_macro, balanced_accuracy or None)
@@ -49,7 +50,8 @@ def test_g1_metrics_follow_from_counts(spark):
         assert r.accuracy == acc and r.f1_macro == f1m
         if bal is not None:
             assert r.balanced_accuracy == bal
-        assert round(_eval_metric("f1_macro", *_c), 4) == f1m
+    tn, fp, fn, tp, _acc, f1m, _bal = GOLDEN[0][2:]
+    assert round(metric_values(StepResult(tn, fp, fn, tp))["f1_macro"], 4) == f1m
 
 
 def test_g2_g3_cascade_identities():
@@ -235,11 +237,11 @@ def test_batches_in_any_order_are_applied_once(spark, tmp_path):
     def batch(b):
         return spark.range(20).selectExpr("id", f"{b} as batch_id")
 
-    sink = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag", 0)
+    sink = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag")
     for b in (0, 2, 1, 2):
         sink(batch(b), 0)
     assert sink.total.n == 60
-    again = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag", 0)
+    again = PrequentialSink(spark, Counter(), str(tmp_path / "state"), "flag")
     again(batch(1), 0)
     assert again.total.n == 60 and again.learner.seen == 60
 

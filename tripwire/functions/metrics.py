@@ -68,13 +68,32 @@ def with_metrics(counts: DataFrame, digits: int | None = None,
     return counts.withColumns(cols)
 
 
-def metrics_sql(digits: int | None = None, names: list[str] | None = None) -> str:
-    """The same metric list as a SQL select fragment (for oracle text)."""
-    names = names or METRIC_NAMES
-    parts = []
-    for n in names:
-        e = METRIC_SQL[n]
-        parts.append(f"round({e}, {digits}) AS {n}" if digits is not None else f"{e} AS {n}")
+def _share(num: str, den: str) -> str:
+    return f"coalesce(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0), 0)"
+
+
+_HALF = "(CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END + CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END)"
+#: name -> oracle text over tn, fp, fn, tp
+ORACLE_SQL: dict[str, str] = {
+    "accuracy": f"1 - {_share('fp + fn', 'tn + fp + fn + tp')} * 1.0 - CASE WHEN tn + fp + fn + tp = 0 THEN 1 ELSE 0 END",
+    "precision_normal": _share("tn", "tn + fn"),
+    "recall_normal": _share("tn", "tn + fp"),
+    "f1_normal": _share("2 * tn", "2 * tn + fn + fp"),
+    "precision_anomaly": _share("tp", "tp + fp"),
+    "recall_anomaly": _share("tp", "tp + fn"),
+    "f1_anomaly": _share("2 * tp", "2 * tp + fn + fp"),
+    "precision_macro": f"0.5 * {_share('tn', 'tn + fn')} + 0.5 * {_share('tp', 'tp + fp')}",
+    "recall_macro": f"0.5 * {_share('tn', 'tn + fp')} + 0.5 * {_share('tp', 'tp + fn')}",
+    "f1_macro": f"{_share('tn', '2 * tn + fn + fp')} + {_share('tp', '2 * tp + fn + fp')}",
+    # the mean recall of the classes that occur
+    "balanced_accuracy": f"coalesce(({_share('tn', 'tn + fp')} + {_share('tp', 'tp + fn')}) / nullif({_HALF}, 0), 0)",
+    "specificity": f"CASE WHEN tn + fp = 0 THEN 0.0 ELSE 1 - {_share('fp', 'tn + fp')} END",
+}
+
+
+def metrics_sql(digits: int) -> str:
+    """Every metric as a SQL select fragment for oracle text."""
+    parts = [f"round({e}, {digits}) AS {n}" for n, e in ORACLE_SQL.items()]
     parts.append("CAST(tn + fp AS BIGINT) AS support_normal")
     parts.append("CAST(fn + tp AS BIGINT) AS support_anomaly")
     return ",\n       ".join(parts)

@@ -62,6 +62,8 @@ def best_per_group(df: DataFrame, group_by: str | Sequence[str], metric: str = "
     nulls last), ties by model then dataset.  ``'both'`` = (model, dataset)."""
     keys = ["model", "dataset"] if group_by == "both" else (
         [group_by] if isinstance(group_by, str) else list(group_by))
+    if not {metric, *KEY_METRICS} & set(df.columns):
+        return df.dropDuplicates(keys)          # nothing to choose by
     m = pick_metric(df, metric)
     order = F.col(m).desc_nulls_last() if m in HIGHER_IS_BETTER else F.col(m).asc_nulls_last()
     w = Window.partitionBy(*keys).orderBy(order, F.col("model"), F.col("dataset"))

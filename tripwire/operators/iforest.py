@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,11 +256,6 @@ def thresholds(scored_benign: DataFrame, contaminations: Sequence[float],
     return {c: got[("", col, 1 - c)] for c in contaminations}
 
 
-def flag(col: str, cutoff: float) -> F.Column:
-    """F8: strictly beyond the cut-off → suspicious (1)."""
-    return (F.col(col) > F.lit(cutoff)).cast("int")
-
-
 def save_forest(forest: Forest, spark, path: str, cutoffs: dict[float, float]) -> None:
     """Nodes and thresholds as parquet tables."""
     forest.to_frame(spark).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -274,7 +270,7 @@ def load_forest(spark, path: str) -> tuple[Forest, dict[float, float]]:
     """Reuse a fitted detector; a missing model raises FileNotFoundError."""
     try:
         meta = spark.read.parquet(f"{path}/meta").first()
-    except Exception as exc:  # noqa: BLE001
+    except AnalysisException as exc:
         raise FileNotFoundError(f"no forest at {path}") from exc
     nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree_id", "node_id"])
     cut = {r.contamination: r.threshold for r in spark.read.parquet(f"{path}/thresholds").collect()}

@@ -26,6 +26,10 @@ def _unpivot(wide: DataFrame, cols: Sequence[str], prefixes: Sequence[str],
     return wide.selectExpr(*carry, f"stack({len(cols)}, {args}) AS (feature, {', '.join(names)})")
 
 
+#: pairs of columns up to which correlations are built-in aggregates
+BUILT_IN_PAIRS = 300
+
+
 def _is_true(cond) -> F.Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
@@ -72,18 +76,33 @@ def zero_counts(df: DataFrame, cols: Sequence[str], top: int = 10) -> DataFrame:
     return long.orderBy(F.col("n_zero").desc(), F.col("feature")).limit(top)
 
 
-def duplicate_summary(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:
-    """Exact duplicate rows, duplicates on features only, and feature
-    groups carrying more than one label.  Group-bys pre-aggregate on the map
-    side, so a hot group of copies collapses before the shuffle."""
+def _fingerprint(df: DataFrame, cols: Sequence[str], name: str) -> list[F.Column]:
+    """128 bits that stand for the values of ``cols``: nulls, zeros and NaN as group keys see them."""
+    kinds = dict(df.dtypes)
+    values = [F.when(F.col(c) == 0, F.lit(0.0)).when(F.isnan(c), F.lit(float("nan"))).otherwise(F.col(c))
+              if kinds[c] in ("float", "double") else F.col(c) for c in cols]
+    gaps = [F.col(c).isNull() for c in cols]
+    return [F.xxhash64(*values, *gaps).alias(f"{name}0"), F.xxhash64(F.lit(name), *gaps, *values).alias(f"{name}1")]
+
+
+def duplicate_summary(df: DataFrame, features: Sequence[str], label: str = LABEL,
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact duplicate rows over ``columns`` (features and label if not given),
+    duplicates on features only, and feature groups carrying more than one label.
+
+    Rows are grouped by 128-bit hashes, so a wide row is shuffled as a few numbers;
+    group-bys pre-aggregate on the map side, so a hot group of copies collapses
+    before the shuffle."""
     feats = list(features)
-    full = df.groupBy(*feats, label).agg(F.count(F.lit(1)).alias("c"))
-    # g = distinct labels (= distinct full rows) inside one feature group
-    by_feat = full.groupBy(*feats).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("g"))
-    out = by_feat.agg(F.sum("c").cast("long").alias("n_rows"),
-                      F.sum("g").cast("long").alias("n_distinct_rows"),
+    hashed = df.select(*_fingerprint(df, feats, "f"), *_fingerprint(df, [label], "l"),
+                       *_fingerprint(df, list(columns or [*feats, label]), "r"))
+    rows = hashed.groupBy(*hashed.columns).agg(F.count(F.lit(1)).alias("c"))
+    full = rows.groupBy("f0", "f1", "l0", "l1").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"))
+    by_feat = full.groupBy("f0", "f1").agg(F.sum("c").alias("c"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("g"))
+    out = by_feat.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n_rows"),
+                      F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("n_distinct_rows"),
                       F.count(F.lit(1)).cast("long").alias("n_distinct_features"),
-                      _is_true(F.col("g") > 1).alias("n_conflicting_groups"))
+                      F.coalesce(_is_true(F.col("g") > 1), F.lit(0)).alias("n_conflicting_groups"))
     pct = lambda c: F.when(F.col("n_rows") == 0, 0.0).otherwise(c * 100.0 / F.col("n_rows"))
     return out.select(
         "n_rows",
@@ -145,26 +164,33 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
     return _unpivot(wide, cols, ["d_"], ["n_distinct"])
 
 
+def _quartile_rows(df: DataFrame, cols: Sequence[str]) -> tuple[dict, DataFrame]:
+    """Quartiles per column, and as a small table; null where a column has no value."""
+    qs = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    got = {c: tuple(qs.get(("", c, q)) for q in (0.25, 0.5, 0.75)) for c in cols}
+    return got, df.sparkSession.createDataFrame([(c, *got[c]) for c in cols], "feature string, q25 double, q50 double, q75 double")
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, range and CV."""
-    wide = df.agg(*[x for c in cols for x in (
-        F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"),
-        F.stddev_samp(c).alias(f"std_{c}"), F.min(c).cast("double").alias(f"min_{c}"),
-        F.max(c).cast("double").alias(f"max_{c}"))])
+    """Count, mean, std, min, quartiles, max, range and CV; null and NaN are no
+    values, and a column without a value has count 0 and nulls."""
+    wide = df.agg(*[x for c in cols for v in [_value(c)] for x in (
+        F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"mean_{c}"), F.stddev_samp(v).alias(f"std_{c}"),
+        F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}"))])
     long = _unpivot(wide, cols, ["n_", "mean_", "std_", "min_", "max_"],
                     ["count", "mean", "std", "min", "max"])
-    qs = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
-    spark = df.sparkSession
-    qrows = spark.createDataFrame(
-        [(c, qs.get(("", c, 0.25)), qs.get(("", c, 0.5)), qs.get(("", c, 0.75))) for c in cols],
-        "feature string, q25 double, q50 double, q75 double")
-    out = long.join(F.broadcast(qrows), on="feature")
+    out = long.join(F.broadcast(_quartile_rows(df, cols)[1]), on="feature")
     return out.select(
         "feature", F.col("count").cast("long").alias("count"), "mean", "std", "min", "q25", "q50",
         "q75", "max", (F.col("max") - F.col("min")).alias("range"),
         F.when(F.col("mean") == 0, F.lit(None)).otherwise(F.col("std") / F.col("mean")).alias("cv"))
 
 
+def _value(c: str) -> F.Column:
+    """A column as double, NaN as null."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def low_variance(df: DataFrame, cols: Sequence[str], var_threshold: float = 0.01,
                  max_unique: int = 2) -> DataFrame:
     """``nunique <= 2 or var < 0.01`` flags a near-constant feature."""
@@ -178,7 +204,7 @@ def low_variance(df: DataFrame, cols: Sequence[str], var_threshold: float = 0.01
 def _pearson(a: str, b: str):
     """r over the rows where both values are there (NaN is missing); null if one
     of the two is constant."""
-    x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
+    x, y = _value(a), _value(b)
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     return F.covar_pop(x, y) / F.when(spread > 0, spread)
@@ -191,8 +217,7 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    num = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
-           for i, c in enumerate(cols)]
+    num = [_value(c).alias(f"x{i}") for i, c in enumerate(cols)]
     flat = df.select(*num)
     mean = np.array([0.0 if m is None else m for m in flat.agg(*[F.avg(c) for c in flat.columns]).first()])
     i, j = np.triu_indices(len(cols), 1)
@@ -216,11 +241,20 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """Pearson r for every pair (upper triangle), flagged when
     |r| > threshold.  Null and NaN are left out pair by pair; a column that is
-    constant over the pair's rows has a null r and is never flagged."""
+    constant over the pair's rows has a null r and is never flagged.  Up to
+    ``BUILT_IN_PAIRS`` pairs are one built-in aggregation, more (wide tables) one pass
+    of matrix products; the results are the same."""
     cols = list(cols)
     schema = "feature_a string, feature_b string, r double, abs_r double, high boolean"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    flagged = {"abs_r": F.abs("r"), "high": F.coalesce(F.abs("r") > threshold, F.lit(False))}
+    if len(pairs) <= BUILT_IN_PAIRS:
+        wide = df.agg(*[_pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+        args = ", ".join(f"'{a}', '{b}', r{k}" for k, (a, b) in enumerate(pairs))
+        long = wide.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)")
+        return long.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).withColumns(flagged)
     near = 1e-12                             # what is left of a constant's spread by rounding
     vx, vy = (F.col(q) - F.col(t) * F.col(t) / F.col("n") for q, t in (("xx", "sx"), ("yy", "sy")))
     vx, vy = (F.when(v > near * F.col(q), v) for v, q in ((vx, "xx"), (vy, "yy")))
@@ -229,55 +263,58 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9
     long = _pair_sums(df, cols).select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
                                        F.when((F.col("n") > 1) & vx.isNotNull() & vy.isNotNull(),
                                               F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
-    return long.withColumns({"abs_r": F.abs("r"),
-                             "high": F.coalesce(F.abs("r") > threshold, F.lit(False))})
+    return long.withColumns(flagged)
+
+
+def high_correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
+    """The pairs beyond the threshold, strongest first, with their rank."""
+    pairs = correlation_pairs(df, cols, threshold).where("high").select("feature_a", "feature_b", "r", "abs_r")
+    w = Window.orderBy(F.col("abs_r").desc(), "feature_a", "feature_b")   # one row per pair of columns
+    return pairs.withColumn("rank", F.row_number().over(w)).orderBy("rank")
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], label: str = LABEL) -> DataFrame:
-    """r(feature, label) with the sign kept; null for a constant feature."""
+    """r(feature, label) with the sign kept, strongest first; null for a constant feature."""
     wide = df.agg(*[_pearson(c, label).alias(f"t_{c}") for c in cols])
-    return _unpivot(wide, cols, ["t_"], ["r"]).withColumn("abs_r", F.abs("r"))
+    return _unpivot(wide, cols, ["t_"], ["r"]).withColumn("abs_r", F.abs("r")) \
+        .orderBy(F.col("abs_r").desc_nulls_last(), "feature")
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Values outside [Q1 - k*IQR, Q3 + k*IQR]; one quantile job, one count job."""
-    qs = exact_percentiles(df, cols, [0.25, 0.75])
-    bounds = {}
+    """Values outside [Q1 - k*IQR, Q3 + k*IQR], most outliers first; one quantile
+    job, one count job.  A feature without a value has null bounds and no outlier."""
+    quartiles, _ = _quartile_rows(df, cols)
+    rows, aggs = [], []
     for c in cols:
-        q1, q3 = qs.get(("", c, 0.25)), qs.get(("", c, 0.75))
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        bounds[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr)
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[
-        _is_true((F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi))).alias(f"o_{c}")
-        for c, (_q1, _q3, lo, hi) in bounds.items()])
-    cols_b = list(bounds)
-    long = _unpivot(wide, cols_b, ["o_"], ["n_outliers"], carry=["_n"])
-    spark = df.sparkSession
-    brows = spark.createDataFrame(
-        [(c, *bounds[c]) for c in cols_b],
-        "feature string, q1 double, q3 double, lower double, upper double")
+        q1, _q2, q3 = quartiles[c]
+        lo, hi = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+        rows.append((c, q1, q3, lo, hi))
+        out = F.lit(False) if q1 is None else (_value(c) < F.lit(lo)) | (_value(c) > F.lit(hi))
+        aggs.append(F.coalesce(_is_true(out), F.lit(0)).alias(f"o_{c}"))
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    long = _unpivot(wide, cols, ["o_"], ["n_outliers"], carry=["_n"])
+    brows = df.sparkSession.createDataFrame(rows, "feature string, q1 double, q3 double, lower double, upper double")
     return long.join(F.broadcast(brows), on="feature").select(
         "feature", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "lower", "upper",
         "n_outliers", F.when(F.col("_n") == 0, 0.0).otherwise(
-            F.col("n_outliers") * 100.0 / F.col("_n")).alias("pct_outliers"))
+            F.col("n_outliers") * 100.0 / F.col("_n")).alias("pct_outliers")) \
+        .orderBy(F.col("n_outliers").desc(), "feature")
 
 
 def box_summary(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Quartiles and whiskers (furthest values inside the fences)."""
-    qs = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    """Quartiles and whiskers (furthest values inside the fences); nulls for a
+    feature without a value."""
+    quartiles, _ = _quartile_rows(df, cols)
     rows, aggs = [], []
     for c in cols:
-        q1, q2, q3 = (qs.get(("", c, q)) for q in (0.25, 0.5, 0.75))
-        if q1 is None:
-            continue
-        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        q1, q2, q3 = quartiles[c]
         rows.append((c, q1, q2, q3))
-        aggs += [F.min(F.when(F.col(c) >= F.lit(lo), F.col(c))).cast("double").alias(f"wl_{c}"),
-                 F.max(F.when(F.col(c) <= F.lit(hi), F.col(c))).cast("double").alias(f"wh_{c}")]
+        lo, hi = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+        v, null = _value(c), F.lit(None).cast("double")
+        aggs += [(F.min(F.when(v >= F.lit(lo), v)) if q1 is not None else F.first(null)).alias(f"wl_{c}"),
+                 (F.max(F.when(v <= F.lit(hi), v)) if q1 is not None else F.first(null)).alias(f"wh_{c}")]
     wide = df.agg(*aggs)
-    long = _unpivot(wide, [r[0] for r in rows], ["wl_", "wh_"], ["whisker_low", "whisker_high"])
+    long = _unpivot(wide, cols, ["wl_", "wh_"], ["whisker_low", "whisker_high"])
     qdf = df.sparkSession.createDataFrame(rows, "feature string, q1 double, median double, q3 double")
     return long.join(F.broadcast(qdf), on="feature")
 
@@ -313,21 +350,55 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50,
                       (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), n.alias("n"))
 
 
-def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABEL,
-                       trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
-    """Random-forest impurity importances, ranked."""
+def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABEL, trees: int = 100, depth: int = 10,
+                       seed: int = 42, categorical: Sequence[str] = (), max_categories: int = 200) -> DataFrame:
+    """Random-forest impurity importances, ranked.  ``categorical`` columns are
+    numbered by ``fit_ordinal`` and declared to the forest, which then splits sets of
+    categories; a column of more than ``max_categories`` is split by its codes' order."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    feats = list(features)
-    vec = VectorAssembler(inputCols=feats, outputCol="_x", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double") for c in feats], F.col(label).cast("double")))
+    from .prep import fit_ordinal
+
+    feats, named = list(features), [c for c in categorical]
+    encoding = fit_ordinal(df, named)
+    coded = encoding.transform(df.select(*feats, *named, label))
+    cols = []
+    for c in feats:
+        cols.append(F.col(c).cast("double").alias(c))
+    for c in named:
+        few = 1 < encoding.sizes[c] <= max_categories
+        kind = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(encoding.sizes[c])]}} if few else {}
+        cols.append(F.col(c).cast("double").alias(c, metadata=kind))
+    vec = VectorAssembler(inputCols=[*feats, *named], outputCol="_x", handleInvalid="keep").transform(
+        coded.select(*cols, F.col(label).cast("double").alias(label)))
+    bins = max([32, *(encoding.sizes[c] for c in named if encoding.sizes[c] <= max_categories)])
     # more nodes per pass over the data and cached node ids for deep trees
-    model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees,
+    model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxBins=bins,
                                    maxDepth=depth, seed=seed, maxMemoryInMB=1024,
                                    cacheNodeIds=True).fit(vec)
     imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(feats, imp), key=lambda t: (-t[1], t[0]))
+    rows = sorted(zip([*feats, *named], imp), key=lambda t: (-t[1], t[0]))
     return df.sparkSession.createDataFrame(
         [(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
         "feature string, importance double, rank int")
+
+
+def dtype_census(df: DataFrame) -> DataFrame:
+    """A1: number of columns per type, most first."""
+    counts: dict[str, int] = {}
+    for _, kind in df.dtypes:
+        counts[kind] = counts.get(kind, 0) + 1
+    rows = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    return df.sparkSession.createDataFrame(rows, "dtype string, n_columns long")
+
+
+def missing_total(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """A2: missing cells of the table, and the columns that have any."""
+    return missing_counts(df, cols).agg(F.sum("n_missing").alias("n_missing"),
+                                        F.count(F.when(F.col("n_missing") > 0, 1)).alias("n_columns"))
+
+
+def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in the given order."""
+    return df.orderBy(*order).limit(n)

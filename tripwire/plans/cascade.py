@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRIC_SQL, with_metrics
-from ..operators.iforest import Forest, fit_forest, thresholds, with_scores
+from ..operators.iforest import Forest, fit_forest, load_forest, save_forest, thresholds, with_scores
 from ..operators.learners import Learner, StepResult, make_learner
 from ..session import materialize, scratch_path
 from ..sources.catalog import CONTAMINATION_VALUES, DEFAULT_CONTAMINATION, LABEL, RANDOM_STATE
+from ..sources.store import Store
 from .pipeline import Prepared
 
 N_TREES = 100
@@ -40,36 +41,58 @@ class StageOne:
     forest: Forest
     scored: DataFrame             # prepared table + score, checkpointed
     cutoffs: dict                 # contamination -> threshold
-    seconds: float
+    seconds: float                # fit, scoring of every row, thresholds
+    reused: bool = False          # the forest came from the store
 
 
 def run_stage1(prep: Prepared, contaminations=CONTAMINATION_VALUES, n_trees: int = N_TREES,
-               seed: int = RANDOM_STATE) -> StageOne:
+               seed: int = RANDOM_STATE, store: Store | None = None) -> StageOne:
+    """T1-T3.  With a ``store`` a forest fitted before on the same processed table with the
+    same parameters is taken (T7), and a new one is kept (S12)."""
     t0 = time.time()
+    spark = prep.table.sparkSession
+    folder = held = None
+    if store is not None and prep.folder:
+        folder = store.folder("forest", prep.spec.name, {"table": prep.folder, "trees": n_trees, "sample": MAX_SAMPLES,
+                                                         "seed": seed, "contaminations": sorted(contaminations)})
+        held = store.manifest(folder)
+    if held:
+        forest, cut = load_forest(spark, folder)
+        scored = materialize(with_scores(prep.table, forest), "scored")
+        return StageOne(forest, scored, cut, time.time() - t0, True)
     forest = fit_forest(prep.benign_train(), prep.features, n_trees, MAX_SAMPLES, seed,
                         n=prep.n_benign_train)
     scored = materialize(with_scores(prep.table, forest), "scored")
     benign = scored.filter((F.col("split") == "train") & (F.col(LABEL) == 0))
     cut = thresholds(benign, list(contaminations))
+    if folder:
+        save_forest(forest, spark, folder, cut)
+        store.finish(folder, {"seconds": round(time.time() - t0, 2)})
     return StageOne(forest, scored, cut, time.time() - t0)
 
 
-def forest_records(stage1: StageOne, contaminations=CONTAMINATION_VALUES,
-                   seed: int = RANDOM_STATE) -> DataFrame:
-    """T4: one evaluation record per contamination, from a single test scan."""
-    test = stage1.scored.filter(F.col("split") == "test")
-    y = F.col(LABEL)
-    s = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+def sweep(df: DataFrame, score: str, cutoffs: dict[float, float]) -> DataFrame:
+    """T4: confusion counts per contamination from one scan (conditional sums, no cross join)."""
+    y, s = F.col(LABEL), lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     aggs = []
-    for i, c in enumerate(contaminations):
-        p = F.col("score") > F.lit(stage1.cutoffs[c])
+    for i, cut in enumerate(cutoffs.values()):
+        p = F.col(score) > F.lit(cut)
         aggs += [s((y == 0) & ~p).alias(f"tn_{i}"), s((y == 0) & p).alias(f"fp_{i}"),
                  s((y == 1) & ~p).alias(f"fn_{i}"), s((y == 1) & p).alias(f"tp_{i}")]
-    wide = test.agg(*aggs)
-    args = ", ".join(f"CAST({c!r} AS DOUBLE), CAST({stage1.cutoffs[c]!r} AS DOUBLE), "
-                     f"tn_{i}, fp_{i}, fn_{i}, tp_{i}" for i, c in enumerate(contaminations))
-    long = wide.selectExpr(f"stack({len(contaminations)}, {args}) AS "
-                           "(contamination, threshold, tn, fp, fn, tp)")
+    args = ", ".join(f"CAST({c!r} AS DOUBLE), CAST({cut!r} AS DOUBLE), tn_{i}, fp_{i}, fn_{i}, tp_{i}"
+                     for i, (c, cut) in enumerate(cutoffs.items()))
+    return df.agg(*aggs).selectExpr(f"stack({len(cutoffs)}, {args}) AS (contamination, threshold, tn, fp, fn, tp)")
+
+
+def best_record(records: DataFrame) -> DataFrame:
+    """T5: the contamination with the highest macro F1 (smallest on ties)."""
+    return records.orderBy(F.col("f1_macro").desc(), F.col("contamination").asc()).limit(1)
+
+
+def forest_records(stage1: StageOne, contaminations=CONTAMINATION_VALUES,
+                   seed: int = RANDOM_STATE) -> DataFrame:
+    """T4: one evaluation record per contamination, from a single test scan."""
+    long = sweep(stage1.scored.filter(F.col("split") == "test"), "score", {c: stage1.cutoffs[c] for c in contaminations})
     # stage-1 records carry no balanced accuracy (as the reference's)
     names = [m for m in METRIC_SQL if m not in ("balanced_accuracy", "specificity")]
     rec = with_metrics(long, 4, names).withColumns({
@@ -128,54 +151,70 @@ def record(learner: Learner, batch_size: int, total: StepResult, warm_s: float,
            "total_time_sec": round(warm_s + test_s, 2), "total_processed": total.n,
            "stage2_calls": total.n_flagged,
            "stage2_call_rate": round(total.n_flagged / total.n, digits) if total.n else 0.0}
-    for name in METRIC_SQL:
-        rec[name] = round(_eval_metric(name, total.tn, total.fp, total.fn, total.tp), digits)
+    rec.update({k: round(v, digits) for k, v in metric_values(total).items()})
     rec.update({"support_normal": total.tn + total.fp, "support_anomaly": total.fn + total.tp,
                 "confusion_tn": total.tn, "confusion_fp": total.fp,
                 "confusion_fn": total.fn, "confusion_tp": total.tp})
     return rec
 
 
-def _eval_metric(name: str, tn: int, fp: int, fn: int, tp: int) -> float:
-    d = lambda a, b: 0.0 if b == 0 else a / b
-    f1 = lambda p, r: 0.0 if p + r == 0 else 2 * p * r / (p + r)
-    p0, r0, p1, r1 = d(tn, tn + fn), d(tn, tn + fp), d(tp, tp + fp), d(tp, tp + fn)
-    if tn + fp > 0 and tp + fn > 0:
-        bal = (r0 + r1) / 2
-    else:
-        bal = r0 if tn + fp > 0 else (r1 if tp + fn > 0 else 0.0)
-    return {
-        "accuracy": d(tn + tp, tn + fp + fn + tp), "precision_normal": p0, "recall_normal": r0,
-        "f1_normal": f1(p0, r0), "precision_anomaly": p1, "recall_anomaly": r1,
-        "f1_anomaly": f1(p1, r1), "precision_macro": (p0 + p1) / 2,
-        "recall_macro": (r0 + r1) / 2, "f1_macro": (f1(p0, r0) + f1(p1, r1)) / 2,
-        "balanced_accuracy": bal, "specificity": r0,
-    }[name]
+def metric_values(total: StepResult) -> dict[str, float]:
+    """The metrics of summed counts, by the expressions of ``functions/metrics``."""
+    spark = SparkSession.getActiveSession()
+    counts = spark.createDataFrame([(total.tn, total.fp, total.fn, total.tp)], "tn long, fp long, fn long, tp long")
+    row = counts.select(*[F.expr(e).cast("double").alias(n) for n, e in METRIC_SQL.items()]).first()
+    return row.asDict()
 
 
 def run_cascade(spark: SparkSession, prep: Prepared, stage1: StageOne, kind: str,
                 batch_size: int, contamination: float = DEFAULT_CONTAMINATION,
-                seed: int = RANDOM_STATE, progress_every: int = 10):
-    """Z2 replay: warm-up, then one prequential job per batch in order."""
+                seed: int = RANDOM_STATE, store: Store | None = None):
+    """Z2 replay: warm-up, then one prequential job per batch in order.  The test time
+    includes writing the batch table.  With a ``store`` the learner's final state is
+    kept (S12)."""
     learner = make_learner(kind, prep.features, seed)
     run_id = uuid.uuid4().hex[:12]
-    batches, n_batches, _path = batch_table(spark, stage1, contamination, batch_size, run_id)
     cut = stage1.cutoffs[contamination]
     t0 = time.time()
     warm = stage1.scored.filter((F.col("split") == "train") & (F.col("score") > F.lit(cut)))
     learner.warmup(warm)
     warm_s = time.time() - t0
     t1 = time.time()
+    batches, n_batches, _path = batch_table(spark, stage1, contamination, batch_size, run_id)
     total, per_batch = StepResult(), []
     for b in range(n_batches):
-        # every batch but the last is full
-        res = learner.step(batches.batch(b), rows=batch_size if b + 1 < n_batches else None)
+        res = learner.step(batches.batch(b))
         total.add(res)
         per_batch.append((b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp))
     test_s = time.time() - t1
+    if store is not None:
+        save_learner(store, prep, kind, learner, {"batch_size": batch_size, "contamination": contamination, "seed": seed})
     return learner, record(learner, batch_size, total, warm_s, test_s), per_batch
 
 
+def _learner_folder(store: Store, prep: Prepared, kind: str, params: dict) -> str:
+    """Where a trained learner lies."""
+    return store.folder(f"learner-{kind}", prep.spec.name, {"table": prep.folder, "features": prep.features, **params})
+
+
+def save_learner(store: Store, prep: Prepared, kind: str, learner: Learner, params: dict) -> str:
+    """A learner's state by data set and parameters."""
+    folder = _learner_folder(store, prep, kind, params)
+    store.finish(folder, {"kind": kind, "features": prep.features, "state": learner.state(), "params": params})
+    return folder
+
+
+def load_learner(store: Store, prep: Prepared, kind: str, params: dict) -> Learner:
+    """A trained learner; FileNotFoundError if there is none."""
+    folder = _learner_folder(store, prep, kind, params)
+    held = store.manifest(folder)
+    if held is None:
+        raise FileNotFoundError(f"no {kind} learner at {folder}")
+    learner = make_learner(kind, held["features"], params.get("seed", RANDOM_STATE))
+    learner.load(held["state"])
+    return learner
+
+
 def record_frame(spark: SparkSession, rec: dict) -> DataFrame:
     import pandas as pd
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
 from ..sources.catalog import CONTAMINATION_VALUES, EVENTS, LABEL, LINEITEM, FlowSpec
+from .cascade import best_record, sweep
 from .common import DIGITS, confusion_row, confusion_sql, flows
 
 
@@ -48,22 +49,8 @@ CONFUSION_METRICS_SQL = (
 
 # ---------------------------------------------------------------- threshold_sweep
 def _sweep(df: DataFrame, score: str, contaminations: list[float]) -> DataFrame:
-    """T4 without a cross join: every cut-off is a conditional sum of one scan,
-    the per-contamination rows are unpivoted afterwards."""
-    cuts = benign_cutoffs(df, score, contaminations)
-    aggs = []
-    for i, c in enumerate(contaminations):
-        p = F.col(score) > F.lit(cuts[c])
-        y = F.col(LABEL)
-        s = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-        aggs += [s((y == 0) & ~p).alias(f"tn_{i}"), s((y == 0) & p).alias(f"fp_{i}"),
-                 s((y == 1) & ~p).alias(f"fn_{i}"), s((y == 1) & p).alias(f"tp_{i}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(
-        f"CAST({c!r} AS DOUBLE), CAST({cuts[c]!r} AS DOUBLE), tn_{i}, fp_{i}, fn_{i}, tp_{i}"
-        for i, c in enumerate(contaminations))
-    long = wide.selectExpr(
-        f"stack({len(contaminations)}, {stack}) AS (contamination, threshold, tn, fp, fn, tp)")
+    """T4 by the function that the forest's records come from."""
+    long = sweep(df, score, benign_cutoffs(df, score, contaminations))
     long = long.withColumns({"total_processed": F.expr("tn + fp + fn + tp"),
                              "stage2_calls": F.expr("fp + tp")})
     from ..functions.metrics import with_metrics
@@ -98,9 +85,7 @@ THRESHOLD_SWEEP_SQL = _sweep_sql(LINEITEM, CONTAMINATION_VALUES)
 # ---------------------------------------------------------------- best_contamination
 def best_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: the contamination with the highest macro F1 (smallest on ties)."""
-    sweep = threshold_sweep(spark, sf_dir)
-    return (sweep.orderBy(F.col("f1_macro").desc(), F.col("contamination").asc())
-            .limit(1).select("contamination", "f1_macro"))
+    return best_record(threshold_sweep(spark, sf_dir)).select("contamination", "f1_macro")
 
 
 BEST_CONTAMINATION_SQL = (

@@ -13,6 +13,7 @@ from ..functions.quantiles import exact_percentiles
 from ..operators.learners import SGDLogistic, StepResult, make_learner
 from ..session import materialize
 from ..sources.catalog import DEFAULT_CONTAMINATION, LABEL, LINEITEM
+from ..sources.store import Store
 from ..streaming.prequential import run_stream
 from .cascade import batch_table, record, record_frame, run_cascade, run_stage1, forest_records
 from .common import stable_round, stable_round_sql
@@ -24,8 +25,10 @@ BATCH = {"sgd": 25_000, "mlp": 20_000, "ensemble": 25_000}
 
 
 def _stage1(spark: SparkSession, sf_dir: str):
-    p = prepare(spark, sf_dir, LINEITEM)
-    return p, run_stage1(p)
+    """The processed table and its forest; both are kept in the session's store."""
+    store = Store(spark)
+    p = prepare(spark, sf_dir, LINEITEM, store=store)
+    return p, run_stage1(p, store=store)
 
 
 def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

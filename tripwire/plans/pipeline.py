@@ -2,13 +2,14 @@
 order → encoders and scaler fitted on benign train → prepared table.
 
 The prepared table has one row per flow: ``row_key, split, ord, ANOMALY``
-and the scaled features.  It is the single hand-over to stage 1 and 2 (it
-replaces the reference's three CSV files; benign train is a filter).
+and the scaled features.  It is the single hand-over to stage 1 and 2 (benign
+train is a filter).  It is written partitioned by ``split`` with a manifest of its
+parameters, and plans that ask for the same table read it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..sources.catalog import LABEL, RANDOM_STATE, FlowSpec
 from ..functions.selection import key_prefix
 from ..session import materialize as write_back
 from ..sources.readers import ensure_parallel, flow_frame
+from ..sources.store import Store, file_state
 
 TEST_SIZE = 0.2
 
@@ -29,6 +31,8 @@ class Prepared:
     encoding: prep.OrdinalEncoding
     scaling: prep.RobustScaling
     n_benign_train: int | None = None
+    folder: str | None = None        # where it lies in the store
+    rejected: dict = field(default_factory=dict)   # malformed raw lines per file
 
     @property
     def features(self) -> list[str]:
@@ -63,29 +67,74 @@ def keyed_flows(spark: SparkSession, sf_dir: str, spec: FlowSpec,
     return df
 
 
-def split_flows(spark: SparkSession, sf_dir: str, spec: FlowSpec,
-                test_size: float = TEST_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
+def _draw(spark: SparkSession, sf_dir: str, spec: FlowSpec, **params) -> dict:
+    """What a prepared table depends on: the rows, the declaration and the parameters."""
+    source = f"{sf_dir.rstrip('/')}/{spec.table}.parquet"
+    return {"source": source, "files": file_state(spark, source), "keys": spec.key_cols, "label": spec.label_sql,
+            "numeric": spec.numeric, "categorical": spec.categorical, "derived": spec.derived, **params}
+
+
+def split_flows(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE,
+                seed: int = RANDOM_STATE, store: Store | None = None) -> DataFrame:
     """P2 + arrival order: ``split``, and ``ord`` (md5 order) on test rows.
 
     Train rows are never streamed, so they keep a null ``ord``; only the
-    test split goes through the distributed sort.
+    test split goes through the distributed sort.  The table is written once
+    per data set and parameters, partitioned by split, and read by later plans.
     """
-    return split_flows_quota(spark, sf_dir, spec, test_size, seed)[0]
-
-
-def split_flows_quota(spark: SparkSession, sf_dir: str, spec: FlowSpec,
-                      test_size: float = TEST_SIZE, seed: int = RANDOM_STATE):
-    base = keyed_flows(spark, sf_dir, spec, seed)
-    split, quota = prep.stratified_split_quota(base, test_size)
-    train = split.filter(F.col("split") == "train").withColumn("ord", F.lit(None).cast("long"))
-    test = prep.replay_order(split.filter(F.col("split") == "test"))
-    return train.unionByName(test), quota
-
-
-def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE,
-            seed: int = RANDOM_STATE, unseen: str = "zero") -> Prepared:
-    ordered, quota = split_flows_quota(spark, sf_dir, spec, test_size, seed)
-    return finish(ordered, spec, unseen, quota.get(0, 0))
+    return split_flows_quota(spark, sf_dir, spec, test_size, seed, store)[0]
+
+
+def split_flows_quota(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE,
+                      seed: int = RANDOM_STATE, store: Store | None = None):
+    store = store or Store(spark)
+    folder = store.folder("split", spec.name, _draw(spark, sf_dir, spec, test_size=test_size, seed=seed))
+    held = store.manifest(folder)
+    if held is None:
+        base = keyed_flows(spark, sf_dir, spec, seed)
+        split, quota = prep.stratified_split_quota(base, test_size)
+        train = split.filter(F.col("split") == "train").withColumn("ord", F.lit(None).cast("long"))
+        test = prep.replay_order(split.filter(F.col("split") == "test"))
+        rows = train.unionByName(test)
+        store.write_split(rows, folder)
+        held = {"columns": rows.columns, "quota": [[k, n] for k, n in quota.items()]}
+        store.finish(folder, held)
+    return store.read_split(folder, held["columns"]), {k: n for k, n in held["quota"]}
+
+
+def prepare(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_size: float = TEST_SIZE, seed: int = RANDOM_STATE,
+            unseen: str = "zero", store: Store | None = None) -> Prepared:
+    """The processed table of a driver table; written once per data set and parameters."""
+    store = store or Store(spark)
+    draw = _draw(spark, sf_dir, spec, test_size=test_size, seed=seed, unseen=unseen)
+
+    def make() -> Prepared:
+        ordered, quota = split_flows_quota(spark, sf_dir, spec, test_size, seed, store)
+        return finish(ordered, spec, unseen, quota.get(0, 0))
+
+    return stored(store, spec, draw, make)
+
+
+def stored(store: Store, spec: FlowSpec, draw: dict, make) -> Prepared:
+    """The processed table of ``draw`` from the store, or made, written and read back."""
+    folder = store.folder("processed", spec.name, draw)
+    held = store.manifest(folder)
+    if held is None:
+        p = make()
+        store.write_split(p.table, folder)
+        enc = p.encoding
+        if enc.columns:
+            enc.dictionary.write.mode("overwrite").parquet(f"{folder}/encoder")
+        held = {"columns": p.table.columns, "n_benign_train": p.n_benign_train, "unseen": enc.unseen, "sizes": enc.sizes,
+                "rows": enc.rows, "medians": p.scaling.medians, "scales": p.scaling.scales, "params": draw,
+                "features": [list(p.spec.numeric), list(p.spec.categorical)], "rejected": p.rejected}
+        store.finish(folder, held)
+    numeric, categorical = held["features"]
+    spec = replace(spec, numeric=tuple(numeric), categorical=tuple(categorical))
+    dictionary = store.spark.read.parquet(f"{folder}/encoder") if held["sizes"] else None
+    return Prepared(spec, store.read_split(folder, held["columns"]),
+                    prep.OrdinalEncoding(list(held["sizes"]), dictionary, held["sizes"], held["rows"], held["unseen"]),
+                    prep.RobustScaling(held["medians"], held["scales"]), held["n_benign_train"], folder, held["rejected"])
 
 
 def finish(ordered: DataFrame, spec: FlowSpec, unseen: str = "zero",

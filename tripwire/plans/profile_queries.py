@@ -12,7 +12,6 @@ from ..sources.readers import flow_frame, table
 from .common import DIGITS, sig_round, sig_round_sql, stable_round, stable_round_sql
 
 NUM = list(LINEITEM.numeric)
-DUP_FEATURES = ["l_linenumber", "l_quantity", "l_discount", "l_linestatus"]
 LI = f"(SELECT *, ({LINEITEM.label_sql}) AS {LABEL} FROM lineitem)"
 PCT = "CAST(100 AS DOUBLE)"
 
@@ -92,15 +91,26 @@ ZEROS_SQL = (
 
 # ---------------------------------------------------------------- A6-A8 duplicates
 def duplicates(spark, sf_dir):
-    return rounded(profile.duplicate_summary(li(spark, sf_dir), DUP_FEATURES))
-
-
-_f = ", ".join(DUP_FEATURES)
-DUPLICATES_SQL = f"""WITH fr AS (SELECT {_f}, {LABEL}, count(*) AS c FROM {LI} x GROUP BY {_f}, {LABEL}),
-bf AS (SELECT sum(c) AS c, count(*) AS g FROM fr GROUP BY {_f}),
-s AS (SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(g) AS BIGINT) AS n_distinct_rows,
-      CAST(count(*) AS BIGINT) AS n_distinct_features,
-      CAST(sum(CASE WHEN g > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_conflicting_groups FROM bf)
+    """Exact duplicates over all columns; feature duplicates and conflicts over all features."""
+    df = li(spark, sf_dir)
+    return rounded(profile.duplicate_summary(df, LINEITEM.features, columns=[*LINEITEM_COLS, LABEL]))
+
+
+def document_duplicates(spark, sf_dir):
+    """Copies among documents: rows but for their id, features without the source, which
+    is the label that copies may disagree in."""
+    df = table(spark, sf_dir, "documents")
+    return rounded(profile.duplicate_summary(df, ["text", "lang", "n_chars"], "source"))
+
+
+def _duplicates_sql(source: str, features, label: str, columns) -> str:
+    f, r = ", ".join(features), ", ".join(columns)
+    return f"""WITH x AS (SELECT * FROM {source} t),
+s AS (SELECT (SELECT count(*) FROM x) AS n_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT {r} FROM x) d) AS n_distinct_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT {f} FROM x) d) AS n_distinct_features,
+  (SELECT count(*) FROM (SELECT {f} FROM (SELECT DISTINCT {f}, {label} FROM x) l GROUP BY {f} HAVING count(*) > 1) g)
+  AS n_conflicting_groups)
 SELECT n_rows, n_rows - n_distinct_rows AS n_duplicate_rows,
   {r6(f"CASE WHEN n_rows = 0 THEN 0.0 ELSE (n_rows - n_distinct_rows) * {PCT} / n_rows END")} AS pct_duplicate_rows,
   n_rows - n_distinct_features AS n_duplicate_features,
@@ -108,6 +118,10 @@ SELECT n_rows, n_rows - n_distinct_rows AS n_duplicate_rows,
   n_conflicting_groups FROM s"""
 
 
+DUPLICATES_SQL = _duplicates_sql(LI, LINEITEM.features, LABEL, [*LINEITEM_COLS, LABEL])
+DOCUMENT_DUPLICATES_SQL = _duplicates_sql("documents", ["text", "lang", "n_chars"], "source", ["text", "lang", "n_chars", "source"])
+
+
 # ---------------------------------------------------------------- A9-A11 class distribution
 def class_dist(spark, sf_dir):
     return rounded(profile.class_distribution(li(spark, sf_dir)))
@@ -306,9 +320,147 @@ HISTOGRAM_SQL = _hist_sql(50, None)
 HISTOGRAM_BY_CLASS_SQL = _hist_sql(30, LABEL)
 
 
+# ---------------------------------------------------------------- A2-A5, A15, A19-A21, A25 on gaps
+# derived columns with nulls, NaN, infinities, placeholders, no value at all and one value only
+GAPS = {
+    "g_quantity": "CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END",
+    "g_price": "CASE WHEN l_linenumber = 5 AND l_quantity > 40 THEN CAST('Infinity' AS DOUBLE) "
+               "WHEN l_linenumber = 6 AND l_quantity > 45 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(l_extendedprice AS DOUBLE) END",
+    "g_ratio": "CASE WHEN l_tax = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(l_discount AS DOUBLE) END",
+    "g_twice": "CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_quantity AS DOUBLE) * 2 + 1 END",
+    "g_empty": "CAST(NULL AS DOUBLE)",
+    "g_const": "CAST(7 AS DOUBLE)",
+    "g_status": "CASE l_linenumber WHEN 1 THEN '?' WHEN 2 THEN '' WHEN 4 THEN 'N/A' ELSE l_linestatus END",
+}
+G_NUM = [c for c in GAPS if c != "g_status"]
+G_FINITE = [c for c in G_NUM if c != "g_price"]
+G_SQL = "(SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in GAPS.items()) + f" FROM {LI} b)"
+G_CLEAN = "(SELECT " + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in G_NUM) + f", {LABEL} FROM {G_SQL} g)"
+
+
+def gaps(spark, sf_dir):
+    return li(spark, sf_dir).selectExpr("*", *[f"{e} AS {c}" for c, e in GAPS.items()])
+
+
+def gap_missing(spark, sf_dir):
+    return rounded(profile.missing_counts(gaps(spark, sf_dir), list(GAPS)))
+
+
+def gap_missing_total(spark, sf_dir):
+    return profile.missing_total(gaps(spark, sf_dir), list(GAPS))
+
+
+_gap_missing = [f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE {c} IS NULL"
+                + (f" OR isnan({c})" if c in G_NUM else "") + f") AS BIGINT) AS n_missing, count(*) AS n FROM {G_SQL} g" for c in GAPS]
+GAP_MISSING_SQL = (f"SELECT feature, n_missing, {r6(f'n_missing * {PCT} / n')} AS pct_missing FROM ({_union(_gap_missing)}) z")
+GAP_MISSING_TOTAL_SQL = (f"SELECT CAST(sum(n_missing) AS BIGINT) AS n_missing, count(*) FILTER (WHERE n_missing > 0) AS n_columns "
+                         f"FROM ({_union(_gap_missing)}) z")
+
+
+def gap_placeholders(spark, sf_dir):
+    return profile.placeholder_counts(gaps(spark, sf_dir), ["g_status", "l_linestatus"])
+
+
+GAP_PLACEHOLDERS_SQL = _union([
+    f"SELECT '{c}' AS feature, {c} AS placeholder, count(*) AS n FROM {G_SQL} g WHERE {c} IN ({_ph_list}) GROUP BY 1, 2"
+    for c in ("g_status", "l_linestatus")])
+
+
+def gap_infinities(spark, sf_dir):
+    return profile.infinite_counts(gaps(spark, sf_dir), G_NUM).withColumn("n_inf", F.coalesce("n_inf", F.lit(0)))
+
+
+GAP_INFINITIES_SQL = _union([f"SELECT '{c}' AS feature, count(*) FILTER (WHERE isinf({c})) AS n_inf FROM {G_SQL} g" for c in G_NUM])
+
+
+def gap_describe(spark, sf_dir):
+    out = profile.describe(gaps(spark, sf_dir), G_FINITE)
+    return rounded(out.withColumns({c: stable_round(c) for c in ("mean", "std", "cv")}))
+
+
+GAP_DESCRIBE_SQL = _union([
+    f"SELECT '{c}' AS feature, count({c}) AS count, {r6(stable_round_sql(f'avg({c})'))} AS mean, "
+    f"{r6(stable_round_sql(f'stddev_samp({c})'))} AS std, {r6(f'min({c})')} AS min, "
+    f"{r6(f'quantile_cont({c}, 0.25)')} AS q25, {r6(f'quantile_cont({c}, 0.5)')} AS q50, "
+    f"{r6(f'quantile_cont({c}, 0.75)')} AS q75, {r6(f'max({c})')} AS max, {r6(f'max({c}) - min({c})')} AS range, "
+    f"{r6(stable_round_sql(f'CASE WHEN avg({c}) = 0 THEN NULL ELSE stddev_samp({c}) / avg({c}) END'))} AS cv "
+    f"FROM {G_CLEAN} g" for c in G_FINITE])
+
+
+def gap_outliers(spark, sf_dir):
+    return rounded(profile.iqr_outliers(gaps(spark, sf_dir), G_NUM))
+
+
+def _gap_iqr_sql(c):
+    fences = f"{c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)"
+    return (f"SELECT '{c}' AS feature, any_value(q1) AS q1, any_value(q3) AS q3, count(*) FILTER (WHERE {fences}) AS n_outliers, "
+            f"count(*) AS n FROM {G_CLEAN} g, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {G_CLEAN} h) q")
+
+
+GAP_OUTLIERS_SQL = (
+    f"SELECT feature, {r6('q1')} AS q1, {r6('q3')} AS q3, {r6('q3 - q1')} AS iqr, {r6('q1 - 1.5 * (q3 - q1)')} AS lower, "
+    f"{r6('q3 + 1.5 * (q3 - q1)')} AS upper, n_outliers, {r6(f'n_outliers * {PCT} / n')} AS pct_outliers FROM ("
+    + _union([_gap_iqr_sql(c) for c in G_NUM]) + ") z")
+
+
+def gap_boxes(spark, sf_dir):
+    return rounded(profile.box_summary(gaps(spark, sf_dir), G_NUM))
+
+
+def _gap_box_sql(c):
+    return (f"SELECT '{c}' AS feature, {r6('any_value(q1)')} AS q1, {r6('any_value(q2)')} AS median, {r6('any_value(q3)')} AS q3, "
+            f"{r6(f'min({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1))')} AS whisker_low, "
+            f"{r6(f'max({c}) FILTER (WHERE {c} <= q3 + 1.5 * (q3 - q1))')} AS whisker_high "
+            f"FROM {G_CLEAN} g, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, "
+            f"quantile_cont({c}, 0.75) AS q3 FROM {G_CLEAN} h) q")
+
+
+GAP_BOXES_SQL = _union([_gap_box_sql(c) for c in G_NUM])
+
+
+def gap_high_corr(spark, sf_dir):
+    """Pairs beyond |r| > 0.9, strongest first."""
+    out = profile.high_correlations(gaps(spark, sf_dir), [*NUM, *G_FINITE], 0.9)
+    return rounded(out.withColumns({"r": stable_round("r"), "abs_r": stable_round("abs_r")}))
+
+
+def _gap_corr(a, b):
+    return f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM g"
+
+
+_gap_cols = [*NUM, *G_FINITE]
+GAP_HIGH_CORR_SQL = (
+    f"WITH g AS (SELECT {', '.join(NUM)}, " + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in G_FINITE)
+    + f" FROM {G_SQL} x),\np AS (" + _union([_gap_corr(a, b) for i, a in enumerate(_gap_cols) for b in _gap_cols[i + 1:]
+                                            if not {a, b} & {"g_empty", "g_const"}]) + "),\n"
+    f"r AS (SELECT feature_a, feature_b, {r6(stable_round_sql('r'))} AS r, {r6(stable_round_sql('abs(r)'))} AS abs_r FROM p "
+    "WHERE abs(r) > 0.9)\n"
+    "SELECT *, CAST(row_number() OVER (ORDER BY abs_r DESC, feature_a, feature_b) AS INTEGER) AS rank FROM r")
+
+
+# ---------------------------------------------------------------- A1, A26 overview
+def dtype_census(spark, sf_dir):
+    return profile.dtype_census(table(spark, sf_dir, "lineitem"))
+
+
+DTYPE_CENSUS_SQL = (
+    "SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+    "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS dtype, count(*) AS n_columns "
+    "FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1")
+
+
+def preview(spark, sf_dir):
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return profile.preview(li(spark, sf_dir).select(*order, *[c for c in LINEITEM_COLS if c not in order], LABEL), order)
+
+
+PREVIEW_SQL = (f"SELECT {', '.join(LINEITEM_COLS)}, {LABEL} FROM {LI} x "
+               "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5")
+
+
 # ---------------------------------------------------------------- A22 importance (rows only)
 def feature_importance(spark, sf_dir):
-    return rounded(profile.feature_importance(li(spark, sf_dir), NUM))
+    return rounded(profile.feature_importance(li(spark, sf_dir), NUM, categorical=LINEITEM.categorical))
 
 
 QUERIES = {
@@ -319,6 +471,10 @@ QUERIES = {
     "target_corr": target_corr, "iqr_outliers": iqr_outliers, "box_summary": box_summary,
     "histogram": histogram, "histogram_by_class": histogram_by_class,
     "feature_importance": feature_importance, "embedding_corr": embedding_corr,
+    "document_duplicates": document_duplicates, "gap_missing": gap_missing, "gap_missing_total": gap_missing_total,
+    "gap_placeholders": gap_placeholders, "gap_infinities": gap_infinities, "gap_describe": gap_describe,
+    "gap_outliers": gap_outliers, "gap_boxes": gap_boxes, "gap_high_corr": gap_high_corr,
+    "dtype_census": dtype_census, "preview": preview,
 }
 SQL = {
     "missing": MISSING_SQL, "placeholders": PLACEHOLDERS_SQL, "infinities": INFINITIES_SQL,
@@ -328,4 +484,8 @@ SQL = {
     "low_variance": LOW_VARIANCE_SQL, "high_corr": HIGH_CORR_SQL, "target_corr": TARGET_CORR_SQL,
     "iqr_outliers": IQR_OUTLIERS_SQL, "box_summary": BOX_SUMMARY_SQL, "histogram": HISTOGRAM_SQL,
     "histogram_by_class": HISTOGRAM_BY_CLASS_SQL, "embedding_corr": EMBEDDING_CORR_SQL,
+    "document_duplicates": DOCUMENT_DUPLICATES_SQL, "gap_missing": GAP_MISSING_SQL, "gap_missing_total": GAP_MISSING_TOTAL_SQL,
+    "gap_placeholders": GAP_PLACEHOLDERS_SQL, "gap_infinities": GAP_INFINITIES_SQL, "gap_describe": GAP_DESCRIBE_SQL,
+    "gap_outliers": GAP_OUTLIERS_SQL, "gap_boxes": GAP_BOXES_SQL, "gap_high_corr": GAP_HIGH_CORR_SQL,
+    "dtype_census": DTYPE_CENSUS_SQL, "preview": PREVIEW_SQL,
 }

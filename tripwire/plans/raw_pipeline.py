@@ -7,9 +7,12 @@ list are removed when present; string columns are the categorical features
 (KDD names them).  The result has the same layout as the driver-table
 preparation, so stage 1 and the cascades run on it unchanged.
 
-Raw rows have no natural key: the row key hashes every column plus the
-row's position in its file split (``monotonically_increasing_id``), which
-keeps exact copies apart; it is stable for the same files and split size.
+Raw rows have no natural key.  Exact copies are counted (map-side first) and
+numbered, and the row key hashes every column plus that number, so a draw depends
+on the rows alone and not on how the files are split.
+
+Lines that do not fit the schema go to a quarantine table and are counted; train and
+test files are read with one schema.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import types as T
 
 from ..functions.selection import key_prefix
 from ..operators import prep
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.catalog import LABEL, RANDOM_STATE, FlowSpec, RawFormat, get_raw_format
-from ..sources.readers import read_raw_csv
-from .pipeline import TEST_SIZE, Prepared, finish
+from ..sources.readers import quarantined, raw_schema
+from ..sources.store import Store, file_state
+from .pipeline import TEST_SIZE, Prepared, finish, stored
+
+COPY_BLOCK = 100_000     # copies of one row that a task writes out
 
 
 def _labelled(df: DataFrame, fmt: RawFormat) -> DataFrame:
@@ -33,11 +39,17 @@ def _labelled(df: DataFrame, fmt: RawFormat) -> DataFrame:
 
 
 def _keyed(df: DataFrame, seed: int) -> DataFrame:
-    cols = [c for c in df.columns if c != LABEL]
+    cols = df.columns
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
+    numbered = counted.withColumn("_block", blocks)
+    first = F.col("_block") * COPY_BLOCK
+    last = F.least(first + COPY_BLOCK, F.col("_n")) - 1
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
-    key = F.md5(F.concat_ws("|", *parts, F.monotonically_increasing_id().cast("string"),
-                            F.lit(str(seed))))
-    return df.withColumn("row_key", key)
+    key = F.md5(F.concat_ws("|", *parts, F.col("_copy").cast("string"), F.lit(str(seed))))
+    # a row of very many copies is dealt out block by block before they are written
+    return numbered.repartition(*cols, "_block").withColumn("_copy", F.explode(F.sequence(first, last))) \
+        .withColumn("row_key", key).drop("_n", "_block", "_copy")
 
 
 def _sampled(df: DataFrame, fmt: RawFormat, seed: int) -> DataFrame:
@@ -45,21 +57,32 @@ def _sampled(df: DataFrame, fmt: RawFormat, seed: int) -> DataFrame:
     return prep.exact_sample(keyed, fmt.sample_frac) if fmt.sample_frac else keyed
 
 
-def prepare_raw(spark: SparkSession, fmt_name: str, train_path: str,
-                test_path: str | None = None, seed: int = RANDOM_STATE,
-                test_size: float = TEST_SIZE) -> Prepared:
+def prepare_raw(spark: SparkSession, fmt_name: str, train_path: str, test_path: str | None = None,
+                seed: int = RANDOM_STATE, test_size: float = TEST_SIZE, schema: T.StructType | None = None,
+                store: Store | None = None) -> Prepared:
+    """The processed table of raw files; written once per files and parameters.  ``schema``
+    replaces the declared or inferred one."""
     fmt = get_raw_format(fmt_name)
+    if fmt.split_mode == "files" and test_path is None:
+        raise ValueError(f"{fmt_name} needs a train and a test file")
+    paths = {"train": train_path} | ({"test": test_path} if fmt.split_mode == "files" else {})
+    store = store or Store(spark)
+    draw = {"format": fmt.name, "files": {k: [p, file_state(spark, p)] for k, p in paths.items()}, "seed": seed,
+            "test_size": test_size, "schema": schema.simpleString() if schema else None}
+    spec = FlowSpec(name=fmt.name, table=None, key_cols=("row_key",), label_sql=LABEL, numeric=())
+    return stored(store, spec, draw, lambda: _prepare(spark, fmt, paths, seed, test_size, schema))
+
+
+def _prepare(spark: SparkSession, fmt: RawFormat, paths: dict, seed: int, test_size: float, schema) -> Prepared:
+    schema = schema or raw_schema(spark, paths["train"], fmt)
+    parts, rejected = {}, {}
+    for name, path in paths.items():
+        rows, rejected[name] = quarantined(spark, path, fmt, schema, scratch_path(spark, f"quarantine/{fmt.name}-{name}"))
+        parts[name] = _labelled(_sampled(rows, fmt, seed), fmt)
     if fmt.split_mode == "files":
-        if test_path is None:
-            raise ValueError(f"{fmt_name} needs a train and a test file")
-        train = _sampled(read_raw_csv(spark, train_path, fmt), fmt, seed)
-        test = _sampled(read_raw_csv(spark, test_path, fmt), fmt, seed)
-        train = _labelled(train, fmt).withColumn("split", F.lit("train"))
-        test = _labelled(test, fmt).withColumn("split", F.lit("test"))
-        df = train.unionByName(test)
+        df = parts["train"].withColumn("split", F.lit("train")).unionByName(parts["test"].withColumn("split", F.lit("test")))
     else:
-        df = _labelled(_sampled(read_raw_csv(spark, train_path, fmt), fmt, seed), fmt)
-        df = prep.stratified_split(df, test_size)
+        df = prep.stratified_split(parts["train"], test_size)
     df = prep.drop_if_exists(df, fmt.drop)
     strings = [c for c in prep.string_columns(df) if c not in ("row_key", "split")]
     categorical = [c for c in (fmt.categorical or strings) if c in df.columns]
@@ -72,4 +95,6 @@ def prepare_raw(spark: SparkSession, fmt_name: str, train_path: str,
     train = df.filter(F.col("split") == "train").withColumn("ord", F.lit(None).cast("long"))
     test = prep.replay_order(df.filter(F.col("split") == "test"))
     ordered = train.unionByName(test).select("row_key", "split", "ord", LABEL, *spec.features)
-    return finish(ordered, spec, fmt.unseen)
+    done = finish(ordered, spec, fmt.unseen)
+    done.rejected = rejected
+    return done

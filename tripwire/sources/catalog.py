@@ -49,11 +49,15 @@ CORES_DROP = ["feature_11", "feature_12", "feature_13", "feature_6", "feature_0"
 CONTAMINATION_VALUES = [0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.45, 0.5]
 DEFAULT_CONTAMINATION = 0.45
 RANDOM_STATE = 42
+# Batch sizes that each stage-2 model is run with.
+BATCH_SWEEP = {"sgd": [25_000], "mlp": [10_000, 15_000, 20_000, 25_000, 30_000], "ensemble": [25_000]}
 # Placeholder strings searched by the profiler.
 PLACEHOLDERS = ["?", "-", "NA", "N/A", "null", "None", ""]
 # ---------------------------------------------------------------------------
 
 LABEL = "ANOMALY"
+#: a result file has at least one of these columns
+KNOWN_METRICS = ("accuracy", "f1_macro", "balanced_accuracy")
 
 
 def _kdd_type(name: str) -> T.DataType:

@@ -6,9 +6,12 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .catalog import LABEL, FlowSpec, RawFormat
+from ..session import materialize
+from .catalog import KNOWN_METRICS, LABEL, FlowSpec, RawFormat
 
 log = logging.getLogger(__name__)
 
@@ -34,19 +37,42 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return ensure_parallel(df) if spread else df
 
 
-def read_raw_csv(spark: SparkSession, path: str, fmt: RawFormat, schema=None) -> DataFrame:
+CORRUPT = "_corrupt"
+
+
+def raw_schema(spark: SparkSession, path: str, fmt: RawFormat):
+    """The schema of a raw file: declared, or inferred from a headered file once, so that
+    train and test files are read alike."""
+    if fmt.schema is not None:
+        return fmt.schema
+    return spark.read.option("header", "true").option("inferSchema", "true").csv(path).schema
+
+
+def read_raw_csv(spark: SparkSession, path: str, fmt: RawFormat, schema=None, corrupt: bool = False) -> DataFrame:
     """Headered (NetFlow) or headerless named (KDD, CORES) CSV.
 
-    A headered file without a given schema is inferred once; production
-    callers pass the schema to skip the inference pass.
+    With ``corrupt`` a line that does not fit the schema stands whole in the column
+    ``_corrupt``, beside the columns that could be read.
     """
+    schema = schema or raw_schema(spark, path, fmt)
     reader = spark.read.option("header", str(fmt.header).lower()).option("mode", "PERMISSIVE")
-    schema = schema or fmt.schema
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif fmt.header:
-        reader = reader.option("inferSchema", "true")
-    return reader.csv(path)
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    return reader.schema(schema).csv(path)
+
+
+def quarantined(spark: SparkSession, path: str, fmt: RawFormat, schema, quarantine: str) -> tuple[DataFrame, int]:
+    """The well-formed rows of a raw file, and how many lines were not: those are kept
+    under ``quarantine`` with the file they come from.  The file is parsed once."""
+    rows = read_raw_csv(spark, path, fmt, schema, corrupt=True).withColumn("_file", F.col("_metadata.file_path"))
+    parsed = materialize(rows, "parsed")
+    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.col("_file").alias("file"))
+    n = bad.count()
+    if n:
+        log.warning("%d malformed lines of %s are kept in %s", n, path, quarantine)
+        bad.write.mode("overwrite").parquet(quarantine)
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), n
 
 
 def flow_frame(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFrame:
@@ -58,21 +84,6 @@ def flow_frame(spark: SparkSession, sf_dir: str, spec: FlowSpec) -> DataFrame:
     return df.withColumn(LABEL, F.expr(spec.label_sql).cast("int"))
 
 
-def processed(spark: SparkSession, path: str, split: str | None = None,
-              benign_only: bool = False) -> DataFrame:
-    """The prepared table, optionally one split or its benign part.
-
-    The table is written partitioned by ``split``, so the filter prunes
-    directories and the benign filter is pushed into the scan.
-    """
-    df = spark.read.parquet(path)
-    if split is not None:
-        df = df.filter(F.col("split") == split)
-    if benign_only:
-        df = df.filter(F.col(LABEL) == 0)
-    return df
-
-
 def find_result_files(spark: SparkSession, root: str) -> DataFrame:
     """Discover ``<root>/<model>/<dataset>/<file>.csv`` records.
 
@@ -96,16 +107,46 @@ def find_result_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, dataset string, path string")
 
 
+def load_result_files(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
+    """S7 + F12: the records of all ``files`` (model, dataset, path), tagged; one frame per
+    header, each read in one scan.  Empty files and files without a known metric in
+    their header are skipped with a warning."""
+    listed = files.collect()             # one small row per result file
+    if not listed:
+        return []
+    tags = {r.path: (r.model, r.dataset) for r in listed}
+    text = spark.read.text(list(tags), wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n", 2)[0].alias("header"),
+        (F.size(F.split(F.trim("value"), r"\r?\n")) > 1).alias("filled"))
+    by_header: dict[str, list[str]] = {}
+    for r in text.collect():
+        if not r.filled or not set(KNOWN_METRICS) & set((r.header or "").split(",")):
+            log.warning("skipping unreadable result file %s", r.path)
+            continue
+        by_header.setdefault(r.header, []).append(r.path)
+    tagged = spark.createDataFrame([(p, *t) for p, t in tags.items()], "_path string, model string, dataset string") \
+        .withColumn("_path", _plain_path(F.col("_path")))
+    out = []
+    for _, paths in sorted(by_header.items()):
+        df = spark.read.option("header", "true").option("inferSchema", "true").csv(sorted(paths))
+        own = [c for c in df.columns if c not in ("model", "dataset", "source_file")]
+        df = df.select(*own, F.col("_metadata.file_path").alias("source_file"))
+        out.append(df.join(F.broadcast(tagged), _plain_path(F.col("source_file")) == F.col("_path")).drop("_path"))
+    return out
+
+
+def _plain_path(path):
+    """A file's path without its scheme, which listings write in different ways."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:/+", "/")
+
+
 def load_result_file(spark: SparkSession, path: str, model: str, dataset: str,
                      source_file: str | None = None) -> DataFrame | None:
-    """S7 + F12: read one record file and tag it; unreadable → warning, ``None``."""
+    """S7 for one file: its records, tagged; None if it is unreadable."""
+    one = spark.createDataFrame([(model, dataset, path)], "model string, dataset string, path string")
     try:
-        df = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
-        df.schema  # noqa: B018 - forces the read to fail here, not later
-    except Exception as exc:  # noqa: BLE001 - tolerant by contract
+        got = load_result_files(spark, one)
+    except AnalysisException as exc:      # no such path
         log.warning("skipping unreadable result file %s: %s", path, exc)
         return None
-    return df.withColumns({
-        "model": F.lit(model), "dataset": F.lit(dataset),
-        "source_file": F.lit(source_file or path),
-    })
+    return got[0].withColumn("source_file", F.lit(source_file or path)) if got else None

@@ -1,14 +1,18 @@
 """Structured Streaming form of the cascade.
 
-The test split arrives as one parquet file per batch (``batch_id`` column,
-arrival order = file order).  A file-source ``readStream`` with
-``maxFilesPerTrigger=1`` turns each file into one micro-batch, and
-``foreachBatch`` runs the very same prequential step as the replay loop.
-
-State (Z3) is versioned by ``batch_id`` in a parquet table next to the
-stream checkpoint: after a restart the learner resumes from the last stored
-version and batches already applied are skipped, so a replayed micro-batch
-does not update the model twice.
+The test split lands in one write, one parquet file per batch in a folder
+``batch_id=<b>``.  A file-source ``readStream`` with ``maxFilesPerTrigger=1`` turns
+each file into one micro-batch, and ``foreachBatch`` runs the very same prequential
+step as the replay loop.  Files may arrive in any order: the sink applies a batch
+when all batches before it are applied, and reads those that came early from the
+landing folder, so the model depends on the batches alone.
+
+State (Z3) is a parquet table partitioned by ``batch_id``; writing a batch's state
+replaces that partition.  After a restart the learner resumes from the last stored
+version, batches already applied are skipped and early arrivals are found again, so
+a replayed micro-batch does not update the model twice.
+
+Progress (Z5) comes from metrics observed on the stream and a query listener.
 """
 
 from __future__ import annotations
@@ -19,35 +23,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.learners import Learner, StepResult
 from ..session import scratch_path
+from ..sources.store import exists, file_system
 
 
 def write_arrivals(batches, n_batches: int, path: str) -> None:
-    """Land the batches one file each, in arrival order (sequential appends,
-    so file modification times follow batch order)."""
-    for b in range(n_batches):
-        batches.batch(b).drop("segment").coalesce(1).write.mode("append").parquet(path)
+    """Land all batches in one job, one file each."""
+    width = max(1, min(n_batches, 10_000))
+    batches.df.drop("segment").repartition(width, "batch_id").write.mode("append").partitionBy("batch_id").parquet(path)
 
 
-#: ``seq`` counts applied batches, so batches may arrive in any order
+#: ``seq`` counts applied batches
 STATE_SCHEMA = ("batch_id int, n long, n_flagged long, tn long, fp long, fn long, tp long, "
                 "state string, seq int")
 
 
 class PrequentialSink:
-    """``foreachBatch`` body: screen, predict, combine, update, record."""
+    """``foreachBatch`` body: screen, predict, combine, update, record.
+
+    With ``landing`` (the folder of ``write_arrivals``) batches are applied in order of
+    their number, else as they come."""
 
     def __init__(self, spark: SparkSession, learner: Learner, state_path: str,
-                 flag_col: str = "s1_flag", progress_every: int = 10):
+                 flag_col: str = "s1_flag", landing: str | None = None):
         self.spark = spark
         self.learner = learner
         self.state_path = state_path
         self.flag_col = flag_col
-        self.progress_every = progress_every
+        self.landing = landing
         self.total = StepResult()
         self.applied: set[int] = set()
+        self.arrived: set[int] = set()
         self.rows: list[tuple] = []
         self._restore()
 
@@ -56,8 +65,7 @@ class PrequentialSink:
         return max(self.applied, default=-1)
 
     def _restore(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.state_path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not exists(self.spark, self.state_path):
             return                               # no state yet; any other failure is raised
         st = self.spark.read.schema(STATE_SCHEMA).parquet(self.state_path)
         # totals as one aggregate row; only the newest state version is loaded
@@ -69,36 +77,78 @@ class PrequentialSink:
         self.applied = {r.batch_id for r in st.select("batch_id").collect()}
         latest = st.filter(F.col("seq") == tot.last).select("state").first()
         self.learner.load(json.loads(latest.state))
+        if self.landing:                         # what came before the restart
+            fs, p = file_system(self.spark, self.landing)
+            names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+            self.arrived = {int(n.split("=")[1]) for n in names if n.startswith("batch_id=")} - self.applied
 
     def __call__(self, df: DataFrame, epoch_id: int) -> None:
-        ids = sorted(r.batch_id for r in df.select("batch_id").distinct().collect())
-        for b in ids:
-            if b in self.applied:
-                continue                     # replayed micro-batch: already applied
-            res = self.learner.step(df.filter(F.col("batch_id") == b), self.flag_col)
-            self.total.add(res)
-            self.applied.add(b)
-            row = (b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp)
-            self.rows.append(row)
-            self.spark.createDataFrame(
-                [(*row, json.dumps(self.learner.state()), len(self.applied))], STATE_SCHEMA).write.mode("append").parquet(self.state_path)
-            if self.progress_every and (b + 1) % self.progress_every == 0:
-                print(f"processed batch {b + 1}", flush=True)
-
-
-def run_stream(spark: SparkSession, batches: DataFrame, n_batches: int, learner: Learner,
-               run_id: str | None = None) -> tuple[StepResult, float, list]:
+        here = {r.batch_id for r in df.select("batch_id").distinct().collect()}
+        self.arrived |= here - self.applied      # a replayed micro-batch is already applied
+        while self.arrived:
+            b = min(self.arrived)
+            if self.landing and b != self.last_batch + 1:
+                break                            # an earlier batch is still to come
+            rows = df if b in here else self.spark.read.option("basePath", self.landing).schema(df.schema) \
+                .parquet(f"{self.landing}/batch_id={b}")
+            self._apply(b, rows.filter(F.col("batch_id") == b))
+
+    def _apply(self, b: int, rows: DataFrame) -> None:
+        res = self.learner.step(rows, self.flag_col)
+        self.total.add(res)
+        self.applied.add(b)
+        self.arrived.discard(b)
+        row = (b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp)
+        self.rows.append(row)
+        state = self.spark.createDataFrame([(*row, json.dumps(self.learner.state()), len(self.applied))], STATE_SCHEMA)
+        state.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(self.state_path)
+
+
+class Progress(StreamingQueryListener):
+    """Observed metrics of every ``every``-th micro-batch: (micro-batch, rows, flagged)."""
+
+    def __init__(self, every: int = 10):
+        self.every = every
+        self.seen: list[tuple[int, int, int]] = []
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        got = event.progress.observedMetrics.get("arrivals")
+        if got is not None and got.rows and (event.progress.batchId + 1) % self.every == 0:
+            self.seen.append((event.progress.batchId, got.rows, got.flagged))
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
+def stream(spark: SparkSession, schema, src: str, sink: PrequentialSink, ckpt: str, flag_col: str = "s1_flag"):
+    """The query over a landing folder, a file per micro-batch, until all is read."""
+    arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    observed = arrivals.observe("arrivals", F.count(F.lit(1)).alias("rows"),
+                                F.coalesce(F.sum(F.col(flag_col).cast("long")), F.lit(0)).alias("flagged"))
+    q = observed.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def run_stream(spark: SparkSession, batches, n_batches: int, learner: Learner,
+               run_id: str | None = None, progress: Progress | None = None) -> tuple[StepResult, float, list]:
     """Land arrivals, stream them through the prequential sink."""
     run_id = run_id or uuid.uuid4().hex[:12]
     src = scratch_path(spark, f"stream-src-{run_id}")
     ckpt = scratch_path(spark, f"stream-ckpt-{run_id}")
     state = scratch_path(spark, f"stream-state-{run_id}")
     write_arrivals(batches, n_batches, src)
-    sink = PrequentialSink(spark, learner, state)
+    sink = PrequentialSink(spark, learner, state, landing=src)
     t0 = time.time()
-    schema = batches.df.drop("segment").schema
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-         .writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    if progress:
+        spark.streams.addListener(progress)
+    try:
+        stream(spark, batches.df.drop("segment").schema, src, sink, ckpt)
+    finally:
+        if progress:
+            spark.streams.removeListener(progress)
     return sink.total, time.time() - t0, sink.rows
