@@ -48,6 +48,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 96
 ROWS = 4
+DEALT = 256  # open nodes of a bucket that one task compares with the others
 SIGN_BITS = 1024
 MOST_DIFFERENT_SDS = 5.2
 HASH_BITS = 48
@@ -311,12 +312,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = at.groupBy("node").agg(F.collect_set("bucket").alias("own"))
     sign = sets.join(known.select("node"), "node", "left_semi").mapInPandas(_signed, "node string, sign array<long>")
     at = materialize(at.join(known.join(own, "node").join(sign, "node"), "node"), "still-open")
-    x, y = at.alias("x"), at.alias("y")
+    # a crowded bucket's nodes are dealt to several tasks, each against all nodes of the bucket
+    width = at.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("width"))
+    dealt = at.join(width, "bucket")
+    x = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("width")).cast("int")).alias("x")
+    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).alias("y")
     most = F.least(F.col("x.s") - F.col("x.u"), F.col("y.s") - F.col("y.u"))
     able = ~(F.col("x.flat") & F.col("y.flat")) | (most >= threshold * (F.col("x.s") + F.col("y.s") - most) - 1e-9)
     differ = sum((F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(1, SIGN_BITS // 64)),
                  F.bit_count(F.col("x.sign")[0].bitwiseXOR(F.col("y.sign")[0])))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt"))
+                  & (F.col("x.node") < F.col("y.node"))
                   & (F.col("x.part") != F.col("y.part")) & able & (differ <= most_different(threshold))
                   & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket"))) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")) \

@@ -4,7 +4,8 @@ Words that differ by one inserted, deleted or replaced code point are near.  The
 are found by a frontier of states (word, position, node, edits) in a trie: level
 by level the states are joined with the distributed table of the trie's edges; a
 state that has read its whole word with one edit at a terminal node names a
-neighbour.
+neighbour.  A pair is sought from one side: from the longer word, which drops a code
+point, or from the word that is smaller where the two differ.
 
 One edit lies in the first or in the second half of a word, so there are two
 tries, of the words and of the words read backwards, and in each a word starts at
@@ -92,10 +93,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """(wid, back, depth, node, next, starts, n, rest, tail): the nodes a word passes from
+    """(wid, back, depth, node, next, starts, rest, tail): the nodes a word passes from
     the first half on, in both tries; ``next`` is the code point that follows, -1 at the
-    word's end, where ``n`` is its count; ``starts`` where the word's frontier begins;
-    ``tail`` stands for the last of the ``rest`` code points that follow."""
+    word's end; ``starts`` where the word's frontier begins; ``tail`` stands for the last
+    of the ``rest`` code points that follow."""
 
     def walk(batches):
         for pdf in batches:
@@ -103,7 +104,7 @@ def prefixes(words: DataFrame) -> DataFrame:
             for size in np.unique(sizes):
                 here = pdf[sizes == size]
                 codes = np.stack([codes_of(w) for w in here["word"]]).astype(np.int64)
-                wid, n = here["wid"].to_numpy(), here["n"].to_numpy()
+                wid = here["wid"].to_numpy()
                 for back in (0, 1):
                     line = codes[:, ::-1] if back else codes
                     node = np.full(len(here), 0x51ED27 + back, np.uint64)
@@ -115,7 +116,7 @@ def prefixes(words: DataFrame) -> DataFrame:
                         if depth >= (size - 1) // 2:  # shorter neighbours start one level above
                             yield pd.DataFrame({
                                 "wid": wid, "back": back, "depth": depth, "node": node.view(np.int64),
-                                "next": -1 if ends else line[:, depth], "starts": depth == size // 2, "n": n if ends else 0,
+                                "next": -1 if ends else line[:, depth], "starts": depth == size // 2,
                                 "rest": size - depth, "tail": tails[min(TAIL, size - depth)]})
                         if not ends:
                             node = mix64(node * np.uint64(0x9E3779B97F4A7C15) + line[:, depth].astype(np.uint64) + np.uint64(1))
@@ -131,8 +132,8 @@ def prefixes(words: DataFrame) -> DataFrame:
         if held:
             yield pd.concat(held)
 
-    return words.select("wid", "word", "n").mapInPandas(
-        joined, "wid long, back int, depth int, node long, next int, starts boolean, n long, rest int, tail long")
+    return words.select("wid", "word").mapInPandas(
+        joined, "wid long, back int, depth int, node long, next int, starts boolean, rest int, tail long")
 
 
 def _bits(rest, tail):
@@ -147,16 +148,16 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Frontier: (wid, left, node, width, edits), ``left`` what follows the state's position
     in its word, read in the trie's direction.  Edges: (node, salt, first, label, child, child_width, child_on, near,
-    near_n, below0, below1): ``first`` begins the label, ``child_on`` if edges leave the
+    below0, below1): ``first`` begins the label, ``child_on`` if edges leave the
     child, ``near`` the word that ends there, ``below`` its bitmaps."""
     passed = prefixes(words)
     nodes = materialize(
         passed.groupBy("node").agg(F.count("*").alias("words"), F.min("next").alias("least"), F.max("next").alias("most"),
-                                   F.max("starts").alias("starts"), F.max("n").alias("end_n"),
+                                   F.max("starts").alias("starts"), F.max(F.when(F.col("next") == -1, F.col("wid"))).alias("near"),
                                    *[F.bit_or(b).alias(f"below{k}") for k, b in enumerate(_bits(F.col("rest"), F.col("tail")))])
         .where("starts or least = -1 or least <> most")
         .select("node", "words", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("width"),
-                (F.col("most") >= 0).alias("on"), (F.col("least") == -1).alias("ends"), "end_n", "below0", "below1"), "nodes")
+                (F.col("most") >= 0).alias("on"), "near", "below0", "below1"), "nodes")
     total = nodes.agg(F.sum("words")).first()[0] or 0
     crowd = max(SALT_WORDS, total // MOST_HOT)  # fewer than MOST_HOT nodes hold that many
     hot, cold = nodes.where(F.col("words") > crowd), nodes.where(F.col("words") <= crowd)
@@ -167,23 +168,19 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         steps = at.join(F.broadcast(hot), "node").unionByName(
             at.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold.hint("shuffle_hash"), "node"))
     paths = steps.groupBy("wid").agg(F.collect_list(F.struct(
-        "back", "depth", "node", "width", "on", "ends", "end_n", "starts", "below0", "below1")).alias("steps")) \
+        "back", "depth", "node", "width", "on", "near", "starts", "below0", "below1")).alias("steps")) \
         .join(words, "wid") \
         .select("wid", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"), "steps", "word") \
         .select("wid", "back", F.when(F.col("back") == 1, F.reverse("word")).otherwise(F.col("word")).alias("word"),
                 F.sort_array(F.filter("steps", lambda s: s["back"] == F.col("back"))).alias("steps"))
     paths = materialize(paths, "paths")
 
-    def end(child):
-        text = F.substring(F.col("word"), F.lit(1), child["depth"])
-        return F.when(child["ends"], F.when(F.col("back") == 1, F.reverse(text)).otherwise(text))
-
     def edge(a, b):
         return F.struct(
             a["node"].alias("node"), a["width"].alias("width"),
             F.substring(F.col("word"), a["depth"] + 1, b["depth"] - a["depth"]).alias("label"),
             b["node"].alias("child"), b["width"].alias("child_width"), b["on"].alias("child_on"),
-            end(b).alias("near"), b["end_n"].alias("near_n"), b["below0"].alias("below0"), b["below1"].alias("below1"))
+            b["near"].alias("near"), b["below0"].alias("below0"), b["below1"].alias("below1"))
 
     count = F.size("steps")
     pairs = F.zip_with(F.slice("steps", F.lit(1), count - 1), F.slice("steps", F.lit(2), count - 1), edge)
@@ -197,7 +194,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def advance(frontier: DataFrame, edges: DataFrame, small: bool = False) -> DataFrame:
-    """The frontier one level below; ``near`` and ``near_n`` where a state names a neighbour.
+    """The frontier one level below; ``near`` where a state names a neighbour.
     A state with its edit done goes on where the label is what it reads next; any other
     does so too, or with one edit within the label.  ``small``: the frontier is
     broadcast, else edges and states are shuffled by node and salt."""
@@ -211,26 +208,27 @@ def advance(frontier: DataFrame, edges: DataFrame, small: bool = False) -> DataF
     sums = [F.lit(0).cast("long")]  # of the last code points, as in prefixes()
     for j in range(TAIL):
         sums.append(sums[-1] + F.ascii(F.substring(left, -1 - j, 1)).cast("long") * F.lit(TAIL_BASE ** j))
-    reads = F.when(edits == 1, F.array(m)).when(F.col("next"), F.array(F.lit(-1), m - 1, m, m + 1)) \
-        .otherwise(F.array(m - 1, m, m + 1))  # -1: the label as it is, no edit
+    reads = F.when(edits == 1, F.array(m)).when(F.col("next"), F.array(F.lit(-1), m, m + 1)) \
+        .otherwise(F.array(m, m + 1))  # -1: the label as it is, no edit; m: one replaced; m + 1: one dropped
     pairs = pairs.withColumn("tails", F.array(*sums)).withColumn("taken", F.explode(reads))
     bits = _bits(size - taken, F.get("tails", F.least(size - taken, F.lit(TAIL))))
     fits = (taken <= size) & (F.col("below0").bitwiseAND(bits[0]) != 0) & (F.col("below1").bitwiseAND(bits[1]) != 0)
-    within = F.levenshtein(F.substring(left, F.lit(1), taken), label, 1) == 1
+    read = F.substring(left, F.lit(1), taken)
+    smaller = (taken > m) | (read < label)
+    within = F.levenshtein(read, label, 1) == 1
     # the edit is the label's first code point, the rest of the label follows
-    at_first = F.substring(left, F.when(taken < m, 1).otherwise(2), F.when(taken > m, m).otherwise(m - 1)) \
+    at_first = F.substring(left, F.lit(2), F.when(taken > m, m).otherwise(m - 1)) \
         == F.when(taken > m, label).otherwise(F.substring(label, F.lit(2), m))
     moved = pairs.where(F.when(taken == -1, F.startswith(left, label)).otherwise(
-        fits & F.when(edits == 1, True).when(F.col("next"), within).otherwise(at_first))) \
+        fits & F.when(edits == 1, True).otherwise(smaller & F.when(F.col("next"), within).otherwise(at_first)))) \
         .withColumn("edits", F.when(taken == -1, 0).otherwise(1)) \
         .withColumn("left", F.substring(left, F.when(taken == -1, m).otherwise(taken) + 1, size))
     rest = F.length("left")
     names = F.col("near").isNotNull() & (rest + edits == 1)  # an edit done and nothing left, or one code point too many
-    on = F.col("child_on") & ((edits == 0) | (rest > 0))
+    on = F.col("child_on") & (rest > 0)
     return moved.select(
         "wid", "left", F.col("child").alias("node"), F.col("child_width").alias("width"), "edits", on.alias("on"),
-        F.when(names, F.col("near")).alias("near"), F.when(names, F.col("near_n")).alias("near_n")) \
-        .where("on or near is not null")
+        F.when(names, F.col("near")).alias("near")).where("on or near is not null")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -239,8 +237,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     found, small = [], False
     while True:
         level = materialize(advance(frontier, edges, small), f"level{len(found)}")
-        found.append(level.where("near is not null").select("wid", "near", "near_n"))
-        frontier = level.where("on").drop("on", "near", "near_n")
+        found.append(level.where("near is not null").select("wid", "near"))
+        frontier = level.where("on").drop("on", "near")
         states, chars = frontier.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("left")), F.lit(0))).first()
         if not states:
             break
@@ -248,9 +246,12 @@ def neighbours(words: DataFrame) -> DataFrame:
     pairs = found[0]
     for level in found[1:]:
         pairs = pairs.unionByName(level)
-    pairs = pairs.groupBy("wid", "near").agg(F.max("near_n").alias("near_n"))
-    return pairs.join(words.select("wid", "word"), "wid").where(F.levenshtein("word", "near") == 1) \
-        .select("wid", "near", "near_n")
+    one = words.select("wid", F.struct("wid", "word", "n").alias("a"))
+    two = words.select(F.col("wid").alias("near"), F.struct("wid", "word", "n").alias("b"))
+    both = pairs.distinct().join(one, "wid").join(two, "near").where(F.levenshtein("a.word", "b.word") == 1)
+    ways = F.explode(F.array(F.struct(F.col("a.wid").alias("wid"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")),
+                             F.struct(F.col("b.wid").alias("wid"), F.col("a.word").alias("near"), F.col("a.n").alias("near_n"))))
+    return both.select(ways.alias("x")).select("x.*")
 
 
 def variants(words: DataFrame) -> DataFrame:
