@@ -43,6 +43,9 @@ def write(spark, folder, docs):
              (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 2_000_000)]
     spark.createDataFrame(pages if some else [], "page_id long, url string, html string").withColumn("payload", F.lit(1)) \
         .write.parquet(f"{folder}/pages.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, None, None, None), (None, 2, "assistant", ""), (1, 0, "user", "Hi.")]
+    spark.createDataFrame(turns if some else [], "conv_id long, turn long, role string, text string") \
+        .withColumn("fault", F.lit("x")).write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 

@@ -42,7 +42,7 @@ def test_queries(spark, folder, name):
 
 def test_repeats_and_classes(spark, folder):
     removed = {r.doc_id: r.n_removed for r in registry.QUERIES["op8_suffix_dedup"](spark, folder).collect()}
-    assert removed[BIG + 1] == removed[BIG + 3] >= len(SAME.strip()) and removed[None] == 0
+    assert min(removed[BIG + 1], removed[BIG + 3]) >= len(SAME.strip()) and removed[None] == 0
     assert {r.doc_id: r.class_id for r in registry.QUERIES["op3_near_dedup"](spark, folder).collect()} == {i: i for i in IDS}
 
 

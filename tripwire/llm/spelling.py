@@ -45,10 +45,10 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 SLIP = 31  # one (document, run) in this many loses a code point
 FORM_RATIO = 10
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 SALT_WORDS = 20_000  # states of a node under one salt
 MOST_HOT = 2_000
-BROADCAST_BYTES = 16 << 20  # of a frontier that is counted
+BROADCAST_BYTES = 4 << 20  # of a frontier that is counted
 TAIL = 3  # code points of a word's end that a node's bitmaps tell apart
 TAIL_BASE = 331
 _RUNS = re.compile(r"[A-Za-zÀ-ÿ]{%d,}" % LEAST_LENGTH).findall
@@ -57,7 +57,9 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 def slips(doc_id: str, text: str) -> Counter:
     """Occurrences of a text's runs, lower-cased, some with one code point less."""
-    counts = Counter(_RUNS(text.lower() if text.isascii() else text.translate(_LOWER)))
+    counts: Counter = Counter()
+    for run, n in Counter(_RUNS(text)).items():
+        counts[run.lower() if run.isascii() else run.translate(_LOWER)] += n
     start = zlib.crc32(f"{doc_id}:".encode())
     out: Counter = Counter()
     for run, n in counts.items():
