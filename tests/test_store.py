@@ -31,6 +31,16 @@ def test_processed_table_is_written_once(spark, sf_dir, tmp_path):
     assert store.manifest(store.folder("processed", "lineitem", {"x": 1})) is None
 
 
+def test_scratch_is_cleared(spark):
+    from tripwire import session
+
+    session._WRITTEN.clear()
+    df = session.materialize(spark.range(5).toDF("x"), "gone")
+    path = session._WRITTEN[0]
+    assert df.count() == 5 and exists(spark, path)
+    assert session.clear_scratch(spark) == 1 and not exists(spark, path)
+
+
 def _kdd(path, rng, n):
     lines = []
     for _ in range(n):

@@ -254,7 +254,8 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9
         wide = df.agg(*[_pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
         args = ", ".join(f"'{a}', '{b}', r{k}" for k, (a, b) in enumerate(pairs))
         long = wide.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)")
-        return long.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).withColumns(flagged)
+        inside = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))     # greatest and least skip nulls
+        return long.withColumn("r", F.when(F.col("r").isNotNull(), inside)).withColumns(flagged)
     near = 1e-12                             # what is left of a constant's spread by rounding
     vx, vy = (F.col(q) - F.col(t) * F.col(t) / F.col("n") for q, t in (("xx", "sx"), ("yy", "sy")))
     vx, vy = (F.when(v > near * F.col(q), v) for v, q in ((vx, "xx"), (vy, "yy")))
@@ -269,7 +270,8 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9
 def high_correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """The pairs beyond the threshold, strongest first, with their rank."""
     pairs = correlation_pairs(df, cols, threshold).where("high").select("feature_a", "feature_b", "r", "abs_r")
-    w = Window.orderBy(F.col("abs_r").desc(), "feature_a", "feature_b")   # one row per pair of columns
+    # one row per pair of columns; equal to six decimals is a tie
+    w = Window.orderBy(F.round("abs_r", 6).desc(), "feature_a", "feature_b")
     return pairs.withColumn("rank", F.row_number().over(w)).orderBy("rank")
 
 

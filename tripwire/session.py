@@ -66,6 +66,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tripwire-state/{name}"
 
 
+#: folders that ``materialize`` wrote in this process
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process wrote; to be called when the
+    results that read them are written.  Stored tables and models stay."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())  # noqa: SLF001
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))  # noqa: SLF001
+    return n
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts the lineage (a lost executor re-reads files instead of
@@ -78,4 +92,5 @@ def materialize(df, name: str = "table"):
     block = spark.conf.get("spark.tripwire.rowGroupBytes", str(64 * 1024 * 1024))
     # row groups are the unit of read parallelism: keep them bounded
     df.write.mode("overwrite").option("parquet.block.size", block).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
