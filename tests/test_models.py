@@ -251,3 +251,16 @@ def test_stream_order_state_and_progress(spark, tmp_path):
     for b in (0, 4, 2):
         half(rows.where(f"batch_id = {b}"), b)
     assert half.applied == {0} and half.arrived == {2, 4}
+
+
+def test_importance_ranks_categories(spark):
+    """A planted category that no order of its codes separates wins over numbers."""
+    from tripwire.operators.profile import feature_importance
+
+    rng = np.random.default_rng(2)
+    kinds = [f"k{i:02d}" for i in range(40)]
+    bad = set(rng.choice(kinds, 20, replace=False))
+    rows = [(float(rng.normal()), k, rng.choice(["x", "y", None]), int(k in bad)) for k in rng.choice(kinds, 1500)]
+    df = spark.createDataFrame(rows, "a double, kind string, other string, ANOMALY int")
+    got = feature_importance(df, ["a"], trees=20, depth=5, categorical=["kind", "other"]).orderBy("rank").collect()
+    assert got[0].feature == "kind" and got[0].importance > 0.8 and len(got) == 3

@@ -79,7 +79,11 @@ def test_three_raw_formats_rerun_from_the_store(spark, tmp_path):
     store, options = Store(spark, str(tmp_path / "store")), {"models": ("sgd",), "batch_sweep": {"sgd": [100]}, "n_trees": 20}
     first = run_all(spark, data, str(tmp_path / "out"), store, **options)
     assert "error" in first["netflow"] and "error" in first["nothing"]      # the others ran
-    data[2] = Dataset("netflow", train=_netflow(tmp_path / "n1", rng, 300), test=_netflow(tmp_path / "n2", rng, 150))
+    folder = tmp_path / "project" / "datasets" / "raw" / "netflow"
+    folder.mkdir(parents=True)
+    _netflow(folder / "train_net.csv", rng, 300)
+    _netflow(folder / "test_net.csv", rng, 150)
+    data[2] = Dataset("netflow", root=str(tmp_path / "project"))
     second = run_all(spark, data[:3], str(tmp_path / "out2"), store, **options)
     timed = {"warmup_time_sec", "test_time_sec", "total_time_sec", "total_training_time_sec"}
     for name in ("kdd", "cores_iot"):
@@ -92,6 +96,8 @@ def test_three_raw_formats_rerun_from_the_store(spark, tmp_path):
     sweep = both.where("model = 'isolation_forest' and dataset = 'kdd'")
     assert sweep.count() == 12 and sweep.select("contamination").distinct().count() == 12
     assert compare_phase(spark, str(tmp_path / "out2"), str(tmp_path / "report")).count() == 6
+    series = spark.read.option("header", "true").csv(str(tmp_path / "report" / "by_contamination"))
+    assert series.where("dataset = 'kdd'").count() == 12 and "f1_macro" in series.columns
     prep = data[1].prepare(spark, store)
     learner = load_learner(store, prep, "sgd", {"batch_size": 100, "contamination": 0.45, "seed": 42})
     assert learner.updates > 0 and learner.evaluate(prep.split("test"), None).n == 60

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare
 from ..operators.compare import KEY_METRICS
-from ..sources.catalog import BATCH_SWEEP, CONTAMINATION_VALUES, DEFAULT_CONTAMINATION, LINEITEM, FlowSpec, get_spec
+from ..sources.catalog import BATCH_SWEEP, CONTAMINATION_VALUES, DEFAULT_CONTAMINATION, LINEITEM, FlowSpec, evaluation_path, get_spec, raw_paths
 from ..sources.readers import find_result_files, load_result_files
 from ..sources.store import Store
 from .cascade import best_record, forest_records, run_cascade, run_stage1
@@ -39,22 +39,28 @@ RUN_ERRORS = (ValueError, ArithmeticError, FileNotFoundError, PySparkException)
 
 @dataclass(frozen=True)
 class Dataset:
-    """A data set of an experiment: a driver table by name, or raw files by format."""
+    """A data set of an experiment: a driver table by name, or raw files by format (given,
+    or found under a project folder)."""
 
     name: str
     sf_dir: str | None = None
     train: str | None = None
     test: str | None = None
+    root: str | None = None
 
     def prepare(self, spark: SparkSession, store: Store) -> Prepared:
         if self.sf_dir is not None:
             return prepare(spark, self.sf_dir, get_spec(self.name), store=store)
-        return prepare_raw(spark, self.name, self.train, self.test, store=store)
+        train, test = self.train, self.test
+        if train is None and self.root is not None:
+            paths = raw_paths(self.name, self.root)
+            train, test = paths.get("train", paths.get("file")), paths.get("test")
+        return prepare_raw(spark, self.name, train, test, store=store)
 
 
 def write_record(df: DataFrame, out_dir: str, model: str, dataset: str) -> str:
     """The run's records as one headered CSV, replaced on rerun."""
-    path = f"{out_dir.rstrip('/')}/{model}/{dataset}"
+    path = evaluation_path(out_dir, model, dataset)
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
     return path
 
@@ -137,6 +143,10 @@ def compare_phase(spark: SparkSession, root: str, report_dir: str) -> DataFrame
     corpus.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{report_dir}/summary")
     best.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{report_dir}/summary_best")
     metrics = [m for m in REPORT_METRICS if m in best.columns]
+    for param in ("contamination", "batch_size"):                      # R11-R13
+        if param in corpus.columns:
+            compare.by_parameter(corpus, param, [*metrics, "total_time_sec"]).coalesce(1) \
+                .write.mode("overwrite").option("header", "true").csv(f"{report_dir}/by_{param}")
     stamp = spark.range(1).select(F.current_timestamp()).first()[0]
     md = ["# Cross-dataset evaluation summary", "", f"Generated: {stamp:%Y-%m-%d %H:%M:%S}", "",
           "## Best results per dataset and model", "", compare.to_markdown(best, metrics), "",

@@ -51,6 +51,13 @@ DEFAULT_CONTAMINATION = 0.45
 RANDOM_STATE = 42
 # Batch sizes that each stage-2 model is run with.
 BATCH_SWEEP = {"sgd": [25_000], "mlp": [10_000, 15_000, 20_000, 25_000, 30_000], "ensemble": [25_000]}
+# Where the raw files lie under a project folder.
+RAW_FILES = {
+    "netflow": {"train": "datasets/raw/netflow/train_net.csv", "test": "datasets/raw/netflow/test_net.csv"},
+    "kdd": {"train": "datasets/raw/kd/kddcup.data.corrected", "test": "datasets/raw/kd/corrected/corrected"},
+    "cores_iot": {"file": "datasets/raw/cores-iot/cores_iot.csv"},
+}
+DEFAULT_BATCH_SIZE = 20_000
 # Placeholder strings searched by the profiler.
 PLACEHOLDERS = ["?", "-", "NA", "N/A", "null", "None", ""]
 # ---------------------------------------------------------------------------
@@ -94,7 +101,7 @@ class FlowSpec:
     score_col: str | None = None      # a single column used by rule detectors
     derived: tuple[tuple[str, str], ...] = ()   # (name, Spark SQL) feature columns
     defaults: dict = field(default_factory=lambda: {
-        "contamination": DEFAULT_CONTAMINATION, "batch_size": 20000})
+        "contamination": DEFAULT_CONTAMINATION, "batch_size": DEFAULT_BATCH_SIZE})
 
     @property
     def features(self) -> list[str]:
@@ -187,3 +194,21 @@ def get_raw_format(name: str) -> RawFormat:
         return RAW_FORMATS[name]
     except KeyError:
         raise ValueError(f"unknown raw format {name!r}; known: {sorted(RAW_FORMATS)}") from None
+
+
+def raw_paths(name: str, root: str) -> dict[str, str]:
+    """The raw files of a data set under a project folder."""
+    get_raw_format(name)
+    return {part: f"{root.rstrip('/')}/{path}" for part, path in RAW_FILES[name].items()}
+
+
+def dataset_defaults(name: str) -> dict:
+    """Contamination and batch size that a data set is run with."""
+    if name in RAW_FORMATS:
+        return {"contamination": DEFAULT_CONTAMINATION, "batch_size": DEFAULT_BATCH_SIZE}
+    return dict(get_spec(name).defaults)
+
+
+def evaluation_path(root: str, model: str, dataset: str) -> str:
+    """Where a model's records on a data set lie."""
+    return f"{root.rstrip('/')}/{model}/{dataset}"

@@ -83,6 +83,13 @@ class PrequentialSink:
             self.arrived = {int(n.split("=")[1]) for n in names if n.startswith("batch_id=")} - self.applied
 
     def __call__(self, df: DataFrame, epoch_id: int) -> None:
+        df = df.persist()                        # read once, so that its rows are observed once
+        try:
+            self._take(df)
+        finally:
+            df.unpersist()
+
+    def _take(self, df: DataFrame) -> None:
         here = {r.batch_id for r in df.select("batch_id").distinct().collect()}
         self.arrived |= here - self.applied      # a replayed micro-batch is already applied
         while self.arrived:
