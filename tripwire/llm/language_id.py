@@ -15,7 +15,8 @@ the per-word scores with a switching penalty then labels spans.
 
 Defined results: null, empty or letterless text is ``und`` with score 0 and no
 spans; without any training row every text is ``und``; ties go to the language
-that sorts first; repeated rows get equal labels; other columns pass through.
+that sorts first; repeated rows get equal labels; other columns pass through; more
+than ``MAX_LABELS`` labels are an error (the counts of all are on the driver).
 """
 
 from __future__ import annotations

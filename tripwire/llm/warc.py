@@ -9,8 +9,8 @@ and writes a sidecar index (a JSON line per record: offset, length, type, ids).
 Files go to the folder that all executors share (any file system that
 ``pyarrow.fs`` opens).  A task writes under a name of its own attempt, and only
 the attempts that Spark committed are in the manifest tables, so lost executors
-and repeated attempts leave at most unused files.  Records are copied block by
-block; memory does not depend on the size of a record or an archive.
+and repeated attempts leave at most unused files.  An archive is copied block by
+block; the writer and the reader hold one record at a time.
 
 Of records with equal payloads of at least ``LEAST_BYTES`` bytes the one with
 the largest page id is the response and the others are revisits of it.
