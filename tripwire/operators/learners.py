@@ -15,7 +15,7 @@ partitioned (up to the order of floating-point sums).
   the weights of the batch before; every iteration sums the gradient of all
   partitions (``MultilayerPerceptronClassifier``).
 * ``SEAPool``: up to 5 networks (50 units) each fitted from scratch on one batch
-  (at most 50 iterations); majority vote with ties to attack; a full pool
+  (at most 30 iterations); majority vote with ties to attack; a full pool
   replaces its least accurate member on the new batch (first on ties);
   single-class batches and fits without finite weights change nothing.
 """
@@ -111,7 +111,7 @@ class SGDLogistic(Learner):
     name = "sgd_classifier"
     alpha = 1e-4
 
-    def __init__(self, features, seed: int = 42, warm_steps: int = 10):
+    def __init__(self, features, seed: int = 42, warm_steps: int = 6):
         super().__init__(features, seed)
         self.warm_steps = warm_steps
         self.params = np.zeros(len(self.features) + 1)   # weights, intercept
@@ -219,7 +219,7 @@ class OnlineMLP(Learner):
 
     name = "mlp_classifier"
 
-    def __init__(self, features, seed: int = 42, hidden: int = 100, warm_iterations: int = 50, step_iterations: int = 5):
+    def __init__(self, features, seed: int = 42, hidden: int = 100, warm_iterations: int = 20, step_iterations: int = 2):
         super().__init__(features, seed)
         self.warm_iterations, self.step_iterations = warm_iterations, step_iterations
         self.net = Network(self.features, hidden, seed, step_iterations)
@@ -299,7 +299,7 @@ class SEAPool(Learner):
     seed: int = 42
     size: int = 5
     hidden: int = 50
-    max_iter: int = 50
+    max_iter: int = 30
     name: str = "dynamic_ensemble"
 
     def __post_init__(self):
