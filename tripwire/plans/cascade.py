@@ -103,6 +103,7 @@ def forest_records(stage1: StageOne, contaminations=CONTAMINATION_VALUES,
 
 
 SEGMENT_ROWS = 2_000_000      # rows per directory of the batch table
+TASK_ROWS = 50_000            # rows of a batch per task
 
 
 def batch_table(spark: SparkSession, stage1: StageOne, contamination: float, batch_size: int,
@@ -126,18 +127,23 @@ def batch_table(spark: SparkSession, stage1: StageOne, contamination: float, bat
      .write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024)
      .partitionBy("segment").parquet(path))
     n_batches = -(-n // batch_size)
-    return _BatchTable(spark.read.parquet(path), seg), n_batches, path
+    return _BatchTable(spark.read.parquet(path), seg, max(1, -(-batch_size // TASK_ROWS))), n_batches, path
 
 
 class _BatchTable:
-    """The written batch table; ``batch(b)`` prunes to b's segment."""
+    """The written batch table; ``batch(b)`` prunes to b's segment.
 
-    def __init__(self, df: DataFrame, seg: int):
-        self.df, self.seg = df, seg
+    A segment is scanned by as many tasks as its size asks for, of which nearly all find
+    no row of the batch, and a learner runs its rows dozens of times: they are brought
+    into ``tasks`` partitions first (one, at the registered batch sizes)."""
+
+    def __init__(self, df: DataFrame, seg: int, tasks: int = 1):
+        self.df, self.seg, self.tasks = df, seg, tasks
         self.schema = df.schema
 
     def batch(self, b: int) -> DataFrame:
-        return self.df.filter((F.col("segment") == b // self.seg) & (F.col("batch_id") == b))
+        rows = self.df.filter((F.col("segment") == b // self.seg) & (F.col("batch_id") == b))
+        return rows.coalesce(self.tasks)
 
     def filter(self, cond):          # DataFrame-like access used by callers
         return self.df.filter(cond)
