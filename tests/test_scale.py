@@ -36,3 +36,33 @@ def test_a_batch_is_one_partition(spark, flows_dir, monkeypatch):
         got = batches.batch(b)
         assert got.rdd.getNumPartitions() == 1
         assert sorted(r.ord for r in got.collect()) == list(range(100 * b, 100 * b + 100))
+
+
+def test_a_large_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
+    """A fit keeps a count per row and tree: over many rows a fit has few trees, and all trees are fitted."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tripwire.operators import profile
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(*map(float, r), int(r[1] > 0)) for r in x], "a double, b double, c double, ANOMALY int")
+    fits: list = []
+    real = RandomForestClassifier.fit
+
+    def fit(self, data):
+        model = real(self, data)
+        fits.append((model.getNumTrees, self.getSeed(), self.getCacheNodeIds(), model))
+        return model
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    monkeypatch.setattr(profile, "FOREST_DRAWS", 1000, raising=False)
+    got = {r.feature: r.importance for r in profile.feature_importance(df, ["a", "b", "c"], trees=25, depth=3).collect()}
+    assert [f[0] for f in fits] == [10, 10, 5] and len({f[1] for f in fits}) == 3 and not any(f[2] for f in fits)
+    every = sum(t.featureImportances.toArray() for f in fits for t in f[3].trees)
+    assert np.allclose([got[c] for c in "abc"], every / every.sum()) and got["b"] > 0.8
+    # few rows: one fit
+    fits.clear()
+    monkeypatch.setattr(profile, "FOREST_DRAWS", 10_000)
+    profile.feature_importance(df, ["a", "b", "c"], trees=25, depth=3).collect()
+    assert [f[0] for f in fits] == [25]

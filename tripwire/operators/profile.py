@@ -352,11 +352,21 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50,
                       (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), n.alias("n"))
 
 
+#: rows × trees up to which a forest is fitted at once, and the trees of a fit beyond that
+FOREST_DRAWS = 200_000_000
+FOREST_TREES = 10
+
+
 def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABEL, trees: int = 100, depth: int = 10,
                        seed: int = 42, categorical: Sequence[str] = (), max_categories: int = 200) -> DataFrame:
     """Random-forest impurity importances, ranked.  ``categorical`` columns are
     numbered by ``fit_ordinal`` and declared to the forest, which then splits sets of
-    categories; a column of more than ``max_categories`` is split by its codes' order."""
+    categories; a column of more than ``max_categories`` is split by its codes' order.
+
+    A fit keeps every row with one drawn count per tree.  Over many rows the forest is
+    therefore fitted ``FOREST_TREES`` trees at a time, each fit on all rows with a seed of
+    its own; node ids (one per row and tree) are looked up and not kept."""
+    import numpy as np
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -375,11 +385,17 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABE
     vec = VectorAssembler(inputCols=[*feats, *named], outputCol="_x", handleInvalid="keep").transform(
         coded.select(*cols, F.col(label).cast("double").alias(label)))
     bins = max([32, *(encoding.sizes[c] for c in named if encoding.sizes[c] <= max_categories)])
-    # more nodes per pass over the data and cached node ids for deep trees
-    model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxBins=bins,
-                                   maxDepth=depth, seed=seed, maxMemoryInMB=1024,
-                                   cacheNodeIds=True).fit(vec)
-    imp = model.featureImportances.toArray().tolist()
+    per_fit = trees if df.count() * trees <= FOREST_DRAWS else min(trees, FOREST_TREES)
+    imp = np.zeros(len(feats) + len(named))
+    for i, first in enumerate(range(0, trees, per_fit)):
+        # more nodes per pass over the data
+        model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=min(per_fit, trees - first), maxBins=bins,
+                                       maxDepth=depth, seed=seed + i, maxMemoryInMB=1024).fit(vec)
+        if per_fit >= trees:
+            imp = model.featureImportances.toArray()
+        else:                                            # summed over all trees, as in one forest
+            imp += sum(tree.featureImportances.toArray() for tree in model.trees)
+    imp = (imp / imp.sum() if per_fit < trees and imp.sum() else imp).tolist()
     rows = sorted(zip([*feats, *named], imp), key=lambda t: (-t[1], t[0]))
     return df.sparkSession.createDataFrame(
         [(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
