@@ -66,3 +66,27 @@ def test_a_large_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(profile, "FOREST_DRAWS", 10_000)
     profile.feature_importance(df, ["a", "b", "c"], trees=25, depth=3).collect()
     assert [f[0] for f in fits] == [25]
+
+
+def test_splits_are_written_without_a_sort_by_split(spark, flows_dir, tmp_path, monkeypatch):
+    """A write by ``split`` sorts, and spills, all rows of a task; each split is written on its own."""
+    from tripwire.plans.pipeline import prepare, split_flows
+    from tripwire.sources.catalog import LINEITEM
+    from tripwire.sources.store import Store
+
+    by: list[str] = []
+    real = DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: by.extend(map(str, c)) or real(self, *c))
+    store = Store(spark, str(tmp_path / "store"))
+    got = split_flows(spark, flows_dir, LINEITEM, store=store)
+    table = prepare(spark, flows_dir, LINEITEM, store=store).table
+    assert by == []
+    for df in (got, table):
+        n = {r.split: (r.n, r.ords) for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ord").alias("ords")).collect()}
+        assert n == {"train": (960, 0), "test": (240, 240)}
+    # a split that is written again replaces that split only
+    folder = str(tmp_path / "entry")
+    store.write_split({"train": got.filter("split = 'train'"), "test": got.filter("split = 'test'")}, folder)
+    store.write_split({"test": got.filter("split = 'test' and ord < 7")}, folder)
+    again = store.read_split(folder, got.columns)
+    assert again.columns == got.columns and dict(map(tuple, again.groupBy("split").count().collect())) == {"train": 960, "test": 7}

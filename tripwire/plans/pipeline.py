@@ -95,9 +95,8 @@ def split_flows_quota(spark: SparkSession, sf_dir: str, spec: FlowSpec, test_siz
         split, quota = prep.stratified_split_quota(base, test_size)
         train = split.filter(F.col("split") == "train").withColumn("ord", F.lit(None).cast("long"))
         test = prep.replay_order(split.filter(F.col("split") == "test"))
-        rows = train.unionByName(test)
-        store.write_split(rows, folder)
-        held = {"columns": rows.columns, "quota": [[k, n] for k, n in quota.items()]}
+        store.write_split({"train": train, "test": test}, folder)
+        held = {"columns": train.columns, "quota": [[k, n] for k, n in quota.items()]}
         store.finish(folder, held)
     return store.read_split(folder, held["columns"]), {k: n for k, n in held["quota"]}
 
@@ -121,7 +120,7 @@ def stored(store: Store, spec: FlowSpec, draw: dict, make) -> Prepared:
     held = store.manifest(folder)
     if held is None:
         p = make()
-        store.write_split(p.table, folder)
+        store.write_split({name: p.split(name) for name in ("train", "test")}, folder)
         enc = p.encoding
         if enc.columns:
             enc.dictionary.write.mode("overwrite").parquet(f"{folder}/encoder")

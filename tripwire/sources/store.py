@@ -63,12 +63,13 @@ class Store:
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{folder}/manifest")
 
-    def write_split(self, df: DataFrame, folder: str) -> DataFrame:
-        """A table partitioned by ``split``; only the partitions in ``df`` are replaced."""
+    def write_split(self, parts: dict[str, DataFrame], folder: str) -> None:
+        """A table partitioned by ``split``, from the rows of every split; only the splits
+        in ``parts`` are replaced.  Every split is a write of its own: one write of all of them
+        would sort each task's rows by ``split``, and spill them."""
         block = self.spark.conf.get("spark.tripwire.rowGroupBytes", str(64 * 1024 * 1024))
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", block) \
-            .partitionBy("split").parquet(f"{folder}/rows")
-        return self.read_split(folder, df.columns)
+        for name, df in parts.items():
+            df.drop("split").write.mode("overwrite").option("parquet.block.size", block).parquet(f"{folder}/rows/split={name}")
 
     def read_split(self, folder: str, columns: list[str]) -> DataFrame:
         """S3: the table; a filter on ``split`` reads that folder only."""
