@@ -90,3 +90,14 @@ def test_splits_are_written_without_a_sort_by_split(spark, flows_dir, tmp_path,
     store.write_split({"test": got.filter("split = 'test' and ord < 7")}, folder)
     again = store.read_split(folder, got.columns)
     assert again.columns == got.columns and dict(map(tuple, again.groupBy("split").count().collect())) == {"train": 960, "test": 7}
+
+
+def test_prequential_reads_the_stored_table(spark, flows_dir, monkeypatch):
+    """The processed table lies in the store; the plan writes no copy of it."""
+    from tripwire import session
+    from tripwire.plans.model_queries import sgd_prequential
+
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    rows = sgd_prequential(spark, flows_dir).collect()
+    assert sorted(r.batch_id for r in rows) == [-1, 0, 1, 2, 3, 4] and sum(r.n for r in rows if r.batch_id >= 0) == 240
+    assert not [p for p in session._WRITTEN if "prequential" in p]
