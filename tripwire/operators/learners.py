@@ -25,6 +25,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -115,6 +116,7 @@ class SGDLogistic(Learner):
         super().__init__(features, seed)
         self.warm_steps = warm_steps
         self.params = np.zeros(len(self.features) + 1)   # weights, intercept
+        self._sums: dict[tuple, list[Column]] = {}       # aggregates of a pass, the same for every batch
 
     def hyperparams(self):
         return {"loss": "log_loss", "random_state": self.seed}
@@ -126,22 +128,31 @@ class SGDLogistic(Learner):
         self.params = np.asarray(state["params"], dtype=np.float64)
         self.updates = int(state["updates"])
 
+    @cached_property
+    def _inputs(self) -> Column:
+        return F.array(*[F.col(c).cast("double") for c in self.features]).cast("array<double>")
+
     def margin(self) -> Column:
-        z = F.lit(float(self.params[-1]))
-        for c, w in zip(self.features, self.params):
-            z = z + F.lit(float(w)) * F.col(c)
-        return z
+        """The intercept plus the weighted features ``_x``, from left to right.  The weights are
+        one array, so a plan's generated code is the same for every batch and compiled once."""
+        *w, z = (f"double('{float(v)!r}')" for v in self.params)
+        return F.expr(f"aggregate(zip_with(_x, CAST(array({', '.join(w)}) AS array<double>), (x, w) -> w * x), {z}, (z, x) -> z + x)")
+
+    def _pass_aggs(self, flag_col: str | None, train: bool) -> list[Column]:
+        if (flag_col, train) not in self._sums:
+            flag = self._flag(flag_col)
+            aggs = self._aggs((F.col("_z") > 0).cast("int"), flag)
+            if train:
+                r = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))) - F.col(LABEL)
+                xs = [F.col(c).cast("double") for c in self.features] + [F.lit(1.0)]
+                aggs += [F.sum(F.when(flag, r * x)).alias(f"_g{i}") for i, x in enumerate(xs)]
+                aggs += [F.sum(F.when(flag, x * x)).alias(f"_s{i}") for i, x in enumerate(xs)]
+            self._sums[flag_col, train] = aggs
+        return self._sums[flag_col, train]
 
     def _pass(self, df: DataFrame, flag_col: str | None, train: bool) -> StepResult:
-        flag = self._flag(flag_col)
-        rows = self._rows(df, flag_col).withColumn("_z", self.margin())
-        aggs = self._aggs((F.col("_z") > 0).cast("int"), flag)
-        if train:
-            r = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))) - F.col(LABEL)
-            xs = [F.col(c).cast("double") for c in self.features] + [F.lit(1.0)]
-            aggs += [F.sum(F.when(flag, r * x)).alias(f"_g{i}") for i, x in enumerate(xs)]
-            aggs += [F.sum(F.when(flag, x * x)).alias(f"_s{i}") for i, x in enumerate(xs)]
-        row = rows.agg(*aggs).first()
+        rows = self._rows(df, flag_col).withColumn("_x", self._inputs).withColumn("_z", self.margin())
+        row = rows.agg(*self._pass_aggs(flag_col, train)).first()
         res = self._result(row)
         if train and res.n_flagged:
             k, d1 = res.n_flagged, len(self.params)
