@@ -532,3 +532,26 @@ def test_signs_keep_pairs_at_the_threshold():
     a, b = (np.sort(rng.integers(0, 1 << 48, 500, dtype=np.uint64)) for _ in range(2))
     both = minhash.signs(np.concatenate([a, b]), np.ones(1000, int), np.repeat([0, 1], 500), 2)
     assert 420 < int(np.bitwise_count((both[0] ^ both[1]).view(np.uint64)).sum()) < 600
+
+
+def test_sketch_memory_is_bounded():
+    """A task sketches a bounded number of code points at once, with the same result for any grouping."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i:05d}é" for i in range(3000)])
+    texts = [" ".join(rng.choice(words, 1000)) for _ in range(400)]          # 3.2 million code points
+    pdf = pd.DataFrame({"doc_id": [str(i) for i in range(400)], "th": range(400), "text": texts})
+    list(minhash._sketched([pdf.head(1)]))                                  # tables of code points
+    tracemalloc.start()
+    got = list(minhash._sketched([pdf]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    alone = {i: next(minhash._sketched([pdf.iloc[[i]]])) for i in (0, 57, 399)}
+    rows = pd.concat(got).set_index("doc_id")
+    assert len(rows) == 400
+    for i, one in alone.items():
+        assert rows.loc[str(i)].node == one.node[0] and np.array_equal(rows.loc[str(i)].bands, one.bands[0])
