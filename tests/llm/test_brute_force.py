@@ -555,3 +555,26 @@ def test_sketch_memory_is_bounded():
     assert len(rows) == 400
     for i, one in alone.items():
         assert rows.loc[str(i)].node == one.node[0] and np.array_equal(rows.loc[str(i)].bands, one.bands[0])
+
+
+def test_planted_passages_by_length(spark):
+    """op8: of repeated passages of over 50 words those of 400 bytes and more go, whole; shorter
+    ones and clean documents stay, and n_bytes is the size of the whole text in any case."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), n))
+    filler = lambda: " ".join(word(7) for _ in range(90))                          # noqa: E731
+    short, long = ("[" + " ".join(word(k) for _ in range(60)) + "]" for k in (4, 9))
+    assert len(short.encode()) < 400 < len(long.encode())
+    texts, size = [], {}
+    for i in range(30):
+        passage = ("", short, long)[i % 3]
+        a, b = filler(), filler()
+        texts.append((i, f"{a}{chr(48 + i)}({passage}){chr(48 + i)}{b}"))        # no two sides are equal
+        size[i] = len(passage.encode()) + 2 if passage is long else 0              # with its round brackets
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame).collect()}
+    for i, text in texts:
+        data = text.encode()
+        kept = data.replace(f"({long})".encode(), b"") if size[i] else data
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(data), size[i], int(size[i] > 0))
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
