@@ -12,6 +12,9 @@ in permuted order and documents in permuted order within the block that is cut.
   blocks, so the window over blocks holds ``BLOCKS`` rows per source even if
   one source has a third of all rows; only the blocks that are cut (one per
   source) are ordered document by document.
+* What is taken is kept as one bit a block, ``GROUP`` blocks to a row: a few
+  rows per source, which Spark broadcasts unless there are very many sources.
+  The documents then meet them where they are read; no text is shuffled.
 * t comes from a section search: each round evaluates ``POINTS`` exponents
   over the table of sources in one job and returns ``POINTS`` rows.
 
@@ -33,6 +36,7 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 BLOCKS = 4096
+GROUP = 64      # blocks to a row of decisions, a bit each
 POINTS = 33
 ENTROPY_SHARE = 0.9
 MOST_EPOCHS = 4.0
@@ -100,8 +104,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     ``epoch`` (from 0) and ``mix_key`` (the order within an epoch).  ``budget``
     is in tokens, by default those of the input.  The added columns are renamed
     with a trailing underscore if the input has such columns."""
-    tok, blk, src, idc, epoch, mkey, parts = (fresh(docs, x) for x in
-        ("_tokens", "_block", "_src", "_id", "epoch", "mix_key", "_epochs"))
+    tok, blk, src, idc, epoch, mkey = (fresh(docs, x) for x in
+        ("_tokens", "_block", "_src", "_id", "epoch", "mix_key"))
     rows = docs.withColumns({tok: n_tokens(F.col(f"`{text}`")), src: F.col(f"`{source}`").cast("string"),
                              idc: F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))})
     rows = rows.withColumn(blk, F.pmod(key(F.lit("block"), F.col(idc)), F.lit(BLOCKS)))
@@ -134,15 +138,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     last = inner.withColumn("upto", F.col("before") + F.sum("n").over(run)).where("upto <= rest") \
         .groupBy(F.col("s").alias("ls"), F.col("b").alias("lb")) \
         .agg(F.max(F.struct("k", "i")).alias("last"))
+    # a row for each source and group of blocks: the bits of the blocks taken, and the block that is cut
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % GROUP).cast("int"))
     decided = placed.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("b") == F.col("lb")), "left") \
-        .select(F.col("s").alias("_ds"), F.col("b").alias("_db"), F.col("full").alias("_df"),
-                F.col("cut").alias("_dc"), (F.col("before") + F.lit(0) < F.col("rest")).alias("_dw"),
-                F.col("last").alias("_dl"))
-    rows = rows.withColumn(parts, F.struct(*[F.col(x) for x in (src, blk, idc)]))
-    mine = rows.alias("r").join(decided.alias("d"),
-                                F.col(f"r.{src}").eqNullSafe(F.col("d._ds")) & (F.col(f"r.{blk}") == F.col("d._db")))
+        .groupBy(F.col("s").alias("_ds"), F.floor(F.col("b") / GROUP).alias("_dg")) \
+        .agg(F.max("full").alias("_df"),
+             F.bit_or(F.when(F.col("before") < F.col("rest"), bit).otherwise(F.lit(0).cast("long"))).alias("_dw"),
+             F.max(F.when(F.col("cut"), F.col("b"))).alias("_dc"), F.max("last").alias("_dl"))
+    decided = materialize(decided, "mix-decided")   # its size is known before the join is planned
+    mine = rows.alias("r").join(decided.alias("d"), F.col(f"r.{src}").eqNullSafe(F.col("d._ds"))
+                                & (F.floor(F.col(f"r.{blk}") / GROUP) == F.col("d._dg")))
     own = F.struct(key(F.col("d._df").cast("string"), F.col(f"r.{idc}")).alias("k"), F.col(f"r.{idc}").alias("i"))
-    extra = F.when(F.col("d._dc"), F.coalesce(own <= F.col("d._dl"), F.lit(False))).otherwise(F.col("d._dw"))
+    extra = F.when(F.col(f"r.{blk}").eqNullSafe(F.col("d._dc")), F.coalesce(own <= F.col("d._dl"), F.lit(False))) \
+        .otherwise(F.getbit("d._dw", (F.col(f"r.{blk}") % GROUP).cast("int")) == 1)
     copies = (F.col("d._df") + F.when(extra, 1).otherwise(0)).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast(T.ArrayType(T.IntegerType())))
     return mine.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.col(f"r.{tok}").alias(tok),
