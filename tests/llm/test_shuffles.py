@@ -34,3 +34,27 @@ def test_mixture_shuffles_no_text(spark, uneven, tmp_path):
         assert got == sorted(map(tuple, mixing.mix(docs).select(names).collect()), key=repr)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_near_copies_carry_numbers(spark, monkeypatch):
+    """After the nodes are numbered no table but theirs carries a name; repeated ids and rows,
+    null ids and null texts keep their classes."""
+    kept = {}
+
+    def recorded(df, name, plain=minhash.materialize):
+        kept[name] = dict(df.dtypes)
+        return plain(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", recorded)
+    base = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join([*base[:k], f"x{k}", *base[k + 1:]])      # noqa: E731
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = [(5, near(3)), (5, near(90)), (5, other), (5, near(3)), (2, near(150).upper()), (None, near(40)),
+            (None, "alone and short"), (7, other + " v60"), (8, None), (9, ""), (10, "never seen before at all here")]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in got) == sorted(
+        [(5, 2, False)] * 3 + [(5, 5, True), (2, 2, True), (0, 2, False), (0, 0, True), (7, 5, False),
+         (8, 8, True), (9, 8, False), (10, 10, True)])
+    assert {k: t for k, t in kept["nodes"].items() if k in ("node", "name")} == {"node": "bigint", "name": "string"}
+    later = [c for n, t in kept.items() if n not in ("sketched", "nodes") for c in t.items()]
+    assert len(later) > 20 and "string" not in {kind for _, kind in later}
