@@ -578,3 +578,29 @@ def test_planted_passages_by_length(spark):
         kept = data.replace(f"({long})".encode(), b"") if size[i] else data
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(data), size[i], int(size[i] > 0))
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_remaining_texts(spark, tmp_path, monkeypatch):
+    """op8: the operator hands on what remains of every text, byte for byte, and the query shows it
+    as text; a planted passage is gone from it, clean and null texts are as they were."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    filler = lambda: " ".join(word(7) for _ in range(90))                          # noqa: E731
+    passage = "(" + " ".join(word(8) for _ in range(60)) + ")"
+    sides = [(filler(), filler()) for _ in range(4)]
+    texts = {0: sides[0][0] + "0" + passage + "é" + sides[0][1], 1: sides[1][0] + "1" + passage + "è" + sides[1][1],
+             2: sides[2][0] + "é" + sides[2][1], 3: None, 4: "short"}
+    rest = {i: t and t.encode() for i, t in texts.items()} | {3: b""}
+    for i in (0, 1):                                            # é and è begin with the same byte, which goes too
+        rest[i] = rest[i].replace(passage.encode() + b"\xc3", b"")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for held in (substrings.HELD, 1):
+        monkeypatch.setattr(substrings, "HELD", held)
+        got = {r.doc_id: r for r in substrings.remove_repeats(frame.coalesce(1)).collect()}
+        assert {i: bytes(r.kept) for i, r in got.items()} == rest
+        assert all(r.kept_sha256 == hashlib.sha256(r.kept).hexdigest() for r in got.values())
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op8_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: r.decode(errors="replace") for i, r in rest.items()}
+    assert "\ufffd" in got[0].text and not any(passage in r.text for r in got.values())
+    assert {i: r.n_bytes - r.n_removed for i, r in got.items()} == {i: len(r) for i, r in rest.items()}
