@@ -13,7 +13,7 @@ partitioned (up to the order of floating-point sums).
   the batch cannot rise).  The first pass takes ``warm_steps`` such steps.
 * ``OnlineMLP``: a network with one hidden layer (100 units), warm-started from
   the weights of the batch before; every iteration sums the gradient of all
-  partitions (``MultilayerPerceptronClassifier``).
+  partitions (``networks``).
 * ``SEAPool``: up to 5 networks (50 units) each fitted from scratch on one batch
   (at most 30 iterations); majority vote with ties to attack; a full pool
   replaces its least accurate member on the new batch (first on ties);
@@ -23,19 +23,19 @@ partitioned (up to the order of floating-point sums).
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confusion_aggs
 from ..sources.catalog import LABEL
+from . import networks
 
 
 @dataclass
@@ -100,6 +100,11 @@ class Learner:
     def step(self, batch: DataFrame, flag_col: str | None = "s1_flag", rows: int | None = None) -> StepResult: ...
     def warmup(self, flagged_train: DataFrame) -> int: ...
 
+    def replay(self, batches, n_batches: int) -> Iterator[StepResult]:
+        """``step`` over the batches of a batch table, in order."""
+        for b in range(n_batches):
+            yield self.step(batches.batch(b))
+
     def _warned(self, n: int) -> int:
         if not n:
             warnings.warn("no flagged training rows: the learner starts without a warm-up", stacklevel=3)
@@ -186,43 +191,60 @@ class SGDLogistic(Learner):
 class Network:
     """One hidden layer and a two-way output over named feature columns."""
 
-    def __init__(self, features: Sequence[str], hidden: int, seed: int, iterations: int):
+    tol = 1e-4                               # of a fit from scratch; a warm start takes all its iterations
+
+    def __init__(self, features: Sequence[str], hidden: int, seed: int, iterations: int, weights: Sequence[float] | None = None):
         self.features, self.hidden, self.seed, self.iterations = list(features), hidden, seed, iterations
-        self.model = None
+        self.weights = None if weights is None else np.array(weights, dtype=np.float64)
 
     @property
-    def weights(self) -> np.ndarray:
-        return self.model.weights.toArray()
+    def width(self) -> int:
+        """Doubles of a packed row."""
+        return len(self.features) + 1
 
-    def assembled(self, df: DataFrame) -> DataFrame:
-        """``df`` with its features as the vector ``_x``."""
-        return VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
+    def packed(self, rows: DataFrame, key: Column | None = None) -> DataFrame:
+        return networks.pack(rows, self.features, LABEL, F.lit(0) if key is None else key)
 
-    def _trainer(self, iterations: int, start) -> MultilayerPerceptronClassifier:
-        out = MultilayerPerceptronClassifier(
-            featuresCol="_x", labelCol="_y", layers=[len(self.features), self.hidden, 2], seed=self.seed,
-            maxIter=iterations, tol=1e-4 if start is None else 0.0, rawPredictionCol="", probabilityCol="")
-        return out if start is None else out.setInitialWeights(Vectors.dense(start))
+    def start(self, spark) -> np.ndarray:
+        return networks.start_weights(spark, len(self.features), self.hidden, self.seed) if self.weights is None else self.weights
 
     def fit(self, rows: DataFrame, iterations: int | None = None) -> bool:
         """Fit, or go on from the present weights; False (and no change) without finite weights."""
-        start = None if self.model is None else self.weights
-        data = self.assembled(rows).select("_x", F.col(LABEL).cast("double").alias("_y"))
-        model = self._trainer(iterations or self.iterations, start).fit(data)
-        if not np.isfinite(model.weights.toArray()).all():
+        blocks = self.packed(rows).persist()
+        try:
+            w = networks.fit_together(blocks, self.width, {0: self.start(rows.sparkSession)}, iterations or self.iterations,
+                                      self.tol if self.weights is None else 0.0)[0]
+        finally:
+            blocks.unpersist()
+        if not np.isfinite(w).all():
             return False
-        self.model = model
+        self.weights = w
         return True
 
-    def restore(self, spark, weights: Sequence[float]) -> Network:
-        """The network with these weights (a fit of no iterations)."""
-        data = spark.createDataFrame([(Vectors.dense([0.0] * len(self.features)), 0.0)], ["_x", "_y"])
-        self.model = self._trainer(0, weights).fit(data)
-        return self
+    def predicted(self) -> Column:
+        """The class of a row."""
+        w, width = self.weights, self.width
+
+        @F.pandas_udf("int")
+        def predict(*cols: pd.Series) -> pd.Series:
+            rows = np.zeros((len(cols[0]), width))
+            for i, c in enumerate(cols):
+                rows[:, i] = c.to_numpy(dtype=np.float64)
+            return pd.Series(networks.predictions(w, rows))
+
+        return predict(*[F.col(c).cast("double") for c in self.features])
+
+
+def _census(learner: Learner, batches) -> dict[int, Row]:
+    """Counts of every batch with 0 predicted throughout, from one scan of the batch table."""
+    aggs = learner._aggs(F.lit(0), learner._flag("s1_flag"))
+    return {r.batch_id: r for r in batches.df.groupBy("batch_id").agg(*aggs).collect()}
 
-    def predict(self, assembled: DataFrame, name: str) -> DataFrame:
-        out = self.model.setPredictionCol(name).transform(assembled)
-        return out.withColumn(name, F.col(name).cast("int"))
+
+def _counted(row, fp: int, tp: int) -> StepResult:
+    """A batch's counts when ``fp`` and ``tp`` of its flagged rows are called."""
+    res = Learner._result(row)
+    return StepResult(res.tn - fp, fp, res.fn - tp, tp, res.n, res.n_flagged)
 
 
 class OnlineMLP(Learner):
@@ -234,7 +256,6 @@ class OnlineMLP(Learner):
         super().__init__(features, seed)
         self.warm_iterations, self.step_iterations = warm_iterations, step_iterations
         self.net = Network(self.features, hidden, seed, step_iterations)
-        self.saved: list[float] | None = None
 
     def hyperparams(self):
         return {"hidden_layer_sizes": f"({self.net.hidden},)", "activation": "logistic",
@@ -242,22 +263,17 @@ class OnlineMLP(Learner):
 
     @property
     def params(self) -> np.ndarray | None:
-        return self.net.weights if self.net.model is not None else self.saved
+        return self.net.weights
 
     def state(self):
         return {"params": None if self.params is None else [float(v) for v in self.params], "updates": self.updates}
 
     def load(self, state):
-        self.saved, self.net.model, self.updates = state["params"], None, int(state["updates"])
-
-    def _ready(self, df: DataFrame) -> None:
-        if self.net.model is None and self.saved is not None:
-            self.net.restore(df.sparkSession, self.saved)
+        self.updates = int(state["updates"])
+        self.net.weights = None if state["params"] is None else np.array(state["params"], dtype=np.float64)
 
     def evaluate(self, df, flag_col="s1_flag"):
-        self._ready(df)
-        rows = self._rows(df, flag_col)
-        rows = rows.withColumn("_p", F.lit(0)) if self.net.model is None else self.net.predict(self.net.assembled(rows), "_p")
+        rows = self._rows(df, flag_col).withColumn("_p", F.lit(0) if self.params is None else self.net.predicted())
         return self._result(rows.agg(*self._aggs(F.col("_p"), self._flag(flag_col))).first())
 
     def step(self, batch, flag_col="s1_flag", rows=None):
@@ -266,6 +282,44 @@ class OnlineMLP(Learner):
             self.updates += 1
         return res
 
+    def replay(self, batches, n_batches):
+        """A step needs the weights of the one before it, so the batches of a segment go one after
+        the other through one task, where a batch is a task's rows anyway."""
+        if batches.tasks > 1:
+            yield from super().replay(batches, n_batches)
+            return
+        census = _census(self, batches)
+        for first in range(0, n_batches, batches.seg):
+            keys = range(first, min(first + batches.seg, n_batches))
+            called = self._segment(batches, first) if any(census[b].n_flagged for b in keys if b in census) else {}
+            for b in keys:
+                yield _counted(census[b], *called.get(b, (0, 0))) if b in census else StepResult()
+
+    def _segment(self, batches, first: int) -> dict[int, tuple[int, int]]:
+        """Steps over the batches of a segment: (fp, tp) of each; the weights go on."""
+        flagged = batches.segment(first).where(self._flag("s1_flag"))
+        width, iterations, tol, given = self.net.width, self.net.iterations, self.net.tol, self.params
+        start = self.net.start(flagged.sparkSession)
+
+        def run(it):
+            w = given
+            for key, rows in networks.by_key(it, width):
+                said = np.zeros(len(rows)) if w is None else networks.predictions(w, rows)
+                new = networks.fitted(start if w is None else w, rows, iterations, tol if w is None else 0.0)
+                moved = bool(np.isfinite(new).all())
+                w = new if moved else w
+                fp, tp = int(((said == 1) & (rows[:, -1] == 0)).sum()), int(((said == 1) & (rows[:, -1] == 1)).sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key], pa.int32()), pa.array([fp], pa.int64()), pa.array([tp], pa.int64()), pa.array([moved]),
+                     pa.array([None if w is None else w.tobytes()], pa.binary())], names=["key", "fp", "tp", "moved", "w"])
+
+        blocks = networks.in_order(self.net.packed(flagged, F.col("batch_id")))
+        got = blocks.mapInArrow(run, "key int, fp long, tp long, moved boolean, w binary").orderBy("key").collect()
+        self.updates += sum(r.moved for r in got)
+        if got and got[-1].w is not None:
+            self.net.weights = np.frombuffer(bytes(got[-1].w), dtype=np.float64)
+        return {r.key: (r.fp, r.tp) for r in got}
+
     def warmup(self, flagged_train: DataFrame) -> int:
         """The first pass over the flagged training rows."""
         n = self.evaluate(flagged_train, None).n
@@ -315,18 +369,17 @@ class SEAPool(Learner):
 
     def __post_init__(self):
         self.members: list[Network] = []
-        self.saved: list[list[float]] = []
         self.updates = 0
 
-    def _member(self) -> Network:
-        return Network(self.features, self.hidden, self.seed + self.updates, self.max_iter)
+    def _member(self, weights: Sequence[float] | None = None, ahead: int = 0) -> Network:
+        return Network(self.features, self.hidden, self.seed + self.updates + ahead, self.max_iter, weights)
 
     def state(self):
-        kept = [m.weights.tolist() for m in self.members] if self.members else self.saved
-        return {"members": kept, "updates": self.updates}
+        return {"members": [m.weights.tolist() for m in self.members], "updates": self.updates}
 
     def load(self, state):
-        self.saved, self.members, self.updates = state["members"], [], int(state["updates"])
+        self.updates = int(state["updates"])
+        self.members = [self._member(w) for w in state["members"]]
 
     def hyperparams(self):
         return {"pool_size": self.size, "base_hidden_layers": f"({self.hidden},)",
@@ -334,27 +387,17 @@ class SEAPool(Learner):
 
     def _screen(self, df: DataFrame, flag_col: str | None):
         """One pass: pool predictions (cascade counts), the slot to replace and class presence."""
-        if self.saved and not self.members:
-            self.members = [self._member().restore(df.sparkSession, w) for w in self.saved]
-        rows, flag, votes = self._rows(df, flag_col), self._flag(flag_col), []
-        if self.members:
-            rows = self.members[0].assembled(rows)
-            for i, m in enumerate(self.members):
-                rows = m.predict(rows, f"_m{i}")
-                votes.append(F.col(f"_m{i}"))
+        rows, flag = self._rows(df, flag_col), self._flag(flag_col)
+        rows = rows.select("*", *[m.predicted().alias(f"_m{i}") for i, m in enumerate(self.members)])
+        votes = [F.col(f"_m{i}") for i in range(len(self.members))]
         aggs = self._aggs(pool_vote(votes), flag)
         if votes:
             aggs.append(replaced_slot(member_accuracy(votes, flag)).alias("slot"))
         row = rows.agg(*aggs).first()
         return self._result(row), row.n_pos, row.slot if votes else None
 
-    def _update(self, rows: DataFrame, n: int, n_pos: int, slot: int | None) -> None:
-        """A member fitted on ``rows`` joins the pool or takes a slot."""
-        if n == 0 or n_pos in (0, n):
-            return                                  # single-class batch: no-op
-        new = self._member()
-        if not new.fit(rows):
-            return                                  # a fit without finite weights is a no-op
+    def _join(self, new: Network, slot: int | None) -> None:
+        """A fitted member joins the pool or takes a slot."""
         if len(self.members) < self.size:
             self.members.append(new)
         else:
@@ -363,12 +406,31 @@ class SEAPool(Learner):
 
     def step(self, batch, flag_col="s1_flag", rows=None):
         res, n_pos, slot = self._screen(batch, flag_col)
-        self._update(self._rows(batch, flag_col).where(self._flag(flag_col)), res.n_flagged, n_pos, slot)
+        if 0 < n_pos < res.n_flagged:               # single-class batch: no-op
+            new = self._member()
+            if new.fit(self._rows(batch, flag_col).where(self._flag(flag_col))):
+                self._join(new, slot)               # a fit without finite weights is a no-op
         return res
 
+    def _fitted(self, spark, fit, keys: Sequence[int]) -> dict[int, Network]:
+        """A new member for each key, in their order.  A fit sees neither the pool nor another
+        fit, so all run side by side (``fit``: starting weights by key to weights by key); one
+        without finite weights is a no-op, and those after it start from the seed before theirs."""
+        out, todo = {}, list(keys)
+        while todo:
+            new = {k: self._member(ahead=len(out) + i) for i, k in enumerate(todo)}
+            got = fit({k: m.start(spark) for k, m in new.items()})
+            bad = next((i for i, k in enumerate(todo) if not np.isfinite(got[k]).all()), len(todo))
+            for k in todo[:bad]:
+                new[k].weights = got[k]
+                out[k] = new[k]
+            todo = todo[bad + 1:]
+        return out
+
     def warmup(self, flagged_train: DataFrame, order_col: str = "row_key") -> int:
         """Five consecutive chunks in arrival order, each through the same update.  The
-        rows are written once by chunk, so a member's fit reads its chunk only."""
+        rows are written once by chunk; the chunks' members are fitted side by side, a job
+        for a round of all."""
         from ..functions.rowkey import ordered_index
         from ..session import scratch_path
 
@@ -379,12 +441,20 @@ class SEAPool(Learner):
         warmup_chunks(indexed, n, self.size).drop("_w", order_col).write.mode("overwrite").partitionBy("_chunk").parquet(path)
         if n:
             chunks = spark.read.parquet(path)
-            # the pool is not full during the warm-up, so no accuracy is needed:
-            # one job gives each chunk's class mix
+            # one job gives each chunk's class mix; a single-class chunk is a no-op
             mix = {r["_chunk"]: r for r in chunks.groupBy("_chunk").agg(
                 F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("n_pos")).collect()}
-            for i in sorted(mix):
-                self._update(chunks.where(F.col("_chunk") == i), mix[i].n, mix[i].n_pos, None)
+            net, mixed = self._member(), [i for i in sorted(mix) if 0 < mix[i].n_pos < mix[i].n]
+            blocks = net.packed(chunks, F.col("_chunk")).persist()
+            try:
+                new = self._fitted(spark, lambda starts: networks.fit_together(blocks, net.width, starts, net.iterations, net.tol), mixed)
+            finally:
+                blocks.unpersist()
+            for i in mixed:
+                if i in new:
+                    # the pool is not full during a learner's first warm-up; later ones replace by accuracy
+                    slot = None if len(self.members) < self.size else self._screen(chunks.where(F.col("_chunk") == i), None)[2]
+                    self._join(new[i], slot)
         return self._warned(n)
 
     def evaluate(self, df, flag_col="s1_flag"):

@@ -9,9 +9,9 @@ Flow (Z1-Z5, T1-T6, L7):
 4. warm-up: the learner's first pass over the *flagged* rows of the full
    training split;
 5. the test split, cut into arrival-order batches of ``batch_size`` rows, is
-   written partitioned by ``batch_id``; each batch is one job that predicts
+   written partitioned by ``batch_id``; each batch in order predicts its
    flagged rows with the pre-batch parameters (others get 0) and updates
-   the learner on those same flagged rows;
+   the learner on those same flagged rows (``Learner.replay``);
 6. per-batch confusion rows are summed into the evaluation record.
 """
 
@@ -145,6 +145,10 @@ class _BatchTable:
         rows = self.df.filter((F.col("segment") == b // self.seg) & (F.col("batch_id") == b))
         return rows.coalesce(self.tasks)
 
+    def segment(self, b: int) -> DataFrame:
+        """The rows of the segment that batch ``b`` lies in."""
+        return self.df.filter(F.col("segment") == b // self.seg)
+
     def filter(self, cond):          # DataFrame-like access used by callers
         return self.df.filter(cond)
 
@@ -188,8 +192,7 @@ def run_cascade(spark: SparkSession, prep: Prepared, stage1: StageOne, kind: str
     t1 = time.time()
     batches, n_batches, _path = batch_table(spark, stage1, contamination, batch_size, run_id)
     total, per_batch = StepResult(), []
-    for b in range(n_batches):
-        res = learner.step(batches.batch(b))
+    for b, res in enumerate(learner.replay(batches, n_batches)):
         total.add(res)
         per_batch.append((b, res.n, res.n_flagged, res.tn, res.fp, res.fn, res.tp))
     test_s = time.time() - t1
