@@ -59,7 +59,7 @@ def _batches(spark, per=60, n=9):
     return _BatchTable(df.repartition(5).cache(), 3), n
 
 
-@pytest.mark.parametrize("kind", ["mlp"])
+@pytest.mark.parametrize("kind", ["mlp", "ensemble"])
 def test_replay_is_step_after_step(spark, kind):
     """Same counts and weights as single steps, in a few jobs for a segment of batches."""
     batches, n = _batches(spark)
@@ -85,7 +85,7 @@ def test_replay_is_step_after_step(spark, kind):
 def test_batches_wider_than_a_task_are_stepped_over_all_tasks(spark):
     batches, n = _batches(spark, n=2)
     wide = _BatchTable(batches.df, 3, tasks=2)
-    for kind in ("mlp",):
+    for kind in ("mlp", "ensemble"):
         one, many = make_learner(kind, ["a", "b", "c"]), make_learner(kind, ["a", "b", "c"])
         assert list(many.replay(wide, n)) == list(one.replay(batches, n))
 
@@ -93,7 +93,7 @@ def test_batches_wider_than_a_task_are_stepped_over_all_tasks(spark):
 def test_replay_wants_whole_rows(spark):
     batches, n = _batches(spark, n=3)
     gaps = _BatchTable(batches.df.withColumn("a", F.when(F.col("a") < 1, F.col("a"))), 3)
-    for kind in ("mlp",):
+    for kind in ("mlp", "ensemble"):
         with pytest.raises(ValueError):
             list(make_learner(kind, ["a", "b", "c"]).replay(gaps, n))
 

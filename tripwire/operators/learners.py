@@ -427,6 +427,55 @@ class SEAPool(Learner):
             todo = todo[bad + 1:]
         return out
 
+    def replay(self, batches, n_batches):
+        """The members of a segment's batches are fitted side by side; votes and replacements
+        then go through its batches in order."""
+        if batches.tasks > 1:
+            yield from super().replay(batches, n_batches)
+            return
+        census = _census(self, batches)
+        for first in range(0, n_batches, batches.seg):
+            keys = [b for b in range(first, min(first + batches.seg, n_batches)) if b in census]
+            called = self._segment(batches, first, [b for b in keys if 0 < census[b].n_pos < census[b].n_flagged]) \
+                if any(census[b].n_flagged for b in keys) else {}
+            for b in range(first, min(first + batches.seg, n_batches)):
+                yield _counted(census[b], *called.get(b, (0, 0))) if b in census else StepResult()
+
+    def _segment(self, batches, first: int, mixed: Sequence[int]) -> dict[int, tuple[int, int]]:
+        """Steps over the batches of a segment (``mixed``: those of both classes): (fp, tp) of each."""
+        flagged = batches.segment(first).where(self._flag("s1_flag"))
+        net = self._member()
+        width, iterations, tol, size = net.width, net.iterations, net.tol, self.size
+        blocks = net.packed(flagged, F.col("batch_id")).persist()
+        try:
+            new = self._fitted(flagged.sparkSession, lambda starts: networks.fit_apart(blocks, width, starts, iterations, tol), mixed)
+            pool, fits = [m.weights for m in self.members], {k: m.weights for k, m in new.items()}
+
+            def run(it):
+                now = list(pool)
+                for key, rows in networks.by_key(it, width):
+                    y = rows[:, -1]
+                    said = [networks.predictions(w, rows) for w in now]
+                    call = np.mean(said, axis=0) >= 0.5 if said else np.zeros(len(y), dtype=bool)
+                    slot = int(np.argmin([(v == y).mean() for v in said])) if said else -1
+                    if key in fits:
+                        if len(now) < size:
+                            now.append(fits[key])
+                        else:
+                            now[slot] = fits[key]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key], pa.int32()), pa.array([int((call & (y == 0)).sum())], pa.int64()),
+                         pa.array([int((call & (y == 1)).sum())], pa.int64()), pa.array([slot], pa.int32())],
+                        names=["key", "fp", "tp", "slot"])
+
+            got = networks.in_order(blocks).mapInArrow(run, "key int, fp long, tp long, slot int").orderBy("key").collect()
+        finally:
+            blocks.unpersist()
+        for r in got:
+            if r.key in new:
+                self._join(new[r.key], r.slot)
+        return {r.key: (r.fp, r.tp) for r in got}
+
     def warmup(self, flagged_train: DataFrame, order_col: str = "row_key") -> int:
         """Five consecutive chunks in arrival order, each through the same update.  The
         rows are written once by chunk; the chunks' members are fitted side by side, a job
