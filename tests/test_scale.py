@@ -68,6 +68,50 @@ def test_a_large_forest_is_fitted_some_trees_at_a_time(spark, monkeypatch):
     assert [f[0] for f in fits] == [25]
 
 
+def test_trees_of_many_alike_rows_are_fitted_on_groups(spark, monkeypatch):
+    """Rows of the same bins and label are one weighted row of a fit; all rows count, and the
+    importances are those of the forest over rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tripwire.operators import profile
+
+    df = spark.range(6000).select(
+        (F.col("id") % 7).cast("double").alias("a"), (F.xxhash64("id") % 5).cast("double").alias("b"), F.lit(4.0).alias("k"),
+        F.element_at(F.array(*map(F.lit, "uvw")), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) + 1).cast("int")).alias("c"), "id")
+    rule = ((F.col("a") > 3) & (F.pmod("id", F.lit(10)) > 0)) | ((F.col("b") > 2) & (F.col("c") == "w"))
+    df = df.withColumn("ANOMALY", rule.cast("int")).drop("id").cache()
+    over_rows = {r.feature: r.importance for r in profile.feature_importance(df, ["a", "b", "k"], trees=40, depth=4, categorical=["c"]).collect()}
+    fits: list = []
+    real = RandomForestClassifier.fit
+
+    def fit(self, data):
+        fits.append((self.getNumTrees(), self.getBootstrap(), data.count(), data.agg(F.sum(self.getWeightCol())).first()[0]))
+        return real(self, data)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    monkeypatch.setattr(profile, "FOREST_DRAWS", 1000)
+    got = {r.feature: r.importance for r in profile.feature_importance(df, ["a", "b", "k"], trees=12, depth=4, categorical=["c"]).collect()}
+    n_groups = df.groupBy("a", "b", "c", "ANOMALY").count().count()
+    assert len(fits) == 12 and all(f[0] == 1 and not f[1] and f[2] <= n_groups for f in fits)
+    drawn = [f[3] for f in fits]
+    assert len(set(drawn)) > 1 and abs(np.mean(drawn) - 6000) < 5 * (6000 / 12) ** 0.5
+    assert all(abs(got[c] - over_rows[c]) < 0.12 for c in got) and got["k"] == 0 and max(got, key=got.get) == "a"
+
+
+def test_bins_of_a_forest(spark):
+    """Each value of a column of few is a bin; a column of many has its quantiles; gaps are refused."""
+    from tripwire.operators.profile import _bin_edges
+
+    df = spark.range(5000).select(F.when(F.col("id") == 7, 9.0).otherwise((F.col("id") % 3).cast("double")).alias("few"),
+                                  F.col("id").cast("double").alias("many"), F.lit(1.0).alias("one"))
+    edges = _bin_edges(df, ["few", "many", "one"])
+    assert edges["few"] == [0.5, 1.5, 5.5] and edges["one"] == []
+    assert len(edges["many"]) == 31 and np.allclose(edges["many"], np.arange(1, 32) * 5000 / 32, atol=5)
+    for gap in (None, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            _bin_edges(df.withColumn("many", F.when(F.col("many") == 3, F.lit(gap)).otherwise(F.col("many"))), ["few", "many"])
+
+
 def test_splits_are_written_without_a_sort_by_split(spark, flows_dir, tmp_path, monkeypatch):
     """A write by ``split`` sorts, and spills, all rows of a task; each split is written on its own."""
     from tripwire.plans.pipeline import prepare, split_flows

@@ -355,6 +355,72 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50,
 #: rows × trees up to which a forest is fitted at once, and the trees of a fit beyond that
 FOREST_DRAWS = 200_000_000
 FOREST_TREES = 10
+#: beyond that, groups per row up to which trees are fitted on weighted groups, and the fits at once
+FOREST_GROUPS = 0.25
+FOREST_FITS = 3
+#: bins of a number, as the forest's own
+FOREST_BINS = 32
+
+
+def _bin_edges(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
+    """The split points of every column, from all rows: between all values of a column of at most
+    ``FOREST_BINS``, else its quantiles (rank error 1 in 2,000; the forest takes them from 10,000 rows)."""
+    aggs = [F.count(F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 1)).alias(f"bad{i}") for i, c in enumerate(cols)]
+    aggs += [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]
+    aggs += [F.percentile_approx(c, [k / FOREST_BINS for k in range(1, FOREST_BINS)], 2_000).alias(f"q{i}") for i, c in enumerate(cols)]
+    row = df.agg(*aggs).first()
+    if any(row[f"bad{i}"] for i in range(len(cols))):
+        raise ValueError("null, NaN or infinite features: impute or drop such rows before a forest")
+    few = [c for i, c in enumerate(cols) if row[f"d{i}"] <= 2 * FOREST_BINS]
+    values = df.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
+    out = {}
+    for i, c in enumerate(cols):
+        v = sorted(values[c]) if c in few else []
+        out[c] = [(x + y) / 2 for x, y in zip(v, v[1:])] if 0 < len(v) <= FOREST_BINS else sorted(set(row[f"q{i}"]))
+    return out
+
+
+def _grouped(df: DataFrame, numbers: Sequence[str], cats: Sequence[str], label: str) -> DataFrame:
+    """The rows by bin of every number, category and label, with their number ``_n``.  A tree sees
+    no more of a row than that, so a group is as good as its rows."""
+    from pyspark.ml.feature import Bucketizer
+
+    from ..session import materialize
+
+    edges = _bin_edges(df, numbers)
+    split = [c for c in numbers if edges[c]]
+    binned = df
+    if split:
+        inf = float("inf")
+        binned = Bucketizer(inputCols=split, outputCols=[f"_b_{c}" for c in split],
+                            splitsArray=[[-inf, *edges[c], inf] for c in split]).transform(df)
+    keys = [(F.col(f"_b_{c}") if c in split else F.lit(0)).cast("int").alias(c) for c in numbers]
+    return materialize(binned.groupBy(*keys, *cats, label).agg(F.count(F.lit(1)).alias("_n")), "forest-groups")
+
+
+def _drawn(groups: DataFrame, trees: int, seed: int) -> DataFrame:
+    """The groups with a column ``_w<t>`` per tree: how often their rows are in its bootstrap sample.
+    A row is drawn Poisson(1) times, so a group of n is drawn Poisson(n) times."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..session import materialize
+
+    names = [f"_w{t}" for t in range(trees)]
+    at = groups.columns.index("_n")
+
+    def draw(batches):
+        for b in batches:
+            rng = np.random.default_rng([seed, *(zlib.crc32(np.ascontiguousarray(c.to_numpy(zero_copy_only=False))) for c in b.columns)])
+            n = b.column(at).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(rng.poisson(n), pa.int64()) for _ in names)],
+                                             names=[*b.schema.names, *names])
+
+    schema = T.StructType([*groups.schema, *(T.StructField(w, T.LongType()) for w in names)])
+    return materialize(groups.mapInArrow(draw, schema), "forest-draws")
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABEL, trees: int = 100, depth: int = 10,
@@ -365,7 +431,13 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABE
 
     A fit keeps every row with one drawn count per tree.  Over many rows the forest is
     therefore fitted ``FOREST_TREES`` trees at a time, each fit on all rows with a seed of
-    its own; node ids (one per row and tree) are looked up and not kept."""
+    its own; node ids (one per row and tree) are looked up and not kept.
+
+    A tree sees a row's bins and label only.  Where many rows share them (at most
+    ``FOREST_GROUPS`` groups a row), each tree is fitted on the groups, weighted by how often
+    their rows are drawn: the forest of all rows, at the cost of the groups."""
+    from concurrent.futures import ThreadPoolExecutor
+
     import numpy as np
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -375,26 +447,54 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str = LABE
     feats, named = list(features), [c for c in categorical]
     encoding = fit_ordinal(df, named)
     coded = encoding.transform(df.select(*feats, *named, label))
-    cols = []
-    for c in feats:
-        cols.append(F.col(c).cast("double").alias(c))
-    for c in named:
-        few = 1 < encoding.sizes[c] <= max_categories
-        kind = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(encoding.sizes[c])]}} if few else {}
-        cols.append(F.col(c).cast("double").alias(c, metadata=kind))
-    vec = VectorAssembler(inputCols=[*feats, *named], outputCol="_x", handleInvalid="keep").transform(
-        coded.select(*cols, F.col(label).cast("double").alias(label)))
-    bins = max([32, *(encoding.sizes[c] for c in named if encoding.sizes[c] <= max_categories)])
-    per_fit = trees if df.count() * trees <= FOREST_DRAWS else min(trees, FOREST_TREES)
+    few = {c: 1 < encoding.sizes[c] <= max_categories for c in named}
+
+    def vectors(rows: DataFrame, *carry: str) -> DataFrame:
+        cols = []
+        for c in feats:
+            cols.append(F.col(c).cast("double").alias(c))
+        for c in named:
+            kind = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(encoding.sizes[c])]}} if few[c] else {}
+            cols.append(F.col(c).cast("double").alias(c, metadata=kind))
+        return VectorAssembler(inputCols=[*feats, *named], outputCol="_x", handleInvalid="keep").transform(
+            rows.select(*cols, F.col(label).cast("double").alias(label), *carry))
+
+    bins = max([FOREST_BINS, *(encoding.sizes[c] for c in named if encoding.sizes[c] <= max_categories)])
+    n = df.count()
+    per_fit = trees if n * trees <= FOREST_DRAWS else min(trees, FOREST_TREES)
     imp = np.zeros(len(feats) + len(named))
-    for i, first in enumerate(range(0, trees, per_fit)):
-        # more nodes per pass over the data
-        model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=min(per_fit, trees - first), maxBins=bins,
-                                       maxDepth=depth, seed=seed + i, maxMemoryInMB=1024).fit(vec)
-        if per_fit >= trees:
-            imp = model.featureImportances.toArray()
-        else:                                            # summed over all trees, as in one forest
-            imp += sum(tree.featureImportances.toArray() for tree in model.trees)
+    groups = None
+    if per_fit < trees:
+        codes = [c for c in named if few[c]]
+        numbers = [*feats, *(c for c in named if not few[c])]
+        groups = _grouped(coded.select(*[F.col(c).cast("double").alias(c) for c in numbers], *codes, label), numbers, codes, label)
+        n_groups = groups.count()
+        if n_groups > FOREST_GROUPS * n or groups.select(label).distinct().count() > 2:
+            groups = None
+    if groups is not None:
+        drawn = _drawn(groups, trees, seed)
+        # the forest looks for split points in so many rows that it sees all bins
+        most = max(bins, min(46_000, int(n_groups ** 0.5) + 1))
+
+        def one(t: int):
+            rows = drawn.withColumn("_n", F.col(f"_w{t}").cast("double")).where("_n > 0")
+            return RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_n", numTrees=1, bootstrap=False,
+                                          featureSubsetStrategy="sqrt", maxBins=most, maxDepth=depth, seed=seed + t,
+                                          maxMemoryInMB=1024).fit(vectors(rows, "_n"))
+
+        with ThreadPoolExecutor(max_workers=FOREST_FITS) as pool:
+            for model in pool.map(one, range(trees)):
+                imp += model.trees[0].featureImportances.toArray()
+    else:
+        vec = vectors(coded)
+        for i, first in enumerate(range(0, trees, per_fit)):
+            # more nodes per pass over the data
+            model = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=min(per_fit, trees - first), maxBins=bins,
+                                           maxDepth=depth, seed=seed + i, maxMemoryInMB=1024).fit(vec)
+            if per_fit >= trees:
+                imp = model.featureImportances.toArray()
+            else:                                            # summed over all trees, as in one forest
+                imp += sum(tree.featureImportances.toArray() for tree in model.trees)
     imp = (imp / imp.sum() if per_fit < trees and imp.sum() else imp).tolist()
     rows = sorted(zip([*feats, *named], imp), key=lambda t: (-t[1], t[0]))
     return df.sparkSession.createDataFrame(
