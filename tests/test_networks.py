@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tripwire.operators import networks
@@ -96,6 +97,11 @@ def test_replay_wants_whole_rows(spark):
     for kind in ("mlp", "ensemble"):
         with pytest.raises(ValueError):
             list(make_learner(kind, ["a", "b", "c"]).replay(gaps, n))
+        # a gap or an infinite value in the training rows only
+        train = gaps.df.withColumn("row_key", F.monotonically_increasing_id())
+        for rows in (train, train.fillna(float("inf"), ["a"])):
+            with pytest.raises((ValueError, PySparkException)):
+                make_learner(kind, ["a", "b", "c"]).warmup(rows)
 
 
 def test_a_failed_fit_keeps_its_seed(spark):

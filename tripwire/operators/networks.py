@@ -217,7 +217,7 @@ def fitted(start: np.ndarray, rows: np.ndarray, iterations: int, tol: float) ->
 
 # ---------------------------------------------------------------- rows in blocks
 def pack(df: DataFrame, features: Sequence[str], label: str, key: Column) -> DataFrame:
-    """``BLOCK_SCHEMA``: the rows of ``df`` as blocks, each of one key."""
+    """``BLOCK_SCHEMA``: the rows of ``df`` as blocks, each of one key; gaps are refused."""
     width = len(features) + 1
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,8 @@ def pack(df: DataFrame, features: Sequence[str], label: str, key: Column) -> Dat
             if not b.num_rows:
                 continue
             rows = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(width)], axis=1)
+            if not np.isfinite(rows).all():
+                raise ValueError("null, NaN or infinite values: impute or drop such rows before a fit")
             keys = b.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(keys, kind="stable")
             keys, at = np.unique(keys[order], return_index=True)
