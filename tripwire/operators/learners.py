@@ -238,7 +238,10 @@ class Network:
 def _census(learner: Learner, batches) -> dict[int, Row]:
     """Counts of every batch with 0 predicted throughout, from one scan of the batch table."""
     aggs = learner._aggs(F.lit(0), learner._flag("s1_flag"))
-    return {r.batch_id: r for r in batches.df.groupBy("batch_id").agg(*aggs).collect()}
+    out = {r.batch_id: r for r in batches.df.groupBy("batch_id").agg(*aggs).collect()}
+    for r in out.values():
+        learner._result(r)                       # raises on gaps before any step
+    return out
 
 
 def _counted(row, fp: int, tp: int) -> StepResult:
